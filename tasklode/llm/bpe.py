@@ -21,7 +21,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tasklode.llm.common import two
+from tasklode.llm.common import text_steps, two, written
 
 #: Chars after a boundary that must be there for it to be certain: the pattern's longest look.
 MARGIN = 8
@@ -36,9 +36,9 @@ def encoding(path: str, pattern: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def packed(ids: list[int]) -> bytes:
+def packed(ids: list[int] | np.ndarray) -> bytes:
     """Ids as little-endian unsigned 32-bit integers."""
-    return np.array(ids, "<u4").tobytes()
+    return np.asarray(ids, "<u4").tobytes()
 
 
 def boundaries(text: str, pattern: str, last: bool) -> list[int]:
@@ -65,16 +65,14 @@ def stitch(chunks: list[tuple[list[int], list[int]]], size: int) -> list[int] |
 def _encode_rows(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
     enc = encoding(path, pattern)
     for batch in batches:
-        ids = [enc.encode_ordinary(x or "") for x in batch.column("text").to_pylist()]
-        keep = [n for n in batch.schema.names if n != "text"]
-        yield pa.RecordBatch.from_arrays(
-            [*(batch.column(n) for n in keep), pa.array([packed(x) for x in ids], pa.binary())], names=[*keep, "ids"]
-        )
+        for part in text_steps(batch):
+            ids = [packed(enc.encode_to_numpy(x or "", disallowed_special=())) for x in part.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
 
 def _encode_long(docs: DataFrame, path: str, pattern: str, size: int, overlap: int) -> DataFrame:
-    """(doc_id, ids) of texts longer than ``size`` code points."""
-    long = docs.groupBy("doc_id", F.sha2("text", 256).alias("digest")).agg(F.any_value("text").alias("text"), F.count("*").alias("copies"))
+    """(doc_id, ids) of texts longer than ``size`` code points, which are written once and read in parallel."""
+    long = written(docs, "long").groupBy("doc_id", F.sha2("text", 256).alias("digest")).agg(F.any_value("text").alias("text"), F.count("*").alias("copies"))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,8 +162,9 @@ def decode(encoded: DataFrame, path: str, pattern: str, ids_col: str = "ids") ->
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(path, pattern)
         for batch in batches:
-            out = [None if x is None else enc.decode_bytes(np.frombuffer(x, "<u4").tolist()) for x in batch.column(ids_col).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "decoded"])
+            for part in text_steps(batch, ids_col):
+                out = [None if x is None else enc.decode_bytes(np.frombuffer(x, "<u4").tolist()) for x in part.column(ids_col).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], names=[*part.schema.names, "decoded"])
 
     kept = encoded.drop("decoded")
     return kept.mapInArrow(rows, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", decoded binary")
