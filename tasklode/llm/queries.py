@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tasklode.llm import bpe, packing, quality, secrets, url_filter
+from tasklode.llm import bpe, html_extract, packing, quality, secrets, toxicity, url_filter
 
 MULTI_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: The ids of byte_bpe_50k.json: the same vocabulary, as ranks.
@@ -60,12 +60,24 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_read(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_extract.extract_pages(_read(spark, sf_dir, "pages"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every text, learnt from labels outside fold 0."""
+    return toxicity.score(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_packing": op2_packing,
     "op4_secrets": op4_secrets,
     "op6_quality": op6_quality,
     "op7_url_filter": op7_url_filter,
+    "op8_html": op8_html,
+    "op9_toxicity": op9_toxicity,
 }
 
 ORACLE_SQL = {
