@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tasklode.llm import bpe, html_extract, packing, quality, secrets, toxicity, url_filter
+from tasklode.llm import bpe, fingerprint, html_extract, packing, quality, secrets, toxicity, url_filter
 
 MULTI_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: The ids of byte_bpe_50k.json: the same vocabulary, as ranks.
@@ -70,6 +70,11 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and its edited form."""
+    return fingerprint.fingerprints(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_packing": op2_packing,
@@ -78,6 +83,7 @@ QUERIES = {
     "op7_url_filter": op7_url_filter,
     "op8_html": op8_html,
     "op9_toxicity": op9_toxicity,
+    "op10_fingerprint": op10_fingerprint,
 }
 
 ORACLE_SQL = {
