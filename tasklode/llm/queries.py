@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tasklode.llm import bpe, fingerprint, html_extract, packing, quality, secrets, toxicity, url_filter
+from tasklode.llm import bpe, fingerprint, html_extract, ngram_join, packing, quality, secrets, toxicity, url_filter
 
 MULTI_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: The ids of byte_bpe_50k.json: the same vocabulary, as ranks.
@@ -35,6 +35,11 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), RANKS, PATTERN)
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of texts linked by four-word shingles at a similarity of 0.85."""
+    return ngram_join.link_groups(_read(spark, sf_dir, "documents"), n=4, percent=85)
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every text: counts of the base kinds, their digest, and all spans."""
     found = secrets.find(_read(spark, sf_dir, "documents"))
@@ -78,6 +83,7 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_packing": op2_packing,
+    "op3_ngram_join": op3_ngram_join,
     "op4_secrets": op4_secrets,
     "op6_quality": op6_quality,
     "op7_url_filter": op7_url_filter,
