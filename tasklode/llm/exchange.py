@@ -1,0 +1,148 @@
+"""Rows of 64-bit numbers dealt by a key, as packed arrays, with groups thinned before they travel.
+
+``gather`` yields tuples of equally long uint64 arrays, the key first. Every MOST_GATHERED rows a
+task calls ``thin`` on what it has, which returns results and the rows that must meet their key;
+those are dealt by the key, and ``meet`` turns what a task got into results. A ``thin`` that leaves
+a bounded number of rows of a key keeps hot keys from filling a task.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tasklode.llm.common import mix
+
+Rows = tuple[np.ndarray, ...]
+#: Rows that a task gathers before it sends them, and those of a key that it sends.
+MOST_GATHERED = 1 << 20
+LOCAL_MEMBERS = 64
+LEAST_PARTS = 64
+#: Rows in a packed array, at most.
+PACKED = 1 << 16
+#: Bits of a filter of needed keys: 16 a key within these bounds.
+LEAST_FILTER, MOST_FILTER = 20, 28
+#: Stands for a null id where a text is looked up.
+NO_ID = -(1 << 63)
+
+
+def distinct(rows: Rows, by: int | None = None) -> Rows:
+    """The distinct rows in order; ``by`` is how many columns tell rows apart."""
+    used = rows[: by or len(rows)]
+    order = np.lexsort(used[::-1])
+    rows = tuple(x[order] for x in rows)
+    if not len(order):
+        return rows
+    keep = np.ones(len(order), bool)
+    keep[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in rows[: len(used)]])
+    return tuple(x[keep] for x in rows)
+
+
+def group_sizes(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted rows: the size of each row's group, and whether it is the group's first."""
+    n = len(columns[0])
+    first = np.ones(n, bool)
+    if n:
+        first[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in columns])
+    heads = np.flatnonzero(first)
+    sizes = np.diff(np.append(heads, n))
+    return np.repeat(sizes, sizes), first
+
+
+def thin_repeated(rows: Rows) -> tuple[Rows, Rows]:
+    """For ``meet_repeated``: keys with many members here are repeated already; one of them goes on."""
+    rows = distinct(rows)
+    size, first = group_sizes(rows[0])
+    hot = size > LOCAL_MEMBERS
+    return tuple(x[hot] for x in rows), tuple(x[~hot | first] for x in rows)
+
+
+def meet_repeated(rows: Rows) -> Rows:
+    """The distinct rows of keys that have several."""
+    rows = distinct(rows)
+    size, _ = group_sizes(rows[0])
+    return tuple(x[size > 1] for x in rows)
+
+
+def as_long(x: np.ndarray) -> pa.Array:
+    return pa.array(np.ascontiguousarray(x).view(np.int64))
+
+
+def exchange(
+    df: DataFrame,
+    gather: Callable[[Iterator[pa.RecordBatch]], Iterator[Rows]],
+    columns: list[str],
+    out: list[str],
+    thin: Callable[[Rows], tuple[Rows, Rows]] = thin_repeated,
+    meet: Callable[[Rows], Rows] = meet_repeated,
+) -> DataFrame:
+    """Results (columns ``out``, longs) of the rows that ``gather`` finds in ``df``; some may repeat."""
+    parts = max(LEAST_PARTS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    names = ["part", *columns]
+
+    def packed(rows: list[tuple[int, Rows]], width: int) -> pa.RecordBatch:
+        data = [pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[1][k].tobytes() if k < len(r[1]) else None for r in rows], pa.binary()) for k in range(width))]
+        return pa.RecordBatch.from_arrays(data, names=names)
+
+    def send(held: list[Rows]) -> Iterator[pa.RecordBatch]:
+        done, rows = thin(tuple(np.concatenate(x) for x in zip(*held, strict=True)))
+        ready = [(-1 - at // PACKED % parts, tuple(x[at : at + PACKED] for x in done)) for at in range(0, len(done[0]), PACKED)]
+        to = (mix(rows[0]) % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(to, kind="stable")
+        rows = tuple(x[order] for x in rows)
+        bounds = np.searchsorted(to[order], np.arange(parts + 1))
+        ready += [(p, tuple(x[a:b] for x in rows)) for p, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)) if a < b]
+        if ready:
+            yield packed(ready, len(columns))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
+        for rows in gather(batches):
+            held.append(rows)
+            count += len(rows[0])
+            if count >= MOST_GATHERED:
+                yield from send(held)
+                held, count = [], 0
+        if count:
+            yield from send(held)
+
+    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+        for batch in batches:
+            for part, *arrays in zip(*(batch.column(x).to_pylist() for x in names), strict=True):
+                rows = tuple(np.frombuffer(x, np.uint64) for x in arrays if x is not None)
+                if part < 0:
+                    yield pa.RecordBatch.from_arrays([as_long(x) for x in rows[: len(out)]], names=out)
+                else:
+                    held.append(rows)
+        if held:
+            found = meet(tuple(np.concatenate(x) for x in zip(*held, strict=True)))
+            for at in range(0, len(found[0]), PACKED):
+                yield pa.RecordBatch.from_arrays([as_long(x[at : at + PACKED]) for x in found], names=out)
+
+    dealt = df.mapInArrow(deal, "part int, " + ", ".join(f"`{c}` binary" for c in columns))
+    return dealt.repartition(parts, "part").mapInArrow(collect, ", ".join(f"`{c}` long" for c in out))
+
+
+class KeyFilter:
+    """A bit filter of (cls, doc_id) pairs: false for most pairs that aren't in it. Its size is bounded
+    whatever the number of pairs, and what passes wrongly is for a join to drop."""
+
+    def __init__(self, needed: DataFrame) -> None:
+        bits = min(MOST_FILTER, max(LEAST_FILTER, (16 * needed.count()).bit_length()))
+        place = F.pmod(F.col("cls").bitwiseXOR(F.col("doc_id")), F.lit(1 << bits)) + 1
+        rows = needed.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m"))
+        self.low = np.uint64((1 << bits) - 1)
+        self.map = np.zeros(1 << bits >> 3, np.uint8)
+        for r in rows.collect():
+            at = (r["k"] - 1) * 4096
+            self.map[at : at + 4096] = np.frombuffer(r["m"], np.uint8)[: len(self.map) - at]
+
+    def has(self, cls: np.ndarray, doc_id: np.ndarray) -> np.ndarray:
+        """Of arrays of uint64."""
+        p = ((cls ^ doc_id) & self.low).astype(np.int64)
+        return (self.map[p >> 3] >> (p & 7).astype(np.uint8) & 1).astype(bool)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tasklode.llm import bpe, fingerprint, html_extract, ngram_join, packing, quality, secrets, toxicity, url_filter
+from tasklode.llm import bpe, fingerprint, html_extract, ngram_join, packing, quality, secrets, suffix_dedup, toxicity, url_filter
 
 MULTI_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: The ids of byte_bpe_50k.json: the same vocabulary, as ranks.
@@ -55,6 +55,11 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, kinds), F.sha2(joined(base), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every text without its repeated strings of 200 bytes."""
+    return suffix_dedup.measure(_read(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, repetition and verdict of every text."""
     return quality.assess(_read(spark, sf_dir, "documents"))
@@ -85,6 +90,7 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op3_ngram_join": op3_ngram_join,
     "op4_secrets": op4_secrets,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_quality": op6_quality,
     "op7_url_filter": op7_url_filter,
     "op8_html": op8_html,
