@@ -9,10 +9,11 @@ keeps its t + 1 fullest blocks: the fullest of the z + 1 that agree is kept by b
 share a block are candidates; a bit sketch of 256 parities rejects most that aren't linked, and the
 sets of the others are intersected.
 
-Copies (equal sets) are one class from the start. Of a block's classes, each is first held against
-one other, the least class that it shares most blocks with; only classes that are not in one
-component after that are held against each other, so that a group of near copies doesn't make all
-its pairs. Links that could still join two components are all examined.
+Copies (equal sets) are one class from the start. In a round, every class that shares a block with
+another component is held against one class of it, the one that it shares most such blocks with;
+what links joins components. Rounds end when they find no link; then all classes that share a
+block and are not in one component are held against each other. A group of near copies becomes one
+component in a few rounds and never makes all its pairs, and no link between components is missed.
 """
 
 from __future__ import annotations
@@ -23,23 +24,17 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tasklode.llm.common import BASE, MIX_A, MIX_B, as_bytes, mix, text_steps, two, words, written
 from tasklode.llm.components import components
+from tasklode.llm.exchange import NO_ID, KeyFilter, Rows, as_long, exchange
 
 #: Growth of the size bands, and the share of further blocks (z) over t + 1.
 BAND_RATIO, SPARE = 1.6, 0.35
-#: Members of a block that a task sends by its key; more are sent anywhere, with one of them by the key.
-LOCAL_MEMBERS = 64
-#: Block keys that a task gathers before it sends them.
-GATHERED_KEYS = 1 << 21
 PARITY_WORDS = 4
-#: Bits of the filter for the texts whose sets are needed: 16 a class within these bounds.
-LEAST_FILTER, MOST_FILTER = 20, 28
-#: Stands for a null id where a class's text is looked up.
-NO_ID = -(1 << 63)
+MOST_ROUNDS = 5
 
 
 @dataclass(frozen=True)
@@ -154,116 +149,35 @@ def block_keys(owners: np.ndarray, values: np.ndarray, sizes: np.ndarray, percen
     return np.concatenate(keys), np.concatenate(texts)
 
 
-def _runs(keys: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (key, class) in order, and how many classes the key of each row has."""
-    order = np.lexsort((cls, keys))
-    keys, cls = keys[order], cls[order]
-    if not len(keys):
-        return keys, cls, np.zeros(0, np.int64)
-    keep = np.append(True, (keys[1:] != keys[:-1]) | (cls[1:] != cls[:-1]))
-    keys, cls = keys[keep], cls[keep]
-    heads = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-    sizes = np.diff(np.append(heads, len(keys)))
-    return keys, cls, np.repeat(sizes, sizes)
-
-
-def _long(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64))
-
-
 def shared_blocks(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(key, cls) of every block that several classes keep.
+    """(key, cls) of every block that several classes keep."""
 
-    Keys travel as packed arrays, by the key. Where a task finds a key with over LOCAL_MEMBERS
-    classes, these rows are results already, and only the least class goes on to the key's task: no
-    task gets more than LOCAL_MEMBERS rows of a key from each task.
-    """
-    spark = docs.sparkSession
-    parts = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-    def send(keys: list[np.ndarray], cls: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        k, c, size = _runs(np.concatenate(keys), np.concatenate(cls))
-        hot = size > LOCAL_MEMBERS
-        least = np.append(True, k[1:] != k[:-1]) if len(k) else np.zeros(0, bool)
-        rows = [(-1 - int(at) % parts, k[hot][at : at + 65_536], c[hot][at : at + 65_536]) for at in range(0, int(hot.sum()), 65_536)]
-        k, c = k[~hot | least], c[~hot | least]
-        to = (mix(k) % np.uint64(parts)).astype(np.int64)
-        order = np.argsort(to, kind="stable")
-        bounds = np.searchsorted(to[order], np.arange(parts + 1))
-        rows += [(p, k[o], c[o]) for p in range(parts) if len(o := order[bounds[p] : bounds[p + 1]])]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1].tobytes() for r in rows], pa.binary()), pa.array([r[2].tobytes() for r in rows], pa.binary())],
-            names=["part", "keys", "cls"],
-        )
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, cls, held = [], [], 0
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[Rows]:
         for batch in batches:
             for step in text_steps(batch):
                 owners, values, sizes = shingle_sets(as_bytes(step.column("text")), n)
-                k, text = block_keys(owners, values, sizes, percent)
-                keys.append(k)
-                cls.append(classes(owners, values, sizes)[text])
-                held += len(k)
-                if held >= GATHERED_KEYS:
-                    yield from send(keys, cls)
-                    keys, cls, held = [], [], 0
-        if held:
-            yield from send(keys, cls)
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, cls = [], []
-        for batch in batches:
-            for part, k, c in zip(*(batch.column(x).to_pylist() for x in ("part", "keys", "cls")), strict=True):
-                k, c = np.frombuffer(k, np.uint64), np.frombuffer(c, np.uint64)
-                if part < 0:
-                    yield pa.RecordBatch.from_arrays([_long(k), _long(c)], names=["key", "cls"])
-                else:
-                    keys.append(k)
-                    cls.append(c)
-        if keys:
-            k, c, size = _runs(np.concatenate(keys), np.concatenate(cls))
-            k, c = k[size > 1], c[size > 1]
-            yield pa.RecordBatch.from_arrays([_long(k), _long(c)], names=["key", "cls"])
-
-    packed = docs.select("text").mapInArrow(gather, "part int, keys binary, cls binary")
-    return packed.repartition(parts, "part").mapInArrow(meet, "key long, cls long")
-
-
-def _filter_of(needed: DataFrame) -> tuple[np.ndarray, int]:
-    """A bit filter of (cls, doc_id); its size is bounded whatever the number of rows."""
-    count = needed.count()
-    bits = min(MOST_FILTER, max(LEAST_FILTER, (16 * count).bit_length()))
-    place = F.pmod(F.col("cls").bitwiseXOR(F.col("doc_id")), F.lit(1 << bits))
-    rows = needed.select((place + 1).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m")).collect()
-    out = np.zeros(1 << bits >> 3, np.uint8)
-    for r in rows:
-        at = (r["k"] - 1) * 4096
-        out[at : at + 4096] = np.frombuffer(r["m"], np.uint8)[: len(out) - at]
-    return out, bits
+                keys, text = block_keys(owners, values, sizes, percent)
+                yield keys, classes(owners, values, sizes)[text]
+
+    return exchange(docs.select("text"), gather, ["key", "cls"], ["key", "cls"])
 
 
 def _sets(docs: DataFrame, needed: DataFrame, n: int) -> DataFrame:
     """(cls, codes) of the needed (cls, doc_id): the hashes of the set, in order."""
-    bitmap, bits = _filter_of(needed)
-    shipped = docs.sparkSession.sparkContext.broadcast(bitmap)
-    low = np.uint64((1 << bits) - 1)
+    shipped = docs.sparkSession.sparkContext.broadcast(KeyFilter(needed))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = shipped.value
         for batch in batches:
             for step in text_steps(batch):
                 owners, values, sizes = shingle_sets(as_bytes(step.column("text")), n)
                 cls = classes(owners, values, sizes)
-                ids = step.column("doc_id").to_numpy(zero_copy_only=False).view(np.uint64)
-                p = ((cls ^ ids) & low).astype(np.int64)
-                hit = np.flatnonzero((wanted[p >> 3] >> (p & 7).astype(np.uint8) & 1).astype(bool))
+                hit = np.flatnonzero(shipped.value.has(cls, step.column("doc_id").to_numpy(zero_copy_only=False).view(np.uint64)))
                 ends = np.cumsum(sizes)
                 codes = [values[ends[i] - sizes[i] : ends[i]].tobytes() for i in hit]
-                yield pa.RecordBatch.from_arrays([_long(cls[hit]), step.column("doc_id").take(pa.array(hit)), pa.array(codes, pa.binary())], names=["cls", "doc_id", "codes"])
+                yield pa.RecordBatch.from_arrays([as_long(cls[hit]), step.column("doc_id").take(pa.array(hit)), pa.array(codes, pa.binary())], names=["cls", "doc_id", "codes"])
 
     near = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text").mapInArrow(rows, "cls long, doc_id long, codes binary")
-    return near.join(needed, ["cls", "doc_id"], "left_semi").groupBy("cls").agg(F.any_value("codes").alias("codes"))
+    return near.join(needed, ["cls", "doc_id"], "left_semi").dropDuplicates(["cls"])
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -297,6 +211,29 @@ def _side(df: DataFrame, x: str, *more) -> DataFrame:
     return df.select(*more, F.col("cls").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in _INFO))
 
 
+def _members(blocks: DataFrame, groups: DataFrame) -> DataFrame:
+    """``blocks`` with the component of each class."""
+    return blocks.join(groups.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+
+
+def _untested(pairs: DataFrame, tested: DataFrame) -> DataFrame:
+    return pairs.join(tested, ["a", "b"], "left_anti").join(tested.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
+
+
+def _proposed(blocks: DataFrame, groups: DataFrame, tested: DataFrame, info: DataFrame, percent: int, number: int) -> DataFrame:
+    """One pair (a, b) at most for each class a: b is of another component and was not held against a before.
+
+    In each block with several components, the classes are held against one of the least component,
+    and that one's against one of the greatest; which ones, changes with the round.
+    """
+    member = _members(blocks, groups).withColumn("one", F.struct("root", F.xxhash64(F.lit(number), "cls").alias("h"), "cls"))
+    ends = member.groupBy("key").agg(F.min("one").alias("low"), F.max("one").alias("high")).filter("low.root <> high.root")
+    other = F.when(F.col("root") != F.col("low.root"), F.col("low.cls")).otherwise(F.col("high.cls"))
+    near = member.join(ends, "key").select(F.col("cls").alias("a"), other.alias("b")).groupBy("a", "b").agg(F.count("*").alias("shared"))
+    able = _untested(near, tested).join(_side(info, "a"), "a").join(_side(info, "b"), "b").filter(_possible(percent))
+    return able.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
+
+
 def link_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row.
 
@@ -316,32 +253,34 @@ def link_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "d
                 owners, values, sizes = shingle_sets(as_bytes(step.column("text")), n)
                 bits = parities(owners, values, len(sizes))
                 yield pa.RecordBatch.from_arrays(
-                    [step.column("doc_id"), pa.array(sizes, pa.int64()), _long(classes(owners, values, sizes)), *(_long(bits[:, i].copy()) for i in range(PARITY_WORDS))], names=names
+                    [step.column("doc_id"), pa.array(sizes, pa.int64()), as_long(classes(owners, values, sizes)), *(as_long(bits[:, i]) for i in range(PARITY_WORDS))], names=names
                 )
 
     rows = written(docs.mapInArrow(describe, ", ".join(f"{x} long" for x in names)), "sets")
     info = rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), *(F.min(c).alias(c) for c in names if c not in ("doc_id", "cls")))
-    blocks = written(shared_blocks(docs, n, percent), "blocks").distinct()
-
-    # each class and the one that it shares most blocks with, of the least classes of its blocks
-    centre = blocks.groupBy("key").agg(F.min("cls").alias("b"))
-    near = blocks.join(centre, "key").filter("cls <> b").groupBy(F.col("cls").alias("a"), "b").agg(F.count("*").alias("shared"))
-    first = near.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
-    first = first.join(_side(info, "a"), "a").join(_side(info, "b"), "b").filter(_possible(percent)).select("a", "b")
-    first = written(first, "first")
-    first_links = written(_linked(first, _needed_sets(docs, first, info, n), percent), "links")
-    groups = written(components(first_links), "groups")
-
-    # what else shares a block and isn't in one component yet
-    member = blocks.join(groups.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    blocks = written(shared_blocks(docs, n, percent).distinct(), "blocks")
+    needed = blocks.select("cls").distinct().join(info.select("cls", F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id")), "cls")
+    sets = written(_sets(docs, needed, n), "codes")
+    groups = spark.createDataFrame([], "node long, root long")
+    tested = spark.createDataFrame([], "a long, b long")
+
+    for number in range(MOST_ROUNDS):
+        pairs = written(_proposed(blocks, groups, tested, info, percent, number), "pairs")
+        links = written(_linked(pairs, sets, percent), "links")
+        if links.isEmpty():
+            break
+        tested = tested.unionByName(pairs)
+        groups = components(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links))
+
+    # what else shares a block and isn't in one component
+    member = _members(blocks, groups)
     spread = member.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
     open_ = written(member.join(spread.select("key"), "key").join(info.drop("doc_id"), "cls"), "open")
     left, right = _side(open_, "a", "key", F.col("root").alias("root_a")), _side(open_, "b", "key", F.col("root").alias("root_b"))
-    pairs = left.join(right, (left["key"] == right["key"]) & (F.col("root_a") < F.col("root_b")) & _possible(percent)).select("a", "b").distinct()
-    second = written(pairs, "second")
-    second_links = _linked(second, _needed_sets(docs, second, info, n), percent)
-    links = groups.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(second_links)
-    found = components(links)
+    rest = left.join(right, (left["key"] == right["key"]) & (F.col("root_a") < F.col("root_b")) & _possible(percent)).select("a", "b").distinct()
+    rest = _untested(rest, tested)
+    links = written(_linked(rest, sets, percent), "links")
+    found = groups if links.isEmpty() else components(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links))
 
     root = F.coalesce("root", "cls")
     placed = info.select("cls", "doc_id").join(found.withColumnRenamed("node", "cls"), "cls", "left").select("cls", root.alias("root"), "doc_id")
@@ -349,8 +288,3 @@ def link_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "d
     of_class = placed.select("cls", "root").join(least, "root").select("cls", "component_id")
     own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return rows.select("doc_id", "n", "cls").join(of_class, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
-
-
-def _needed_sets(docs: DataFrame, pairs: DataFrame, info: DataFrame, n: int) -> DataFrame:
-    needed = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-    return written(_sets(docs, needed.join(info.select("cls", F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id")), "cls"), n), "codes")
