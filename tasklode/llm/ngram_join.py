@@ -23,6 +23,7 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -234,17 +235,8 @@ def _proposed(blocks: DataFrame, groups: DataFrame, tested: DataFrame, info: Dat
     return able.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
 
 
-def link_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row.
-
-    Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; a text's set is its distinct n-grams,
-    all its words as one if they are fewer, nothing without words. Rows link if 100 * intersection >=
-    percent * union; component_id is the least doc_id that links reach. Rows without words link with
-    nothing. Repeated rows are kept and are one class. A null id has the component of its set (null
-    if no row of it has an id). Empty in, empty out.
-    """
-    spark: SparkSession = docs.sparkSession
-    docs = two(docs, id_col, text_col)
+def _described(docs: DataFrame, n: int) -> DataFrame:
+    """(doc_id, n, cls, p0, ...) of every row: size, class and parities of its set."""
     names = ["doc_id", "n", "cls", *(f"p{i}" for i in range(PARITY_WORDS))]
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,8 +248,13 @@ def link_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "d
                     [step.column("doc_id"), pa.array(sizes, pa.int64()), as_long(classes(owners, values, sizes)), *(as_long(bits[:, i]) for i in range(PARITY_WORDS))], names=names
                 )
 
-    rows = written(docs.mapInArrow(describe, ", ".join(f"{x} long" for x in names)), "sets")
-    info = rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), *(F.min(c).alias(c) for c in names if c not in ("doc_id", "cls")))
+    return written(docs.mapInArrow(describe, ", ".join(f"{x} long" for x in names)), "sets")
+
+
+def _placed(docs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
+    """(cls, root, doc_id) of every class with words: its component, and its least id."""
+    spark: SparkSession = docs.sparkSession
+    info = rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), *(F.min(c).alias(c) for c in _INFO))
     blocks = written(shared_blocks(docs, n, percent).distinct(), "blocks")
     needed = blocks.select("cls").distinct().join(info.select("cls", F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id")), "cls")
     sets = written(_sets(docs, needed, n), "codes")
@@ -282,9 +279,54 @@ def link_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "d
     links = written(_linked(rest, sets, percent), "links")
     found = groups if links.isEmpty() else components(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links))
 
-    root = F.coalesce("root", "cls")
-    placed = info.select("cls", "doc_id").join(found.withColumnRenamed("node", "cls"), "cls", "left").select("cls", root.alias("root"), "doc_id")
+    return info.select("cls", "doc_id").join(found.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("root", "cls").alias("root"), "doc_id")
+
+
+def link_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row.
+
+    Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; a text's set is its distinct n-grams,
+    all its words as one if they are fewer, nothing without words. Rows link if 100 * intersection >=
+    percent * union; component_id is the least doc_id that links reach. Rows without words link with
+    nothing. Repeated rows are kept and are one class. A null id has the component of its set (null
+    if no row of it has an id). Empty in, empty out.
+    """
+    docs = two(docs, id_col, text_col)
+    rows = _described(docs, n)
+    placed = _placed(docs, rows, n, percent)
     least = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of_class = placed.select("cls", "root").join(least, "root").select("cls", "component_id")
     own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return rows.select("doc_id", "n", "cls").join(of_class, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of linked rows, the one with the least id (nulls last).
+
+    Rows without words all stay. Of rows that are equal in id and set, any one stays. All columns stay.
+    """
+    pair = two(docs, id_col, text_col)
+    placed = _placed(pair, _described(pair, n), n, percent)
+    best = placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "cls")).alias("best"))
+    best = written(best.select(F.col("best.cls").alias("cls"), F.coalesce("best.doc_id", F.lit(NO_ID)).alias("doc_id")), "best")
+    shipped = docs.sparkSession.sparkContext.broadcast(KeyFilter(best))
+
+    @F.pandas_udf("long")
+    def place(texts: pd.Series, ids: pd.Series) -> pd.Series:
+        """The class of a row that may be the best of its group, 0 without words, else null."""
+        batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string(), from_pandas=True), pa.array(ids, pa.int64())], names=["text", "doc_id"])
+        out = []
+        for step in text_steps(batch):
+            owners, values, sizes = shingle_sets(as_bytes(step.column("text")), n)
+            cls = classes(owners, values, sizes)
+            may = shipped.value.has(cls, step.column("doc_id").to_numpy(zero_copy_only=False).view(np.uint64))
+            own = pd.Series(cls.view(np.int64), dtype="Int64")
+            own[~may] = pd.NA
+            own[sizes == 0] = 0
+            out.append(own)
+        return pd.concat(out, ignore_index=True) if out else pd.Series([], dtype="Int64")
+
+    mine = docs.withColumn("__id", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))).withColumn("__cls", place(F.col(text_col).cast("string"), "__id")).filter("__cls IS NOT NULL")
+    wordless = mine.filter("__cls = 0")
+    chosen = mine.filter("__cls <> 0").join(best, (F.col("__cls") == best["cls"]) & (F.col("__id") == best["doc_id"]), "left_semi").dropDuplicates(["__cls"])
+    return chosen.unionByName(wordless).drop("__id", "__cls")

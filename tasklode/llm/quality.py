@@ -11,8 +11,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tasklode.llm.common import MIX_A, as_bytes, mix, text_steps, two, words
@@ -116,6 +117,29 @@ def measure(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     )
 
 
+def _fails(n_words, n_repeat_words):
+    return (n_words < LEAST_WORDS) | (n_repeat_words * 100 > n_words * MOST_COVERED)
+
+
+def _too_long(n_words, longest_repeat):
+    return (longest_repeat >= LONG_REPEAT) & (longest_repeat * 100 > n_words * LONG_PERCENT)
+
+
+def is_kept(text: Column | str) -> Column:
+    """The verdict alone, as a column; null is an empty text."""
+
+    @F.pandas_udf("boolean")
+    def verdict(texts: pd.Series) -> pd.Series:
+        batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string(), from_pandas=True)], names=["text"])
+        out = []
+        for part in text_steps(batch):
+            n_words, *_, repeated, longest = measure(as_bytes(part.column("text")))
+            out.append(~_fails(n_words, repeated) & ~_too_long(n_words, longest))
+        return pd.Series(np.concatenate(out) if out else np.zeros(0, bool))
+
+    return verdict(text)
+
+
 def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Measures and verdict of every row: base_failed and kept.
 
@@ -132,6 +156,6 @@ def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, pa.int64()) for c in columns)], names=[c.split()[0] for c in _SCHEMA.split(", ")])
 
     measured = two(docs, id_col, text_col).mapInArrow(rows, _SCHEMA)
-    failed = (F.col("n_words") < LEAST_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MOST_COVERED)
-    too_long = (F.col("longest_repeat") >= LONG_REPEAT) & (F.col("longest_repeat") * 100 > F.col("n_words") * LONG_PERCENT)
+    failed = _fails(F.col("n_words"), F.col("n_repeat_words"))
+    too_long = _too_long(F.col("n_words"), F.col("longest_repeat"))
     return measured.withColumn("base_failed", failed).withColumn("kept", ~failed & ~too_long)

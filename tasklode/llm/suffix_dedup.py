@@ -1,12 +1,12 @@
 """Exact removal of repeated byte strings, by bucket-pointer refinement of sampled suffixes.
 
 Two equal strings of ``length`` bytes have the same least q-gram at the same place (a window's
-minimiser), so only the minimisers of all windows are put in buckets first: a window can repeat
-only if the bucket of its q-gram has several members. The windows of such a member, by their distance
-to it, form cells of CELL windows. A cell is refined by the bucket of the string that all its windows
-share (the core) and, in that, by the bucket of the string that covers them all (the cover):
-equal covers make all windows repeats at once, and a core that is alone makes none. Only cores
-with several covers are refined once more, one member of each cover, by the windows themselves.
+minimiser). So the windows are taken in runs that share it, and put in the bucket of its string. In a
+bucket, runs whose covers (the strings over all their windows) are equal are repeats at once; a
+bucket with several covers is refined, by one member of each cover. Its windows are put in cells by
+their distance to the q-gram, smaller from round to round (CELLS), and a cell in the bucket of the
+string that all its windows share (the core): again equal covers are repeats, a core that is alone
+makes none, and a core with several covers is refined, down to single windows.
 A bucket's identifier is a 64-bit hash of its string, so identifiers of later offsets are at hand
 wherever the text is, and no suffix is compared byte by byte.
 
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -28,13 +29,13 @@ from pyspark.sql import functions as F
 from tasklode.llm.common import BASE, BYTE_HASH, INVERSE, as_bytes, mix, powers, text_steps, two, written
 from tasklode.llm.exchange import LOCAL_MEMBERS, NO_ID, KeyFilter, Rows, distinct, exchange, group_sizes
 
-#: Bytes of the first buckets' strings, windows in a cell (by distance), and bytes of a long text that one step reads.
-Q_GRAM, CELL, PART = 50, 32, 1 << 22
+#: Bytes of the first buckets' strings, windows in a cell (by distance) in each round, and bytes of a long text that one step reads.
+Q_GRAM, CELLS, PART = 50, (16, 4, 1), 1 << 22
 _BITS = np.uint64(24)
 _PLACE = np.uint64((1 << 24) - 1)
-#: Cells of a q-gram are numbered below this.
-CELLS = 1 << 16
 ALL, OPEN = 1, 2
+#: Bits of a distance; a unit of windows is place << 2 * FAR | greatest distance << FAR | least.
+FAR = 10
 
 
 class Step:
@@ -59,10 +60,11 @@ class Step:
         self.part = np.repeat(np.arange(len(parts)), counts)
         self.window = np.repeat(self.begin - np.append(0, np.cumsum(counts)[:-1]), counts) + np.arange(counts.sum()) if parts else np.zeros(0, np.int64)
 
-    def hash(self, start: np.ndarray, size: int, salt: np.ndarray | int = 0) -> np.ndarray:
+    def hash(self, start: np.ndarray, size: np.ndarray | int, salt: np.ndarray | int = 0) -> np.ndarray:
         """Of the strings of ``size`` bytes at ``start``."""
         with np.errstate(over="ignore"):
-            return mix((self.total[start + size] - self.total[start]) * self.back[start] + np.uint64(size) * BASE + np.asarray(salt).astype(np.uint64) * INVERSE)
+            own = np.asarray(size).astype(np.uint64) * BASE + np.asarray(salt).astype(np.uint64) * INVERSE
+            return mix((self.total[start + size] - self.total[start]) * self.back[start] + own)
 
     def anchors(self, q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(place of the least q-gram, first window, last window) of each run of windows with the same."""
@@ -120,16 +122,8 @@ def _listed(part: pa.RecordBatch, column: str) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(part.num_rows), counts), lists.flatten().to_numpy(zero_copy_only=False)
 
 
-def sampled(docs: DataFrame, length: int, q: int) -> DataFrame:
-    """(cls, place) of the windows' least q-grams whose string has several places."""
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[Rows]:
-        for _, cls, step in _steps(batches, length):
-            place, _, _ = step.anchors(q)
-            if len(place):
-                yield step.hash(place, q), cls[step.text[step.run_part]], _numbers(place + step.shift[step.run_part])
-
-    return exchange(docs, gather, ["key", "cls", "place"], ["key", "cls", "place"]).select("cls", "place").distinct()
+def unit(place: np.ndarray, far: np.ndarray, near: np.ndarray) -> np.ndarray:
+    return _numbers(place << 2 * FAR | far << FAR | near)
 
 
 def thin_cells(rows: Rows) -> tuple[Rows, Rows]:
@@ -167,57 +161,52 @@ def meet_cells(rows: Rows) -> Rows:
     covers = np.repeat(np.add.reduceat(head, begins, dtype=np.int64), np.diff(np.append(begins, len(core)))) if len(core) else np.zeros(0, np.int64)
     repeat, open_ = same > 1, head & (covers > 1)
     state = np.repeat(np.array([ALL, OPEN], np.uint64), [repeat.sum(), open_.sum()])
-    return np.concatenate((cls[repeat], cls[open_])), np.concatenate((at[repeat], at[open_])), state
+    return distinct((np.concatenate((cls[repeat], cls[open_])), np.concatenate((at[repeat], at[open_])), state))
 
 
-def cells(near: DataFrame, length: int, q: int) -> DataFrame:
-    """(cls, at, state) of the cells of the places in column ``places``; at is place * CELLS + cell."""
+def runs(docs: DataFrame, length: int, q: int) -> DataFrame:
+    """(cls, at, state) of the runs of windows with one least q-gram; at is a unit."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[Rows]:
-        for part, cls, step in _steps(batches, length):
+        for _, cls, step in _steps(batches, length):
             place, first, last = step.anchors(q)
-            if not len(place):
-                continue
-            row = step.text[step.run_part]
             own = place + step.shift[step.run_part]
-            in_row, wanted = _listed(part, "places")
-            hit = np.isin(_numbers(row) << np.uint64(40) ^ _numbers(own), _numbers(in_row) << np.uint64(40) ^ _numbers(wanted))
-            place, first, last, row, own = (x[hit] for x in (place, first, last, row, own))
-            if not len(place):
-                continue
-            low, high = (place - last) // CELL, (place - first) // CELL
-            count = high - low + 1
-            k = np.repeat(np.arange(len(place)), count)
-            cell = np.repeat(low - np.append(0, np.cumsum(count)[:-1]), count) + np.arange(count.sum())
-            near_end, far_end = place[k] - cell * CELL, place[k] - (cell + 1) * CELL + 1  # last and first window of the cell
-            whole = (far_end >= first[k]) & (near_end <= last[k])
-            at = _numbers(own[k] * CELLS + cell)
-            of = cls[row[k]]
-            core = step.hash(near_end, length - CELL + 1, cell)
-            cover = mix(of ^ mix(at + BASE))  # of part of a cell: like no other
-            cover[whole] = step.hash(far_end[whole], length + CELL - 1, cell[whole])
-            yield core, cover, of, at
+            cover = step.hash(first, last - first + length, place - first)
+            yield step.hash(place, q), cover, cls[step.text[step.run_part]], unit(own, place - first, place - last)
 
-    return exchange(near, gather, ["core", "cover", "cls", "at"], ["cls", "at", "state"], thin_cells, meet_cells)
+    return exchange(docs, gather, ["core", "cover", "cls", "at"], ["cls", "at", "state"], thin_cells, meet_cells)
 
 
-def windows(near: DataFrame, length: int) -> DataFrame:
-    """(cls, start) of the windows of the cells in column ``places`` that have an equal elsewhere."""
+def cells(near: DataFrame, length: int, size: int) -> DataFrame:
+    """(cls, at, state) of the cells of ``size`` windows of the units in column ``units``."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[Rows]:
         for part, cls, step in _steps(batches, length):
-            if not len(step.window):
+            in_row, units = _listed(part, "units")
+            low, high = (units & (1 << FAR) - 1) // size, (units >> FAR & (1 << FAR) - 1) // size
+            count = high - low + 1
+            k = np.repeat(np.arange(len(units)), count)
+            near = (np.repeat(low - np.append(0, np.cumsum(count)[:-1]), count) + np.arange(count.sum())) * size
+            row, place = in_row[k], units[k] >> 2 * FAR
+            # with every part of the text that has a window of the cell; a cover must be in one part
+            left, right = np.searchsorted(row, step.text, "left"), np.searchsorted(row, step.text, "right")
+            j = np.repeat(np.arange(len(left)), right - left)
+            k = np.repeat(left - np.append(0, np.cumsum(right - left)[:-1]), right - left) + np.arange((right - left).sum())
+            p, d, shift = place[k], near[k], step.shift[j]
+            begin, end = step.begin[j] + shift, step.stop[j] + shift
+            first, last = np.maximum(p - d - size + 1, begin), np.minimum(p - d, end - length)
+            some = first <= last
+            p, d, j, shift, first, last = (x[some] for x in (p, d, j, shift, first, last))
+            if not len(p):
                 continue
-            own = step.window + step.shift[step.part]
-            row = step.text[step.part]
-            in_row, at = _listed(part, "places")
-            far_end = at // CELLS - (at % CELLS + 1) * CELL + 1
-            key = np.repeat(in_row << 40, CELL) + np.maximum(np.repeat(far_end, CELL) + np.tile(np.arange(CELL), len(far_end)), -1)
-            hit = np.isin((row << 40) + own, key)
-            if hit.any():
-                yield step.hash(step.window[hit], length), cls[row[hit]], _numbers(own[hit])
+            whole = last - first == size - 1
+            of, at = cls[step.text[j]], unit(p, d + size - 1, d)
+            core = step.hash(p - d - shift, length - size + 1, d)
+            cover = mix(of ^ mix(at + BASE))  # of a part of a cell: like no other
+            cover[whole] = step.hash(first[whole] - shift[whole], length + size - 1, d[whole])
+            yield core, cover, of, at
 
-    return exchange(near, gather, ["key", "cls", "start"], ["key", "cls", "start"]).select("cls", "start").distinct()
+    return exchange(near, gather, ["core", "cover", "cls", "at"], ["cls", "at", "state"], thin_cells, meet_cells)
 
 
 def _near(docs: DataFrame, needed: DataFrame) -> DataFrame:
@@ -246,16 +235,18 @@ def merged(starts: list[int], stops: list[int]) -> list[tuple[int, int]]:
 
 
 def _spans(docs: DataFrame, rows: DataFrame, length: int, q: int) -> DataFrame:
-    """(cls, starts, stops) of the classes that have repeated windows; spans may overlap."""
+    """(cls, spans) of the classes that have repeated windows; spans may overlap."""
+    if length - q >= 1 << FAR:
+        raise ValueError("length - q is too large for a unit")
     info = rows.groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-    places = sampled(docs, length, q).groupBy("cls").agg(F.collect_list("place").alias("places"))
-    state = written(cells(_near(docs, written(places.join(info, "cls"), "places")), length, q), "cells")
-    open_ = state.filter(F.col("state") == OPEN).groupBy("cls").agg(F.collect_set("at").alias("places"))
-    single = windows(_near(docs, written(open_.join(info, "cls"), "open")), length)
-    place, cell = F.floor(F.col("at") / CELLS), F.pmod("at", F.lit(CELLS))
-    spans = state.filter(F.col("state") == ALL).select("cls", (place - (cell + 1) * CELL + 1).alias("start"), (place - cell * CELL + length).alias("stop"))
-    spans = spans.unionByName(single.select("cls", "start", (F.col("start") + length).alias("stop")))
-    return spans.groupBy("cls").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    found = [written(runs(docs, length, q), "runs")]
+    for size in CELLS:
+        open_ = found[-1].filter(F.col("state") == OPEN).groupBy("cls").agg(F.collect_set("at").alias("units"))
+        found.append(written(cells(_near(docs, written(open_.join(info, "cls"), "open")), length, size), "cells"))
+    mask = F.lit((1 << FAR) - 1)
+    place, far, near = F.shiftright("at", 2 * FAR), F.shiftright("at", FAR).bitwiseAND(mask), F.col("at").bitwiseAND(mask)
+    spans = [x.filter(F.col("state") == ALL).select("cls", (place - far).alias("start"), (place - near + length).alias("stop")) for x in found]
+    return reduce(DataFrame.unionByName, spans).groupBy("cls").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
 
 
 def _prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
