@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step handles; temporaries are some tens of times this.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 19
 _own_dir: list[str] = []
 
 

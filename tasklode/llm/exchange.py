@@ -19,7 +19,7 @@ from tasklode.llm.common import mix
 
 Rows = tuple[np.ndarray, ...]
 #: Rows that a task gathers before it sends them, and those of a key that it sends.
-MOST_GATHERED = 1 << 20
+MOST_GATHERED = 1 << 19
 LOCAL_MEMBERS = 64
 LEAST_PARTS = 64
 #: Rows in a packed array, at most.

@@ -9,11 +9,13 @@ keeps its t + 1 fullest blocks: the fullest of the z + 1 that agree is kept by b
 share a block are candidates; a bit sketch of 256 parities rejects most that aren't linked, and the
 sets of the others are intersected.
 
-Copies (equal sets) are one class from the start. In a round, every class that shares a block with
-another component is held against one class of it, the one that it shares most such blocks with;
-what links joins components. Rounds end when they find no link; then all classes that share a
-block and are not in one component are held against each other. A group of near copies becomes one
-component in a few rounds and never makes all its pairs, and no link between components is missed.
+Copies (equal sets) are one class from the start. The classes of a small block are held against
+each other, which is at most SMALL - 1 pairs a class and block. In larger blocks components grow in
+rounds first: every class that shares a block with another component is held against one class of
+it, the one that it shares most such blocks with. Rounds end when they find no link; then all
+classes that share a block and are not in one component are held against each other. A group of
+near copies becomes one component in a few rounds and never makes all its pairs, and no link
+between components is missed.
 """
 
 from __future__ import annotations
@@ -30,12 +32,13 @@ from pyspark.sql import functions as F
 
 from tasklode.llm.common import BASE, MIX_A, MIX_B, as_bytes, mix, text_steps, two, words, written
 from tasklode.llm.components import components
-from tasklode.llm.exchange import NO_ID, KeyFilter, Rows, as_long, exchange
+from tasklode.llm.exchange import LOCAL_MEMBERS, NO_ID, KeyFilter, Rows, as_long, distinct, exchange, group_sizes
 
 #: Growth of the size bands, and the share of further blocks (z) over t + 1.
 BAND_RATIO, SPARE = 1.6, 0.35
 PARITY_WORDS = 4
-MOST_ROUNDS = 5
+#: Members of a small block, and rounds over the larger ones.
+SMALL, MOST_ROUNDS = 8, 4
 
 
 @dataclass(frozen=True)
@@ -150,17 +153,37 @@ def block_keys(owners: np.ndarray, values: np.ndarray, sizes: np.ndarray, percen
     return np.concatenate(keys), np.concatenate(texts)
 
 
+def _thin(rows: Rows) -> tuple[Rows, Rows]:
+    """As ``thin_repeated``; what goes on of a hot key is marked, as its block is large."""
+    keys, cls, _ = distinct(rows, 2)
+    size, first = group_sizes(keys)
+    hot = size > LOCAL_MEMBERS
+    left = ~hot | first
+    return (keys[hot], cls[hot], np.ones(int(hot.sum()), np.uint64)), (keys[left], cls[left], hot[left].astype(np.uint64))
+
+
+def _meet(rows: Rows) -> Rows:
+    keys, cls, marks = rows
+    order = np.lexsort((~marks, cls, keys))
+    keys, cls, marks = distinct(tuple(x[order] for x in rows), 2)
+    size, first = group_sizes(keys)
+    heads = np.flatnonzero(first)
+    marked = np.repeat(np.maximum.reduceat(marks, heads), size[heads]) if len(keys) else marks
+    use = (size > 1) | (marked > 0)
+    return keys[use], cls[use], ((size > SMALL) | (marked > 0))[use].astype(np.uint64)
+
+
 def shared_blocks(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(key, cls) of every block that several classes keep."""
+    """(key, cls, large) of every block that several classes keep; large: it has over SMALL classes."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[Rows]:
         for batch in batches:
             for step in text_steps(batch):
                 owners, values, sizes = shingle_sets(as_bytes(step.column("text")), n)
                 keys, text = block_keys(owners, values, sizes, percent)
-                yield keys, classes(owners, values, sizes)[text]
+                yield keys, classes(owners, values, sizes)[text], np.zeros(len(keys), np.uint64)
 
-    return exchange(docs.select("text"), gather, ["key", "cls"], ["key", "cls"])
+    return exchange(docs.select("text"), gather, ["key", "cls", "large"], ["key", "cls", "large"], _thin, _meet)
 
 
 def _sets(docs: DataFrame, needed: DataFrame, n: int) -> DataFrame:
@@ -212,23 +235,25 @@ def _side(df: DataFrame, x: str, *more) -> DataFrame:
     return df.select(*more, F.col("cls").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in _INFO))
 
 
-def _members(blocks: DataFrame, groups: DataFrame) -> DataFrame:
-    """``blocks`` with the component of each class."""
-    return blocks.join(groups.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+def _still_open(blocks: DataFrame, groups: DataFrame) -> DataFrame:
+    """(key, cls, root) of the blocks that have several components."""
+    member = blocks.select("key", "cls").join(groups.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    spread = member.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
+    return member.join(spread.select("key"), "key")
 
 
 def _untested(pairs: DataFrame, tested: DataFrame) -> DataFrame:
     return pairs.join(tested, ["a", "b"], "left_anti").join(tested.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
 
 
-def _proposed(blocks: DataFrame, groups: DataFrame, tested: DataFrame, info: DataFrame, percent: int, number: int) -> DataFrame:
+def _proposed(open_: DataFrame, tested: DataFrame, info: DataFrame, percent: int, number: int) -> DataFrame:
     """One pair (a, b) at most for each class a: b is of another component and was not held against a before.
 
-    In each block with several components, the classes are held against one of the least component,
-    and that one's against one of the greatest; which ones, changes with the round.
+    In each block, the classes are held against one of the least component, and that one's against
+    one of the greatest; which ones, changes with the round.
     """
-    member = _members(blocks, groups).withColumn("one", F.struct("root", F.xxhash64(F.lit(number), "cls").alias("h"), "cls"))
-    ends = member.groupBy("key").agg(F.min("one").alias("low"), F.max("one").alias("high")).filter("low.root <> high.root")
+    member = open_.withColumn("one", F.struct("root", F.xxhash64(F.lit(number), "cls").alias("h"), "cls"))
+    ends = member.groupBy("key").agg(F.min("one").alias("low"), F.max("one").alias("high"))
     other = F.when(F.col("root") != F.col("low.root"), F.col("low.cls")).otherwise(F.col("high.cls"))
     near = member.join(ends, "key").select(F.col("cls").alias("a"), other.alias("b")).groupBy("a", "b").agg(F.count("*").alias("shared"))
     able = _untested(near, tested).join(_side(info, "a"), "a").join(_side(info, "b"), "b").filter(_possible(percent))
@@ -258,27 +283,31 @@ def _placed(docs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame
     blocks = written(shared_blocks(docs, n, percent).distinct(), "blocks")
     needed = blocks.select("cls").distinct().join(info.select("cls", F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id")), "cls")
     sets = written(_sets(docs, needed, n), "codes")
-    groups = spark.createDataFrame([], "node long, root long")
-    tested = spark.createDataFrame([], "a long, b long")
+    facts = info.drop("doc_id")
 
+    def pairs_of(rows: DataFrame, root: str) -> DataFrame:
+        """All pairs (a, b) that share a block, can link and are of two components."""
+        told = rows.join(facts, "cls")
+        left, right = (_side(told, x, "key", F.col(root).alias(f"root_{x}")) for x in "ab")
+        return left.join(right, (left["key"] == right["key"]) & (F.col("root_a") < F.col("root_b")) & _possible(percent)).select("a", "b").distinct()
+
+    def merged(groups: DataFrame, links: DataFrame) -> DataFrame:
+        return written(components(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links)), "groups")
+
+    links = _linked(pairs_of(blocks.filter("large = 0"), "cls"), sets, percent)
+    groups = merged(spark.createDataFrame([], "node long, root long"), links)
+    open_, tested = blocks.filter("large = 1"), spark.createDataFrame([], "a long, b long")
     for number in range(MOST_ROUNDS):
-        pairs = written(_proposed(blocks, groups, tested, info, percent, number), "pairs")
+        open_ = written(_still_open(open_, groups), "open")
+        pairs = written(_proposed(open_, tested, info, percent, number), "pairs")
         links = written(_linked(pairs, sets, percent), "links")
         if links.isEmpty():
             break
         tested = tested.unionByName(pairs)
-        groups = components(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links))
-
-    # what else shares a block and isn't in one component
-    member = _members(blocks, groups)
-    spread = member.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
-    open_ = written(member.join(spread.select("key"), "key").join(info.drop("doc_id"), "cls"), "open")
-    left, right = _side(open_, "a", "key", F.col("root").alias("root_a")), _side(open_, "b", "key", F.col("root").alias("root_b"))
-    rest = left.join(right, (left["key"] == right["key"]) & (F.col("root_a") < F.col("root_b")) & _possible(percent)).select("a", "b").distinct()
-    rest = _untested(rest, tested)
-    links = written(_linked(rest, sets, percent), "links")
-    found = groups if links.isEmpty() else components(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links))
-
+        groups = merged(groups, links)
+    rest = pairs_of(_still_open(open_, groups), "root")
+    links = written(_linked(_untested(rest, tested), sets, percent), "links")
+    found = groups if links.isEmpty() else merged(groups, links)
     return info.select("cls", "doc_id").join(found.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("root", "cls").alias("root"), "doc_id")
 
 

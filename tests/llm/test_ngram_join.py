@@ -3,7 +3,7 @@ import re
 
 import numpy as np
 import pytest
-from tasklode.llm import exchange, ngram_join
+from tasklode.llm import ngram_join
 from tasklode.llm.components import components
 from tests.llm.shared import AWKWARD, DOCS, docs
 
@@ -64,7 +64,8 @@ def test_groups_against_brute_force(spark, seed, n, percent):
 
 
 def test_hot_blocks_take_the_local_way(spark, monkeypatch):
-    monkeypatch.setattr(exchange, "LOCAL_MEMBERS", 3)
+    monkeypatch.setattr(ngram_join, "LOCAL_MEMBERS", 3)
+    monkeypatch.setattr(ngram_join, "SMALL", 2)
     rnd = random.Random(8)
     base = [f"w{i}" for i in range(150)]
     rows = []
