@@ -58,6 +58,12 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def with_column(batch: pa.RecordBatch, column: str, values: pa.Array) -> pa.RecordBatch:
+    """``batch`` with other values in a column that it has."""
+    at = batch.schema.get_field_index(column)
+    return batch.set_column(at, batch.schema.field(at), values)
+
+
 #: Odd multipliers and mixing constants of 64-bit hashes.
 BASE = np.uint64(0x9E3779B97F4A7C15)
 MIX_A, MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)

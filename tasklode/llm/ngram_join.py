@@ -25,10 +25,10 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tasklode.llm.common import BASE, MIX_A, MIX_B, as_bytes, mix, text_steps, two, words, written
 from tasklode.llm.components import components
@@ -340,22 +340,16 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "d
     best = written(best.select(F.col("best.cls").alias("cls"), F.coalesce("best.doc_id", F.lit(NO_ID)).alias("doc_id")), "best")
     shipped = docs.sparkSession.sparkContext.broadcast(KeyFilter(best))
 
-    @F.pandas_udf("long")
-    def place(texts: pd.Series, ids: pd.Series) -> pd.Series:
-        """The class of a row that may be the best of its group, 0 without words, else null."""
-        batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string(), from_pandas=True), pa.array(ids, pa.int64())], names=["text", "doc_id"])
-        out = []
-        for step in text_steps(batch):
-            owners, values, sizes = shingle_sets(as_bytes(step.column("text")), n)
-            cls = classes(owners, values, sizes)
-            may = shipped.value.has(cls, step.column("doc_id").to_numpy(zero_copy_only=False).view(np.uint64))
-            own = pd.Series(cls.view(np.int64), dtype="Int64")
-            own[~may] = pd.NA
-            own[sizes == 0] = 0
-            out.append(own)
-        return pd.concat(out, ignore_index=True) if out else pd.Series([], dtype="Int64")
-
-    mine = docs.withColumn("__id", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))).withColumn("__cls", place(F.col(text_col).cast("string"), "__id")).filter("__cls IS NOT NULL")
-    wordless = mine.filter("__cls = 0")
-    chosen = mine.filter("__cls <> 0").join(best, (F.col("__cls") == best["cls"]) & (F.col("__id") == best["doc_id"]), "left_semi").dropDuplicates(["__cls"])
-    return chosen.unionByName(wordless).drop("__id", "__cls")
+    def able(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows that may be the best of their group, with their class."""
+        for batch in batches:
+            for step in text_steps(batch, text_col):
+                cls = classes(*shingle_sets(as_bytes(step.column(text_col)), n))
+                may = shipped.value.has(cls, step.column("__id").to_numpy(zero_copy_only=False).view(np.uint64))
+                yield pa.RecordBatch.from_arrays([*step.columns, as_long(cls)], names=[*step.schema.names, "__cls"]).filter(pa.array(may))
+
+    has_word = F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    mine = docs.filter(has_word).withColumn("__id", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)))
+    mine = mine.mapInArrow(able, StructType([*mine.schema.fields, StructField("__cls", LongType())]))
+    chosen = mine.join(best, (F.col("__cls") == best["cls"]) & (F.col("__id") == best["doc_id"]), "left_semi").dropDuplicates(["__cls"])
+    return chosen.drop("__id", "__cls").unionByName(docs.filter(~has_word))

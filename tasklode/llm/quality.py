@@ -11,9 +11,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tasklode.llm.common import MIX_A, as_bytes, mix, text_steps, two, words
@@ -125,19 +124,16 @@ def _too_long(n_words, longest_repeat):
     return (longest_repeat >= LONG_REPEAT) & (longest_repeat * 100 > n_words * LONG_PERCENT)
 
 
-def is_kept(text: Column | str) -> Column:
-    """The verdict alone, as a column; null is an empty text."""
+def keep(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows that the rules reject; all columns stay. A null text is empty, and rejected."""
 
-    @F.pandas_udf("boolean")
-    def verdict(texts: pd.Series) -> pd.Series:
-        batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string(), from_pandas=True)], names=["text"])
-        out = []
-        for part in text_steps(batch):
-            n_words, *_, repeated, longest = measure(as_bytes(part.column("text")))
-            out.append(~_fails(n_words, repeated) & ~_too_long(n_words, longest))
-        return pd.Series(np.concatenate(out) if out else np.zeros(0, bool))
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_steps(batch, text_col):
+                n_words, *_, repeated, longest = measure(as_bytes(part.column(text_col)))
+                yield part.filter(pa.array(~_fails(n_words, repeated) & ~_too_long(n_words, longest)))
 
-    return verdict(text)
+    return docs.mapInArrow(rows, docs.schema)
 
 
 def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -12,13 +12,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from tasklode.llm.automata import Dfa, compile_rules, find_all, fired, matches_whole
-from tasklode.llm.common import as_bytes, two
+from tasklode.llm.common import as_bytes, text_steps, two, with_column
 
 SPANS = "array<struct<kind: string, start: long, end: long>>"
 
@@ -104,29 +102,34 @@ def find(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for data in as_bytes(batch.column("text")):
-                spans = scan(data, rules)
-                found.append([{"kind": rules[i].kind, "start": a, "end": b} for a, i, b in in_code_points(data, spans)] if spans else [])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, kind)], names=["doc_id", "spans"])
+            for part in text_steps(batch):
+                found = []
+                for data in as_bytes(part.column("text")):
+                    spans = scan(data, rules)
+                    found.append([{"kind": rules[i].kind, "start": a, "end": b} for a, i, b in in_code_points(data, spans)] if spans else [])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found, kind)], names=["doc_id", "spans"])
 
     return two(docs, id_col, text_col).mapInArrow(rows, f"doc_id long, spans {SPANS}")
 
 
-def redacted(text: Column | str, rules: tuple[Rule, ...] = RULES, mark: str = "[secret]") -> Column:
-    """The text with each run of overlapping or touching spans replaced by ``mark``; null stays null."""
+def masked(text: str | None, rules: tuple[Rule, ...] = RULES, mark: str = "[secret]") -> str | None:
+    """The text with each run of overlapping or touching spans replaced by ``mark``."""
+    data = (text or "").encode()
+    pieces, at = [], 0
+    for a, _, b in scan(data, rules):
+        if a > at or not pieces:
+            pieces += [data[at:a], mark.encode()]
+        at = max(at, b)
+    return b"".join([*pieces, data[at:]]).decode("utf-8", "replace") if pieces else text
 
-    @F.pandas_udf("string")
-    def clean(texts: pd.Series) -> pd.Series:
-        out = []
-        for text in texts:
-            data = (text or "").encode()
-            pieces, at = [], 0
-            for a, _, b in scan(data, rules):
-                if a > at or not pieces:
-                    pieces += [data[at:a], mark.encode()]
-                at = max(at, b)
-            out.append(b"".join([*pieces, data[at:]]).decode("utf-8", "replace") if pieces else text)
-        return pd.Series(out, dtype=object)
 
-    return clean(text)
+def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[secret]", text_col: str = "text") -> DataFrame:
+    """``docs`` with the secrets in their text masked; all columns stay, a null text stays null."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_steps(batch, text_col):
+                texts = [masked(t, rules, mark) for t in part.column(text_col).to_pylist()]
+                yield with_column(part, text_col, pa.array(texts, pa.string()))
+
+    return docs.mapInArrow(rows, docs.schema)

@@ -20,13 +20,12 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tasklode.llm.common import BASE, BYTE_HASH, INVERSE, as_bytes, mix, powers, text_steps, two, written
+from tasklode.llm.common import BASE, BYTE_HASH, INVERSE, as_bytes, mix, powers, text_steps, two, with_column, written
 from tasklode.llm.exchange import LOCAL_MEMBERS, NO_ID, KeyFilter, Rows, distinct, exchange, group_sizes
 
 #: Bytes of the first buckets' strings, windows in a cell (by distance) in each round, and bytes of a long text that one step reads.
@@ -316,15 +315,17 @@ def removed(docs: DataFrame, length: int = 200, q: int = Q_GRAM, id_col: str = "
     every = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("stop")))
     spans = found.select(F.col("cls").alias(key), F.when(whole, every).otherwise(F.col("spans")).alias("__spans")).filter("__spans IS NOT NULL")
 
-    @F.pandas_udf("string")
-    def without(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        out = []
-        for text, own in zip(texts, spans, strict=True):
-            if text is not None and own is not None:
-                data = text.encode()
-                text = cut(data, merged([s["start"] for s in own], [min(s["stop"], len(data)) for s in own])).decode("utf-8", "ignore")
-            out.append(text)
-        return pd.Series(out, dtype=object)
+    names = docs.columns
+
+    def without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_steps(batch, text_col):
+                texts = []
+                for data, own in zip(part.column(text_col).cast(pa.binary()).to_pylist(), part.column("__spans").to_pylist(), strict=True):
+                    if data is not None and own is not None:
+                        data = cut(data, merged([s["start"] for s in own], [min(s["stop"], len(data)) for s in own])).decode("utf-8", "ignore").encode()
+                    texts.append(data)
+                yield with_column(part, text_col, pa.array(texts, pa.binary()).cast(pa.string())).select(names)
 
     joined = docs.withColumn(key, F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))).join(spans, key, "left")
-    return joined.withColumn(text_col, F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(without(text_col, "__spans"))).drop(key, "__spans")
+    return joined.select(*(F.col(f"`{n}`") for n in names), "__spans").mapInArrow(without, docs.schema)
