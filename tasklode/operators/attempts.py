@@ -9,8 +9,12 @@ from tasklode.functions.similarity import exact_duplicate, fingerprint, near_dup
 from tasklode.functions.stats import ratio, wilson
 from tasklode.functions.text import col, normalize_action
 
-#: Statuses that say something about the infrastructure, not about the task.
-INFRA = ("infrastructure_interrupted", "infrastructure_error", "api_error", "environment_error", "interrupted")
+# Statuses that say something about the infrastructure, and those of genuine failures.
+INFRA = ("infrastructure_interrupted", "provider_config_error", "provider_model_mismatch", "environment_fatal_error", "cancelled")
+GENUINE_FAILURES = (
+    "teacher_failure", "teacher_empty_response", "malformed_action", "invalid_action", "terminal_unsuccessful", "max_steps", "hygiene_reject",
+    "rejected_exact_duplicate", "rejected_acceptance_integrity",
+)
 
 
 def is_genuine(status: Column | str, infra: tuple[str, ...] = INFRA) -> Column:
@@ -187,3 +191,22 @@ def hard_tasks(attempts: DataFrame, task: str, status: str, actions: str, reward
         task, F.array_sort("outcomes").alias("outcomes"), "max_steps_attempts", many("search[").alias("repeated_search"), many("click[").alias("repeated_click"),
         F.size("lower").alias("action_count"), clicked.alias("target_clicked"), "last_reward",
     )
+
+
+def one_of_each_task(attempts: DataFrame, task: str, order: list, count: int) -> DataFrame:
+    """The first attempt of each task in order, for the first ``count`` tasks: a sample for reading."""
+    whole = F.struct(*attempts.columns)
+    first = attempts.groupBy(task).agg(F.min_by(whole, F.struct(*order)).alias("r")).select("r.*")
+    return first.orderBy(*order).limit(count)
+
+
+def progress_marks(accepted: DataFrame, order: str, every: int = 25, buckets: int = 200) -> DataFrame:
+    """(order, accepted): the rows at which the number of accepted reaches a multiple of ``every``.
+
+    Ranks come from counts per range of the order and ranks within it, so no task sorts all rows.
+    """
+    dealt = accepted.select(order).repartitionByRange(buckets, order).withColumn("k", F.spark_partition_id())
+    counts = dealt.groupBy("k").agg(F.count("*").alias("n"))
+    before = counts.withColumn("base", F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    ranked = dealt.withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy(order))).join(before.select("k", "base"), "k")
+    return ranked.withColumn("accepted", (F.col("r") + F.col("base")).cast("long")).filter(F.col("accepted") % every == 0).select(order, "accepted")

@@ -7,7 +7,7 @@ import sqlite3
 import pytest
 from pyspark.sql import functions as F
 from tasklode.functions import hashing, similarity, stats, text
-from tasklode.operators import attempts, audit, conversations, gates, profiling, rewards, sampling, scheduling
+from tasklode.operators import attempts, audit, catalog, conversations, gates, lineage, profiling, rewards, sampling, scheduling
 from tasklode.sources import files, ledger, sinks
 
 
@@ -443,3 +443,68 @@ def test_sinks(spark, tmp_path):
     assert "| a | - | 10 |" in sinks.markdown(df, "T")
     tasks = spark.createDataFrame([(1, "y"), (0, "x")], "position int, task_id string")
     assert sinks.write_manifest(tasks, "position", str(tmp_path / "man"), {"seed": "1"}) == hashlib.sha256(b"x\ny").hexdigest()
+
+
+# --- catalog, lineage ---------------------------------------------------------------------------------------------------
+
+
+def test_catalog(spark):
+    kind = "position long, asin string, domain_zh string, category string, title string, full_description string, customization_options map<string, array<struct<value: string>>>, instructions array<string>"
+    options = {"Color": [("Red/Blue",), (" X ",)], "None": None}
+    df = spark.createDataFrame([(0, "A1", "d", "c", "Title", "Desc", options, ["do"]), (1, "A2", None, None, None, None, None, [])], kind)
+    out = catalog.documents(df).orderBy("id").collect()
+    assert [r.contents for r in out] == ["title desc  color: red | blue, x", "   "]
+    tasks = catalog.tasks(df, "s", F.lit("train"))
+    assert [(r.task_id, r.source_index, r.instruction) for r in tasks.orderBy("source_index").collect()] == [("A1", 0, "do"), ("A2", 1, None)]
+    assert catalog.checked_join(tasks, df).count() == 2
+    with pytest.raises(Exception, match="differs"):
+        catalog.checked_join(tasks, df.withColumn("asin", F.lit("other"))).collect()
+    with pytest.raises(Exception, match="bad id"):
+        catalog.documents(df.withColumn("asin", F.lit("x" * 21))).collect()
+    text = spark.createDataFrame([(1, '{"a": 1, "b": "x"}'), (0, '{"a": 1}')], "position int, t string")
+    assert "b" not in catalog.observed_schema(text, "t", "position").first()[0].replace("OBJECT", "")
+    assert "b:" in catalog.observed_schema(text, "t", "position", True).first()[0]
+
+
+def test_seeds_and_streams(spark):
+    df = spark.createDataFrame([(5, "x"), (2, "y")], "p int, t string")
+    assert {r.t: r.episode_seed for r in lineage.episode_seeds(df, "p", 10).collect()} == {"y": 10, "x": 11}
+    with pytest.raises(Exception, match="too large"):
+        lineage.episode_seeds(df, "p", 2**32 - 1).collect()
+    with pytest.raises(ValueError, match="seed"):
+        lineage.stream("s", True, "x")
+    key = df.select(lineage.stream_key("st", 3, "reset", F.lit("sc"), "t").alias("k")).first().k
+    assert key == hashlib.sha256(b'["st",3,"reset","sc","x"]').hexdigest()
+    draws = [lineage.stream("st", 3, "reset", "sc", t).random() for t in ("x", "x", "y")]
+    assert draws[0] == draws[1] != draws[2]
+    assert {r.t: r.offset for r in lineage.strata_offsets(df, "t").collect()} == {"x": 0, "y": 1}
+
+
+def test_runs_and_resume(spark):
+    a = spark.createDataFrame([("r1", "m", None), ("r2", "m", "x")], "run string, model string, note string")
+    assert [tuple(r) for r in lineage.same_on(a, a.withColumn("model", F.lit("n")), "run", ["model", "note"]).filter("run = 'r1'").collect()] == [("r1", ["model"])]
+    assert lineage.same_on(a, a, "run", ["model", "note"]).count() == 0
+    runs = spark.createDataFrame([("s", 1, "a", True, True, False), ("s", 2, "b", True, True, False), ("s", 3, "c", False, True, False), ("s", 1, "d", True, False, True)], "sc string, at int, run string, complete boolean, base boolean, repair boolean")
+    assert {r.run: r.role for r in lineage.canonical_runs(runs, "sc", "at", "run", "base", "repair").collect()} == {"a": "excluded", "b": "base", "c": "excluded", "d": "repair"}
+    old = {"config": {"grpo": {"max_steps": 1}, "admission_mode": True}, "inputs": {"scheduled_groups": 2, "task_schedule_sha256": "h"}}
+    new = {"config": {"grpo": {"max_steps": 3}, "admission_mode": True}, "inputs": {"scheduled_groups": 5, "task_schedule_sha256": "k", "task_schedule_prefix_sha256": "h"}}
+    assert lineage.may_extend(old, new) and lineage.may_extend(old, old) and not lineage.may_extend(new, old)
+    kinds = spark.createDataFrame([("infrastructure", True, False), ("config", True, True), ("environment", False, True), ("environment", True, None)], "k string, r boolean, n boolean")
+    assert [r[0] for r in kinds.select(lineage.auto_resumable("k", "r", "n")).collect()] == [True, False, True, False]
+
+
+def test_policies_delays_and_answers(spark):
+    policy = {"a": {"b": 1}, "list": [{"key": "x"}], "url": "http://x"}
+    assert lineage.policy_problems(policy, {"a.b": 2}, ["key"]) == ["a.b is 1", "an address", "forbidden key key"] or set(lineage.policy_problems(policy, {"a.b": 2}, ["key"])) == {"a.b is 1", "an address", "forbidden key key"}
+    good = {"a": 1}
+    assert lineage.policy_problems({**good, "policy_sha256": hashing.canonical_hash(good)}, {"a": 1}) == []
+    assert [lineage.retry_delay(i, None) for i in (0, 1, 2, 9)] == [2.0, 5.0, 10.0, 10.0] and lineage.retry_delay(0, "7") == 7.0 and lineage.retry_delay(1, "soon") == 5.0
+    bodies = ['{"choices":[{"message":{"content":"hi"}}]}', '{"choices":[{"message":{"content":[{"text":"a"},{"text":"b"}]}}]}', '{"output_text":"o"}', '{"output":[{"content":[{"text":"x"}]},{"content":[{"text":"y"}]}]}', "{}"]
+    assert many(spark, lineage.answer_text, bodies) == ["hi", "ab", "o", "xy", None]
+    assert many(spark, lambda v: lineage.first_count(v, "in", "prompt"), ['{"prompt": 3}', '{"in": "x", "prompt": 4}', "{}"]) == [3, 4, None]
+
+
+def test_marks_and_samples(spark):
+    df = spark.range(103).select(F.col("id").alias("t"), (F.col("id") % 7).alias("task"))
+    assert sorted((r.t, r.accepted) for r in attempts.progress_marks(df, "t").collect()) == [(24, 25), (49, 50), (74, 75), (99, 100)]
+    assert [(r.task, r.t) for r in attempts.one_of_each_task(df, "task", ["t"], 3).collect()] == [(0, 0), (1, 1), (2, 2)]
