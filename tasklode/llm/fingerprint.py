@@ -24,7 +24,7 @@ TERM_BITS, SAMPLES, SEED = 17, 64, 7
 #: Rows of (term, samples) that are gathered at once.
 GATHERED = 8_192
 _LOW = np.uint64(0xFFFFFFFF)
-_RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_RESULT = "doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 
 
 def _offer(log_a: np.ndarray, terms: np.ndarray, t: np.ndarray) -> np.ndarray:
@@ -104,8 +104,8 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
-def _printed(signature: np.ndarray, some: bool) -> str:
-    return signature.astype("<u2").tobytes().hex() if some else ""
+def _packed(signature: np.ndarray, some: bool) -> bytes:
+    return signature.astype("<u2").tobytes() if some else b""
 
 
 def _digest(ids: list, texts: list[str], following: list[str]) -> pa.RecordBatch:
@@ -117,9 +117,9 @@ def _digest(ids: list, texts: list[str], following: list[str]) -> pa.RecordBatch
     columns = (
         (ids, pa.int64()),
         ([len(t) for t in texts], pa.int64()),
-        ([hashlib.sha256(c).hexdigest() for c in changed], pa.string()),
-        ([_printed(*x) for x in zip(samples[own], some[own], strict=True)], pa.string()),
-        ([_printed(*x) for x in zip(samples[new], some[new], strict=True)], pa.string()),
+        ([hashlib.sha256(c).digest() for c in changed], pa.binary()),
+        ([_packed(*x) for x in zip(samples[own], some[own], strict=True)], pa.binary()),
+        ([_packed(*x) for x in zip(samples[new], some[new], strict=True)], pa.binary()),
         (likeness(samples[own], some[own], samples[new], some[new]), pa.float64()),
         (likeness(samples[own], some[own], samples[other], some[other]), pa.float64()),
     )
@@ -139,7 +139,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     docs = two(docs, id_col, text_col).withColumn("text", F.coalesce("text", F.lit("")))
     order = [F.col("doc_id").asc_nulls_first(), F.col("text").asc()]
     fields = [c.split() for c in _RESULT.split(", ")]
-    blank = [pa.nulls(1, {"long": pa.int64(), "string": pa.string(), "double": pa.float64()}[t]) for _, t in fields]
+    blank = [pa.nulls(1, {"long": pa.int64(), "binary": pa.binary(), "double": pa.float64()}[t]) for _, t in fields]
 
     def edge(doc_id: int | None, text: str, first: bool, last: bool) -> pa.RecordBatch:
         columns = [pa.array([doc_id], pa.int64()), *blank[1:], pa.array([text], pa.string()), pa.array([first]), pa.array([last])]
@@ -179,4 +179,5 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     along = Window.orderBy(*order, F.col("last").asc())
     all_of = along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     joined = ends.withColumn("following", F.coalesce(F.lead("text").over(along), F.first("text").over(all_of))).filter("last")
-    return done.filter("first IS NULL").select(*(n for n, _ in fields)).unionByName(joined.select("doc_id", "text", "following").mapInArrow(at_edges, _RESULT))
+    both = done.filter("first IS NULL").select(*(n for n, _ in fields)).unionByName(joined.select("doc_id", "text", "following").mapInArrow(at_edges, _RESULT))
+    return both.select(*(F.lower(F.hex(n)).alias(n) if t == "binary" else F.col(n) for n, t in fields))
