@@ -2,8 +2,28 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the workers this package, once per application: they may not share the driver's import path."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    _shipped.add(context.applicationId)
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="tasklode-")) / "tasklode-package.zip"
+    with zipfile.ZipFile(target, "w") as package:
+        for path in sorted(root.rglob("*.py")):
+            package.write(path, path.relative_to(root.parent))
+    context.addPyFile(str(target))
+
 
 def session(name: str = "tasklode", cpus: int | str = "*", **conf: str) -> SparkSession:
     """A session with UTC time, adaptive execution and skew-join splitting.
@@ -28,4 +48,5 @@ def session(name: str = "tasklode", cpus: int | str = "*", **conf: str) -> Spark
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One driver table; column pruning and filters reach the Parquet scan."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
