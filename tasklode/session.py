@@ -11,9 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 _shipped: set[str] = set()
 
 
+#: Bytes of an Arrow batch, unless the session sets another bound than Spark's own: a worker holds a few batches at once.
+BATCH_BYTES, SPARK_BATCH_BYTES = 16 << 20, 64 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Gives the workers this package, once per application: they may not share the driver's import path."""
-    context = spark.sparkContext
+    """Gives the workers this package, once per application (they may not share the driver's import path),
+    and bounds the batches that they get."""
+    context, bound = spark.sparkContext, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(bound, None) == f"{SPARK_BATCH_BYTES}b":
+        spark.conf.set(bound, f"{BATCH_BYTES}b")
     if context.applicationId in _shipped:
         return
     _shipped.add(context.applicationId)
