@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tasklode.llm import ngram_join, packing, quality, secrets, suffix_dedup
 from tasklode.llm.common import written
 from tasklode.llm.queries import PATTERN, RANKS
+from tasklode.session import ship
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -20,26 +21,31 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
+    ship(spark)
     return quality.keep(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by five-word shingles at a similarity of 0.8."""
+    ship(spark)
     return ngram_join.one_of_each(docs, n=5, percent=80)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without their repeated strings of 200 bytes."""
+    ship(spark)
     return _counted(suffix_dedup.removed(docs))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with their secrets masked."""
+    ship(spark)
     return _counted(secrets.redact(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents and their places in sequences of 2048 tokens."""
+    ship(spark)
     return packing.pack(docs, RANKS, PATTERN)
 
 

@@ -21,7 +21,8 @@ Rows = tuple[np.ndarray, ...]
 #: Rows that a task gathers before it sends them, and those of a key that it sends.
 MOST_GATHERED = 1 << 19
 LOCAL_MEMBERS = 64
-LEAST_PARTS = 64
+#: Parts that rows are dealt to: a task sorts a part as a whole, so there are more than of other shuffles.
+LEAST_PARTS, PARTS_FACTOR = 64, 3
 #: Rows in a packed array, at most.
 PACKED = 1 << 16
 #: Bits of a filter of needed keys: 16 a key within these bounds.
@@ -81,11 +82,14 @@ def exchange(
     meet: Callable[[Rows], Rows] = meet_repeated,
 ) -> DataFrame:
     """Results (columns ``out``, longs) of the rows that ``gather`` finds in ``df``; some may repeat."""
-    parts = max(LEAST_PARTS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(LEAST_PARTS, PARTS_FACTOR * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     names = ["part", *columns]
 
     def packed(rows: list[tuple[int, Rows]], width: int) -> pa.RecordBatch:
-        data = [pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[1][k].tobytes() if k < len(r[1]) else None for r in rows], pa.binary()) for k in range(width))]
+        def column(k: int) -> pa.Array:  # nothing stands for zeros
+            return pa.array([r[1][k].tobytes() if k < len(r[1]) and (k == 0 or r[1][k].any()) else None for r in rows], pa.binary())
+
+        data = [pa.array([r[0] for r in rows], pa.int32()), *map(column, range(width))]
         return pa.RecordBatch.from_arrays(data, names=names)
 
     def send(held: list[Rows]) -> Iterator[pa.RecordBatch]:
@@ -113,8 +117,9 @@ def exchange(
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []
         for batch in batches:
-            for part, *arrays in zip(*(batch.column(x).to_pylist() for x in names), strict=True):
-                rows = tuple(np.frombuffer(x, np.uint64) for x in arrays if x is not None)
+            for part, first, *more in zip(*(batch.column(x).to_pylist() for x in names), strict=True):
+                key = np.frombuffer(first, np.uint64)
+                rows = (key, *(np.zeros(len(key), np.uint64) if x is None else np.frombuffer(x, np.uint64) for x in more))
                 if part < 0:
                     yield pa.RecordBatch.from_arrays([as_long(x) for x in rows[: len(out)]], names=out)
                 else:

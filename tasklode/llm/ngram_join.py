@@ -76,7 +76,7 @@ def shingle_sets(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray, np
     hashes, _, _, owner = words(texts, lower=True)
     count = np.bincount(owner, minlength=len(texts))
     with np.errstate(over="ignore"):
-        steps = [np.uint64(2 * k + 3) * BASE | np.uint64(1) for k in range(n)]
+        steps = mix(np.arange(1, n + 1, dtype=np.uint64) * MIX_B) | np.uint64(1)  # unrelated, so that no order of words cancels
         total = hashes * steps[0]
         for k in range(1, n):
             total[:-k or None] += hashes[k:] * steps[k]

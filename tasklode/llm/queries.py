@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tasklode.llm import bpe, fingerprint, html_extract, ngram_join, packing, quality, secrets, suffix_dedup, toxicity, url_filter
+from tasklode.session import table
 
 MULTI_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: The ids of byte_bpe_50k.json: the same vocabulary, as ranks.
@@ -15,13 +16,9 @@ PATTERN = public_tokenizers.PATTERN
 URL_RULES = url_filter.parse_rules(("allow org/", "block example.org/es/", "block example.org/en/1", "allow com/fr/", "block com/de/"))
 
 
-def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
-
-
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded bytes of every text, as digests."""
-    ids = bpe.encode(_read(spark, sf_dir, "documents"), MULTI_RANKS, PATTERN)
+    ids = bpe.encode(table(spark, sf_dir, "documents"), MULTI_RANKS, PATTERN)
     return bpe.decode(ids, MULTI_RANKS, PATTERN).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
@@ -32,17 +29,17 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 2048 tokens."""
-    return packing.pack(_read(spark, sf_dir, "documents"), RANKS, PATTERN)
+    return packing.pack(table(spark, sf_dir, "documents"), RANKS, PATTERN)
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of texts linked by four-word shingles at a similarity of 0.85."""
-    return ngram_join.link_groups(_read(spark, sf_dir, "documents"), n=4, percent=85)
+    return ngram_join.link_groups(table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every text: counts of the base kinds, their digest, and all spans."""
-    found = secrets.find(_read(spark, sf_dir, "documents"))
+    found = secrets.find(table(spark, sf_dir, "documents"))
 
     def joined(spans):
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
@@ -57,32 +54,32 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every text without its repeated strings of 200 bytes."""
-    return suffix_dedup.measure(_read(spark, sf_dir, "documents"))
+    return suffix_dedup.measure(table(spark, sf_dir, "documents"))
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, repetition and verdict of every text."""
-    return quality.assess(_read(spark, sf_dir, "documents"))
+    return quality.assess(table(spark, sf_dir, "documents"))
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host, path, rule and verdict of every page's url."""
-    return url_filter.judge(_read(spark, sf_dir, "pages"), URL_RULES)
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
-    return html_extract.extract_pages(_read(spark, sf_dir, "pages"))
+    return html_extract.extract_pages(table(spark, sf_dir, "pages"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every text, learnt from labels outside fold 0."""
-    return toxicity.score(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every text and its edited form."""
-    return fingerprint.fingerprints(_read(spark, sf_dir, "documents"))
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {

@@ -96,6 +96,12 @@ def test_linked_sets_share_a_kept_block(percent):
         assert set(keys[text == 0]) & set(keys[text == 1])
 
 
+def test_no_order_of_words_cancels():
+    texts = [b" ".join(w) for w in ([b"x", b"y", b"y", b"x"], [b"y", b"x", b"x", b"y"], [b"x", b"x", b"y", b"y"], [b"y", b"y", b"x", b"x"], [b"x", b"y", b"x", b"y"])]
+    owners, values, sizes = ngram_join.shingle_sets(texts, 4)
+    assert len(set(values.tolist())) == len(texts) == sizes.sum()
+
+
 def test_components(spark):
     rnd = random.Random(2)
     links = [(i, i + 1) for i in range(60)] + [(100 + i, 100) for i in range(40)] + [(rnd.randint(200, 400), rnd.randint(200, 400)) for _ in range(120)] + [(500, 500), (5, 4)]
