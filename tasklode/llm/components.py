@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tasklode.llm.common import written
+from tasklode.llm.common import dropped, written
 
 MOST_ROUNDS = 60
 
@@ -22,10 +22,10 @@ def _state(edges: DataFrame) -> tuple:
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of every node that some link (a, b) has; root is the least node it can reach.
 
-    Links may repeat, be given in either direction or from a node to itself. No links, no rows.
+    The result is a written table. Links may repeat, be given in either direction or from a node to itself. No links, no rows.
     """
-    edges = written(links.select("a", "b").filter("a IS NOT NULL AND b IS NOT NULL"), "edges")
-    loops = edges.filter("a = b").select("a", "b").distinct()
+    given = written(links.select("a", "b").filter("a IS NOT NULL AND b IS NOT NULL"), "edges")
+    loops, edges, last = given.filter("a = b").select("a", "b").distinct(), given, None
     edges = edges.filter("a <> b").select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).select("a", "b").distinct()
     before = None
     for _ in range(MOST_ROUNDS):
@@ -37,7 +37,9 @@ def components(links: DataFrame) -> DataFrame:
         down = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
         moved = large.join(down, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
         edges = written(moved.unionByName(down.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct(), "stars")
-        now = _state(edges)
+        if last is not None:
+            dropped(last)
+        last, now = edges, _state(edges)
         if now == before:
             break
         before = now
@@ -46,4 +48,6 @@ def components(links: DataFrame) -> DataFrame:
     roots = edges.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("root"))
     linked = edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
     alone = loops.select(F.col("a").alias("node"), F.col("b").alias("root")).join(linked, "node", "left_anti")
-    return linked.unionByName(alone)
+    out = written(linked.unionByName(alone), "groups")
+    dropped(given, last)
+    return out

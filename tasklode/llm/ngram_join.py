@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tasklode.llm.common import BASE, MIX_A, MIX_B, as_bytes, mix, text_steps, two, words, written
+from tasklode.llm.common import BASE, MIX_A, MIX_B, as_bytes, dropped, mix, text_steps, two, words, written
 from tasklode.llm.components import components
 from tasklode.llm.exchange import LOCAL_MEMBERS, NO_ID, KeyFilter, Rows, as_long, distinct, exchange, group_sizes
 
@@ -205,7 +205,16 @@ def _sets(docs: DataFrame, needed: DataFrame, n: int) -> DataFrame:
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets link."""
+    """The pairs (a, b) whose sets link. Only sets that the pairs name are dealt out."""
+    named = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    shipped = pairs.sparkSession.sparkContext.broadcast(KeyFilter(named.withColumn("doc_id", F.lit(0).cast("long"))))
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cls = batch.column("cls").to_numpy(zero_copy_only=False).view(np.uint64)
+            yield batch.filter(pa.array(shipped.value.has(cls, np.zeros(len(cls), np.uint64))))
+
+    sets = sets.select("cls", "codes").mapInArrow(asked, "cls long, codes binary")
     a, b = (sets.select(F.col("cls").alias(x), F.col("codes").alias(f"codes_{x}")) for x in "ab")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,22 +301,28 @@ def _placed(docs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame
         return left.join(right, (left["key"] == right["key"]) & (F.col("root_a") < F.col("root_b")) & _possible(percent)).select("a", "b").distinct()
 
     def merged(groups: DataFrame, links: DataFrame) -> DataFrame:
-        return written(components(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links)), "groups")
+        out = components(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links))
+        used.append(out)
+        return out
 
-    links = _linked(pairs_of(blocks.filter("large = 0"), "cls"), sets, percent)
+    small = written(pairs_of(blocks.filter("large = 0"), "cls"), "small")
+    used = [blocks, sets, small]
+    links = _linked(small, sets, percent)
     groups = merged(spark.createDataFrame([], "node long, root long"), links)
     open_, tested = blocks.filter("large = 1"), spark.createDataFrame([], "a long, b long")
     for number in range(MOST_ROUNDS):
         open_ = written(_still_open(open_, groups), "open")
         pairs = written(_proposed(open_, tested, info, percent, number), "pairs")
         links = written(_linked(pairs, sets, percent), "links")
+        used += [open_, pairs, links]
         if links.isEmpty():
             break
         tested = tested.unionByName(pairs)
         groups = merged(groups, links)
-    rest = pairs_of(_still_open(open_, groups), "root")
-    links = written(_linked(_untested(rest, tested), sets, percent), "links")
+    rest = written(_untested(pairs_of(_still_open(open_, groups), "root"), tested), "rest")
+    links = written(_linked(rest, sets, percent), "links")
     found = groups if links.isEmpty() else merged(groups, links)
+    dropped(rest, links, *(t for t in used if t is not found))
     return info.select("cls", "doc_id").join(found.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("root", "cls").alias("root"), "doc_id")
 
 

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tasklode.llm.common import BASE, BYTE_HASH, INVERSE, as_bytes, mix, powers, text_steps, two, with_column, written
+from tasklode.llm.common import BASE, BYTE_HASH, INVERSE, as_bytes, dropped, mix, powers, text_steps, two, with_column, written
 from tasklode.llm.exchange import LOCAL_MEMBERS, NO_ID, KeyFilter, Rows, distinct, exchange, group_sizes
 
 #: Bytes of the first buckets' strings, windows in a cell (by distance) in each round, and bytes of a long text that one step reads.
@@ -234,18 +234,21 @@ def merged(starts: list[int], stops: list[int]) -> list[tuple[int, int]]:
 
 
 def _spans(docs: DataFrame, rows: DataFrame, length: int, q: int) -> DataFrame:
-    """(cls, spans) of the classes that have repeated windows; spans may overlap."""
+    """(cls, spans) of the classes that have repeated windows, a written table; spans may overlap."""
     if length - q >= 1 << FAR:
         raise ValueError("length - q is too large for a unit")
     info = rows.groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-    found = [written(runs(docs, length, q), "runs")]
+    found, used = [written(runs(docs, length, q), "runs")], []
     for size in CELLS:
         open_ = found[-1].filter(F.col("state") == OPEN).groupBy("cls").agg(F.collect_set("at").alias("units"))
-        found.append(written(cells(_near(docs, written(open_.join(info, "cls"), "open")), length, size), "cells"))
+        used.append(written(open_.join(info, "cls"), "open"))
+        found.append(written(cells(_near(docs, used[-1]), length, size), "cells"))
     mask = F.lit((1 << FAR) - 1)
     place, far, near = F.shiftright("at", 2 * FAR), F.shiftright("at", FAR).bitwiseAND(mask), F.col("at").bitwiseAND(mask)
     spans = [x.filter(F.col("state") == ALL).select("cls", (place - far).alias("start"), (place - near + length).alias("stop")) for x in found]
-    return reduce(DataFrame.unionByName, spans).groupBy("cls").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    out = written(reduce(DataFrame.unionByName, spans).groupBy("cls").agg(F.collect_list(F.struct("start", "stop")).alias("spans")), "spans")
+    dropped(*found, *used)
+    return out
 
 
 def _prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -268,7 +271,7 @@ def measure(docs: DataFrame, length: int = 200, q: int = Q_GRAM, id_col: str = "
     than ``length``. Repeated rows are copies, so both lose all. Null ids are kept. Empty in, empty out.
     """
     docs = _prepared(docs, id_col, text_col)
-    found = written(repeated_spans(docs, length, q), "spans")
+    found = repeated_spans(docs, length, q)
     copied = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
