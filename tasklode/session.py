@@ -12,7 +12,7 @@ _shipped: set[str] = set()
 
 
 #: Bytes of an Arrow batch, unless the session sets another bound than Spark's own: a worker holds a few batches at once.
-BATCH_BYTES, SPARK_BATCH_BYTES = 16 << 20, 64 << 20
+BATCH_BYTES, SPARK_BATCH_BYTES = 4 << 20, 64 << 20
 
 
 def ship(spark: SparkSession) -> None:
