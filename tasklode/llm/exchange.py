@@ -19,7 +19,7 @@ from tasklode.llm.common import mix
 
 Rows = tuple[np.ndarray, ...]
 #: Rows that a task gathers before it sends them, and those of a key that it sends.
-MOST_GATHERED = 1 << 19
+MOST_GATHERED = 1 << 18
 LOCAL_MEMBERS = 64
 #: Parts that rows are dealt to: a task sorts a part as a whole, so there are more than of other shuffles.
 LEAST_PARTS, PARTS_FACTOR = 64, 3
