@@ -10,6 +10,8 @@ is encoded as one piece. Decoding concatenates the bytes of the ids.
 from __future__ import annotations
 
 import base64
+import json
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -36,6 +38,29 @@ def encoding(path: str, pattern: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """Ids of the added tokens in the json of the same name as the ranks file ``path``; none if there is no such json."""
+    whole = f"{os.path.splitext(path)[0]}.json"
+    if not os.path.exists(whole):
+        return {}
+    with open(whole, encoding="utf-8") as file:
+        tokens = json.load(file)["added_tokens"]
+    for x in tokens:
+        if x["single_word"] or x["lstrip"] or x["rstrip"]:
+            raise ValueError(f"the added token {x['content']!r} looks at what is around it")
+    return {x["content"]: x["id"] for x in tokens}
+
+
+def encode_added(enc: tiktoken.Encoding, text: str, added: dict[str, int]) -> list[int]:
+    """Ids of ``text`` as the tokenizers library gives them: cut at added tokens (first, then longest), the rest encoded in parts."""
+    if not any(x in text for x in added):
+        return enc.encode_ordinary(text)
+    ids: list[int] = []
+    for i, part in enumerate(regex.split(f"({'|'.join(map(regex.escape, sorted(added, key=len, reverse=True)))})", text)):
+        ids += [added[part]] if i % 2 else enc.encode_ordinary(part)
+    return ids
+
+
 def packed(ids: list[int] | np.ndarray) -> bytes:
     """Ids as little-endian unsigned 32-bit integers."""
     return np.asarray(ids, "<u4").tobytes()

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tasklode.llm.bpe import encoding
+from tasklode.llm.bpe import added_tokens, encode_added, encoding
 from tasklode.llm.common import two, written
 
 #: Pieces of one length that one task ranks, about.
@@ -73,13 +73,14 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
 
 def pieces_of(docs: DataFrame, path: str, pattern: str, capacity: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of each piece; only the first may be short of ``capacity``."""
+    added = added_tokens(path)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(path, pattern)
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [], [])
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = np.array([*enc.encode_ordinary(text or ""), end_id], "<u4")
+                ids = np.array([*encode_added(enc, text or "", added), end_id], "<u4")
                 first = len(ids) % capacity or min(len(ids), capacity)
                 bounds = [0, *range(first, len(ids) + 1, capacity)]
                 for k, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
@@ -94,7 +95,7 @@ def pieces_of(docs: DataFrame, path: str, pattern: str, capacity: int, end_id: i
 def pack(docs: DataFrame, path: str, pattern: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    A document is its ids and ``end_id``, so a null or empty text is one piece of length 1. Rows
+    Added tokens of the vocabulary (in the json beside ``path``) are matched inside texts. A document is its ids and ``end_id``, so a null or empty text is one piece of length 1. Rows
     with equal ids are separate documents; null ids are kept. Ties in length are ranked by doc_id,
     piece and checksum; what is equal in all of these can change places. Empty in, empty out.
     """

@@ -68,5 +68,20 @@ def test_pieces_and_places(spark):
     assert out.sequence_id.nunique() <= brute_best_fit(out.length, 2048)
 
 
+def test_added_tokens_inside_texts(spark):
+    mark = "<|endoftext|>"
+    rows = list(enumerate([f"a {mark} b", mark, f"{mark}{mark}", f"one \n{mark}\n two  {mark}", "<|endoftext|", f"<{mark}>", f"{'word ' * 3_000}{mark}" * 3]))
+    own = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    want = {}
+    for d, t in rows:
+        ids = [*own.encode(t, add_special_tokens=False).ids, 0]
+        cuts = [0, *range(len(ids) % 2048 or 2048, len(ids) + 1, 2048)]
+        want[d] = [(b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())) for a, b in zip(cuts, cuts[1:], strict=False)]
+    got = defaultdict(list)
+    for r in packing.pack(docs(spark, rows), queries.RANKS, P.PATTERN).orderBy("doc_id", "piece").collect():
+        got[r.doc_id].append((r.length, r.ids_crc32))
+    assert got == want and own.encode(rows[0][1], add_special_tokens=False).ids == [64, 220, 50256, 275]
+
+
 def test_empty(spark):
     assert packing.pack(spark.createDataFrame([], DOCS), queries.RANKS, P.PATTERN).count() == 0
