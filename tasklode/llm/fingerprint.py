@@ -1,17 +1,17 @@
 """Document fingerprints by consistent weighted sampling.
 
-A text is the bag of its pairs of neighbouring words (a single word is its own pair), hashed to
-TERMS terms and weighted by their counts. For every term and each of SAMPLES samples, r and c are
-gamma(2, 1) and b uniform; a term of weight s has t = floor(ln s / r + b), y = exp(r (t - b)) and
-a = c / (y exp r). The least a picks (term, t), and two texts pick the same with the probability of
-their generalised Jaccard similarity. What a term of weight 1 offers is a table of the worker.
+A text is the bag of its pairs of neighbouring words (a single word is its own pair), each a term of
+64 bits and weighted by its count. For every term and each of SAMPLES samples, r and c are
+gamma(2, 1) and b uniform, all made of hashes of the term; a term of weight s has
+t = floor(ln s / r + b), y = exp(r (t - b)) and a = c / (y exp r). The least a picks (term, t), and
+two texts pick the same with the probability of their generalised Jaccard similarity, however long
+they are.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,51 +20,55 @@ from pyspark.sql import functions as F
 
 from tasklode.llm.common import BASE, MIX_A, MIX_B, mix, text_steps, two, words, written
 
-TERM_BITS, SAMPLES, SEED = 17, 64, 7
-#: Rows of (term, samples) that are gathered at once.
-GATHERED = 8_192
+SAMPLES, SEED = 64, 7
+#: Rows of (term, samples) that are held at once, and that are computed at once (temporaries stay in the CPU's cache).
+HELD, COMPUTED = 65_536, 512
 _LOW = np.uint64(0xFFFFFFFF)
 _RESULT = "doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 
 
 def _offer(log_a: np.ndarray, terms: np.ndarray, t: np.ndarray) -> np.ndarray:
     """a in the high half, so that the least number is the least a; in the low half what is picked."""
-    bits = log_a.astype(np.float32).view(np.uint32)
-    ordered = np.where(bits >> 31, ~bits, bits | np.uint32(1 << 31)).astype(np.uint64)
-    with np.errstate(over="ignore"):
-        picked = mix(terms.astype(np.uint64)[:, None] * BASE + t.astype(np.int64).astype(np.uint64)) & np.uint64(0xFFFF)
-    return ordered << np.uint64(32) | picked
+    bits = log_a.view(np.uint32)
+    ordered = bits ^ ((bits.view(np.int32) >> 31).view(np.uint32) | np.uint32(1 << 31))
+    # terms are hashes already; the odd factor tells up to 2 ** 16 values of t of a term apart
+    picked = (terms.astype(np.uint32)[:, None] + t.astype(np.int32).view(np.uint32) * np.uint32(0x9E37)) & np.uint32(0xFFFF)
+    return ordered.astype(np.uint64) << np.uint64(32) | picked
+
+
+def _uniforms(h: np.ndarray, shift: int) -> np.ndarray:
+    """23 bits of each hash as a number between 0 and 1, both excluded."""
+    x = (h >> np.uint64(shift)).astype(np.uint32) & np.uint32((1 << 23) - 1)
+    return (x.astype(np.float32) + np.float32(0.5)) * np.float32(2**-23)
 
 
-@lru_cache(1)
-def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """r, ln c and b of each (term, sample), and what weight 1 offers; once per worker, from SEED."""
-    rnd = np.random.Generator(np.random.Philox(SEED))
-    shape = (1 << TERM_BITS, SAMPLES)
-    r = rnd.standard_gamma(2, shape, np.float32)
-    log_c = np.log(rnd.standard_gamma(2, shape, np.float32))
-    b = rnd.random(shape, np.float32)
-    one = np.empty(shape, np.uint64)
-    for at in range(0, shape[0], GATHERED):
-        part = slice(at, at + GATHERED)
-        one[part] = _offer(log_c[part] - r[part] * (1 - b[part]), np.arange(at, at + GATHERED), np.zeros((GATHERED, SAMPLES)))
-    return r, log_c, b, one
+#: What makes a term's hash that of one sample.
+_SALTS = mix(np.arange(1, SAMPLES + 1, dtype=np.uint64) * BASE + np.uint64(SEED))
+
+
+def _computed(terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """What each term of its weight offers to each sample, from hashes of the term."""
+    with np.errstate(over="ignore"):
+        first = mix(terms[:, None] + _SALTS)
+        second = mix(first + BASE)
+    r = -np.log(_uniforms(first, 41) * _uniforms(first, 18))
+    b = ((first.astype(np.uint32) & np.uint32((1 << 18) - 1)).astype(np.float32) + np.float32(0.5)) * np.float32(2**-18)
+    log_c = np.log(-np.log(_uniforms(second, 41) * _uniforms(second, 18)))
+    t = np.floor(np.log(weights).astype(np.float32)[:, None] / r + b)
+    return _offer(log_c - r * (t - b) - r, terms, t)
 
 
 def offers(terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """What each term of its weight offers to each sample."""
-    r, log_c, b, one = tables()
-    out = one[terms]
-    heavy = np.flatnonzero(weights > 1)
-    if len(heavy):
-        k = terms[heavy]
-        t = np.floor(np.log(weights[heavy])[:, None] / r[k] + b[k])
-        out[heavy] = _offer(log_c[k] - r[k] * (t - b[k]) - r[k], k, t)
+    out = np.empty((len(terms), SAMPLES), np.uint64)
+    for at in range(0, len(terms), COMPUTED):
+        part = slice(at, at + COMPUTED)
+        out[part] = _computed(terms[part], weights[part])
     return out
 
 
 def bags(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (text, term) in order, with the counts."""
+    """Distinct (text, term) with the counts, in the order of terms."""
     hashes, _, _, owner = words(texts)
     count = np.bincount(owner, minlength=len(texts))
     pair = np.append(owner[1:] == owner[:-1], False) if len(owner) else np.zeros(0, bool)
@@ -72,21 +76,27 @@ def bags(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     with np.errstate(over="ignore"):
         keys = mix(hashes * MIX_A + np.append(hashes[1:], np.uint64(0)) * MIX_B * pair)
     use = pair | alone
-    both = owner[use].astype(np.int64) << TERM_BITS | (keys[use] >> np.uint64(64 - TERM_BITS)).astype(np.int64)
-    both, weights = np.unique(both, return_counts=True)
-    return both >> TERM_BITS, both & ((1 << TERM_BITS) - 1), weights
+    terms, which = np.unique(keys[use], return_inverse=True)
+    both, weights = np.unique(which.astype(np.int64) << 32 | owner[use].astype(np.int64), return_counts=True)
+    return both & ((1 << 32) - 1), terms[both >> 32], weights
 
 
 def signatures(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The picked samples (16 bits each) of each text, and whether it has any term."""
     owner, terms, weights = bags(texts)
     least = np.full((len(texts), SAMPLES), ~np.uint64(0))
-    for at in range(0, len(terms), GATHERED):
-        part = slice(at, at + GATHERED)
-        own = owner[part]
-        heads = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-        here = own[heads]
-        least[here] = np.minimum(least[here], np.minimum.reduceat(offers(terms[part], weights[part]), heads, axis=0))
+    for at in range(0, len(terms), HELD):
+        part = slice(at, at + HELD)
+        # equal terms of equal weights are computed once
+        by_weight = np.lexsort((weights[part], terms[part]))
+        own, term, weight = owner[part][by_weight], terms[part][by_weight], weights[part][by_weight]
+        new = np.append(True, (term[1:] != term[:-1]) | (weight[1:] != weight[:-1]))
+        offered = offers(term[new], weight[new])
+        by_owner = np.argsort(own, kind="stable")
+        row, own = (np.cumsum(new) - 1)[by_owner], own[by_owner]
+        heads = np.flatnonzero(np.append(True, own[1:] != own[:-1])).tolist()
+        for a, b in zip(heads, [*heads[1:], len(own)], strict=True):
+            np.minimum(least[own[a]], offered[row[a:b]].min(0), out=least[own[a]])
     some = np.zeros(len(texts), bool)
     some[owner] = True
     return (least & _LOW).astype(np.uint16), some
@@ -110,14 +120,14 @@ def _packed(signature: np.ndarray, some: bool) -> bytes:
 
 def _digest(ids: list, texts: list[str], following: list[str]) -> pa.RecordBatch:
     """Result rows of texts and the text that follows each."""
-    changed = [edited(a, b).encode() for a, b in zip(texts, following, strict=True)]
-    count = len(texts)
-    samples, some = signatures([*(t.encode() for t in texts), *changed, *(t.encode() for t in following)])
-    own, new, other = (slice(k * count, (k + 1) * count) for k in range(3))
+    changed = [edited(a, b) for a, b in zip(texts, following, strict=True)]
+    at: dict[str, int] = {}  # most texts are also the next one of another
+    own, new, other = ([at.setdefault(t, len(at)) for t in part] for part in (texts, changed, following))
+    samples, some = signatures([t.encode() for t in at])
     columns = (
         (ids, pa.int64()),
         ([len(t) for t in texts], pa.int64()),
-        ([hashlib.sha256(c).digest() for c in changed], pa.binary()),
+        ([hashlib.sha256(c.encode()).digest() for c in changed], pa.binary()),
         ([_packed(*x) for x in zip(samples[own], some[own], strict=True)], pa.binary()),
         ([_packed(*x) for x in zip(samples[new], some[new], strict=True)], pa.binary()),
         (likeness(samples[own], some[own], samples[new], some[new]), pa.float64()),

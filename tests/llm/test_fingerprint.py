@@ -30,6 +30,14 @@ def test_collisions_follow_generalised_jaccard(share):
     assert abs(np.mean(gots) - np.mean(wants)) < 0.03
 
 
+def test_long_texts_without_a_shared_pair_are_unlike():
+    rnd = np.random.default_rng(3)
+    a, b = (" ".join(f"{x}{k}" for k in rnd.integers(0, 50_000, 200_000)) for x in "ab")
+    s, some = fingerprint.signatures([a.encode(), b.encode(), f"{a} {b}".encode()])
+    assert fingerprint.likeness(s[:1], some[:1], s[1:2], some[1:2])[0] <= 1 / 64
+    assert abs(fingerprint.likeness(s[:1], some[:1], s[2:], some[2:])[0] - 0.5) < 0.2
+
+
 def test_counts_weigh():
     a, b = "x y " * 50 + "p q", "x y " * 10 + "p q"
     s, some = fingerprint.signatures([a.encode(), b.encode()])
