@@ -4,6 +4,8 @@ Every block of text has the path of tags from the root to it. Text length and pu
 aggregated per path, fused to a ratio, smoothed over the page's blocks and thresholded: the paths
 above are content. The container with most of the content's score (an article or main element if
 there is one) is the article; in it, what is marked as menu, advert, comment and the like goes.
+Without such an element all that lies between content blocks of the container is the article's,
+whatever its path, and so are lists, tables and the like next to its content; lists of links go.
 """
 
 from __future__ import annotations
@@ -50,13 +52,17 @@ BOILERPLATE_WORDS = frozenset(
     "subscription toolbar widget".split()
 )
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
+#: Elements that are judged as a whole: links or not, next to content or not.
+GROUPS = frozenset("ul ol dl table".split())
+PARTS = GROUPS | frozenset("pre blockquote figure".split())
+ROWS = frozenset("li dt dd caption thead tbody tfoot tr td th".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 #: A path is content if its smoothed ratio is at least this share of the length-weighted mean.
 LEAST_RATIO = 0.25
 #: A container keeps this share of the content's score when the search goes down into it.
 LEAST_SHARE = 0.6
-#: More of a path's text than this in links: a list of links.
+#: More of a path's or list's text than this in links: a list of links.
 MOST_LINKED = 0.5
 
 
@@ -162,6 +168,48 @@ def content_paths(blocks: list[_Block]) -> dict[str, float]:
     return {p: r for p, r in ratio.items() if r >= least and total[p][3] <= MOST_LINKED * total[p][1]}
 
 
+def _outermost(e: _Element, top: _Element) -> _Element | None:
+    """The outermost list, table or the like around (or at) e, in ``top``; None if there is none."""
+    found = None
+    while e is not None and e is not top:
+        found = e if e.tag in PARTS else found
+        e = e.parent
+    return found
+
+
+def link_lists(blocks: list[_Block]) -> list[bool]:
+    """Whether each block is in a list of links: its own list or table where it is in one, all blocks of its path else."""
+    groups = []
+    total: dict[object, list[int]] = {}
+    for b in blocks:
+        e = b.element
+        if e.parent and e.tag in ("p", "div") and e.parent.tag in ("li", "dt", "dd"):
+            e = e.parent
+        while e.parent and e.tag in ROWS:
+            e = e.parent
+        groups.append(id(e) if e.tag in GROUPS else b.element.label)
+        sums = total.setdefault(groups[-1], [0, 0])
+        sums[0] += b.linked
+        sums[1] += len(b.text)
+    return [b.element.tag not in HEADINGS and total[g][0] > MOST_LINKED * total[g][1] for b, g in zip(blocks, groups, strict=True)]
+
+
+def between(blocks: list[_Block], paths: dict[str, float], top: _Element) -> list[_Block]:
+    """Of the blocks of the container ``top``: the headings, what lies between content blocks, and lists, tables and the like beside content."""
+    links = link_lists(blocks)
+    content = [i for i, b in enumerate(blocks) if b.element.label in paths and not links[i]]
+    if not content:
+        return [b for b in blocks if b.element.tag in HEADINGS]
+    beside = {id((_outermost(blocks[i].element, top) or blocks[i].element).parent) for i in content}
+    out = []
+    for i, b in enumerate(blocks):
+        part = _outermost(b.element, top)
+        inner = content[0] <= i <= content[-1] or (part is not None and id(part.parent) in beside)
+        if b.element.tag in HEADINGS or (inner and not links[i]):
+            out.append(b)
+    return out
+
+
 def extract(page: str | None) -> str:
     """The main text of one page; empty if there is none."""
     blocks = [b for b in blocks_of(page or "") if not b.element.dropped]
@@ -191,10 +239,7 @@ def extract(page: str | None) -> str:
             if not below or elements[below[0]].label in paths:
                 break
             here = below[0]
-        picked = [
-            b for b, above in zip(blocks, inside, strict=True)
-            if here in above and not b.element.header and (b.element.label in paths or b.element.tag in HEADINGS)
-        ]
+        picked = between([b for b, above in zip(blocks, inside, strict=True) if here in above and not b.element.header], paths, elements[here])
     return " ".join(b.text for b in picked)
 
 

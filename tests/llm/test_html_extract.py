@@ -31,6 +31,25 @@ def test_odd_pages():
     assert len(extract("<article>" + "<p>some words, here.</p>" * 5_000)) == 5_000 * 18 - 1
 
 
+PARAGRAPH = "<p>" + "words of a sentence, in a row. " * 10 + "</p>"
+ITEMS = "<ul>" + "".join(f"<li>item {i} of some sixty characters without marks at its end</li>" for i in range(6)) + "</ul>"
+TABLE = "<table><caption>Tab</caption>" + "".join(f"<tr><td>cell {i}<td>{i}</tr>" for i in range(4)) + "</table>"
+LINKS = "<ul>" + "<li><a href=x>Unmarked link</a></li>" * 8 + "</ul>"
+
+
+def plain(page):
+    return " ".join(html.unescape(re.sub(r"<[^>]*>", " ", page)).split())
+
+
+@pytest.mark.parametrize("wrap", ["<div><div class='content'>{}</div></div>", "<div>{}</div>", "{}"])
+@pytest.mark.parametrize("last", ["", PARAGRAPH])
+def test_lists_and_tables_without_an_article_element(wrap, last):
+    inner = ["<h1>Title</h1>", PARAGRAPH * 5, ITEMS, TABLE, "<pre>x = 1</pre>", PARAGRAPH * 5, TABLE, "<ol><li>One<li>Two</ol>", last]
+    assert html_extract.extract(AROUND.replace("{}", wrap.replace("{}", "".join(inner)))) == plain("".join(inner))
+    with_links = "".join([*inner[:3], LINKS, *inner[3:]])
+    assert html_extract.extract(AROUND.replace("{}", wrap.replace("{}", with_links))) == plain("".join(inner))
+
+
 @needs_testdata
 def test_whole_articles_of_the_test_pages():
     for page in pq.read_table("/root/testdata/sf0.01/pages.parquet")["html"].to_pylist():
