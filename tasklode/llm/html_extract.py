@@ -3,8 +3,9 @@
 Every block of text has the path of tags from the root to it. Text length and punctuation are
 aggregated per path, fused to a ratio, smoothed over the page's blocks and thresholded: the paths
 above are content. The container with most of the content's score (an article or main element if
-there is one) is the article; in it, what is marked as menu, advert, comment and the like goes.
-Without such an element all that lies between content blocks of the container is the article's,
+there is one) is the article; in it, lists of links go, and what is marked as menu, advert, comment
+and the like by its element or hidden. A mark by class, id or role counts only if the element holds
+little of the page's content. Without such an element all that lies between content blocks of the container is the article's,
 whatever its path, and so are lists, tables and the like next to its content; lists of links go.
 """
 
@@ -51,6 +52,8 @@ BOILERPLATE_WORDS = frozenset(
     "navigation newsletter notice notification pagination pager popup promo promotion related replies reply respond share sharing sidebar social sponsor sponsored subscribe "
     "subscription toolbar widget".split()
 )
+#: Those of comments, which can be longer than the article.
+COMMENT_WORDS = frozenset("comment comments disqus reply replies respond".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
 #: Elements that are judged as a whole: links or not, next to content or not.
 GROUPS = frozenset("ul ol dl table".split())
@@ -62,12 +65,14 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 LEAST_RATIO = 0.25
 #: A container keeps this share of the content's score when the search goes down into it.
 LEAST_SHARE = 0.6
+#: An element that class words or a role mark is kept if it holds at least this share of the page's content; one of comments.
+MOST_MARKED, MOST_COMMENTS = 0.5, 0.9
 #: More of a path's or list's text than this in links: a list of links.
 MOST_LINKED = 0.5
 
 
 class _Element:
-    __slots__ = ("chief", "dropped", "header", "label", "parent", "tag")
+    __slots__ = ("chief", "dropped", "header", "label", "marked", "parent", "partly", "tag")
 
     def __init__(self, tag: str, attrs: str, parent: _Element | None) -> None:
         named = {k.lower(): v.strip("\"'").lower() for k, v in _ATTR.findall(attrs)} if attrs and not attrs.isspace() else {}
@@ -77,16 +82,27 @@ class _Element:
         self.tag, self.parent = tag, parent
         self.chief = tag in ("article", "main") or role in ("main", "article") or named.get("itemprop") == "articlebody"
         own = tag not in ("html", "body") and not (tag in ("article", "main") and not marks & {"comment", "comments", "reply"})
-        self.dropped = bool(parent and parent.dropped) or tag in BOILERPLATE_TAGS or hidden or (own and (bool(marks & BOILERPLATE_WORDS) or role in BOILERPLATE_ROLES))
+        self.dropped = bool(parent and parent.dropped) or tag in BOILERPLATE_TAGS or hidden
+        #: The share of the page's content from which the mark by words or a role doesn't count; 0 if there is none.
+        self.marked = 0.0
+        if own and (marks & BOILERPLATE_WORDS or role in BOILERPLATE_ROLES):
+            self.marked = MOST_COMMENTS if marks & COMMENT_WORDS else MOST_MARKED
+        #: A marked element that a block can have in it, or in such a one.
+        self.partly = tag in INLINE and (self.marked > 0 or bool(parent and parent.partly))
         self.header = bool(parent and parent.header) or tag == "header" or (own and tag not in HEADINGS and "header" in marks)
         self.label = f"{parent.label}>{tag}" if parent else tag
 
 
 class _Block:
-    __slots__ = ("element", "linked", "text")
+    __slots__ = ("element", "linked", "parts", "text")
 
-    def __init__(self, element: _Element, text: str, linked: int) -> None:
-        self.element, self.text, self.linked = element, text, linked
+    def __init__(self, element: _Element, text: str, linked: int, parts: list[tuple[str, int, _Element | None]]) -> None:
+        #: ``parts`` has (text, its length if linked, marked inline element around it); empty if there is no such element.
+        self.element, self.text, self.linked, self.parts = element, text, linked, parts
+
+
+def _spaced(parts: list[tuple[str, int, _Element | None]]) -> str:
+    return " ".join("".join(p[0] for p in parts).split())
 
 
 def blocks_of(page: str) -> list[_Block]:
@@ -94,30 +110,25 @@ def blocks_of(page: str) -> list[_Block]:
     out: list[_Block] = []
     root = _Element("html", "", None)
     stack = [root]
-    parts: list[str] = []
-    linked = 0
+    parts: list[tuple[str, int, _Element | None]] = []
 
     def flush() -> None:
-        nonlocal linked
         if parts:
-            text = " ".join("".join(parts).split())
+            text = _spaced(parts)
             if text:
                 where = stack[-1]
                 while where.tag in INLINE and where.parent:
                     where = where.parent
-                out.append(_Block(where, text, linked))
+                out.append(_Block(where, text, sum(p[1] for p in parts), parts.copy() if any(p[2] for p in parts) else []))
             parts.clear()
-        linked = 0
 
     for m in _TOKEN.finditer(page):
         text = m["text"]
         if text is not None:
             text = html.unescape(text) if "&" in text else text
-            if any(e.tag == "a" for e in stack):
-                linked += len(text)
             if stack[-1].tag in INLINE and stack[-1].dropped:
                 continue
-            parts.append(text)
+            parts.append((text, len(text) if any(e.tag == "a" for e in stack) else 0, stack[-1] if stack[-1].partly else None))
             continue
         tag = m["tag"] or m["tag2"]
         if tag is None:
@@ -210,9 +221,50 @@ def between(blocks: list[_Block], paths: dict[str, float], top: _Element) -> lis
     return out
 
 
+def _up(e: _Element | None, stop: _Element | None = None) -> Iterator[_Element]:
+    """e and what is around it, as far as ``stop``."""
+    while e is not None and e is not stop:
+        yield e
+        e = e.parent
+
+
+def unmarked(blocks: list[_Block]) -> list[_Block]:
+    """The blocks less what is in elements marked by words or a role that hold little of the page's content."""
+    if not any(b.parts or any(e.marked for e in _up(b.element)) for b in blocks):
+        return blocks
+    paths = content_paths(blocks)
+    score: dict[int, float] = {}
+    whole = 0.0
+    for b in blocks:
+        ratio = paths.get(b.element.label, 0.0)
+        whole += len(b.text) * ratio
+        for e, stop, chars in [(b.element, None, len(b.text)), *((p[2], b.element, len(p[0])) for p in b.parts if p[2])]:
+            for x in _up(e, stop):
+                score[id(x)] = score.get(id(x), 0.0) + chars * ratio
+    goes: dict[int, bool] = {}
+
+    def gone(e: _Element | None) -> bool:
+        # from the outside in, without recursion: pages can be nested deeply
+        for x in reversed([x for x in _up(e) if id(x) not in goes]):
+            little = not whole or score.get(id(x), 0.0) < x.marked * whole
+            goes[id(x)] = (x.parent is not None and goes[id(x.parent)]) or (x.marked > 0 and little)
+        return e is not None and goes[id(e)]
+
+    out = []
+    for b in blocks:
+        if gone(b.element):
+            continue
+        if b.parts:
+            left = [p for p in b.parts if p[2] is None or not gone(p[2])]
+            b.text, b.linked = _spaced(left), sum(p[1] for p in left)
+        if b.text:
+            out.append(b)
+    return out
+
+
 def extract(page: str | None) -> str:
     """The main text of one page; empty if there is none."""
-    blocks = [b for b in blocks_of(page or "") if not b.element.dropped]
+    blocks = unmarked([b for b in blocks_of(page or "") if not b.element.dropped])
     paths = content_paths(blocks)
     score: dict[int, float] = {}
     elements: dict[int, _Element] = {}
@@ -232,6 +284,7 @@ def extract(page: str | None) -> str:
     if chiefs:
         best = max(chiefs, key=lambda k: score[k])
         picked = [b for b, above in zip(blocks, inside, strict=True) if best in above]
+        picked = [b for b, links in zip(picked, link_lists(picked), strict=True) if not links]
     else:
         here = next(k for k, e in elements.items() if e.parent is None)
         while True:

@@ -50,6 +50,29 @@ def test_lists_and_tables_without_an_article_element(wrap, last):
     assert html_extract.extract(AROUND.replace("{}", wrap.replace("{}", with_links))) == plain("".join(inner))
 
 
+@pytest.mark.parametrize("wrap", ["<article>{}</article>", "<div role=main>{}</div>"])
+def test_lists_of_links_in_an_article(wrap):
+    inner = ["<h1><a href=x>Title</a></h1>", PARAGRAPH, "<p>Short.</p>", ITEMS, "<p><a href=x>Linked</a> a word.</p>", TABLE]
+    page = wrap.replace("{}", "".join([LINKS, *inner[:3], LINKS, *inner[3:], "<div><a href=x>Buy it now, here</a></div>", LINKS]))
+    assert html_extract.extract(AROUND.replace("{}", page)) == plain("".join(inner))
+
+
+@pytest.mark.parametrize("words", ["content right-sidebar", "has-comments post", "share-page widget", "site banner"])
+@pytest.mark.parametrize("wrap", ["<div class='{w}'><article>{}</article></div>", "<main><section id='{w}'>{}</section></main>", "<div class='{w}'>{}</div>"])
+def test_class_words_around_the_article(words, wrap):
+    inner = f"<h1>Title</h1>{PARAGRAPH * 3}{ITEMS}<p>An end, at last.</p>"
+    advert = "<div class='ad'><p>Buy, now.</p></div>"
+    page = wrap.replace("{w}", words).replace("{}", f"<h1>Title</h1>{PARAGRAPH * 3}{advert}{ITEMS}<p>An<span class=ad> advert</span> end, at last.</p>")
+    assert html_extract.extract(AROUND.replace("{}", page)) == plain(inner)
+
+
+def test_marked_inline_elements_and_long_comments():
+    inline = f"<article><span class='share'>{'words of a sentence, in a row. ' * 10}</span></article>"
+    assert html_extract.extract(inline) == plain(inline)
+    comments = f"<article>{PARAGRAPH}</article><section class=comments>{'<p>I like it, a lot.</p>' * 30}</section>"
+    assert html_extract.extract(comments) == plain(PARAGRAPH)
+
+
 @needs_testdata
 def test_whole_articles_of_the_test_pages():
     for page in pq.read_table("/root/testdata/sf0.01/pages.parquet")["html"].to_pylist():
