@@ -96,10 +96,13 @@ def accept_new(candidates: DataFrame, accepted: DataFrame, key: str = "attempt_i
 
 
 def markdown(rows: DataFrame, title: str, most: int = 1000) -> str:
-    """A small result as a Markdown table."""
+    """A small result as a Markdown table; more than ``most`` rows are an error."""
     def shown(x: Any) -> str:
         return "-" if x is None else f"{x:.3f}" if isinstance(x, float) else str(x)
 
+    found = rows.limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} rows for the table {title!r}")
     names = rows.columns
     lines = [f"## {title}", "", "| " + " | ".join(names) + " |", "|" + "---|" * len(names)]
     return "\n".join([*lines, *("| " + " | ".join(shown(r[n]) for n in names) + " |" for r in rows.limit(most).collect())]) + "\n"

@@ -508,3 +508,9 @@ def test_marks_and_samples(spark):
     df = spark.range(103).select(F.col("id").alias("t"), (F.col("id") % 7).alias("task"))
     assert sorted((r.t, r.accepted) for r in attempts.progress_marks(df, "t").collect()) == [(24, 25), (49, 50), (74, 75), (99, 100)]
     assert [(r.task, r.t) for r in attempts.one_of_each_task(df, "task", ["t"], 3).collect()] == [(0, 0), (1, 1), (2, 2)]
+
+
+def test_markdown_loses_no_rows(spark):
+    assert sinks.markdown(spark.range(3), "T", most=3).count("\n") == 7
+    with pytest.raises(ValueError, match="more than 2 rows"):
+        sinks.markdown(spark.range(3), "T", most=2)
