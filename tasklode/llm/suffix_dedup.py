@@ -1,4 +1,6 @@
-"""Exact removal of repeated byte strings, by bucket-pointer refinement of sampled suffixes.
+"""Removal of repeated byte strings, by hash refinement anchored at minimisers.
+
+This stands in for bucket-pointer refinement: no suffix is sorted, buckets are told apart by hashes.
 
 Two equal strings of ``length`` bytes have the same least q-gram at the same place (a window's
 minimiser). So the windows are taken in runs that share it, and put in the bucket of its string. In a
