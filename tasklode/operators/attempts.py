@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tasklode.functions.similarity import exact_duplicate, fingerprint, near_duplicate
-from tasklode.functions.stats import ratio, wilson
+from tasklode.functions.stats import nearest_rank, ratio, wilson
 from tasklode.functions.text import col, normalize_action
 
 # Statuses that say something about the infrastructure, and those of genuine failures.
@@ -171,6 +171,69 @@ def retry_telemetry(attempts: DataFrame, diagnostics: str) -> DataFrame:
     return sums.agg(*(F.sum(c).alias(c) for c in ("calls", "retries", "http_429", "http_5xx")), F.bool_and("complete").alias("complete"))
 
 
+def group_statistics(attempts: DataFrame) -> DataFrame:
+    """(group, measure, n, mean, p50, p90, p95, max, api_share) for successful, genuine_failed and infra attempts.
+
+    Measures: api_call and environment_step (each latency of the diagnostics), wall, api_total and the
+    tokens input, output and total. api_share is the group's API seconds by its wall seconds. Every
+    group has all measures; nulls of nothing. A value is exploded once, so nothing is counted twice.
+    """
+    readable = F.try_to_timestamp(F.regexp_replace("finished_at", "Z$", "+00:00")).isNotNull()
+    wall = wall_seconds("started_at", F.when(readable, F.col("finished_at")).otherwise(F.col("saved_at")))
+    api, ins, outs = (F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in ("api_latency_total_s", "total_input_tokens", "total_output_tokens"))
+    genuine = is_genuine("status")
+    group = F.when(genuine & F.coalesce("success", F.lit(False)), "successful").when(genuine, "genuine_failed").otherwise("infra")
+
+    def one(name: str, x: Column) -> Column:
+        return F.struct(F.lit(name).alias("measure"), x.cast("double").alias("x"))
+
+    def each(name: str, diagnostics: str) -> Column:
+        none = F.array().cast("array<struct<measure: string, x: double>>")
+        return F.coalesce(F.transform(diagnostics, lambda d: one(name, d["latency_s"])), none)
+
+    rows = {"wall": wall, "api_total": api, "input": ins, "output": outs, "total": ins + outs}
+    steps = {"api_call": "api_diagnostics", "environment_step": "environment_diagnostics"}
+    values = F.concat(F.array(*(one(k, x) for k, x in rows.items())), *(each(k, c) for k, c in steps.items()))
+    told = attempts.select(group.alias("group"), F.explode(values).alias("v")).select("group", "v.*").filter("x IS NOT NULL").groupBy("group", "measure")
+    quantiles = [nearest_rank("x", q).alias(n) for n, q in (("p50", 0.5), ("p90", 0.9), ("p95", 0.95))]
+    told = told.agg(F.count("x").alias("n"), F.avg("x").alias("mean"), *quantiles, F.max("x").alias("max"), F.sum("x").alias("s"))
+    share = told.groupBy("group").agg(ratio(F.max(F.when(F.col("measure") == "api_total", F.col("s"))), F.max(F.when(F.col("measure") == "wall", F.col("s")))).alias("api_share"))
+    names = [(g, m) for g in ("successful", "genuine_failed", "infra") for m in (*rows, *steps)]
+    every = attempts.sparkSession.createDataFrame(names, "group string, measure string")
+    out = every.join(told.drop("s"), ["group", "measure"], "left").join(share, "group", "left")
+    return out.withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+def run_summary(attempts: DataFrame, slots: DataFrame, tasks: DataFrame) -> DataFrame:
+    """One row: slots completed and in all, tasks with a first success, and API calls, retries, codes and tokens of the attempts."""
+    codes = F.transform("retry_events", lambda e: e["status_code"])
+    zero = F.lit(0)
+    sums = attempts.select(
+        F.coalesce(F.array_size("api_diagnostics"), zero).alias("api_calls"),
+        F.col("infrastructure_retries").alias("retries"),
+        F.array_size(F.filter(codes, lambda c: c == 429)).alias("http_429"),
+        F.array_size(F.filter(codes, lambda c: (c >= 500) & (c <= 599))).alias("http_5xx"),
+        F.col("total_input_tokens").alias("input_tokens"),
+        F.col("total_output_tokens").alias("output_tokens"),
+    )
+    sums = sums.agg(*(F.coalesce(F.sum(c), zero).cast("long").alias(c) for c in sums.columns))
+    done = slots.agg(F.count_if(F.coalesce("fulfilled", F.lit(False)) | F.coalesce("exhausted", F.lit(False))).alias("slots_completed"), F.count("*").alias("slots_total"))
+    unique = tasks.agg(F.count_if("first_success").alias("unique_successful_tasks"))
+    return done.crossJoin(F.broadcast(unique)).crossJoin(F.broadcast(sums))  # one row each
+
+
+def concurrency(attempts: DataFrame, start: str, end: str, wall: str, outcome: str) -> DataFrame:
+    """One row: makespan and summed wall seconds, speedup, successful trajectories an hour, and the peak of ``most_at_once``."""
+    a, b = (F.unix_micros(F.col(x).cast("timestamp")) for x in (start, end))
+    told = attempts.agg(
+        ((F.max(b) - F.min(a)) / 1e6).alias("makespan_s"),
+        F.coalesce(F.sum(F.col(wall).cast("double")), F.lit(0.0)).alias("wall_s"),
+        F.count_if(F.col(outcome) == "success").alias("succeeded"),
+    )
+    told = told.select("makespan_s", "wall_s", ratio("wall_s", "makespan_s").alias("speedup"), F.coalesce(ratio("succeeded", "makespan_s") * 3600, F.lit(0.0)).alias("trajectories_per_hour"))
+    return told.crossJoin(F.broadcast(most_at_once(attempts, start, end)))  # one row each
+
+
 def hard_tasks(attempts: DataFrame, task: str, status: str, actions: str, reward: str, order: list[str]) -> DataFrame:
     """Tasks with an unsolved or max_steps attempt: outcomes, repeats, and the last reward."""
     lower = F.transform(F.flatten(F.collect_list(actions)), lambda a: F.lower(a))

@@ -91,6 +91,29 @@ def rollout_metrics(rows: DataFrame, reward: str) -> DataFrame:
     return whole.crossJoin(F.broadcast(per))  # one row each
 
 
+def rollout_rates(rows: DataFrame, metrics: tuple[str, ...] = ()) -> DataFrame:
+    """One row over episodes: means of ``metrics`` and steps, rates of statuses, tokens, seconds and throughput.
+
+    Columns: status, steps, env_mask, generated_tokens, generation_time_s, environment_wait_s, wall_time_s.
+    """
+    def total(x: str) -> Column:
+        return F.coalesce(F.sum(x), F.lit(0))
+
+    rates = {"invalid_rate": "invalid_action", "malformed_rate": "malformed_action", "context_limit_rate": "context_limit"}
+    return rows.withColumn("__policy", F.aggregate("env_mask", F.lit(0).cast("long"), lambda a, x: a + x)).agg(
+        *(F.avg(m).alias(m) for m in metrics),
+        F.avg("steps").alias("episode_steps"),
+        *(ratio(F.count_if(F.col("status") == s), F.count("*")).alias(n) for n, s in rates.items()),
+        total("__policy").alias("generated_policy_tokens"),
+        total("generated_tokens").alias("generated_tokens"),
+        total("generation_time_s").alias("generation_wall_s"),
+        total("environment_wait_s").alias("environment_wait_s"),
+        ratio(total("generated_tokens"), total("generation_time_s")).alias("generated_tokens_per_second"),
+        (ratio(F.count("*"), total("wall_time_s")) * 3600).alias("trajectories_per_hour"),
+        total("wall_time_s").alias("rollout_wall_s"),
+    )
+
+
 def advantages(rows: DataFrame, group: str, reward: str, epsilon: float = 1e-4) -> DataFrame:
     """``rows`` with advantage: (r - mean) / (sample deviation + epsilon) in its group; null in a group of one.
 

@@ -514,3 +514,46 @@ def test_markdown_loses_no_rows(spark):
     assert sinks.markdown(spark.range(3), "T", most=3).count("\n") == 7
     with pytest.raises(ValueError, match="more than 2 rows"):
         sinks.markdown(spark.range(3), "T", most=2)
+
+
+def test_group_statistics(spark):
+    d = "array<struct<latency_s: double>>"
+    kind = f"status string, success boolean, started_at string, finished_at string, saved_at string, api_latency_total_s double, total_input_tokens long, total_output_tokens long, api_diagnostics {d}, environment_diagnostics {d}"
+    t = "2026-01-01T00:00:{:02d}Z"
+    rows = [
+        ("ok", True, t.format(0), t.format(10), None, 6.0, 100, 10, [(1.0,), (2.0,), (None,)], [(0.5,)]),
+        ("ok", True, t.format(0), "?", t.format(30), 14.0, 300, None, [(4.0,)], None),
+        ("max_steps", False, t.format(5), t.format(0), None, None, 7, 1, [], []),
+    ]
+    got = {(r.group, r.measure): r for r in attempts.group_statistics(spark.createDataFrame(rows, kind)).collect()}
+    assert len(got) == 21
+
+    def told(*key):
+        r = got[key]
+        return (r.n, r["mean"], r.p50, r.p90, r.p95, r["max"])
+
+    assert told("successful", "api_call") == (3, 7 / 3, 2.0, 4.0, 4.0, 4.0) and told("successful", "environment_step") == (1, 0.5, 0.5, 0.5, 0.5, 0.5)
+    assert told("successful", "wall") == (2, 20.0, 10.0, 30.0, 30.0, 30.0) and told("successful", "total") == (2, 205.0, 110.0, 300.0, 300.0, 300.0)
+    assert got["successful", "wall"].api_share == 0.5 and got["genuine_failed", "wall"].api_share is None
+    assert told("genuine_failed", "wall")[:2] == (0, None) and told("genuine_failed", "api_total")[:2] == (1, 0.0) and told("infra", "total") == (0, *[None] * 5)
+
+
+def test_run_summary_and_concurrency(spark):
+    runs = spark.createDataFrame(
+        [([(1,), (2,)], 2, [(429,), (503,), (None,)], 10, 1), (None, None, None, None, 4), ([(3,)], 1, [(500,)], 5, None)],
+        "api_diagnostics array<struct<n: int>>, infrastructure_retries int, retry_events array<struct<status_code: int>>, total_input_tokens long, total_output_tokens long",
+    )
+    slots = spark.createDataFrame([(True, False), (False, True), (False, False), (True, True)], "fulfilled boolean, exhausted boolean")
+    tasks = spark.createDataFrame([(True,), (False,), (None,)], "first_success boolean")
+    assert attempts.run_summary(runs, slots, tasks).first().asDict() == {
+        "slots_completed": 3, "slots_total": 4, "unique_successful_tasks": 1, "api_calls": 3, "retries": 3, "http_429": 1, "http_5xx": 2, "input_tokens": 15, "output_tokens": 5,
+    }
+    spans = spark.sql("SELECT timestamp_seconds(a) AS s, timestamp_seconds(b) AS e, w, o FROM VALUES (0, 10, 10D, 'success'), (5, 20, 15D, 'failed'), (12, 20, NULL, 'success') AS t(a, b, w, o)")
+    assert tuple(attempts.concurrency(spans, "s", "e", "w", "o").first()) == (20.0, 25.0, 1.25, 360.0, 2)
+
+
+def test_rollout_rates(spark):
+    kind = "status string, steps int, env_mask array<int>, generated_tokens long, generation_time_s double, environment_wait_s double, wall_time_s double, m double"
+    rows = [("success", 4, [1, 0, 1], 20, 2.0, 0.5, 3.0, 1.0), ("invalid_action", 2, [1], None, 3.0, 0.5, 3.0, 0.0)]
+    r = rewards.rollout_rates(spark.createDataFrame(rows, kind), ("m",)).first()
+    assert tuple(r) == (0.5, 3.0, 0.5, 0.0, 0.0, 3, 20, 5.0, 1.0, 4.0, 1200.0, 6.0)
