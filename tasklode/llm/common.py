@@ -1,7 +1,8 @@
-"""What the operators share: tables in the cluster's shared folder, and word hashes of a batch."""
+"""What the operators share: tables in the cluster's shared folder, filters of keys, and word hashes of a batch."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -18,10 +19,12 @@ _own_dir: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder in spark.checkpoint.dir; a temporary one only in local mode (tests), where one machine does all."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    if not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="tasklode-"))
     return f"file://{_own_dir[0]}"
@@ -49,6 +52,18 @@ def two(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def text_hashes(text_col: str) -> list:
+    """Two 64-bit hashes h1 and h2 of a text (null is empty), 128 bits together, as columns."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(7), text).alias("h2")]
+
+
+def free_names(df: DataFrame, wanted: list[str]) -> list[str]:
+    """Names for further columns that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    return [next(x for k in range(1, 100) if (x := "_" * k + name).lower() not in taken) for name in wanted]
+
+
 def text_steps(batch: pa.RecordBatch, column: str = "text", step: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of ``batch`` of about ``step`` bytes of text each; a longer text is a slice of its own."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
@@ -67,6 +82,73 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def as_long(x: np.ndarray) -> pa.Array:
+    return pa.array(np.ascontiguousarray(x).view(np.int64))
+
+
+def as_unsigned(column: pa.Array) -> np.ndarray:
+    """A column of longs without nulls as uint64."""
+    return column.to_numpy(zero_copy_only=False).view(np.uint64)
+
+
+def binaries(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Neighbouring stretches of ``data``, of ``sizes`` items each, as a binary column."""
+    ends = np.append(0, np.cumsum(sizes)) * data.dtype.itemsize
+    return pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]).cast(pa.binary())
+
+
+def longs(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """As ``binaries``, as lists of longs."""
+    ends = np.append(0, np.cumsum(sizes)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.ascontiguousarray(data).view(np.int64)))
+
+
+#: Bits of a filter of keys: 16 a key within these bounds.
+LEAST_FILTER, MOST_FILTER = 20, 28
+
+
+class KeyFilter:
+    """A bit filter of long keys (spread evenly): false for most that aren't in it. Its size is bounded
+    whatever the number of keys (at most 32 MB), and what passes wrongly is for a later step to drop."""
+
+    def __init__(self, keys: DataFrame, key: str) -> None:
+        bits = min(MOST_FILTER, max(LEAST_FILTER, (16 * keys.count()).bit_length()))
+        place = F.pmod(F.col(key), F.lit(1 << bits)) + 1
+        rows = keys.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m"))
+        self.low = np.uint64((1 << bits) - 1)
+        self.map = np.zeros(1 << bits >> 3, np.uint8)
+        for r in rows.collect():
+            at = (r["k"] - 1) * 4096
+            self.map[at : at + 4096] = np.frombuffer(r["m"], np.uint8)[: len(self.map) - at]
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        """Of an array of uint64."""
+        p = (keys & self.low).astype(np.int64)
+        return (self.map[p >> 3] >> (p & 7).astype(np.uint8) & 1).astype(bool)
+
+
+#: Clashes of 64-bit numbers that the driver may hold.
+MOST_CLASHES = 100_000
+
+
+def clashes(numbered: DataFrame, first: str, second: str) -> list[int]:
+    """The values of ``first`` that stand with several of ``second``, of distinct rows.
+
+    Together the two are an identity of 128 bits; where ``first`` clashes, ``second`` is used in its
+    place, so one long tells rows apart. About n * n / 2 ** 65 values clash by chance, which is none up
+    to billions of rows.
+    """
+    found = [r[0] for r in numbered.groupBy(first).agg(F.count("*").alias("n")).filter("n > 1").select(first).limit(MOST_CLASHES + 1).collect()]
+    if len(found) > MOST_CLASHES:
+        raise ValueError("too many clashes of 64-bit hashes")
+    return found
+
+
+def identity(first: str, second: str, clashing: list[int]):
+    """The one long, as a column."""
+    return F.when(F.col(first).isin(clashing), F.col(second)).otherwise(F.col(first)) if clashing else F.col(first)
+
+
 def with_column(batch: pa.RecordBatch, column: str, values: pa.Array) -> pa.RecordBatch:
     """``batch`` with other values in a column that it has."""
     at = batch.schema.get_field_index(column)

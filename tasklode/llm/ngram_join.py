@@ -4,41 +4,47 @@ The distinct word n-grams of a text are dealt to the blocks of a sketch by their
 the XOR of the codes of its n-grams, so an n-gram in only one of two texts changes one block, and
 the number of blocks that differ is a lower bound of the symmetric difference. Two texts that link
 differ in at most t n-grams, t by their sizes; of t + 1 + z blocks at least z + 1 agree. Texts are
-sketched per size band (a text whose partners can be in a smaller band also in that), and each
-keeps its t + 1 fullest blocks: the fullest of the z + 1 that agree is kept by both. Texts that
-share a block are candidates; a bit sketch of 256 parities rejects most that aren't linked, and the
-sets of the others are intersected.
-
-Copies (equal sets) are one class from the start. The classes of a small block are held against
-each other, which is at most SMALL - 1 pairs a class and block. In larger blocks components grow in
-rounds first: every class that shares a block with another component is held against one class of
-it, the one that it shares most such blocks with. Rounds end when they find no link; then all
-classes that share a block and are not in one component are held against each other. A group of
-near copies becomes one component in a few rounds and never makes all its pairs, and no link
-between components is missed.
+sketched per size band (a text whose partners can be in a smaller band also in that).
+
+So a text in whose sketch fewer than z + 1 blocks occur elsewhere links with nothing. Of s such
+blocks a text keeps its s - z rarest: the rarest block on which two linked texts agree has z more
+common ones after it in both, so both keep it. Passages that many texts share drop out that way.
+Texts that share a kept block are candidates; a bit sketch of 512 parities, whose Hamming distance
+bounds the symmetric difference too, rejects most that aren't linked, and the sets of the others are
+intersected.
+
+Copies (equal sets) are one class from the start. Components grow in rounds: every class that shares
+a block with another component is held against one class of it, the one that it shares most blocks
+with. Rounds end when they find no link, or after MOST_ROUNDS; then all classes that share a block,
+are not in one component and pass the bit sketch are held against each other. A group of near copies
+becomes one component in a few rounds and never makes all its pairs, and no link between components
+is missed.
+
+The texts are read four times (sizes and classes, counts of blocks, sketches of what is left, and in
+``one_of_each`` the rows that stay); only texts with z + 1 common blocks leave their task.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
-from tasklode.llm.common import BASE, MIX_A, MIX_B, as_bytes, dropped, mix, text_steps, two, words, written
+from tasklode.llm.common import (
+    BASE, MIX_A, MIX_B, KeyFilter, as_bytes, as_long, as_unsigned, binaries, clashes, dropped, free_names, identity, longs, mix, text_hashes, text_steps, two, words, written,
+)
 from tasklode.llm.components import components
-from tasklode.llm.exchange import LOCAL_MEMBERS, NO_ID, KeyFilter, Rows, as_long, distinct, exchange, group_sizes
 
 #: Growth of the size bands, and the share of further blocks (z) over t + 1.
 BAND_RATIO, SPARE = 1.6, 0.35
-PARITY_WORDS = 4
-#: Members of a small block, and rounds over the larger ones.
-SMALL, MOST_ROUNDS = 8, 4
+PARITY_WORDS = 8
+MOST_ROUNDS = 3
 
 
 @dataclass(frozen=True)
@@ -102,30 +108,39 @@ def shingle_sets(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray, np
 
 
 def _per_set(ufunc, values: np.ndarray, owners: np.ndarray, count: int) -> np.ndarray:
-    out = np.zeros((count, *values.shape[1:]), np.uint64)
+    out = np.zeros(count, np.uint64)
     if len(owners):
         heads = np.flatnonzero(np.append(True, owners[1:] != owners[:-1]))
-        out[owners[heads]] = ufunc.reduceat(values, heads, axis=0)
+        out[owners[heads]] = ufunc.reduceat(values, heads)
     return out
 
 
-def classes(owners: np.ndarray, values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """A 64-bit number of each set."""
+def classes(texts: list[bytes], owners: np.ndarray, values: np.ndarray, sizes: np.ndarray, n: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit numbers of each set, together its identity.
+
+    A set so small that one other n-gram breaks the link is numbered by its n-grams themselves, the
+    others by their hashes: sets that differ in two n-grams would need two clashes.
+    """
     with np.errstate(over="ignore"):
-        return mix(_per_set(np.add, mix(values ^ MIX_A), owners, len(sizes)) + sizes.astype(np.uint64) * BASE)
+        one = mix(_per_set(np.add, mix(values ^ MIX_A), owners, len(sizes)) + sizes.astype(np.uint64) * BASE)
+        other = mix(_per_set(np.add, mix(values * MIX_B ^ BASE), owners, len(sizes)) ^ sizes.astype(np.uint64) * MIX_A)
+    for i in np.flatnonzero((sizes > 0) & (most_differ(sizes, sizes, percent) < 2)):
+        own = texts[i].lower().split()
+        grams = {b" ".join(own[k : k + n]) for k in range(max(1, len(own) - n + 1))}
+        other[i] = int.from_bytes(hashlib.blake2b(b"\n".join(sorted(grams)), digest_size=8).digest(), "little")
+    return one, other
 
 
 def parities(owners: np.ndarray, values: np.ndarray, count: int) -> np.ndarray:
     """Each n-gram flips one of 64 * PARITY_WORDS bits."""
     code = mix(values ^ MIX_B)
-    bits = np.zeros((len(values), PARITY_WORDS), np.uint64)
-    bits[np.arange(len(values)), (code & np.uint64(PARITY_WORDS - 1)).astype(np.int64)] = np.uint64(1) << (code >> np.uint64(58))
-    return _per_set(np.bitwise_xor, bits, owners, count)
+    bit, word = np.uint64(1) << (code >> np.uint64(58)), code & np.uint64(PARITY_WORDS - 1)
+    return np.stack([_per_set(np.bitwise_xor, bit * (word == np.uint64(k)), owners, count) for k in range(PARITY_WORDS)], axis=1)
 
 
-def block_keys(owners: np.ndarray, values: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(key, text) of the blocks that each text keeps, of all its bands."""
-    keys, texts = [], []
+def block_keys(owners: np.ndarray, values: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, text, band, z) of all blocks of each text, in all its bands; by band, then text."""
+    keys, texts, numbers, spare = [], [], [], []
     first = np.append(0, np.cumsum(sizes)[:-1])
     codes = mix(values ^ BASE)
     for number, band in enumerate(bands(percent, int(sizes.max(initial=0)))):
@@ -137,91 +152,144 @@ def block_keys(owners: np.ndarray, values: np.ndarray, sizes: np.ndarray, percen
         # hashes are in order within a text, and so are their blocks
         block = np.repeat(np.arange(len(member)) * band.blocks, length) + ((values[at] >> np.uint64(32)) * np.uint64(band.blocks) >> np.uint64(32)).astype(np.int64)
         heads = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
-        all_blocks = len(member) * band.blocks
-        code, held = np.zeros(all_blocks, np.uint64), np.zeros(all_blocks, np.int64)
+        code, held = np.zeros(len(member) * band.blocks, np.uint64), np.zeros(len(member) * band.blocks, np.uint64)
         code[block[heads]] = np.bitwise_xor.reduceat(codes[at], heads)
         held[block[heads]] = np.diff(np.append(heads, len(block)))
-        place = np.tile(np.arange(band.blocks), len(member))
+        place = np.tile(np.arange(band.blocks, dtype=np.uint64), len(member))
         with np.errstate(over="ignore"):
-            key = mix(code ^ mix((np.uint64(number) << np.uint64(32)) + place.astype(np.uint64) + held.astype(np.uint64) * BASE))
-        key, held = key.reshape(-1, band.blocks), held.reshape(-1, band.blocks)
-        order = np.lexsort((key, -held), axis=1)[:, : band.kept]
-        keys.append(np.take_along_axis(key, order, 1).ravel())
-        texts.append(np.repeat(member, band.kept))
+            keys.append(mix(code ^ mix((np.uint64(number) << np.uint64(32)) + place + held * BASE)))
+        texts.append(np.repeat(member, band.blocks))
+        numbers.append(np.full(len(code), number))
+        spare.append(np.full(len(code), band.blocks - band.kept))
     if not keys:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.concatenate(keys), np.concatenate(texts)
+        return (np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3)))
+    return tuple(np.concatenate(x) for x in (keys, texts, numbers, spare))
 
 
-def _thin(rows: Rows) -> tuple[Rows, Rows]:
-    """As ``thin_repeated``; what goes on of a hot key is marked, as its block is large."""
-    keys, cls, _ = distinct(rows, 2)
-    size, first = group_sizes(keys)
-    hot = size > LOCAL_MEMBERS
-    left = ~hot | first
-    return (keys[hot], cls[hot], np.ones(int(hot.sum()), np.uint64)), (keys[left], cls[left], hot[left].astype(np.uint64))
+_INFO = ("n", *(f"p{i}" for i in range(PARITY_WORDS)))
+
 
+class Sets:
+    """The sets of the texts of a step, with their classes."""
 
-def _meet(rows: Rows) -> Rows:
-    keys, cls, marks = rows
-    order = np.lexsort((~marks, cls, keys))
-    keys, cls, marks = distinct(tuple(x[order] for x in rows), 2)
-    size, first = group_sizes(keys)
-    heads = np.flatnonzero(first)
-    marked = np.repeat(np.maximum.reduceat(marks, heads), size[heads]) if len(keys) else marks
-    use = (size > 1) | (marked > 0)
-    return keys[use], cls[use], ((size > SMALL) | (marked > 0))[use].astype(np.uint64)
+    def __init__(self, texts: list[bytes], n: int, percent: int, clashing: list[int]) -> None:
+        self.owners, self.values, self.sizes = shingle_sets(texts, n)
+        self.one, self.other = classes(texts, self.owners, self.values, self.sizes, n, percent)
+        hit = np.isin(self.one.view(np.int64), clashing)
+        self.cls = np.where(hit, self.other, self.one)
 
+    def only(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(owners, values, sizes) of the chosen texts, numbered anew."""
+        keep = chosen[self.owners]
+        number = np.cumsum(chosen) - 1
+        return number[self.owners[keep]], self.values[keep], self.sizes[chosen]
 
-def shared_blocks(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(key, cls, large) of every block that several classes keep; large: it has over SMALL classes."""
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[Rows]:
+def _described(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """(doc_id, one, other, n, h1, h2) of every row: class and size of its set, and two hashes of the text."""
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for step in text_steps(batch):
-                owners, values, sizes = shingle_sets(as_bytes(step.column("text")), n)
-                keys, text = block_keys(owners, values, sizes, percent)
-                yield keys, classes(owners, values, sizes)[text], np.zeros(len(keys), np.uint64)
+                sets = Sets(as_bytes(step.column("text")), n, percent, [])
+                yield pa.RecordBatch.from_arrays(
+                    [step.column("doc_id"), as_long(sets.one), as_long(sets.other), pa.array(sets.sizes, pa.int64()), step.column("h1"), step.column("h2")],
+                    names=["doc_id", "one", "other", "n", "h1", "h2"],
+                )
 
-    return exchange(docs.select("text"), gather, ["key", "cls", "large"], ["key", "cls", "large"], _thin, _meet)
+    return written(docs.mapInArrow(describe, "doc_id long, one long, other long, n long, h1 long, h2 long"), "sets")
 
 
-def _sets(docs: DataFrame, needed: DataFrame, n: int) -> DataFrame:
-    """(cls, codes) of the needed (cls, doc_id): the hashes of the set, in order."""
-    shipped = docs.sparkSession.sparkContext.broadcast(KeyFilter(needed))
+def _first(rows: DataFrame) -> DataFrame:
+    """(one, other, doc_id, n) of every class with words; doc_id is the least, or null if no row has one."""
+    return written(rows.filter("n > 0").groupBy("one", "other").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")), "classes")
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _id():
+    """What a row is told by, besides its class: its id (zero for null)."""
+    return F.coalesce("doc_id", F.lit(0))
+
+
+def _common_blocks(docs: DataFrame, firsts: KeyFilter, clashing: list[int], n: int, percent: int) -> DataFrame:
+    """(key) of the blocks that several classes have, and some that only one has."""
+    shipped = docs.sparkSession.sparkContext.broadcast(firsts)
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for step in text_steps(batch):
-                owners, values, sizes = shingle_sets(as_bytes(step.column("text")), n)
-                cls = classes(owners, values, sizes)
-                hit = np.flatnonzero(shipped.value.has(cls, step.column("doc_id").to_numpy(zero_copy_only=False).view(np.uint64)))
-                ends = np.cumsum(sizes)
-                codes = [values[ends[i] - sizes[i] : ends[i]].tobytes() for i in hit]
-                yield pa.RecordBatch.from_arrays([as_long(cls[hit]), step.column("doc_id").take(pa.array(hit)), pa.array(codes, pa.binary())], names=["cls", "doc_id", "codes"])
+                sets = Sets(as_bytes(step.column("text")), n, percent, clashing)
+                chosen = shipped.value.has(sets.cls ^ as_unsigned(step.column("id"))) & (sets.sizes > 0)
+                keys, *_ = block_keys(*sets.only(chosen), percent)
+                yield pa.RecordBatch.from_arrays([as_long(keys)], names=["key"])
 
-    near = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text").mapInArrow(rows, "cls long, doc_id long, codes binary")
-    return near.join(needed, ["cls", "doc_id"], "left_semi").dropDuplicates(["cls"])
+    keys = docs.select(_id().alias("id"), "text").mapInArrow(blocks, "key long")
+    return written(keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "common")
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets link. Only sets that the pairs name are dealt out."""
-    named = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    shipped = pairs.sparkSession.sparkContext.broadcast(KeyFilter(named.withColumn("doc_id", F.lit(0).cast("long"))))
+def _sketched(docs: DataFrame, info: DataFrame, firsts: KeyFilter, common: KeyFilter, clashing: list[int], n: int, percent: int) -> DataFrame:
+    """(cls, n, p0, ..., keys, bands, spare, codes) of the classes that may have z + 1 common blocks in a band:
+    their common blocks with band and z, and the hashes of the set, in order."""
+    shipped = docs.sparkSession.sparkContext.broadcast((firsts, common))
+    names = ["cls", "id", "none", *_INFO, "keys", "bands", "spare", "codes"]
 
-    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, shared = shipped.value
         for batch in batches:
-            cls = batch.column("cls").to_numpy(zero_copy_only=False).view(np.uint64)
-            yield batch.filter(pa.array(shipped.value.has(cls, np.zeros(len(cls), np.uint64))))
+            for step in text_steps(batch):
+                sets = Sets(as_bytes(step.column("text")), n, percent, clashing)
+                chosen = first.has(sets.cls ^ as_unsigned(step.column("id"))) & (sets.sizes > 0)
+                keys, text, band, spare = block_keys(*sets.only(chosen), percent)
+                has = shared.has(keys)
+                keys, text, band, spare = keys[has], text[has], band[has], spare[has]
+                # they are in order of band and text
+                heads = np.flatnonzero(np.append(True, (text[1:] != text[:-1]) | (band[1:] != band[:-1]))) if len(keys) else np.zeros(0, np.int64)
+                count = np.diff(np.append(heads, len(keys)))
+                able = np.repeat(count > spare[heads], count) if len(keys) else np.zeros(0, bool)
+                keys, text, band, spare = keys[able], text[able], band[able], spare[able]
+                order = np.argsort(text, kind="stable")
+                number = np.flatnonzero(chosen)[np.unique(text)]
+                each = np.unique(text, return_counts=True)[1]
+                left = np.zeros(len(chosen), bool)
+                left[number] = True
+                owners, values, sizes = sets.only(left)
+                bits = parities(owners, values, len(sizes))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        as_long(sets.cls[left]), step.column("id").take(pa.array(number)), step.column("none").take(pa.array(number)),
+                        pa.array(sizes, pa.int64()), *(as_long(bits[:, i]) for i in range(PARITY_WORDS)),
+                        longs(keys[order], each), longs(band[order], each), longs(spare[order], each), binaries(values, sizes),
+                    ],
+                    names=names,
+                )
+
+    schema = "cls long, id long, none boolean, " + ", ".join(f"{x} long" for x in _INFO) + ", keys array<long>, bands array<long>, spare array<long>, codes binary"
+    rows = docs.select(_id().alias("id"), F.col("doc_id").isNull().alias("none"), "text").mapInArrow(sketch, schema)
+    own = info.select("cls", _id().alias("id"), F.col("doc_id").isNull().alias("none"))
+    out = written(rows.join(own, ["cls", "id", "none"], "left_semi").dropDuplicates(["cls", "id", "none"]).drop("id", "none"), "sketches")
+    shipped.unpersist()
+    return out
 
-    sets = sets.select("cls", "codes").mapInArrow(asked, "cls long, codes binary")
+
+def _kept_blocks(sketches: DataFrame) -> DataFrame:
+    """(key, cls): of each class and band, the s - z rarest of its s common blocks."""
+    rows = sketches.select("cls", F.explode(F.arrays_zip("keys", "bands", "spare")).alias("b")).select("cls", "b.keys", "b.bands", "b.spare").withColumnRenamed("keys", "key")
+    common = rows.groupBy("key").agg(F.count("*").alias("classes")).filter("classes > 1")
+    own = Window.partitionBy("cls", "bands")
+    ranked = rows.join(common, "key").withColumn("s", F.count("*").over(own)).withColumn("place", F.row_number().over(own.orderBy("classes", "key")))
+    return written(ranked.filter(F.col("place") <= F.col("s") - F.col("spare")).select("key", "cls"), "blocks")
+
+
+def _linked(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets link. Only sets that the pairs name are dealt out."""
+    named = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    sets = sketches.select("cls", "codes").join(named, "cls", "left_semi")
     a, b = (sets.select(F.col("cls").alias(x), F.col("codes").alias(f"codes_{x}")) for x in "ab")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("codes_a"), batch.column("codes_b"), strict=True):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 both = np.sort(np.concatenate((x, y)))
                 shared = int((both[1:] == both[:-1]).sum())
                 keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
@@ -230,9 +298,6 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", "codes_a", "codes_b").mapInArrow(rows, "a long, b long")
 
 
-_INFO = ("n", *(f"p{i}" for i in range(PARITY_WORDS)))
-
-
 def _possible(percent: int):
     """Whether the sizes and parities of a pair (columns n_a, p0_a, ..., n_b, ...) allow a link."""
     differ = sum((F.bit_count(F.col(f"p{i}_a").bitwiseXOR(F.col(f"p{i}_b"))) for i in range(PARITY_WORDS)), F.lit(0))
@@ -244,86 +309,90 @@ def _side(df: DataFrame, x: str, *more) -> DataFrame:
     return df.select(*more, F.col("cls").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in _INFO))
 
 
-def _still_open(blocks: DataFrame, groups: DataFrame) -> DataFrame:
+def _still_open(blocks: DataFrame, groups: DataFrame | None) -> DataFrame:
     """(key, cls, root) of the blocks that have several components."""
-    member = blocks.select("key", "cls").join(groups.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    if groups is None:
+        member = blocks.select("key", "cls", F.col("cls").alias("root"))
+    else:
+        member = blocks.select("key", "cls").join(groups.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     spread = member.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
     return member.join(spread.select("key"), "key")
 
 
-def _untested(pairs: DataFrame, tested: DataFrame) -> DataFrame:
-    return pairs.join(tested, ["a", "b"], "left_anti").join(tested.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-
+def _proposed(open_: DataFrame, sketches: DataFrame, percent: int, number: int) -> DataFrame:
+    """One pair (a, b) at most for each class a: b is of another component and shares blocks with a.
 
-def _proposed(open_: DataFrame, tested: DataFrame, info: DataFrame, percent: int, number: int) -> DataFrame:
-    """One pair (a, b) at most for each class a: b is of another component and was not held against a before.
-
-    In each block, the classes are held against one of the least component, and that one's against
-    one of the greatest; which ones, changes with the round.
+    In each block, the classes are held against its least class by a hash, and those of that one's
+    component against the greatest; the hash changes with the round.
     """
-    member = open_.withColumn("one", F.struct("root", F.xxhash64(F.lit(number), "cls").alias("h"), "cls"))
-    ends = member.groupBy("key").agg(F.min("one").alias("low"), F.max("one").alias("high"))
-    other = F.when(F.col("root") != F.col("low.root"), F.col("low.cls")).otherwise(F.col("high.cls"))
-    near = member.join(ends, "key").select(F.col("cls").alias("a"), other.alias("b")).groupBy("a", "b").agg(F.count("*").alias("shared"))
-    able = _untested(near, tested).join(_side(info, "a"), "a").join(_side(info, "b"), "b").filter(_possible(percent))
-    return able.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
-
-
-def _described(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, n, cls, p0, ...) of every row: size, class and parities of its set."""
-    names = ["doc_id", "n", "cls", *(f"p{i}" for i in range(PARITY_WORDS))]
-
-    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for step in text_steps(batch):
-                owners, values, sizes = shingle_sets(as_bytes(step.column("text")), n)
-                bits = parities(owners, values, len(sizes))
-                yield pa.RecordBatch.from_arrays(
-                    [step.column("doc_id"), pa.array(sizes, pa.int64()), as_long(classes(owners, values, sizes)), *(as_long(bits[:, i]) for i in range(PARITY_WORDS))], names=names
-                )
-
-    return written(docs.mapInArrow(describe, ", ".join(f"{x} long" for x in names)), "sets")
-
-
-def _placed(docs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
-    """(cls, root, doc_id) of every class with words: its component, and its least id."""
+    member = open_.withColumn("h", F.xxhash64(F.lit(number), "cls"))
+    ends = member.groupBy("key").agg(
+        F.min_by("cls", "h").alias("low"), F.min_by("root", "h").alias("low_root"), F.max_by("cls", "h").alias("high"), F.max_by("root", "h").alias("high_root")
+    )
+    other = F.when(F.col("root") != F.col("low_root"), F.col("low")).when(F.col("root") != F.col("high_root"), F.col("high"))
+    near = member.join(ends, "key").select(F.col("cls").alias("a"), other.alias("b")).filter("b IS NOT NULL").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    able = near.join(_side(sketches, "a"), "a").join(_side(sketches, "b"), "b").filter(_possible(percent))
+    return able.groupBy("a").agg(F.max_by("b", "shared").alias("b"))
+
+
+def _components(docs: DataFrame, rows: DataFrame, first: DataFrame, clashing: list[int], n: int, percent: int) -> DataFrame:
+    """(node, root) of the classes that links reach; a written table."""
     spark: SparkSession = docs.sparkSession
-    info = rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), *(F.min(c).alias(c) for c in _INFO))
-    blocks = written(shared_blocks(docs, n, percent).distinct(), "blocks")
-    needed = blocks.select("cls").distinct().join(info.select("cls", F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id")), "cls")
-    sets = written(_sets(docs, needed, n), "codes")
-    facts = info.drop("doc_id")
-
-    def pairs_of(rows: DataFrame, root: str) -> DataFrame:
+    info = first.withColumn("cls", identity("one", "other", clashing))
+    firsts = KeyFilter(info.select(F.col("cls").bitwiseXOR(_id()).alias("place")), "place")
+    common = _common_blocks(docs, firsts, clashing, n, percent)
+    sketches = _sketched(docs, info, firsts, KeyFilter(common, "key"), clashing, n, percent)
+    dropped(common)
+    blocks = _kept_blocks(sketches)
+
+    def all_pairs(rows: DataFrame) -> DataFrame:
         """All pairs (a, b) that share a block, can link and are of two components."""
-        told = rows.join(facts, "cls")
-        left, right = (_side(told, x, "key", F.col(root).alias(f"root_{x}")) for x in "ab")
+        told = rows.join(sketches.select("cls", *_INFO), "cls")
+        left, right = (_side(told, x, "key", F.col("root").alias(f"root_{x}")) for x in "ab")
         return left.join(right, (left["key"] == right["key"]) & (F.col("root_a") < F.col("root_b")) & _possible(percent)).select("a", "b").distinct()
 
-    def merged(groups: DataFrame, links: DataFrame) -> DataFrame:
-        out = components(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links))
-        used.append(out)
+    def joined(pairs: DataFrame, groups: DataFrame | None) -> DataFrame | None:
+        """The groups with the links among ``pairs``; None if there is none."""
+        pairs = written(pairs, "pairs")
+        links = written(_linked(pairs, sketches, percent), "links")
+        out = None
+        if not links.isEmpty():
+            edges = links if groups is None else links.unionByName(groups.select(F.col("node").alias("a"), F.col("root").alias("b")))
+            out = components(edges)
+            if groups is not None:
+                dropped(groups)
+        dropped(pairs, links)
         return out
 
-    small = written(pairs_of(blocks.filter("large = 0"), "cls"), "small")
-    used = [blocks, sets, small]
-    links = _linked(small, sets, percent)
-    groups = merged(spark.createDataFrame([], "node long, root long"), links)
-    open_, tested = blocks.filter("large = 1"), spark.createDataFrame([], "a long, b long")
+    groups, open_ = None, written(_still_open(blocks, None), "open")
+    dropped(blocks)
     for number in range(MOST_ROUNDS):
-        open_ = written(_still_open(open_, groups), "open")
-        pairs = written(_proposed(open_, tested, info, percent, number), "pairs")
-        links = written(_linked(pairs, sets, percent), "links")
-        used += [open_, pairs, links]
-        if links.isEmpty():
+        more = joined(_proposed(open_, sketches, percent, number), groups)
+        if more is None:
             break
-        tested = tested.unionByName(pairs)
-        groups = merged(groups, links)
-    rest = written(_untested(pairs_of(_still_open(open_, groups), "root"), tested), "rest")
-    links = written(_linked(rest, sets, percent), "links")
-    found = groups if links.isEmpty() else merged(groups, links)
-    dropped(rest, links, *(t for t in used if t is not found))
-    return info.select("cls", "doc_id").join(found.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("root", "cls").alias("root"), "doc_id")
+        groups, last = more, open_
+        open_ = written(_still_open(last, groups), "open")
+        dropped(last)
+    groups = joined(all_pairs(open_), groups) or groups
+    dropped(open_, sketches)
+    return groups
+
+
+def _placed(docs: DataFrame, rows: DataFrame, n: int, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(one, other, root, doc_id) of every class with words: its component, and its least id; the tables that it reads."""
+    first = _first(rows)
+    clashing = clashes(first.select("one", "other"), "one", "other")
+    groups = _components(docs, rows, first, clashing, n, percent)
+    placed = first.withColumn("cls", identity("one", "other", clashing))
+    if groups is None:
+        return placed.select("one", "other", F.col("cls").alias("root"), "doc_id"), [first]
+    placed = placed.join(groups.withColumnRenamed("node", "cls"), "cls", "left")
+    return placed.select("one", "other", F.coalesce("root", "cls").alias("root"), "doc_id"), [first, groups]
+
+
+def _told(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text and two hashes of the text, 128 bits together."""
+    return two(docs, id_col, text_col).select("doc_id", "text", *text_hashes("text"))
 
 
 def link_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -333,38 +402,41 @@ def link_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "d
     all its words as one if they are fewer, nothing without words. Rows link if 100 * intersection >=
     percent * union; component_id is the least doc_id that links reach. Rows without words link with
     nothing. Repeated rows are kept and are one class. A null id has the component of its set (null
-    if no row of it has an id). Empty in, empty out.
+    if no row of it has an id). Empty in, empty out. A text is one step of its task, whose memory is
+    some hundred times the bytes of the longest text.
     """
-    docs = two(docs, id_col, text_col)
-    rows = _described(docs, n)
-    placed = _placed(docs, rows, n, percent)
+    docs = _told(docs, id_col, text_col)
+    rows = _described(docs, n, percent)
+    placed, _ = _placed(docs, rows, n, percent)
     least = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    of_class = placed.select("cls", "root").join(least, "root").select("cls", "component_id")
+    of_class = placed.join(least, "root").select("one", "other", "component_id")
     own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return rows.select("doc_id", "n", "cls").join(of_class, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    return rows.select("doc_id", "n", "one", "other").join(of_class, ["one", "other"], "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of linked rows, the one with the least id (nulls last).
 
-    Rows without words all stay. Of rows that are equal in id and set, any one stays. All columns stay.
+    Rows without words all stay, as do all columns, whatever their names. Of rows that are equal in id
+    and text, any one stays; of those with equal id and set, the one with the least hash of its text.
     """
-    pair = two(docs, id_col, text_col)
-    placed = _placed(pair, _described(pair, n), n, percent)
-    best = placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "cls")).alias("best"))
-    best = written(best.select(F.col("best.cls").alias("cls"), F.coalesce("best.doc_id", F.lit(NO_ID)).alias("doc_id")), "best")
-    shipped = docs.sparkSession.sparkContext.broadcast(KeyFilter(best))
-
-    def able(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows that may be the best of their group, with their class."""
-        for batch in batches:
-            for step in text_steps(batch, text_col):
-                cls = classes(*shingle_sets(as_bytes(step.column(text_col)), n))
-                may = shipped.value.has(cls, step.column("__id").to_numpy(zero_copy_only=False).view(np.uint64))
-                yield pa.RecordBatch.from_arrays([*step.columns, as_long(cls)], names=[*step.schema.names, "__cls"]).filter(pa.array(may))
+    told = _told(docs, id_col, text_col)
+    rows = _described(told, n, percent)
+    placed, used = _placed(told, rows, n, percent)
+    key = ["none", "id", "h1", "h2"]
+    own = rows.filter("n > 0").select("one", "other", F.col("doc_id").isNull().alias("none"), _id().alias("id"), "h1", "h2")
+    best = own.join(placed.select("one", "other", "root"), ["one", "other"]).groupBy("root").agg(F.min(F.struct(*key)).alias("best")).select("best.*")
+    best = written(own.join(best, key, "left_semi").groupBy(*key).agg(F.count("*").alias("copies")), "best")
+    dropped(rows, *used)
 
     has_word = F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    mine = docs.filter(has_word).withColumn("__id", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)))
-    mine = mine.mapInArrow(able, StructType([*mine.schema.fields, StructField("__cls", LongType())]))
-    chosen = mine.join(best, (F.col("__cls") == best["cls"]) & (F.col("__id") == best["doc_id"]), "left_semi").dropDuplicates(["__cls"])
-    return chosen.drop("__id", "__cls").unionByName(docs.filter(~has_word))
+    names = free_names(docs, key)
+    whole = docs.filter(has_word).withColumns(dict(zip(names, [F.col(id_col).isNull(), F.coalesce(F.col(id_col).cast("long"), F.lit(0)), *text_hashes(text_col)], strict=True)))
+
+    def chosen(which: str) -> DataFrame:
+        return whole.join(best.filter(which).select(*(F.col(k).alias(x) for k, x in zip(key, names, strict=True))), names, "left_semi")
+
+    kept = chosen("copies = 1").drop(*names).unionByName(docs.filter(~has_word))
+    if best.filter("copies > 1").isEmpty():
+        return kept
+    return kept.unionByName(chosen("copies > 1").dropDuplicates(names).drop(*names))

@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pytest
 from tasklode.llm import ngram_join
+from tasklode.llm.common import clashes
 from tasklode.llm.components import components
 from tests.llm.shared import AWKWARD, DOCS, docs
 
@@ -63,23 +64,42 @@ def test_groups_against_brute_force(spark, seed, n, percent):
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in out) == brute(rows, n, percent)
 
 
-def test_hot_blocks_take_the_local_way(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "LOCAL_MEMBERS", 3)
-    monkeypatch.setattr(ngram_join, "SMALL", 2)
+def test_near_copies_just_above_and_below_the_threshold(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "MOST_ROUNDS", 1)
     rnd = random.Random(8)
     base = [f"w{i}" for i in range(150)]
     rows = []
-    for i in range(120):
+    for i in range(160):
         own = list(base)
-        own[rnd.randrange(150)] = f"x{i}"
+        for _ in range(1 + i % 4):
+            own[rnd.randrange(150)] = f"x{rnd.randrange(10_000)}"
         rows.append((i, " ".join(own)))
     rows += [(200, " ".join(base[:100])), (201, "other words here and there")]
     out = ngram_join.link_groups(docs(spark, rows).repartition(3), 4, 85).collect()
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in out) == brute(rows, 4, 85)
 
 
+def test_one_of_each_with_clashing_columns_ties_and_nulls(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(3, text, 1, "a"), (1, text, 2, "b"), (1, text, 3, "c"), (None, text, 4, "d"), (None, None, 5, "e"), (7, "", 6, "f"), (None, "alone here", 7, "g"), (9, text.upper(), 8, "h")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, h1 long, none string").selectExpr("*", "1 AS one", "2 AS __cls", "3 AS cls", "4 AS id", "5 AS _id", "6 AS root", "7 AS key")
+    out = ngram_join.one_of_each(df)
+    assert out.columns == df.columns
+    found = sorted(r.none for r in out.collect())
+    assert found in (["b", "e", "f", "g"], ["c", "e", "f", "g"])
+
+
+def test_classes_with_one_first_number_take_the_second(spark):
+    found = clashes(spark.createDataFrame([(1, 5), (1, 6), (2, 5)], "one long, other long"), "one", "other")
+    assert found == [1]
+    texts = [b"a b c d e", b"f g h i j k"]
+    free = ngram_join.Sets(texts, 4, 85, [])
+    held = ngram_join.Sets(texts, 4, 85, [int(free.one.view(np.int64)[0])])
+    assert held.cls.tolist() == [free.other[0], free.one[1]]
+
+
 @pytest.mark.parametrize("percent", [60, 80, 85])
-def test_linked_sets_share_a_kept_block(percent):
+def test_linked_sets_agree_on_enough_blocks(percent):
     rnd = np.random.default_rng(percent)
     for _ in range(400):
         size = int(rnd.integers(2, 900))
@@ -90,10 +110,12 @@ def test_linked_sets_share_a_kept_block(percent):
         shared = len(np.intersect1d(base, other))
         if 100 * shared < percent * (len(base) + len(other) - shared) or len(base) == shared == len(other):
             continue
-        both = np.concatenate((base, other))
-        owners = np.repeat([0, 1], [len(base), len(other)])
-        keys, text = ngram_join.block_keys(owners, both, np.array([len(base), len(other)]), percent)
-        assert set(keys[text == 0]) & set(keys[text == 1])
+        sizes = np.array([len(base), len(other)])
+        keys, text, band, spare = ngram_join.block_keys(np.repeat([0, 1], sizes), np.concatenate((base, other)), sizes, percent)
+        own = [{(b, k): z for k, t, b, z in zip(keys, text, band, spare, strict=True) if t == i} for i in (0, 1)]
+        low = max(set(band[text == 0]) & set(band[text == 1]))
+        both = {k: z for k, z in own[0].items() if k in own[1] and k[0] == low}
+        assert len(both) > max(both.values())
 
 
 def test_no_order_of_words_cancels():
