@@ -14,8 +14,8 @@ bounds the symmetric difference too, rejects most that aren't linked, and the se
 intersected.
 
 Copies (equal sets) are one class from the start. Components grow in rounds: every class that shares
-a block with another component is held against one class of it, the one that it shares most blocks
-with. Rounds end when they find no link, or after MOST_ROUNDS; then all classes that share a block,
+a block with another component is held against one class of it, the most alike of a few by the
+parities. Rounds end when they find no link, or after MOST_ROUNDS; then all classes that share a block,
 are not in one component and pass the bit sketch are held against each other. A group of near copies
 becomes one component in a few rounds and never makes all its pairs, and no link between components
 is missed.
@@ -44,7 +44,7 @@ from tasklode.llm.components import components
 #: Growth of the size bands, and the share of further blocks (z) over t + 1.
 BAND_RATIO, SPARE = 1.6, 0.35
 PARITY_WORDS = 8
-MOST_ROUNDS = 3
+MOST_ROUNDS = 4
 
 
 @dataclass(frozen=True)
@@ -298,11 +298,15 @@ def _linked(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", "codes_a", "codes_b").mapInArrow(rows, "a long, b long")
 
 
+def _differ():
+    """How many parities of a pair (columns p0_a, ..., p0_b, ...) differ: at most as many as n-grams."""
+    return sum((F.bit_count(F.col(f"p{i}_a").bitwiseXOR(F.col(f"p{i}_b"))) for i in range(PARITY_WORDS)), F.lit(0))
+
+
 def _possible(percent: int):
-    """Whether the sizes and parities of a pair (columns n_a, p0_a, ..., n_b, ...) allow a link."""
-    differ = sum((F.bit_count(F.col(f"p{i}_a").bitwiseXOR(F.col(f"p{i}_b"))) for i in range(PARITY_WORDS)), F.lit(0))
+    """Whether the sizes and parities of a pair (and columns n_a, n_b) allow a link."""
     sizes = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
-    return sizes & (differ * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent))
+    return sizes & (_differ() * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent))
 
 
 def _side(df: DataFrame, x: str, *more) -> DataFrame:
@@ -322,17 +326,19 @@ def _still_open(blocks: DataFrame, groups: DataFrame | None) -> DataFrame:
 def _proposed(open_: DataFrame, sketches: DataFrame, percent: int, number: int) -> DataFrame:
     """One pair (a, b) at most for each class a: b is of another component and shares blocks with a.
 
-    In each block, the classes are held against its least class by a hash, and those of that one's
-    component against the greatest; the hash changes with the round.
+    In each block, the classes meet its least class by a hash, and those of that one's component the
+    greatest. In the first round the hash is of the class alone, so a group of near copies meets few; then
+    of the block too, so a class meets another in each block. Of those it takes the one most alike by
+    the parities.
     """
-    member = open_.withColumn("h", F.xxhash64(F.lit(number), "cls"))
+    member = open_.withColumn("h", F.xxhash64(F.lit(number), "key", "cls") if number else F.xxhash64("cls"))
     ends = member.groupBy("key").agg(
         F.min_by("cls", "h").alias("low"), F.min_by("root", "h").alias("low_root"), F.max_by("cls", "h").alias("high"), F.max_by("root", "h").alias("high_root")
     )
     other = F.when(F.col("root") != F.col("low_root"), F.col("low")).when(F.col("root") != F.col("high_root"), F.col("high"))
-    near = member.join(ends, "key").select(F.col("cls").alias("a"), other.alias("b")).filter("b IS NOT NULL").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    near = member.join(ends, "key").select(F.col("cls").alias("a"), other.alias("b")).filter("b IS NOT NULL").distinct()
     able = near.join(_side(sketches, "a"), "a").join(_side(sketches, "b"), "b").filter(_possible(percent))
-    return able.groupBy("a").agg(F.max_by("b", "shared").alias("b"))
+    return able.groupBy("a").agg(F.min_by("b", _differ() / (F.col("n_a") + F.col("n_b"))).alias("b"))
 
 
 def _components(docs: DataFrame, rows: DataFrame, first: DataFrame, clashing: list[int], n: int, percent: int) -> DataFrame:
