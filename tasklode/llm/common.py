@@ -181,7 +181,7 @@ def powers(n: int, base: np.uint64) -> np.ndarray:
         kept = np.full(max(n, STEP_BYTES + 1), base, np.uint64)
         kept[0] = 1
         np.cumprod(kept, out=kept)
-        if n <= 8 * STEP_BYTES:
+        if n <= 2 * STEP_BYTES:
             _kept_powers[int(base)] = kept
     return kept[:n]
 

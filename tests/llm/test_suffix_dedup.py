@@ -4,7 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from tasklode.llm import exchange, suffix_dedup
+from tasklode.llm import suffix_dedup
 from tests.llm.shared import AWKWARD, DOCS, docs
 
 
@@ -49,8 +49,7 @@ def texts_of(seed, count, length):
 @pytest.mark.parametrize(("seed", "length", "q"), [(1, 200, 50), (2, 80, 20), (3, 60, 25), (4, 40, 8)])
 def test_against_brute_force(spark, seed, length, q, monkeypatch):
     if seed == 3:
-        monkeypatch.setattr(exchange, "LOCAL_MEMBERS", 2)
-        monkeypatch.setattr(suffix_dedup, "LOCAL_MEMBERS", 2)
+        monkeypatch.setattr(suffix_dedup, "CELLS", (6, 1))
     if seed == 4:
         monkeypatch.setattr(suffix_dedup, "PART", 300)
     rows = [(i if i % 29 else None, t) for i, t in enumerate(texts_of(seed, 150, length))] + [r for r in AWKWARD if not r[1] or len(r[1]) < 20_000]
@@ -66,6 +65,29 @@ def test_text_without_its_repeats(spark):
     assert out == {1: ("firsté", "a"), 2: ("second", "b"), 3: ("alone", "c"), 4: (None, None)}
 
 
+def test_clashing_columns_and_the_least_id(spark):
+    passage = "passage " * 40
+    rows = [(-(1 << 63), "first " + passage, 1), (2, passage + "second", 2), (None, None, 3), (None, "x" * 300, 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, cls long").selectExpr("*", "1 AS __cls", "2 AS _cls", "3 AS h1", "4 AS _spans", "5 AS id", "6 AS none", "7 AS key", "8 AS at")
+    out = suffix_dedup.removed(df)
+    assert out.columns == df.columns
+    assert {r.cls: r.text for r in out.collect()} == {1: "first", 2: "second", 3: None, 4: ""}
+    ids = {r.doc_id: (r.n_bytes, r.n_removed) for r in suffix_dedup.measure(df.filter("cls < 3")).collect()}
+    assert ids == {-(1 << 63): (326, 321), 2: (326, 320)}
+
+
+def test_pointers_tell_strings_apart():
+    rng = np.random.default_rng(1)
+    data = np.frombuffer(b"abab" * 200 + bytes(rng.integers(97, 99, 3000, np.uint8)), np.uint8)
+    own = suffix_dedup.Pointers(data, 8, 45)
+    assert sorted(own.levels) == [8, 16, 32]
+    for size in (8, 15, 25, 45):
+        start = np.arange(len(data) - size + 1)
+        ids = own.hash(start, size, np.zeros(len(start), np.int64))
+        strings = [data[i : i + size].tobytes() for i in start]
+        assert len(set(ids.tolist())) == len(set(strings)) == len(set(zip(ids.tolist(), strings, strict=True)))
+
+
 def test_long_words_and_empty(spark):
     rows = [(1, "abc " * 30_000), (2, "x" * 50_000), (3, "")]
     out = {r.doc_id: (r.n_removed, r.n_spans) for r in suffix_dedup.measure(docs(spark, rows)).collect()}
