@@ -162,11 +162,23 @@ class Dfa:
     dead: int
 
 
-def compile_rules(patterns: list[str], anywhere: bool) -> Dfa:
-    """One minimal automaton for all patterns; with ``anywhere`` a match can begin at any byte."""
+def reversed_tree(node: tuple) -> tuple:
+    """The tree of what ``node`` matches, read backwards."""
+    kind = node[0]
+    if kind == "cat":
+        return ("cat", *map(reversed_tree, node[:0:-1]))
+    if kind == "or":
+        return ("or", *map(reversed_tree, node[1:]))
+    return ("rep", reversed_tree(node[1]), *node[2:]) if kind == "rep" else node
+
+
+def compile_rules(patterns: list[str], anywhere: bool, backwards: bool = False) -> Dfa:
+    """One minimal automaton for all patterns; with ``anywhere`` a match can begin at any byte. With
+    ``backwards`` it reads bytes from the last to the first."""
     nfa = _Nfa()
     root = nfa.state()
-    ends = {nfa.add(_Parser(p).parse(), root): 1 << i for i, p in enumerate(patterns)}
+    trees = [_Parser(p).parse() for p in patterns]
+    ends = {nfa.add(reversed_tree(t) if backwards else t, root): 1 << i for i, t in enumerate(trees)}
     if anywhere:
         again = nfa.state()
         nfa.skip[root].append(again)
@@ -213,42 +225,33 @@ def compile_rules(patterns: list[str], anywhere: bool) -> Dfa:
     return Dfa(classes, table, place[block[0]], accepting, labels, dead)
 
 
-def fired(dfa: Dfa, data: bytes) -> int:
-    """Bits of the rules that match somewhere: one pass over the bytes."""
-    table, accepting, state, bits = dfa.table, dfa.accepting, dfa.start, 0
-    seen: set[int] = set()
-    for c in data.translate(dfa.classes):
+def begins(dfa: Dfa, data: bytes) -> list[tuple[int, int]]:
+    """(place, bits of the rules) where matches begin, from the last: one pass of a ``backwards`` automaton
+    that is ``anywhere``."""
+    table, accepting, state, labels = dfa.table, dfa.accepting, dfa.start, dfa.labels
+    last = len(data) - 1
+    out = []
+    for i, c in enumerate(data.translate(dfa.classes)[::-1]):
         state = table[state + c]
         if state >= accepting:
-            seen.add(state)
-    for s in seen:
-        bits |= dfa.labels[s]
-    return bits
-
-
-def find_all(dfa: Dfa, data: bytes) -> list[tuple[int, int]]:
-    """Leftmost-longest non-overlapping matches of an automaton that isn't ``anywhere``; none is empty."""
-    table, accepting, start, dead = dfa.table, dfa.accepting, dfa.start, dfa.dead
-    codes = data.translate(dfa.classes)
-    begins = {c for c in set(dfa.classes) if table[start + c] != dead}
-    out, i, n = [], 0, len(codes)
-    while i < n:
-        if codes[i] not in begins:
-            i += 1
-            continue
-        state, end, j = start, -1, i
-        while j < n and (state := table[state + codes[j]]) != dead:
-            j += 1
-            if state >= accepting:
-                end = j
-        if end > i:
-            out.append((i, end))
-            i = end
-        else:
-            i += 1
+            out.append((last - i, labels[state]))
     return out
 
 
+def longest(dfa: Dfa, codes: bytes, begin: int) -> int:
+    """The end of the longest match from ``begin`` on of an automaton that isn't ``anywhere``; ``begin`` if there is none.
+    ``codes`` are the data's classes."""
+    table, accepting, dead = dfa.table, dfa.accepting, dfa.dead
+    state, end = dfa.start, begin
+    for j in range(begin, len(codes)):
+        state = table[state + codes[j]]
+        if state >= accepting:
+            end = j + 1
+        elif state == dead:
+            break
+    return end
+
+
 def matches_whole(dfa: Dfa, data: bytes) -> bool:
     """Whether an automaton that isn't ``anywhere`` matches all of ``data``."""
     state = dfa.start

@@ -1,9 +1,11 @@
 """Secret scans: all rules in one deterministic automaton, one pass over the bytes of a text.
 
 A rule has a base form, whose leftmost non-overlapping matches are taken, and the form that a match
-must have to be kept (its least length). The combined automaton of what every kept match begins
-with reads each byte once; only where it accepts are a rule's own matches delimited, by the
-automaton of its base form.
+must have to be kept (its least length). The combined automaton reads each byte once, from the last to
+the first, and accepts where a match of a rule begins, with the rules that begin there. So every
+begin is known to lead to a match; from the leftmost on, each match is followed to its end by the
+automaton of its rule, and begins inside it are passed over. Only the bytes of matches (and the one
+after them) are read again, so the work grows with the length of the text.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tasklode.llm.automata import Dfa, compile_rules, find_all, fired, matches_whole
+from tasklode.llm.automata import Dfa, begins, compile_rules, longest, matches_whole
 from tasklode.llm.common import as_bytes, text_steps, two, with_column
 
 SPANS = "array<struct<kind: string, start: long, end: long>>"
@@ -30,8 +32,9 @@ def nocase(word: str) -> str:
 class Rule:
     """A kind of secret; ``kept`` is what a match of ``base`` must look like as a whole.
 
-    ``begins`` is what each kept match begins with. It is as long as keeps the automaton small: a
-    counted run in which a second match can begin multiplies the states.
+    ``begins`` is what each match of ``base`` begins with (or at least each kept one, if those that it
+    leaves out can't overlap them). It is as long as keeps the automaton small: a counted run in which a
+    second match can begin multiplies the states.
     """
 
     kind: str
@@ -67,7 +70,7 @@ RULES = BASE_RULES + MORE_RULES
 def automata(rules: tuple[Rule, ...]) -> tuple[Dfa, list[Dfa], list[Dfa]]:
     """The combined automaton, and each rule's base and kept form; once per worker."""
     return (
-        compile_rules([r.begins for r in rules], anywhere=True),
+        compile_rules([r.begins for r in rules], anywhere=True, backwards=True),
         [compile_rules([r.base], anywhere=False) for r in rules],
         [compile_rules([r.kept], anywhere=False) for r in rules],
     )
@@ -76,11 +79,16 @@ def automata(rules: tuple[Rule, ...]) -> tuple[Dfa, list[Dfa], list[Dfa]]:
 def scan(data: bytes, rules: tuple[Rule, ...] = RULES) -> list[tuple[int, int, int]]:
     """(start, rule's index, end) in bytes, by start, then rule."""
     combined, base, kept = automata(rules)
-    bits = fired(combined, data)
+    done, codes = [0] * len(rules), {}
     out = []
-    for i in range(len(rules)):
-        if bits >> i & 1:
-            out += [(a, i, b) for a, b in find_all(base[i], data) if matches_whole(kept[i], data[a:b])]
+    for at, bits in reversed(begins(combined, data)):
+        for i in range(bits.bit_length()):
+            if bits >> i & 1 and at >= done[i]:
+                if i not in codes:
+                    codes[i] = data.translate(base[i].classes)
+                done[i] = longest(base[i], codes[i], at)
+                if matches_whole(kept[i], data[at : done[i]]):
+                    out.append((at, i, done[i]))
     return sorted(out)
 
 
@@ -97,6 +105,7 @@ def find(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id
     """(doc_id, spans) of every row: kind, start and end in code points, by start, then rule.
 
     A null or empty text has no spans. Repeated rows and null ids are kept. Empty in, empty out.
+    Spans of two kinds can overlap, those of one can't; a very long text takes as many steps as bytes.
     """
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 

@@ -1,9 +1,10 @@
 import random
 import re
+import time
 
 import pytest
 from tasklode.llm import secrets
-from tasklode.llm.automata import compile_rules, find_all, fired, matches_whole
+from tasklode.llm.automata import begins, compile_rules, longest, matches_whole
 from tests.llm.shared import AWKWARD, DOCS, docs
 
 #: The contract's expressions, for Python's engine: kind, expression, group, least length.
@@ -54,14 +55,23 @@ def test_redaction_joins_overlapping_spans(spark):
 
 @pytest.mark.parametrize("pattern", ["ab?c*", "(a|bc)+d{2,3}", "[^a-c]x{2}", "a{0,2}b", "\\x41\\.?", "(ab|a)(c|bcd)?"])
 def test_automata_against_python(pattern):
-    rnd, dfa, anywhere = random.Random(1), compile_rules([pattern], False), compile_rules([pattern], True)
+    rnd, dfa, back = random.Random(1), compile_rules([pattern], False), compile_rules([pattern], True, backwards=True)
     own = re.compile(pattern.encode())
     for _ in range(300):
         data = "".join(rnd.choices("abcdxA.", k=rnd.randint(0, 12))).encode()
         assert matches_whole(dfa, data) == bool(own.fullmatch(data))
-        assert bool(fired(anywhere, data)) == bool(own.search(data))
+        places = [at for at, _ in begins(back, data)]
+        assert sorted(places) == [at for at in range(len(data)) if own.match(data, at)]
         if pattern != "(ab|a)(c|bcd)?":  # Python takes the first option, not the longest
-            assert find_all(dfa, data) == [m.span() for m in own.finditer(data)]
+            codes = data.translate(dfa.classes)
+            assert [longest(dfa, codes, at) for at in places] == [own.match(data, at).end() for at in places]
+
+
+@pytest.mark.parametrize("part", ["eyJ", "0a", "eyJa.", "token=", "-----BEGIN ", "AKIA", "xoxb-", "eyJa.b.c "])
+def test_any_text_takes_linear_time(part):
+    began = time.process_time()
+    secrets.scan(part.encode() * (1_500_000 // len(part)))
+    assert time.process_time() - began < 6
 
 
 def test_minimal_and_empty(spark):
