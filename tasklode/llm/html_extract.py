@@ -2,11 +2,15 @@
 
 Every block of text has the path of tags from the root to it. Text length and punctuation are
 aggregated per path, fused to a ratio, smoothed over the page's blocks and thresholded: the paths
-above are content. The container with most of the content's score (an article or main element if
-there is one) is the article; in it, lists of links go, and what is marked as menu, advert, comment
-and the like by its element or hidden. A mark by class, id or role counts only if the element holds
-little of the page's content. Without such an element all that lies between content blocks of the container is the article's,
-whatever its path, and so are lists, tables and the like next to its content; lists of links go.
+above are content. The ratios pick the node: from the root, the search goes down as long as one child
+holds most of the content's score. An article or main element around that node is taken whole (or the
+one in it with the highest score); in it, lists of links go, and what is marked as menu, advert, comment
+and the like by its element or hidden. A mark by class, id or role is only a veto: it counts if the
+element holds little of the page's content. Without such an element all that lies between content
+blocks of the node is the article's, whatever its path, and so are lists, tables and the like next to
+its content; lists of links go.
+
+A page is read once; the work grows with its length, however deeply it is nested.
 """
 
 from __future__ import annotations
@@ -72,9 +76,10 @@ MOST_LINKED = 0.5
 
 
 class _Element:
-    __slots__ = ("chief", "dropped", "header", "label", "marked", "parent", "partly", "tag")
+    __slots__ = ("block", "chief", "dropped", "goes", "header", "label", "linked", "marked", "number", "parent", "partly", "score", "tag")
 
-    def __init__(self, tag: str, attrs: str, parent: _Element | None) -> None:
+    def __init__(self, tag: str, attrs: str, parent: _Element | None, number: int, labels: dict[tuple[int, str], int]) -> None:
+        """``number`` counts the page's elements; ``labels`` numbers its paths of tags."""
         named = {k.lower(): v.strip("\"'").lower() for k, v in _ATTR.findall(attrs)} if attrs and not attrs.isspace() else {}
         marks = set(_WORD.findall(f"{named.get('class', '')} {named.get('id', '')}"))
         role = named.get("role", "")
@@ -90,7 +95,11 @@ class _Element:
         #: A marked element that a block can have in it, or in such a one.
         self.partly = tag in INLINE and (self.marked > 0 or bool(parent and parent.partly))
         self.header = bool(parent and parent.header) or tag == "header" or (own and tag not in HEADINGS and "header" in marks)
-        self.label = f"{parent.label}>{tag}" if parent else tag
+        self.label = labels.setdefault((parent.label if parent else -1, tag), len(labels))
+        self.linked = tag == "a" or bool(parent and parent.linked)
+        #: The innermost element around or at it that makes blocks.
+        self.block: _Element = parent.block if parent and tag in INLINE else self
+        self.number, self.score, self.goes = number, 0.0, False
 
 
 class _Block:
@@ -105,30 +114,39 @@ def _spaced(parts: list[tuple[str, int, _Element | None]]) -> str:
     return " ".join("".join(p[0] for p in parts).split())
 
 
-def blocks_of(page: str) -> list[_Block]:
-    """The page's blocks of text in order, each with its element; white space is one space."""
+def blocks_of(page: str) -> tuple[list[_Block], list[_Element]]:
+    """The page's blocks of text in order, each with its element (white space is one space), and all
+    elements, those around others first."""
     out: list[_Block] = []
-    root = _Element("html", "", None)
-    stack = [root]
+    labels: dict[tuple[int, str], int] = {}
+    elements = [_Element("html", "", None, 0, labels)]
+    stack = [elements[0]]
+    #: Where in the stack the elements of each tag are, and the last that ends a search.
+    places: dict[str, list[int]] = {}
+    scopes = [0]
     parts: list[tuple[str, int, _Element | None]] = []
 
     def flush() -> None:
         if parts:
             text = _spaced(parts)
             if text:
-                where = stack[-1]
-                while where.tag in INLINE and where.parent:
-                    where = where.parent
-                out.append(_Block(where, text, sum(p[1] for p in parts), parts.copy() if any(p[2] for p in parts) else []))
+                out.append(_Block(stack[-1].block, text, sum(p[1] for p in parts), parts.copy() if any(p[2] for p in parts) else []))
             parts.clear()
 
+    def close(place: int) -> None:
+        for e in stack[place:]:
+            places[e.tag].pop()
+            if e.tag in SCOPES:
+                scopes.pop()
+        del stack[place:]
+
     for m in _TOKEN.finditer(page):
         text = m["text"]
         if text is not None:
             text = html.unescape(text) if "&" in text else text
-            if stack[-1].tag in INLINE and stack[-1].dropped:
-                continue
-            parts.append((text, len(text) if any(e.tag == "a" for e in stack) else 0, stack[-1] if stack[-1].partly else None))
+            top = stack[-1]
+            if not (top.tag in INLINE and top.dropped):
+                parts.append((text, len(text) if top.linked else 0, top if top.partly else None))
             continue
         tag = m["tag"] or m["tag2"]
         if tag is None:
@@ -138,38 +156,35 @@ def blocks_of(page: str) -> list[_Block]:
         if tag not in INLINE:
             flush()
         if m["close"] or m["close2"]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
+            if places.get(tag):
+                close(places[tag][-1])
             continue
         if tag == "html" or tag in VOID:
             continue
-        ends = ENDS.get(tag)
-        if ends:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in ends:
-                    del stack[i:]
-                    break
-                if stack[i].tag in SCOPES:
-                    break
-        stack.append(_Element(tag, attrs, stack[-1]))
+        ended = max((places[t][-1] for t in ENDS.get(tag, ()) if places.get(t)), default=0)
+        if ended and ended >= scopes[-1]:
+            close(ended)
+        elements.append(_Element(tag, attrs, stack[-1], len(elements), labels))
         if attrs.endswith("/") and tag in INLINE:
-            stack.pop()
+            continue
+        places.setdefault(tag, []).append(len(stack))
+        if tag in SCOPES:
+            scopes.append(len(stack))
+        stack.append(elements[-1])
     flush()
-    return out
+    return out, elements
 
 
-def content_paths(blocks: list[_Block]) -> dict[str, float]:
+def content_paths(blocks: list[_Block]) -> dict[int, float]:
     """The smoothed, fused ratio of each path that is content."""
-    total: dict[str, list[float]] = {}
+    total: dict[int, list[float]] = {}
     for b in blocks:
         sums = total.setdefault(b.element.label, [0, 0, 0, 0])
         for i, x in enumerate((1, len(b.text), len(_PUNCTUATION.findall(b.text)), b.linked)):
             sums[i] += x
     fused = {p: (chars / n) * math.log2(2 + marks / n) * max(0.0, 1 - links / chars) for p, (n, chars, marks, links) in total.items()}
     row = [fused[b.element.label] for b in blocks]
-    smooth: dict[str, list[float]] = {}
+    smooth: dict[int, list[float]] = {}
     for i, b in enumerate(blocks):
         near = row[max(0, i - 1) : i + 2]
         smooth.setdefault(b.element.label, []).append(0.5 * row[i] + 0.5 * sum(near) / len(near))
@@ -179,121 +194,135 @@ def content_paths(blocks: list[_Block]) -> dict[str, float]:
     return {p: r for p, r in ratio.items() if r >= least and total[p][3] <= MOST_LINKED * total[p][1]}
 
 
-def _outermost(e: _Element, top: _Element) -> _Element | None:
-    """The outermost list, table or the like around (or at) e, in ``top``; None if there is none."""
-    found = None
-    while e is not None and e is not top:
-        found = e if e.tag in PARTS else found
-        e = e.parent
-    return found
+def _wholes(elements: list[_Element], top: _Element) -> list[_Element | None]:
+    """By number, the outermost list, table or the like around (or at) each element, in ``top``; None if there is none."""
+    out: list[_Element | None] = []
+    for e in elements:
+        around = out[e.parent.number] if e.parent else None
+        out.append(None if e is top or e.number < top.number else around or (e if e.tag in PARTS else None))
+    return out
 
 
 def link_lists(blocks: list[_Block]) -> list[bool]:
     """Whether each block is in a list of links: its own list or table where it is in one, all blocks of its path else."""
     groups = []
     total: dict[object, list[int]] = {}
+    of_row: dict[int, _Element] = {}
     for b in blocks:
-        e = b.element
+        e, rows = b.element, []
         if e.parent and e.tag in ("p", "div") and e.parent.tag in ("li", "dt", "dd"):
             e = e.parent
-        while e.parent and e.tag in ROWS:
+        while e.parent and e.tag in ROWS and e.number not in of_row:
+            rows.append(e.number)
             e = e.parent
-        groups.append(id(e) if e.tag in GROUPS else b.element.label)
+        e = of_row.get(e.number, e)
+        of_row.update(dict.fromkeys(rows, e))
+        groups.append((e.number,) if e.tag in GROUPS else b.element.label)
         sums = total.setdefault(groups[-1], [0, 0])
         sums[0] += b.linked
         sums[1] += len(b.text)
     return [b.element.tag not in HEADINGS and total[g][0] > MOST_LINKED * total[g][1] for b, g in zip(blocks, groups, strict=True)]
 
 
-def between(blocks: list[_Block], paths: dict[str, float], top: _Element) -> list[_Block]:
-    """Of the blocks of the container ``top``: the headings, what lies between content blocks, and lists, tables and the like beside content."""
+def between(blocks: list[_Block], paths: dict[int, float], wholes: list[_Element | None]) -> list[_Block]:
+    """Of the blocks of a container: the headings, what lies between content blocks, and lists, tables and the like beside content."""
     links = link_lists(blocks)
     content = [i for i, b in enumerate(blocks) if b.element.label in paths and not links[i]]
     if not content:
         return [b for b in blocks if b.element.tag in HEADINGS]
-    beside = {id((_outermost(blocks[i].element, top) or blocks[i].element).parent) for i in content}
+    around = [wholes[b.element.number] for b in blocks]
+    beside = {id((around[i] or blocks[i].element).parent) for i in content}
     out = []
     for i, b in enumerate(blocks):
-        part = _outermost(b.element, top)
-        inner = content[0] <= i <= content[-1] or (part is not None and id(part.parent) in beside)
+        inner = content[0] <= i <= content[-1] or (around[i] is not None and id(around[i].parent) in beside)
         if b.element.tag in HEADINGS or (inner and not links[i]):
             out.append(b)
     return out
 
 
-def _up(e: _Element | None, stop: _Element | None = None) -> Iterator[_Element]:
-    """e and what is around it, as far as ``stop``."""
-    while e is not None and e is not stop:
-        yield e
-        e = e.parent
-
-
-def unmarked(blocks: list[_Block]) -> list[_Block]:
-    """The blocks less what is in elements marked by words or a role that hold little of the page's content."""
-    if not any(b.parts or any(e.marked for e in _up(b.element)) for b in blocks):
-        return blocks
-    paths = content_paths(blocks)
-    score: dict[int, float] = {}
-    whole = 0.0
+def _scored(blocks: list[_Block], elements: list[_Element], paths: dict[int, float]) -> float:
+    """Gives every element the content's score of all in it, marked inline elements included; the whole page's."""
+    for e in elements:
+        e.score = 0.0
     for b in blocks:
         ratio = paths.get(b.element.label, 0.0)
-        whole += len(b.text) * ratio
-        for e, stop, chars in [(b.element, None, len(b.text)), *((p[2], b.element, len(p[0])) for p in b.parts if p[2])]:
-            for x in _up(e, stop):
-                score[id(x)] = score.get(id(x), 0.0) + chars * ratio
-    goes: dict[int, bool] = {}
-
-    def gone(e: _Element | None) -> bool:
-        # from the outside in, without recursion: pages can be nested deeply
-        for x in reversed([x for x in _up(e) if id(x) not in goes]):
-            little = not whole or score.get(id(x), 0.0) < x.marked * whole
-            goes[id(x)] = (x.parent is not None and goes[id(x.parent)]) or (x.marked > 0 and little)
-        return e is not None and goes[id(e)]
-
+        own = 0
+        for text, _, e in b.parts:
+            if e is not None:
+                e.score += len(text) * ratio
+                own += len(text)
+        b.element.score += max(0, len(b.text) - own) * ratio
+    for e in reversed(elements):
+        if e.parent:
+            e.parent.score += e.score
+    return elements[0].score
+
+
+def unmarked(blocks: list[_Block], elements: list[_Element]) -> list[_Block]:
+    """The blocks less what is in elements marked by words or a role that hold little of the page's content."""
+    if not any(e.marked for e in elements):
+        return blocks
+    whole = _scored(blocks, elements, content_paths(blocks))
+    for e in elements:
+        little = not whole or e.score < e.marked * whole
+        e.goes = bool(e.parent and e.parent.goes) or (e.marked > 0 and little)
     out = []
     for b in blocks:
-        if gone(b.element):
+        if b.element.goes:
             continue
         if b.parts:
-            left = [p for p in b.parts if p[2] is None or not gone(p[2])]
-            b.text, b.linked = _spaced(left), sum(p[1] for p in left)
+            left = [p for p in b.parts if p[2] is None or not p[2].goes]
+            b.text, b.linked, b.parts = _spaced(left), sum(p[1] for p in left), left
         if b.text:
             out.append(b)
     return out
 
 
+def picked_node(elements: list[_Element]) -> _Element:
+    """From the root down, the element that still holds LEAST_SHARE of the content's score of what it is in."""
+    best: dict[int, _Element] = {}
+    for e in elements[1:]:
+        if e.parent.number not in best or e.score > best[e.parent.number].score:
+            best[e.parent.number] = e
+    here = elements[0]
+    while (below := best.get(here.number)) is not None and below.score >= LEAST_SHARE * here.score:
+        here = below
+    return here
+
+
 def extract(page: str | None) -> str:
     """The main text of one page; empty if there is none."""
-    blocks = unmarked([b for b in blocks_of(page or "") if not b.element.dropped])
+    blocks, elements = blocks_of(page or "")
+    blocks = unmarked([b for b in blocks if not b.element.dropped], elements)
     paths = content_paths(blocks)
-    score: dict[int, float] = {}
-    elements: dict[int, _Element] = {}
-    inside: list[set[int]] = []
-    for b in blocks:
-        weight = len(b.text) * paths.get(b.element.label, 0.0)
-        above, e = set(), b.element
-        while e is not None:
-            above.add(id(e))
-            elements[id(e)] = e
-            score[id(e)] = score.get(id(e), 0.0) + weight
-            e = e.parent
-        inside.append(above)
-    if not any(score.values()):
+    if not _scored(blocks, elements, paths):
         return ""
-    chiefs = [k for k, e in elements.items() if e.chief and score[k] > 0]
-    if chiefs:
-        best = max(chiefs, key=lambda k: score[k])
-        picked = [b for b, above in zip(blocks, inside, strict=True) if best in above]
-        picked = [b for b, links in zip(picked, link_lists(picked), strict=True) if not links]
-    else:
-        here = next(k for k, e in elements.items() if e.parent is None)
-        while True:
-            below = [k for k, e in elements.items() if e.parent is not None and id(e.parent) == here and score[k] >= LEAST_SHARE * score[here]]
-            if not below or elements[below[0]].label in paths:
-                break
-            here = below[0]
-        picked = between([b for b, above in zip(blocks, inside, strict=True) if here in above and not b.element.header], paths, elements[here])
-    return " ".join(b.text for b in picked)
+    here = picked_node(elements)
+    # the innermost article or main element around it, unless one further out holds more
+    top, e = None, here
+    while e is not None:
+        if e.chief and (top is None or e.score > top.score):
+            top = e
+        e = e.parent
+    if top is None:
+        inside = within(elements, here)
+        top = max((e for e in elements if e.chief and e.score > 0 and inside[e.number]), key=lambda e: e.score, default=None)
+    if top is not None:
+        inside = within(elements, top)
+        picked = [b for b in blocks if inside[b.element.number]]
+        return " ".join(b.text for b, links in zip(picked, link_lists(picked), strict=True) if not links)
+    while here.parent and (here.label in paths or here.tag in INLINE):  # a single block isn't the container
+        here = here.parent
+    inside = within(elements, here)
+    return " ".join(b.text for b in between([b for b in blocks if inside[b.element.number] and not b.element.header], paths, _wholes(elements, here)))
+
+
+def within(elements: list[_Element], top: _Element) -> list[bool]:
+    """By number, whether each element is ``top`` or in it."""
+    out = []
+    for e in elements:
+        out.append(e is top or (e.parent is not None and out[e.parent.number]))
+    return out
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import pyarrow.parquet as pq
 import pytest
@@ -73,6 +74,30 @@ def test_marked_inline_elements_and_long_comments():
     assert html_extract.extract(comments) == plain(PARAGRAPH)
 
 
+@pytest.mark.parametrize("wrap", ["<div><div>{}</div></div>", "<article>{}</article>"])
+def test_ratios_pick_the_node(wrap, monkeypatch):
+    inner = f"<h1>Title</h1>{PARAGRAPH * 6}"
+    rows = "".join(f"<div>entry {i}</div>" for i in range(400))
+    other = f"<article>{rows}</article>" if "article" in wrap else f"<section>{rows}</section>"
+    page = AROUND.replace("{}", other + wrap.replace("{}", inner))
+    assert html_extract.extract(page) == plain(inner)
+    monkeypatch.setattr(html_extract, "content_paths", lambda blocks: dict.fromkeys((b.element.label for b in blocks), 1.0))
+    assert "entry 7" in html_extract.extract(page)
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div>" * 100_000 + PARAGRAPH, "<span>" * 50_000 + "<p>x</p> y" * 50_000, "<div>" * 50_000 + "</x>" * 50_000 + PARAGRAPH,
+        "<li><div>" + "<span>" * 40_000 + "<li>a</li>" * 40_000, "<ul><li>" * 40_000 + PARAGRAPH, "<div class=ad>" * 50_000 + PARAGRAPH * 2,
+    ],
+)
+def test_deep_pages_take_linear_time(page):
+    began = time.process_time()
+    html_extract.extract(page)
+    assert time.process_time() - began < 8
+
+
 @needs_testdata
 def test_whole_articles_of_the_test_pages():
     for page in pq.read_table("/root/testdata/sf0.01/pages.parquet")["html"].to_pylist():
