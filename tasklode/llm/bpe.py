@@ -158,11 +158,17 @@ def _encode_long(docs: DataFrame, path: str, pattern: str, size: int, overlap: i
         .groupBy("doc_id", "digest")
         .agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("parts"))
     )
-    joined = F.aggregate("parts", F.lit(b""), lambda a, x: F.concat(a, x["ids"]))
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            whole = [b"".join(x["ids"] for x in parts) for parts in batch.column("parts").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in _KEY), pa.array(whole, pa.binary())], names=[*_KEY, "ids"])
+
     return (
-        encoded.alias("c")
+        encoded.mapInArrow(joined, "doc_id long, digest string, ids binary")
+        .alias("c")
         .join(long.drop("text").alias("t"), same)
-        .select(F.col("c.doc_id").alias("doc_id"), joined.alias("ids"), "t.copies")
+        .select(F.col("c.doc_id").alias("doc_id"), "c.ids", "t.copies")
         .select("doc_id", "ids", F.explode(F.sequence(F.lit(1), "copies")).alias("_"))
         .drop("_")
     )
@@ -182,7 +188,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, ids_col: str = "ids") -> DataFrame:
-    """``encoded`` with a column ``decoded``: the bytes of the ids, concatenated. Null ids give null."""
+    """``encoded`` with a column ``decoded`` (in place of one of that name): the bytes of the ids, concatenated. Null ids give null."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(path, pattern)

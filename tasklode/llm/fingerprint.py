@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -139,7 +140,7 @@ def _digest(ids: list, texts: list[str], following: list[str]) -> pa.RecordBatch
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprint of every text and of its edited form, with their likeness and that to the next text.
 
-    Texts are in the order of doc_id (nulls first), then text; after the last comes the first. A
+    Texts are in the order of doc_id (nulls first), those of equal ids in that of a hash; after the last comes the first. A
     null text is empty; a text without words has an empty fingerprint. Equal texts have equal
     fingerprints. Repeated rows follow each other. A single row is its own next. Empty in, empty out.
 
@@ -147,47 +148,47 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     once; the first and last text of each partition are put together afterwards.
     """
     docs = two(docs, id_col, text_col).withColumn("text", F.coalesce("text", F.lit("")))
-    order = [F.col("doc_id").asc_nulls_first(), F.col("text").asc()]
+    ranges = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
     fields = [c.split() for c in _RESULT.split(", ")]
     blank = [pa.nulls(1, {"long": pa.int64(), "binary": pa.binary(), "double": pa.float64()}[t]) for _, t in fields]
+    edges = ["text", "part", "first"]
 
-    def edge(doc_id: int | None, text: str, first: bool, last: bool) -> pa.RecordBatch:
-        columns = [pa.array([doc_id], pa.int64()), *blank[1:], pa.array([text], pa.string()), pa.array([first]), pa.array([last])]
-        return pa.RecordBatch.from_arrays(columns, names=[*(n for n, _ in fields), "text", "first", "last"])
+    def edge(doc_id: int | None, text: str, first: bool) -> pa.RecordBatch:
+        own = TaskContext.get().partitionId()
+        columns = [pa.array([doc_id], pa.int64()), *blank[1:], pa.array([text], pa.string()), pa.array([own], pa.int64()), pa.array([first])]
+        return pa.RecordBatch.from_arrays(columns, names=[*(n for n, _ in fields), *edges])
 
     def in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before, opened = None, False
+        before = None
         for batch in batches:
             for part in text_steps(batch):
                 ids, texts = part.column("doc_id").to_pylist(), part.column("text").to_pylist()
-                if before is not None:
-                    if not opened:
-                        yield edge(*before, True, False)
-                        opened = True
+                if before is None:
+                    yield edge(ids[0], texts[0], True)
+                else:
                     ids, texts = [before[0], *ids], [before[1], *texts]
                 before = ids[-1], texts[-1]
                 if len(ids) > 1:
-                    if not opened:
-                        yield edge(ids[0], texts[0], True, False)
-                        opened = True
                     done = _digest(ids[:-1], texts[:-1], texts[1:])
                     n = done.num_rows
                     yield pa.RecordBatch.from_arrays(
-                        [*done.columns, pa.nulls(n, pa.string()), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.bool_())], names=[*done.schema.names, "text", "first", "last"]
+                        [*done.columns, pa.nulls(n, pa.string()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_())], names=[*done.schema.names, *edges]
                     )
         if before is not None:
-            yield edge(*before, not opened, True)
+            yield edge(*before, False)
 
     def at_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield _digest(*(batch.column(n).to_pylist() for n in ("doc_id", "text", "following")))
 
-    dealt = docs.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(*order)
-    done = written(dealt.mapInArrow(in_order, f"{_RESULT}, text string, first boolean, last boolean"), "fingerprints")
-    # two rows a partition at most, in the order of the partitions
-    ends = done.filter("first IS NOT NULL").select("doc_id", "text", "first", "last")
-    along = Window.orderBy(*order, F.col("last").asc())
-    all_of = along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    joined = ends.withColumn("following", F.coalesce(F.lead("text").over(along), F.first("text").over(all_of))).filter("last")
-    both = done.filter("first IS NULL").select(*(n for n, _ in fields)).unionByName(joined.select("doc_id", "text", "following").mapInArrow(at_edges, _RESULT))
+    dealt = docs.repartitionByRange(*ranges).sortWithinPartitions(*ranges, F.col("text").asc())
+    done = written(dealt.mapInArrow(in_order, f"{_RESULT}, text string, part long, first boolean"), "fingerprints")
+    # the last text of a partition goes with the first of the next that has rows; only the numbers of partitions meet in a task
+    ends = done.filter("first IS NOT NULL").select("doc_id", "text", "part", "first")
+    along = Window.orderBy("part")
+    whole = along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    after = ends.filter("first").select("part", F.coalesce(F.lead("part").over(along), F.first("part").over(whole)).alias("after"))
+    following = ends.filter("first").select(F.col("part").alias("after"), F.col("text").alias("following"))
+    joined = ends.filter("NOT first").join(after, "part").join(following, "after").select("doc_id", "text", "following")
+    both = done.filter("first IS NULL").select(*(n for n, _ in fields)).unionByName(joined.mapInArrow(at_edges, _RESULT))
     return both.select(*(F.lower(F.hex(n)).alias(n) if t == "binary" else F.col(n) for n, t in fields))

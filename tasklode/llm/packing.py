@@ -3,7 +3,7 @@
 Only the counts of pieces by length (at most ``capacity`` of them, whatever the input) reach the
 driver. Best fit over the counts gives runs: pieces of one length, by rank, take the same place in
 consecutive sequences. Pieces get their rank within their length without meeting in one task
-(ranks within a salt, plus the count of the salts before), and take their slot by joining on it.
+(ranks within a salt, plus the count of the salts before), and take their slot by joining on its block of ranks.
 """
 
 from __future__ import annotations
@@ -23,7 +23,9 @@ from tasklode.llm.common import two, written
 #: Pieces of one length that one task ranks, about.
 RANKED_TOGETHER = 100_000
 LEAST_SALTS = 64
-#: Runs up to which the plan is broadcast; beyond it is joined by a shuffle.
+#: Blocks that the ranks of a length are cut into, so that a piece meets only the runs of its block.
+RANK_BLOCKS = 1_024
+#: Rows of the plan up to which it is broadcast; beyond it is joined by a shuffle.
 BROADCAST_RUNS = 500_000
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -71,6 +73,15 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
     return runs
 
 
+def by_block(runs: list[tuple[int, int, int, int, int]], counts: dict[int, int]) -> list[tuple[int, int, int, int, int, int]]:
+    """(length, block, first rank, pieces, first sequence, offset): each run in every block of ranks that it reaches."""
+    out = []
+    for length, first, n, sequence, offset in runs:
+        width = -(-counts[length] // RANK_BLOCKS)
+        out += [(length, block, first, n, sequence, offset) for block in range(first // width, (first + n - 1) // width + 1)]
+    return out
+
+
 def pieces_of(docs: DataFrame, path: str, pattern: str, capacity: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of each piece; only the first may be short of ``capacity``."""
     added = added_tokens(path)
@@ -96,32 +107,38 @@ def pack(docs: DataFrame, path: str, pattern: str, capacity: int = 2048, end_id:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Added tokens of the vocabulary (in the json beside ``path``) are matched inside texts. A document is its ids and ``end_id``, so a null or empty text is one piece of length 1. Rows
-    with equal ids are separate documents; null ids are kept. Ties in length are ranked by doc_id,
-    piece and checksum; what is equal in all of these can change places. Empty in, empty out.
+    with equal ids are separate documents; null ids are kept. Ties in length are ranked by a hash of
+    the row, so pieces of one length can change places. Very long texts are many pieces. Empty in, empty out.
     """
     spark = docs.sparkSession
-    pieces = written(pieces_of(docs, path, pattern, capacity, end_id, id_col, text_col), "pieces")
+    found = pieces_of(docs, path, pattern, capacity, end_id, id_col, text_col)
+    # a row's own number is in its hash, so that equal rows don't share one
+    pieces = written(found.withColumn("own", F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id())), "pieces")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    runs = plan(histogram, capacity)
-    slots = spark.createDataFrame(runs or [(0, 0, 0, 0, 0)], "run_length long, first_rank long, run_pieces long, first_sequence long, run_offset long")
+    runs = by_block(plan(histogram, capacity), histogram)
+    slots = spark.createDataFrame(runs or [(0,) * 6], "run_length long, run_block long, first_rank long, run_pieces long, first_sequence long, run_offset long")
     if len(runs) <= BROADCAST_RUNS:
         slots = F.broadcast(slots)
 
     salts = LEAST_SALTS + sum(histogram.values()) // RANKED_TOGETHER
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
+    salted = pieces.withColumn("salt", F.pmod("own", F.lit(salts)))
+    of_length = Window.partitionBy("length")
     before = (
         salted.groupBy("length", "salt")
         .agg(F.count("*").alias("n"))
-        .withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)))
-        .select(F.col("length").alias("b_length"), F.col("salt").alias("b_salt"), F.coalesce("before", F.lit(0)).alias("before"))
+        .withColumn("before", F.sum("n").over(of_length.orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)))
+        .withColumn("width", F.ceil(F.sum("n").over(of_length) / F.lit(RANK_BLOCKS)))
+        .select(F.col("length").alias("b_length"), F.col("salt").alias("b_salt"), F.coalesce("before", F.lit(0)).alias("before"), "width")
     )
-    within = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
+    within = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32", "own")
     ranked = (
         salted.withColumn("within", F.row_number().over(within) - 1)
         .join(before, (F.col("length") == F.col("b_length")) & (F.col("salt") == F.col("b_salt")))
         .withColumn("rank", F.col("before") + F.col("within"))
+        .withColumn("block", F.floor(F.col("rank") / F.col("width")))
     )
-    here = (F.col("length") == F.col("run_length")) & (F.col("rank") >= F.col("first_rank")) & (F.col("rank") < F.col("first_rank") + F.col("run_pieces"))
+    same = (F.col("length") == F.col("run_length")) & (F.col("block") == F.col("run_block"))
+    here = same & (F.col("rank") >= F.col("first_rank")) & (F.col("rank") < F.col("first_rank") + F.col("run_pieces"))
     return ranked.join(slots, here).select(
         "doc_id",
         "piece",

@@ -41,7 +41,7 @@ def longest_repeats(hashes: np.ndarray, owner: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         keys = mix(hashes ^ mix((owner.astype(np.uint64) + np.uint64(1)) * MIX_A))
     order = np.argsort(keys, kind="stable")
-    rank = np.empty(n, np.int64)
+    rank = np.empty(n, np.int32 if n < 1 << 31 else np.int64)  # one copy is kept of each doubling
 
     def ranked(order: np.ndarray, new: np.ndarray, base: np.ndarray) -> np.ndarray:
         """Ranks the sorted suffixes by the place of their group's head; True where a group has one member."""
@@ -142,7 +142,8 @@ def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     The base fails below LEAST_WORDS words or if repeats of REPEAT_WORDS or more cover over
     MOST_COVERED percent of the words; the longest repeat must not be over both LONG_REPEAT words
     and LONG_PERCENT percent of them. A null or empty text has no words and fails. Repeated rows
-    and null ids are kept. Empty in, empty out.
+    and null ids are kept. Empty in, empty out. Memory grows with the words of the longest text
+    times the logarithm of its longest repeat.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

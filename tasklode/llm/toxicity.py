@@ -30,6 +30,8 @@ WINDOW = 8
 LEAST_BAG = 100
 #: Labelled texts of each class, at most, that the model is fitted to.
 SAMPLE = 1_500
+#: Code points of a text in the sample, at most: what reaches the driver is bounded. Longer ones are only scored.
+LONGEST = 20_000
 EPOCHS, RATE, DECAY, SEED = 150, 0.05, 1e-4, 11
 #: Words whose sums a worker keeps.
 KEPT_WORDS = 400_000
@@ -173,7 +175,7 @@ def fold(doc_id) -> F.Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", most: int = SAMPLE) -> tuple[list[str], list[int]]:
-    """At most ``most`` texts of each class outside fold 0, in the order of a hash of their ids.
+    """At most ``most`` texts of each class outside fold 0, in the order of a hash of their ids; none over LONGEST.
 
     First the ids are picked, then only their texts are read. An id with several texts gives the
     least of them; an id with both labels counts as toxic.
@@ -185,6 +187,7 @@ def sample(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", most: i
         .groupBy("doc_id")
         .agg(F.max("y").alias("y"))
     )
+    docs = docs.filter(F.coalesce(F.char_length("text"), F.lit(0)) <= LONGEST)
     present = one.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     picked = [present.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for y in (0, 1)]
     chosen = F.broadcast(picked[0].unionByName(picked[1]))
@@ -197,7 +200,7 @@ def score(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", most: in
 
     Only rows outside fold 0 are learnt from. A null or empty text gets the score of a text
     without words. Without labels of both classes, the score is the same for all. Repeated rows and
-    null ids are kept. Empty in, empty out.
+    null ids are kept. Empty in, empty out. Texts of any length are scored whole, in steps of words.
     """
     docs = two(docs, id_col, text_col)
     spark = docs.sparkSession

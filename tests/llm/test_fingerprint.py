@@ -66,6 +66,28 @@ def test_rows_and_their_neighbours(spark, partitions):
         assert r.near_edited == 1 or r.fingerprint != r.edited_fingerprint
 
 
+def test_likeness_of_rows_against_brute_force(spark):
+    rnd = random.Random(5)
+    base = [f"w{rnd.randint(0, 300)}" for _ in range(400)]
+    rows = []
+    for i in range(60):
+        keep = rnd.randint(0, 400)
+        rows.append((i, " ".join(base[:keep] + [f"x{rnd.randint(0, 9_999)}" for _ in range(400 - keep)])))
+    out = {r.doc_id: r for r in fingerprint.fingerprints(docs(spark, rows)).collect()}
+    near, changed = [], []
+    for (i, a), (_, b) in zip(rows, [*rows[1:], rows[0]], strict=True):
+        near.append(out[i].near_next - jaccard(bag(a), bag(b)))
+        changed.append(out[i].near_edited - jaccard(bag(a), bag(fingerprint.edited(a, b))))
+    for errors in (near, changed):
+        assert abs(np.mean(errors)) < 0.05 and np.abs(errors).max() < 0.3
+
+
+def test_equal_ids_follow_in_one_order(spark):
+    rows = [(1, f"text {i} with words") for i in range(50)] + [(2, "last one")]
+    out = fingerprint.fingerprints(docs(spark, rows)).collect()
+    assert len(out) == 51 and sorted(r.n_chars for r in out) == sorted(len(t) for _, t in rows)
+
+
 def test_edits_and_few_rows(spark):
     assert fingerprint.edited("abcdefghi", "XYZ") == "abcdefgXY" and fingerprint.edited("abcdefgh", "X") == "abcdefX" and fingerprint.edited("abc", "X") == "abc"
     one = fingerprint.fingerprints(spark.createDataFrame([(1, "one two three four")], DOCS)).first()

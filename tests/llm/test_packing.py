@@ -83,5 +83,15 @@ def test_added_tokens_inside_texts(spark):
     assert got == want and own.encode(rows[0][1], add_special_tokens=False).ids == [64, 220, 50256, 275]
 
 
+def test_a_plan_too_long_to_ship_is_joined_by_a_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BROADCAST_RUNS", 0)
+    monkeypatch.setattr(packing, "RANK_BLOCKS", 4)
+    rows = [(None, "same text")] * 200 + [(i, "word " * (i % 30)) for i in range(200)]
+    out = packing.pack(docs(spark, rows), queries.RANKS, P.PATTERN, capacity=64).toPandas()
+    assert len(out) == 400 and out.groupby("sequence_id").length.sum().max() <= 64
+    for _, g in out.sort_values("offset").groupby("sequence_id"):
+        assert (g.offset.to_numpy() == g.length.cumsum().shift(fill_value=0).to_numpy()).all()
+
+
 def test_empty(spark):
     assert packing.pack(spark.createDataFrame([], DOCS), queries.RANKS, P.PATTERN).count() == 0
