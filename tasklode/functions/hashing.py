@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Mapping
 from typing import Any
 
 import pandas as pd
@@ -59,24 +58,22 @@ def canonical_json_hash(text: Column | str, compact: bool = True) -> Column:
     return hashed(col(text))
 
 
-def without_keys(value: Any, keys: frozenset[str]) -> Any:
-    """A JSON value without the keys, at any depth; the order of what stays is kept."""
-    if isinstance(value, Mapping):
-        return {str(k): without_keys(v, keys) for k, v in value.items() if str(k) not in keys}
-    return [without_keys(v, keys) for v in value] if isinstance(value, list) else value
+def parsed_without(text: str, keys: frozenset[str]) -> Any:
+    """The value of a JSON text; the keys are dropped from every object as it is read, the order of the others is kept."""
+    return json.loads(text, object_pairs_hook=lambda pairs: dict(p for p in pairs if p[0] not in keys))
 
 
 def sanitized_json(text: Column | str, keys: frozenset[str] = IDENTIFIER_KEYS) -> Column:
-    """A JSON object without identifier keys, in its own order; null if it isn't a JSON object."""
+    """A JSON object without identifier keys, in its own order; other JSON as it is; null if it isn't JSON."""
 
     @F.pandas_udf("string")
     def clean(texts: pd.Series) -> pd.Series:
         def one(t: str | None) -> str | None:
             try:
-                value = json.loads(t) if t is not None else None
+                value = parsed_without(t, keys) if t is not None else None
             except ValueError:
                 return None
-            return json.dumps(without_keys(value, keys), ensure_ascii=False) if isinstance(value, dict) else None
+            return json.dumps(value, ensure_ascii=False) if isinstance(value, dict) else t
 
         return texts.map(one, na_action=None)
 

@@ -14,7 +14,7 @@ Z = 1.959963984540054
 def nearest_rank(x: Column | str, q: float) -> Column:
     """Aggregate: the sorted value at index round-half-even((n - 1) q); null of nothing.
 
-    Equal values are counted first, so a group's state is its distinct values.
+    A group's values are collected, so this is for small groups; ``profiling.nearest_ranks`` is for any.
     """
     values = F.sort_array(F.collect_list(col(x)))
     at = F.bround((F.count(col(x)) - 1).cast("double") * q, 0).cast("int") + 1

@@ -91,24 +91,39 @@ def audit_action(x: Column | str) -> Column:
     return F.struct(name.alias("name"), F.when(hit, F.lower(strip(F.regexp_extract(part, pattern, 2)))).alias("argument"))
 
 
+#: The audit's product ids, and the names of buttons.
+PRODUCT_ID = r"^\p{Nd}{8,16}\z"
+BUTTONS = {
+    "Buy Now": ("buy now", "buy", "购买", "立即购买"),
+    "Next >": ("next >", "next", "下一页", ">"),
+    "Back/navigation": ("back to search", "< prev", "prev", "返回搜索", "返回"),
+    "product section": ("description", "features", "reviews"),
+}
+
+
 def action_kind(name: Column | str, argument: Column | str) -> Column:
     """Seven kinds of action."""
     arg = F.lower(strip(argument))
-    return (
+    out = (
         F.when(col(name) == "search", "search")
         .when((F.coalesce(col(name), F.lit("")) != "click") | (F.coalesce(col(argument), F.lit("")) == ""), "malformed/other")
-        .when(arg.rlike(r"^(?:[a-z0-9]{8,20}|[0-9]+)\z") & arg.rlike("[0-9]"), "product ASIN/numeric click")
-        .when(arg.isin("buy now", "buy", "购买", "立即购买"), "Buy Now")
-        .when(arg.isin("next >", "next", "下一页", ">"), "Next >")
-        .when(arg.isin("back to search", "< prev", "prev", "返回搜索", "返回"), "Back/navigation")
-        .when(arg.isin("description", "features", "reviews"), "product section")
-        .otherwise("option/other click")
+        .when(arg.rlike(PRODUCT_ID), "product ASIN/numeric click")
     )
+    for kind, names in BUTTONS.items():
+        out = out.when(arg.isin(*names), kind)
+    return out.otherwise("option/other click")
+
+
+def casefold(x: Column | str) -> Column:
+    """Text without differences of case, as Unicode folds it (``ß`` is ``ss``, a final sigma a sigma); ``ı`` stays."""
+    # what stands between keeps Catalyst from leaving out the upper case
+    upper = F.translate(F.upper(F.translate(col(x), "ı", "\ue000")), "\ue000", "ı")
+    return F.translate(F.lower(upper), "ς", "σ")
 
 
 def contains_argument(argument: Column | str, observation: Column | str) -> Column:
     """Whether the observation shows the argument; null if either is missing. One character must stand alone."""
-    needle, hay = F.lower(strip(argument)), F.lower(col(observation))
+    needle, hay = casefold(strip(argument)), casefold(observation)
     padded = F.concat(F.lit(" "), F.regexp_replace(hay, r"(?U)(?<=\w)(?=\w)", "\u0001"), F.lit(" "))
     lone = F.contains(F.regexp_replace(padded, r"(?U)\w(?:\u0001\w)+", " "), needle)
     return F.when((F.coalesce(needle, F.lit("")) == "") | hay.isNull(), F.lit(None).cast("boolean")).when(F.char_length(needle) <= 1, lone).otherwise(F.contains(hay, needle))

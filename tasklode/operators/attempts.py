@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tasklode.functions.similarity import exact_duplicate, fingerprint, near_duplicate
-from tasklode.functions.stats import nearest_rank, ratio, wilson
+from tasklode.functions.stats import ratio, wilson
 from tasklode.functions.text import col, normalize_action
+from tasklode.operators.profiling import nearest_ranks
+from tasklode.operators.ranking import dealt, positions, sums_before
 
 # Statuses that say something about the infrastructure, and those of genuine failures.
 INFRA = ("infrastructure_interrupted", "provider_config_error", "provider_model_mismatch", "environment_fatal_error", "cancelled")
@@ -27,20 +29,19 @@ def ordinals(attempts: DataFrame, by: list[str], order: list) -> DataFrame:
 
 
 def first_success(genuine: DataFrame, task: str, success: str, order: list, tasks: DataFrame | None = None) -> DataFrame:
-    """(task, attempts, first_success): per task, the attempts up to the first success or all, and its ordinal.
+    """(task, attempts, first_success): per task, all its attempts, and the ordinal of the first success.
 
     With ``tasks`` every task has a row; one without attempts has 0.
     """
     told = ordinals(genuine, [task], order)
-    out = told.groupBy(task).agg(F.count("*").alias("all_attempts"), F.min(F.when(F.col(success), F.col("ordinal"))).alias("first_success"))
-    out = out.select(task, F.coalesce("first_success", "all_attempts").alias("attempts"), "first_success")
+    out = told.groupBy(task).agg(F.count("*").alias("attempts"), F.min(F.when(F.col(success), F.col("ordinal"))).alias("first_success"))
     if tasks is not None:
         out = tasks.select(task).distinct().join(out, task, "left").withColumn("attempts", F.coalesce("attempts", F.lit(0)))
     return out
 
 
 def success_summary(outcomes: DataFrame) -> DataFrame:
-    """One row: tasks, solved, within 1, 2 and 3, mean ordinal over the solved, burden, and the Wilson interval."""
+    """One row: tasks, solved, within 1, 2 and 3, mean ordinal over the solved, burden (all attempts by the solved), and the Wilson interval."""
     rate = wilson("solved", "tasks")
     return outcomes.agg(
         F.count("*").alias("tasks"),
@@ -123,22 +124,18 @@ def overlay(base: DataFrame, repair: DataFrame, key: str) -> DataFrame:
     return base.join(repair.select(key).distinct(), key, "left_anti").unionByName(repair, allowMissingColumns=True)
 
 
-def most_at_once(intervals: DataFrame, start: str, end: str, buckets: int = 64) -> DataFrame:
+def most_at_once(intervals: DataFrame, start: str, end: str) -> DataFrame:
     """(peak): the most intervals open at one time; one that ends when another starts doesn't overlap it.
 
-    Times are dealt to ranges; a range's running sum starts from the sum of those before it, so no
-    task sorts all events.
+    Times are dealt to sampled ranges; a range's running sum starts from the sum of those before it, so no
+    task sorts all events, however they bunch.
     """
     a, b = (F.unix_micros(F.col(x).cast("timestamp")) for x in (start, end))
     events = intervals.select(F.explode(F.array(F.struct(a.alias("t"), F.lit(1).alias("d")), F.struct(b.alias("t"), F.lit(-1).alias("d")))).alias("e")).select("e.*")
-    at = events.groupBy("t").agg(F.sum("d").alias("d"))
-    bounds = events.agg(F.min("t").cast("double").alias("low"), F.max("t").cast("double").alias("high"))
-    step = F.greatest((F.col("high") - F.col("low")) / buckets, F.lit(1.0))
-    placed = at.crossJoin(F.broadcast(bounds)).withColumn("k", F.least(F.lit(buckets - 1), F.floor((F.col("t").cast("double") - F.col("low")) / step)))
-    sums = placed.groupBy("k").agg(F.sum("d").alias("s"))
-    before = sums.withColumn("base", F.coalesce(F.sum("s").over(Window.partitionBy(F.lit(0)).orderBy("k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    running = F.sum("d").over(Window.partitionBy("k").orderBy("t"))
-    return placed.withColumn("run", running).join(before.select("k", "base"), "k").agg(F.max(F.col("run") + F.col("base")).cast("long").alias("peak"))
+    placed = dealt(events.groupBy("t").agg(F.sum("d").alias("d")), [F.col("t")], "k", "place")
+    before = sums_before(placed.groupBy("k").agg(F.sum("d").alias("s")), "k", "s", "base")
+    running = F.sum("d").over(Window.partitionBy("k").orderBy("place"))
+    return placed.withColumn("run", running).join(F.broadcast(before.select("k", "base")), "k").agg(F.max(F.col("run") + F.col("base")).cast("long").alias("peak"))
 
 
 def wall_seconds(start: Column | str, end: Column | str) -> Column:
@@ -194,9 +191,10 @@ def group_statistics(attempts: DataFrame) -> DataFrame:
     rows = {"wall": wall, "api_total": api, "input": ins, "output": outs, "total": ins + outs}
     steps = {"api_call": "api_diagnostics", "environment_step": "environment_diagnostics"}
     values = F.concat(F.array(*(one(k, x) for k, x in rows.items())), *(each(k, c) for k, c in steps.items()))
-    told = attempts.select(group.alias("group"), F.explode(values).alias("v")).select("group", "v.*").filter("x IS NOT NULL").groupBy("group", "measure")
-    quantiles = [nearest_rank("x", q).alias(n) for n, q in (("p50", 0.5), ("p90", 0.9), ("p95", 0.95))]
-    told = told.agg(F.count("x").alias("n"), F.avg("x").alias("mean"), *quantiles, F.max("x").alias("max"), F.sum("x").alias("s"))
+    told = attempts.select(group.alias("group"), F.explode(values).alias("v")).select("group", "v.*").filter("x IS NOT NULL")
+    ranks = nearest_ranks(told, ["group", "measure"], "x", {"p50": 0.5, "p90": 0.9, "p95": 0.95})
+    sums = told.groupBy("group", "measure").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.max("x").alias("max"), F.sum("x").alias("s"))
+    told = sums.join(ranks, ["group", "measure"]).select("group", "measure", "n", "mean", "p50", "p90", "p95", "max", "s")
     share = told.groupBy("group").agg(ratio(F.max(F.when(F.col("measure") == "api_total", F.col("s"))), F.max(F.when(F.col("measure") == "wall", F.col("s")))).alias("api_share"))
     names = [(g, m) for g in ("successful", "genuine_failed", "infra") for m in (*rows, *steps)]
     every = attempts.sparkSession.createDataFrame(names, "group string, measure string")
@@ -263,13 +261,7 @@ def one_of_each_task(attempts: DataFrame, task: str, order: list, count: int) ->
     return first.orderBy(*order).limit(count)
 
 
-def progress_marks(accepted: DataFrame, order: str, every: int = 25, buckets: int = 200) -> DataFrame:
-    """(order, accepted): the rows at which the number of accepted reaches a multiple of ``every``.
-
-    Ranks come from counts per range of the order and ranks within it, so no task sorts all rows.
-    """
-    dealt = accepted.select(order).repartitionByRange(buckets, order).withColumn("k", F.spark_partition_id())
-    counts = dealt.groupBy("k").agg(F.count("*").alias("n"))
-    before = counts.withColumn("base", F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    ranked = dealt.withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy(order))).join(before.select("k", "base"), "k")
-    return ranked.withColumn("accepted", (F.col("r") + F.col("base")).cast("long")).filter(F.col("accepted") % every == 0).select(order, "accepted")
+def progress_marks(accepted: DataFrame, order: str, every: int = 25) -> DataFrame:
+    """(order, accepted): the rows at which the number of accepted reaches a multiple of ``every``."""
+    counted = positions(accepted.select(order), [order]).withColumn("accepted", F.col("at") + 1)
+    return counted.filter(F.col("accepted") % every == 0).select(order, "accepted")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tasklode.functions.text import col
+from tasklode.operators import conversations
+from tasklode.session import cut
 
 
 def first_failure(gates: list[tuple[str, Column]]) -> Column:
@@ -20,18 +24,69 @@ def reason_counts(rows: DataFrame, reason: str) -> DataFrame:
     return rows.groupBy(F.coalesce(reason, F.lit("kept")).alias(reason)).agg(F.count("*").alias("n"))
 
 
+#: The reasons of the freeze gates, in their order.
+FREEZE_REASONS = (
+    "duplicate_or_missing_sqlite_acceptance", "duplicate_task_id", "wrong_scenario", "not_pass_a", "not_accepted", "non_success_record",
+    "invalid_terminal", "not_train", "target_id_exploitation",
+)
+
+
 def first_wins(rows: DataFrame, accepted: str, task: str, order: str, known: DataFrame) -> DataFrame:
-    """``rows`` with shadow_reason of the two sequential duplicate gates.
+    """``rows`` with shadow_reason of the two sequential duplicate gates; ``order`` has no ties.
 
-    An id must be in ``known`` and first by order; among those, a task must be first. A row that a
-    later gate rejects still shadows the ones after it. Keys are near unique, so the windows are small.
+    In order, a row passes if its id is in ``known`` and neither its id nor its task has passed before;
+    only rows that pass both gates shadow later ones (a later gate may still reject them). Rows
+    that are the first of all that is left, for both their keys, pass together; what shares a key
+    with them goes, and the rest has another round. Keys are near unique, so there are few rounds.
+    Null tasks are one task, null ids are unknown.
+    """
+    keys = rows.select(F.col(accepted).alias("id"), F.coalesce(F.col(task).cast("string"), F.lit("")).alias("task"), F.col(order).alias("at"))
+    left = keys.join(known.select(F.col(accepted).alias("id")).distinct(), "id", "left_semi")
+    passed = []
+    while not left.isEmpty():
+        of_id, of_task = (left.groupBy(k).agg(F.min("at").alias(f"{k}_at")) for k in ("id", "task"))
+        now = left.join(of_id, "id").join(of_task, "task").filter("at = id_at AND at = task_at").select("id", "task", "at")
+        passed.append(cut(now))
+        left = cut(left.join(passed[-1].select("id"), "id", "left_anti").join(passed[-1].select("task"), "task", "left_anti"))
+    through = reduce(DataFrame.unionByName, passed) if passed else keys.limit(0)
+    by_id = through.select(F.col("id").alias("__id"), F.col("at").alias("__id_at"))
+    by_task = through.select(F.col("task").alias("__task"), F.col("at").alias("__task_at"))
+    told = rows.join(by_id, F.col(accepted) == F.col("__id"), "left").join(by_task, F.coalesce(F.col(task).cast("string"), F.lit("")) == F.col("__task"), "left")
+    is_known = known.select(F.col(accepted).alias("__known")).distinct()
+    told = told.join(is_known, F.col(accepted) == F.col("__known"), "left")
+    reason = F.when(F.col("__known").isNull() | (F.col("__id_at") < F.col(order)), FREEZE_REASONS[0]).when(F.col("__task_at") < F.col(order), FREEZE_REASONS[1])
+    return told.withColumn("shadow_reason", reason).drop("__id", "__id_at", "__task", "__task_at", "__known")
+
+
+def freeze(records: DataFrame, known: DataFrame, train: DataFrame, scenario: str, order: str = "file") -> DataFrame:
+    """``records`` with reason: the first freeze gate that a record fails, null if it stays; and messages as exported.
+
+    Columns: accepted_id, task_id, scenario, pass, accepted, r_succ, r_finish, done, purchase, target
+    (both product ids), actions, messages, visible_responses, and ``order`` (unique). After the nine
+    gates come the reasons of ``conversations.problem_of`` and the leak check.
     """
-    told = rows.join(known.select(F.col(accepted), F.lit(True).alias("__known")).distinct(), accepted, "left")
-    first_id = F.row_number().over(Window.partitionBy(accepted).orderBy(order)) == 1
-    told = told.withColumn("__ok", F.coalesce("__known", F.lit(False)) & first_id)
-    first_task = F.row_number().over(Window.partitionBy(task, "__ok").orderBy(order)) == 1
-    reason = F.when(~F.col("__ok"), "duplicate_or_missing_acceptance").when(~first_task, "duplicate_task_id")
-    return told.withColumn("shadow_reason", reason).drop("__known", "__ok")
+    told = first_wins(records, "accepted_id", "task_id", order, known.select("accepted_id"))
+    trained = train.select(F.col("task_id").alias("__train")).distinct()
+    told = told.join(trained, F.col("task_id") == F.col("__train"), "left")
+
+    def unless(ok: Column) -> Column:
+        return ~F.coalesce(ok, F.lit(False))
+
+    gates = [
+        unless(F.col("scenario") == scenario),
+        unless(F.col("pass") == "A"),
+        unless(F.col("accepted")),
+        unless((F.col("r_succ") == 1) & (F.col("r_finish") == 1) & F.col("done")),
+        ~F.col("purchase").eqNullSafe(F.col("target")),
+        F.col("__train").isNull(),
+        exploits_target("target", "actions", "messages"),
+    ]
+    reason = first_failure(list(zip(FREEZE_REASONS[2:], gates, strict=True)))
+    problem = conversations.problem_of("messages", F.col("visible_responses"), F.col("scenario"))
+    policy = conversations.sanitized("messages", F.col("scenario"))
+    leak = F.when(conversations.leaks("__policy"), "evaluator-only field in messages")
+    told = told.withColumn("__policy", policy).withColumn("reason", F.coalesce("shadow_reason", reason, problem, leak))
+    return told.withColumn("messages", F.when(F.col("reason").isNull(), F.col("__policy"))).drop("shadow_reason", "__policy", "__train")
 
 
 def exploits_target(target: Column | str, actions: Column | str, messages: Column | str) -> Column:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tasklode.functions.hashing import canonical_hash
 from tasklode.functions.text import col
+from tasklode.operators.ranking import positions
 
 #: Seconds before the first, second and further retries.
 BACKOFF = (2.0, 5.0, 10.0)
@@ -25,10 +26,9 @@ def episode_seeds(manifest: DataFrame, position: str, base: int) -> DataFrame:
     """``manifest`` with episode_seed: base + the place in order. Seeds are below 2 ** 32."""
     if type(base) is not int or base < 0:
         raise ValueError("the base seed must be a non-negative integer")
-    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(position)) - 1
-    seed = F.lit(base) + place.cast("long")
+    seed = F.lit(base) + F.col("__at")
     fine = F.when(seed < 2**32, seed).otherwise(F.raise_error(F.lit("seed is too large")).cast("long"))
-    return manifest.withColumn("episode_seed", fine)
+    return positions(manifest, [position], "__at").withColumn("episode_seed", fine).drop("__at")
 
 
 def stream_key(strategy: str, seed: int, scope: str, scenario: Column | str, task: Column | str) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tasklode.functions.stats import linear, nearest_rank
@@ -30,6 +30,23 @@ def nearest_summary(x: Column | str) -> list[Column]:
     return [F.avg(x).alias("mean"), nearest_rank(x, 0.5).alias("p50"), nearest_rank(x, 0.9).alias("p90"), nearest_rank(x, 0.95).alias("p95"), F.max(x).alias("max")]
 
 
+def nearest_ranks(df: DataFrame, by: str | list[str], x: str, quantiles: dict[str, float]) -> DataFrame:
+    """(by, names of ``quantiles``): sorted values at index round-half-even((n - 1) q), nulls left out.
+
+    Equal values are counted before the shuffle; a running sum over a group's distinct values finds the places.
+    """
+    by = [by] if isinstance(by, str) else by
+    counts = df.filter(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count("*").alias("__c"))
+    own = Window.partitionBy(*by)
+    told = counts.withColumn("__n", F.sum("__c").over(own)).withColumn("__to", F.sum("__c").over(own.orderBy(x)))
+
+    def at(q: float) -> Column:
+        place = F.bround((F.col("__n") - 1).cast("double") * q, 0).cast("long")
+        return F.max(F.when((place < F.col("__to")) & (place >= F.col("__to") - F.col("__c")), F.col(x)))
+
+    return told.groupBy(*by).agg(*(at(q).alias(name) for name, q in quantiles.items()))
+
+
 def threshold_counts(x: Column | str, thresholds: list[int]) -> list[Column]:
     """Aggregates: how many values are over each threshold."""
     return [F.count_if(col(x) > t).alias(f"over_{t}") for t in thresholds]

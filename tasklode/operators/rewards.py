@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tasklode.functions.stats import ratio, total_if_complete
 from tasklode.functions.text import col
 
+#: The metrics of an episode.
 METRICS = ("r_loose", "r_strict", "r_succ", "r_finish", "r_category", "r_attribute", "r_option", "r_price")
 
 

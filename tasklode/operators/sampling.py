@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tasklode.functions.hashing import salted
 from tasklode.functions.text import col
+from tasklode.operators.ranking import positions
 
 MISSING = "<missing>"
 
@@ -62,32 +63,38 @@ def reserve_queue(pool: DataFrame, primary: DataFrame, id_col: str, strata: list
 def task_schedule(tasks: DataFrame, id_col: str, length: int, epochs: int, seed: str) -> DataFrame:
     """(position, epoch, id): epochs of all tasks, each in its own hash order, up to ``length``.
 
-    The place in an epoch is a count within it, so epochs are ranked apart from each other.
+    The place in an epoch is a count within it, so epochs are ranked apart from each other. The constant
+    bound on the place lets each task drop all but its first ``length`` before the shuffle.
     """
     rows = tasks.select(F.col(id_col)).crossJoin(F.broadcast(tasks.sparkSession.range(epochs).select(F.col("id").alias("epoch"))))
     place = F.row_number().over(Window.partitionBy("epoch").orderBy(salted(F.lit(seed), "epoch", id_col), id_col))
-    size = F.count("*").over(Window.partitionBy("epoch"))
-    return rows.withColumn("position", F.col("epoch") * size + place - 1).filter(F.col("position") < length).select(F.col("position").cast("long"), "epoch", id_col)
+    first = rows.withColumn("__place", place).filter(F.col("__place") <= length)
+    sized = first.crossJoin(F.broadcast(tasks.agg(F.count("*").alias("__n"))))  # one row
+    placed = sized.withColumn("position", (F.col("epoch") * F.col("__n") + F.col("__place") - 1).cast("long"))
+    return placed.filter(F.col("position") < length).select("position", "epoch", id_col)
 
 
 def quantile_selection(rows: DataFrame, size: str, id_col: str, count: int = 32) -> DataFrame:
     """(id, size, roles): the longest, p50, p90, p99 and a grid of quantiles, filled up from the shortest.
 
     Positions round half to even; a row taken twice keeps both roles. The order of the input doesn't matter.
+    Places come from sampled ranges; only the rows at the positions in question, at most three for each
+    that is chosen, meet in a task.
     """
-    order = Window.partitionBy(F.lit(0)).orderBy(size, id_col)
-    ranked = rows.select(id_col, size).withColumn("at", F.row_number().over(order) - 1).withColumn("n", F.count("*").over(Window.partitionBy(F.lit(0))))
-    last = F.col("n") - 1
+    ranked = positions(rows.select(id_col, size), [size, id_col], "__at")
+    total = rows.agg(F.count("*").alias("__n"))
+    last = F.col("__n") - 1
 
     def place(q: float) -> Column:
         return F.bround(last.cast("double") * q, 0).cast("long")
 
-    named = F.array(
-        *(F.when(F.col("at") == at, F.lit(label)) for at, label in ((last, "longest"), (place(0.5), "p50"), (place(0.9), "p90"), (place(0.99), "p99")))
-    )
+    names = ((last, "longest"), (place(0.5), "p50"), (place(0.9), "p90"), (place(0.99), "p99"))
     grid = F.array(*(place(i / count) for i in range(1, count)))
-    step = F.array_position(grid, F.col("at"))
-    told = ranked.withColumn("roles", F.array_compact(named)).withColumn("step", F.when(step > 0, step))
+    told = ranked.crossJoin(F.broadcast(total))  # one row
+    told = told.filter(F.array_contains(grid, F.col("__at")) | F.col("__at").isin([at for at, _ in names]) | (F.col("__at") < 2 * count + len(names)))
+    named = F.array(*(F.when(F.col("__at") == at, F.lit(label)) for at, label in names))
+    step = F.array_position(grid, F.col("__at"))
+    told = told.withColumn("roles", F.array_compact(named)).withColumn("step", F.when(step > 0, step))
     # those with a name first, then the grid in its order, then from the shortest
     rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy((F.size("roles") == 0).cast("int"), F.when(F.size("roles") == 0, F.coalesce("step", F.lit(count))), size, id_col))
     chosen = told.withColumn("rank", rank).filter(F.col("rank") <= count)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tasklode.functions.text import col
+from tasklode.operators.ranking import positions
 from tasklode.operators.sampling import largest_remainder
 
 OUTCOMES = ("accepted", "failure", "exact_duplicate", "hygiene_reject")
@@ -73,7 +74,7 @@ def task_states(attempts: DataFrame, task: str, order: list[str], outcome: str,
 
 def initial_slots(primary: DataFrame, position: str, task: str) -> DataFrame:
     """(slot, task): the primary tasks in their order, from 0."""
-    return primary.select((F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(position)) - 1).cast("long").alias("slot"), task)
+    return positions(primary.select(position, task), [position], "slot").select("slot", task)
 
 
 def replacements(failed: DataFrame, queue: DataFrame, stratum: str = "stratum", slot: str = "slot") -> DataFrame:

@@ -53,6 +53,20 @@ def session(name: str = "tasklode", cpus: int | str = "*", **conf: str) -> Spark
     return builder.getOrCreate()
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` as a checkpoint in the folder that spark.checkpoint.dir names: its lineage ends there.
+
+    A temporary folder stands in only in local mode, where one machine does all.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = context.getConf().get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tasklode-"))
+    return df.checkpoint()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One driver table; column pruning and filters reach the Parquet scan."""
     ship(spark)

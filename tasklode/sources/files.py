@@ -86,8 +86,10 @@ def json_lines(spark: SparkSession, path: str, schema: str, strict: bool) -> Dat
 
 
 def log_lines(spark: SparkSession, path: str, needle: str, last: int) -> DataFrame:
-    """The last lines with ``needle``, with their fields as a map. Lines sort by their leading time."""
-    lines = spark.read.text(path).filter(F.contains("value", F.lit(needle))).orderBy(F.desc("value")).limit(last)
+    """The last lines with ``needle``, the last first, with their fields as a map: by file name, then by their order in the file."""
+    place = [F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__line")]
+    lines = spark.read.text(path).select("value", *place).filter(F.contains("value", F.lit(needle)))
+    lines = lines.orderBy(F.desc("__file"), F.desc("__block"), F.desc("__line")).limit(last)
     return lines.select("value", F.str_to_map("value", F.lit(" "), F.lit("=")).alias("fields"))
 
 
@@ -96,6 +98,13 @@ def runs(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(pattern).withColumn("path", F.col("_metadata.file_path"))
 
 
+def runs_with_status(spark: SparkSession, pattern: str, schema: str, ledger_status: DataFrame, run: str = "run_id") -> DataFrame:
+    """``runs`` with the status of their ledger (run, ledger_status), null where there is none; the ledger's word stands
+    over the manifest's in ``current_status``."""
+    told = runs(spark, pattern, schema).join(ledger_status.select(run, "ledger_status"), run, "left")
+    return told.withColumn("current_status", F.coalesce("ledger_status", "status"))
+
+
 def env_file(text: str) -> dict[str, str]:
     """KEY=VALUE lines; comments and blank lines are skipped, quotes around a value go."""
     out = {}

@@ -8,7 +8,7 @@ import tempfile
 from pathlib import Path
 from typing import Any
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tasklode.functions.hashing import canonical_hash, ordered_hash
@@ -50,24 +50,49 @@ def write_manifest(tasks: DataFrame, position: str, folder: str, metadata: dict[
     """Tasks in order as JSON lines with their ordered-id hash beside; returns the hash."""
     digest = tasks.agg(ordered_hash("task_id", position).alias("h")).first().h
     tasks.repartitionByRange(position).sortWithinPartitions(position).write.mode("errorifexists").json(f"{folder}/tasks")
-    spark = tasks.sparkSession
-    spark.createDataFrame([(json.dumps({**metadata, "task_ids_sha256": digest}, sort_keys=True),)], "value string").coalesce(1).write.mode("errorifexists").text(f"{folder}/metadata")
+    _document(tasks.sparkSession, {**metadata, "task_ids_sha256": digest}, f"{folder}/metadata")
     return digest
 
 
-def freeze(rows: DataFrame, reason: str, tokens: str, folder: str, thresholds: tuple[int, ...] = (8192, 16384, 24576, 32768)) -> dict[str, Any]:
-    """Writes kept rows, and a manifest with counts by reason and token statistics; refuses an existing folder."""
+def _document(spark: SparkSession, value: Any, folder: str) -> None:
+    """A small JSON document as a folder of one text file, wherever Spark can write."""
+    text = json.dumps(value, ensure_ascii=False, sort_keys=True, allow_nan=False)
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("errorifexists").text(folder)
+
+
+def freeze(
+    rows: DataFrame, reason: str, tokens: str, folder: str, thresholds: tuple[int, ...] = (8192, 16384, 24576, 32768), selected: tuple[str, ...] = (), facts: dict[str, Any] | None = None
+) -> dict[str, Any]:
+    """Writes kept rows (train), their ``selected`` columns (selection) and a manifest; refuses an existing folder.
+
+    The manifest has the counts by reason, token statistics, an order-free checksum of what was kept, and
+    ``facts``. All of it goes where Spark writes, never to the driver's disk.
+    """
     kept = rows.filter(F.col(reason).isNull()).drop(reason)
     write_exclusive(kept, f"{folder}/train")
+    if selected:
+        write_exclusive(kept.select(*selected), f"{folder}/selection")
     reasons = {r[reason] or "kept": r["count"] for r in rows.groupBy(reason).count().collect()}
-    quantiles = F.percentile(tokens, F.array(*map(F.lit, (0.5, 0.9, 0.95, 0.99)))).alias("q")
-    facts = kept.agg(F.count("*").alias("n"), quantiles, F.max(tokens).alias("max"), *(F.count_if(F.col(tokens) > t).alias(f"over_{t}") for t in thresholds)).first().asDict()
-    manifest = {"reasons": reasons, "tokens": facts}
-    if "://" not in folder:
-        atomic_json(f"{folder}/manifest.json", manifest)
+    quantiles = F.percentile(tokens, F.array(*map(F.lit, (0.5, 0.75, 0.9, 0.95, 0.99)))).alias("q")
+    over = (F.count_if(F.col(tokens) > t).alias(f"over_{t}") for t in thresholds)
+    sums = kept.agg(F.count("*").alias("n"), F.min(tokens).alias("min"), quantiles, F.max(tokens).alias("max"), F.avg(tokens).alias("mean"), *over).first().asDict()
+    text = F.to_json(F.struct(*kept.columns))
+    checksum = kept.agg(F.bit_xor(F.xxhash64(text)).alias("a"), F.bit_xor(F.xxhash64(F.lit(1), text)).alias("b")).first()
+    manifest = {"reasons": reasons, "tokens": sums, "content_checksum": [checksum.a or 0, checksum.b or 0], **(facts or {})}
+    _document(rows.sparkSession, manifest, f"{folder}/manifest")
     return manifest
 
 
+def invalidate(path: str | Path, reason: str, version: str, at: str, status: str = "invalidated_by_implementation_bug") -> list[tuple[str, str]]:
+    """Marks a run's manifest as invalid; returns the (key, value) rows for its run state. A mark that is there keeps its time and reason."""
+    path = Path(path)
+    manifest = json.loads(path.read_text(encoding="utf-8"))
+    marks = {"invalidated_at": at, "invalidation_reason": reason, "invalidation_code_version": version}
+    manifest = {**marks, **manifest, "status": status}
+    atomic_json(path, manifest)
+    return [("status", status), *((k, str(manifest[k])) for k in marks)]
+
+
 def append_events(events: DataFrame, path: str) -> None:
     """Appends JSON lines; NaN or infinity in a double column is an error."""
     for f in events.schema:

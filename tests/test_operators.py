@@ -2,12 +2,14 @@
 
 import hashlib
 import json
+import random
+import re
 import sqlite3
 
 import pytest
 from pyspark.sql import functions as F
 from tasklode.functions import hashing, similarity, stats, text
-from tasklode.operators import attempts, audit, catalog, conversations, gates, lineage, profiling, rewards, sampling, scheduling
+from tasklode.operators import attempts, audit, catalog, checks, conversations, gates, lineage, profiling, ranking, rewards, sampling, scheduling
 from tasklode.sources import files, ledger, sinks
 
 
@@ -47,12 +49,12 @@ def test_audit_reads_actions_its_own_way(spark):
 
 
 def test_action_kind_and_argument(spark):
-    kinds = [("search", "x"), ("click", None), ("click", "ab12345678"), ("click", "Buy Now"), ("click", "next >"), ("click", "< Prev"), ("click", "Reviews"), ("click", "red")]
+    kinds = [("search", "x"), ("click", None), ("click", " 12345678 "), ("click", "ab12345678"), ("click", "12"), ("click", "Buy Now"), ("click", "next >"), ("click", "< Prev"), ("click", "Reviews"), ("click", "red")]
     df = spark.createDataFrame(kinds, "n string, a string").select(text.action_kind("n", "a").alias("k"))
-    assert [r.k for r in df.collect()] == ["search", "malformed/other", "product ASIN/numeric click", "Buy Now", "Next >", "Back/navigation", "product section", "option/other click"]
-    rows = [("a", "x a y"), ("a", "xay"), ("Red", "a RED b"), ("", "x"), ("a", None), ("zz", "x"), ("é", "caf é"), ("é", "café")]
+    assert [r.k for r in df.collect()] == ["search", "malformed/other", "product ASIN/numeric click", "option/other click", "option/other click", "Buy Now", "Next >", "Back/navigation", "product section", "option/other click"]
+    rows = [("a", "x a y"), ("a", "xay"), ("Red", "a RED b"), ("", "x"), ("a", None), ("zz", "x"), ("é", "caf é"), ("é", "café"), ("straße", "in der STRASSE 1"), ("ΟΔΟΣ", "οδος"), ("ı", "x I")]
     df = spark.createDataFrame(rows, "a string, o string").select(text.contains_argument("a", "o").alias("k"))
-    assert [r.k for r in df.collect()] == [True, False, True, None, None, False, True, False]
+    assert [r.k for r in df.collect()] == [True, False, True, None, None, False, True, False, True, True, False]
 
 
 def test_redact_and_names(spark):
@@ -102,7 +104,7 @@ def test_hashes(spark):
 def test_persona_keeps_its_order(spark):
     persona = {"z": 1, "user_id": "u", "a": {"用户ID": 2, "b": [{"session_id": 3, "c": 4}]}}
     got = many(spark, hashing.sanitized_json, [json.dumps(persona, ensure_ascii=False), "[1]", "bad"])
-    assert got == ['{"z": 1, "a": {"b": [{"c": 4}]}}', None, None]
+    assert got == ['{"z": 1, "a": {"b": [{"c": 4}]}}', "[1]", None]
 
 
 def test_fingerprints(spark):
@@ -124,9 +126,9 @@ def test_outcomes_and_burden(spark):
     df = spark.createDataFrame(rows, "task string, o int, ok boolean")
     tasks = spark.createDataFrame([(x,) for x in "abcd"], "task string")
     out = attempts.first_success(df, "task", "ok", ["o"], tasks)
-    assert sorted(map(tuple, out.collect())) == [("a", 2, 2), ("b", 1, 1), ("c", 1, None), ("d", 0, None)]
+    assert sorted(map(tuple, out.collect())) == [("a", 3, 2), ("b", 1, 1), ("c", 1, None), ("d", 0, None)]
     s = attempts.success_summary(out.filter("task IN ('a', 'b')")).first()
-    assert (s.solved, s.mean_ordinal, s.burden, s.within_1, s.within_2) == (2, 1.5, 1.5, 1, 2)
+    assert (s.solved, s.mean_ordinal, s.burden, s.within_1, s.within_2) == (2, 1.5, 2.0, 1, 2)
 
 
 def test_pair_statistics(spark):
@@ -249,21 +251,168 @@ def test_persona_segments_and_actions(spark):
 
 def test_labels_are_assistant_tokens(spark):
     df = spark.createDataFrame([(messages("system", "user", "assistant"),)], "m array<struct<role: string, content: string>>")
-    r = conversations.tokenized(df, "m", lambda s: [ord(c) for c in s], 0).first()
-    assert len(r.input_ids) == len(r.labels) and [x for x in r.labels if x != -100] == [ord("x"), ord("2"), 0]
-    out = conversations.within_context(conversations.tokenized(df, "m", lambda s: [ord(c) for c in s], 0), 5).first()
+    r = conversations.tokenized(df, "m", by_character, 2).first()
+    said = [x for x in r.labels if x != -100]
+    assert len(r.input_ids) == len(r.labels) and said == [ord("x"), ord("2"), 2] and r.input_ids[-1] == 2 and r.mask_problem is None
+    out = conversations.within_context(conversations.tokenized(df, "m", by_character, 2), 5).first()
     assert out.context_reason == "over_context_5"
 
 
+def by_character(s):
+    spans = [m.span() for m in re.finditer(r"<\|im_(?:start|end)\|>|(?s:.)", s)]
+    return [{"<|im_start|>": 1, "<|im_end|>": 2}.get(s[a:b], ord(s[a])) for a, b in spans], spans
+
+
+def test_masks_name_what_is_wrong():
+    class M(dict):
+        pass
+
+    talk = [M(role=r, content=c) for r, c in (("system", "s"), ("user", "u"), ("assistant", "ab"), ("user", "z"))]
+    text, spans = conversations.rendered(talk)
+    assert [text[a:b] for a, b in spans] == ["ab<|im_end|>"] and text.endswith("ab<|im_end|>")
+    ids, labels, problem = conversations.masked_ids(talk, by_character, 2, 100)
+    assert problem is None and [x for x in labels if x != -100] == [ord("a"), ord("b"), 2] and len(ids) == len(labels)
+    assert conversations.masked_ids(talk, by_character, 2, 5) == (None, None, "over_context_5")
+    assert conversations.masked_ids(talk[:2], by_character, 2, 100)[2] == "no assistant loss tokens"
+    assert conversations.masked_ids(talk, by_character, 9, 100)[2] == "assistant EOS mask missing"
+    pairs = lambda s: ([7] * ((len(s) + 1) // 2), [(i, min(i + 2, len(s))) for i in range(0, len(s), 2)])
+    assert conversations.masked_ids([talk[0], M(role="user", content="uu"), talk[2]], pairs, 2, 100)[2] == "token straddles assistant mask boundary"
+
+
+def test_personas_that_cannot_be_read_are_a_problem(spark):
+    mark = conversations.PERSONA_MARK
+    talk = lambda system: [("system", system), ("user", "u"), ("assistant", "a")]
+    rows = [(f'P{mark}{{"user_id": "u1", }}', "single_persona"), ("P", "single_persona"), (f"P{mark}[1]", "single_persona"), (f'P{mark}{{"user_id": 1, "b": 2}}', "single_persona"), (f"P{mark}no", "standard")]
+    df = spark.createDataFrame([(i, talk(s), c) for i, (s, c) in enumerate(rows)], "i int, m array<struct<role: string, content: string>>, c string")
+    out = df.select("i", conversations.problem_of("m", None, F.col("c")).alias("p"), conversations.sanitized("m", F.col("c")).alias("s")).orderBy("i").collect()
+    assert [r.p for r in out] == ["single_persona system prompt has invalid persona JSON", "single_persona system prompt missing persona marker", None, None, None]
+    assert [r.s[0].content for r in out] == [f"P{mark}", "P", f"P{mark}[1]", f'P{mark}{{"b": 2}}', f"P{mark}no"]
+
+
 # --- gates and selections -------------------------------------------------------------------------------------
 
 
+def first_through(rows, known):
+    """The two duplicate gates, a row at a time."""
+    ids, tasks, out = set(), set(), {}
+    for at, i, t in sorted(rows):
+        out[at] = "duplicate_or_missing_sqlite_acceptance" if i in ids or i not in known else "duplicate_task_id" if t in tasks else None
+        if out[at] is None:
+            ids.add(i)
+            tasks.add(t)
+    return out
+
+
 def test_first_wins_shadows(spark):
-    rows = [("f1", "i1", "t1"), ("f2", "i1", "t2"), ("f3", "i3", "t1"), ("f4", "i4", "t4"), ("f5", "i5", "t4"), ("f0", "ix", "t4")]
-    df = spark.createDataFrame(rows, "file string, aid string, tid string")
-    known = spark.createDataFrame([(f"i{k}",) for k in range(1, 6)], "aid string")
-    out = {r.file: r.shadow_reason for r in gates.first_wins(df, "aid", "tid", "file", known).collect()}
-    assert out == {"f1": None, "f2": "duplicate_or_missing_acceptance", "f3": "duplicate_task_id", "f4": None, "f5": "duplicate_task_id", "f0": "duplicate_or_missing_acceptance"}
+    rnd = random.Random(4)
+    chain = [("f1", "i1", "t1"), ("f2", "i2", "t1"), ("f3", "i2", "t2"), ("f4", "i4", "t4"), ("f5", "i5", "t4"), ("f0", "ix", "t4")]
+    known = [f"i{k}" for k in range(1, 12)]
+    for rows in (chain, [(f"{k:03}", f"i{rnd.randint(0, 14)}", f"t{rnd.randint(0, 12)}") for k in range(60)]):
+        df = spark.createDataFrame(rows, "file string, aid string, tid string")
+        out = {r.file: r.shadow_reason for r in gates.first_wins(df, "aid", "tid", "file", spark.createDataFrame([(k,) for k in known], "aid string")).collect()}
+        assert out == first_through(rows, set(known))
+    none = gates.first_wins(df.limit(0), "aid", "tid", "file", df.select("aid"))
+    assert none.count() == 0
+
+
+def test_freeze_names_the_first_gate(spark):
+    good = {
+        "accepted_id": "a0", "task_id": "t0", "file": 0, "scenario": "single_persona", "pass": "A", "accepted": True, "r_succ": 1.0, "r_finish": 1.0, "done": True,
+        "purchase": "b1", "target": "b1", "actions": ["search[x]"], "messages": [("system", f'P{conversations.PERSONA_MARK}{{"user_id": 1, "b": 2}}'), ("user", "u"), ("assistant", "x")],
+        "visible_responses": None,
+    }
+    leak = [("system", f"P{conversations.PERSONA_MARK}{{}}"), ("user", "u"), ("assistant", "see Target_ASIN")]
+    cases = [
+        ({}, None), ({"accepted_id": "none"}, "duplicate_or_missing_sqlite_acceptance"), ({"task_id": "t0"}, "duplicate_task_id"), ({"scenario": "other"}, "wrong_scenario"),
+        ({"pass": None}, "not_pass_a"), ({"accepted": None}, "not_accepted"), ({"r_finish": 0.0}, "non_success_record"), ({"done": None}, "non_success_record"),
+        ({"purchase": None}, "invalid_terminal"), ({"task_id": "t99"}, "not_train"), ({"actions": ["SEARCH[b1]"]}, "target_id_exploitation"),
+        ({"messages": [("user", "u")]}, "expected system, user, assistant"), ({"visible_responses": ["y"]}, "assistant messages differ from visible responses"),
+        ({"messages": leak}, "evaluator-only field in messages"), ({"messages": [("system", "P"), *leak[1:]]}, "single_persona system prompt missing persona marker"),
+    ]
+    rows = [good | {"accepted_id": f"a{k}", "task_id": f"t{k}", "file": k} | change for k, (change, _) in enumerate(cases)]
+    schema = (
+        "accepted_id string, task_id string, file int, scenario string, pass string, accepted boolean, r_succ double, r_finish double, done boolean, purchase string, target string, "
+        "actions array<string>, messages array<struct<role: string, content: string>>, visible_responses array<string>"
+    )
+    df = spark.createDataFrame([tuple(r.values()) for r in rows], schema)
+    known, train = (spark.createDataFrame([(f"{x}{k}",) for k in range(20)], f"{n} string") for x, n in (("a", "accepted_id"), ("t", "task_id")))
+    out = gates.freeze(df, known, train, "single_persona").orderBy("file").collect()
+    assert [r.reason for r in out] == [reason for _, reason in cases]
+    assert out[0].messages[0].content.endswith('{"b": 2}') and out[3].messages is None
+
+
+def test_positions_are_the_whole_order(spark):
+    rows = spark.range(1000).selectExpr("id", "id % 7 AS k").repartition(5)
+    out = {r.at: (r.k, r.id) for r in ranking.positions(rows, ["k", "id"]).collect()}
+    assert [out[i] for i in range(1000)] == sorted((i % 7, i) for i in range(1000))
+    assert ranking.positions(rows.limit(0), ["k"]).count() == 0
+
+
+def test_nearest_ranks_of_groups(spark):
+    values = {"a": [5.0, 1.0, 3.0, 3.0, 9.0], "b": [2.0], "c": [None]}
+    df = spark.createDataFrame([(g, v) for g, vs in values.items() for v in vs], "g string, v double")
+    out = {r.g: (r.low, r.mid, r.top) for r in profiling.nearest_ranks(df, "g", "v", {"low": 0.0, "mid": 0.5, "top": 1.0}).collect()}
+    assert out == {"a": (1.0, 3.0, 9.0), "b": (2.0, 2.0, 2.0)}
+
+
+def test_sets_matches_and_fixed_lists(spark):
+    a, b = (spark.createDataFrame([(x,) for x in xs], "k string") for xs in (["x", "y", "y", None], ["y", None, "z"]))
+    assert sorted(map(tuple, checks.set_difference(a, b, "k").collect())) == [("x", "left"), ("z", "right")]
+    assert [checks.sets_equal(x, y, "k").first().equal for x, y in ((a, a.distinct()), (a, b), (a.limit(0), a.limit(0)))] == [True, False, True]
+    products = spark.createDataFrame([("p1", 1.0), ("p2", 2.0), ("p2", 3.0)], "asin string, price double")
+    tasks = spark.createDataFrame([("p1",)], "task string")
+    assert checks.unique_match(tasks, products, "task", "asin").first().match.price == 1.0
+    for bad in ("p2", "p9"):
+        with pytest.raises(Exception, match=f"not unique: {bad}"):
+            checks.unique_match(spark.createDataFrame([(bad,)], "task string"), products, "task", "asin").collect()
+    meta = spark.createDataFrame([("p1", "d", None)], "task string, domain string, category string")
+    rows = spark.createDataFrame([("p1",), ("p3",)], "task string")
+    assert sorted(map(tuple, checks.enriched(rows, meta, "task", ["domain", "category"]).collect())) == [("p1", "d", ""), ("p3", "", "")]
+    fixed = spark.createDataFrame([(1, "b"), (0, "a")], "p int, t string")
+    digest = hashlib.sha256(b"a\nb").hexdigest()
+    assert [checks.fixed_set(fixed, "p", "t", n, d).first().holds for n, d in ((2, digest), (3, digest), (2, "x"))] == [True, False, False]
+
+
+def test_phases_of_a_selection(spark):
+    rows = [("a", ["longest"]), ("b", ["p50", "stratified"]), ("c", ["p90", "p99"]), ("d", ["stratified"])]
+    df = spark.createDataFrame(rows, "id string, roles array<string>")
+    assert sorted(map(tuple, checks.phase_plan(df, "id", count=4).collect())) == [("A", "a"), ("B", "b"), ("B", "c"), ("C", "a"), ("C", "b"), ("C", "c"), ("C", "d")]
+    for bad, n in ((df, 5), (df.filter("id <> 'b'"), 3), (df.unionByName(df.limit(1)), 5)):
+        with pytest.raises(Exception, match="one of each role"):
+            checks.phase_plan(bad, "id", count=n).collect()
+    sized = spark.createDataFrame([("a", 5), ("b", 9), ("c", 9)], "id string, n int")
+    assert tuple(checks.longest_of(sized, "n").first().longest) == ("c", 9)
+
+
+def test_pools_coverage_slots_and_actions(spark):
+    pools = [("a", "single", "train"), ("b", "single", "train"), ("b", "single", "test"), ("c", "single", "test"), ("c", "single", "test"), (None, "other", "test")]
+    df = spark.createDataFrame([(*p, "single", p[2]) for p in pools], "task_id string, scenario string, split string, want_scenario string, want_split string")
+    assert sorted(map(str, checks.pool_problems(df).collect())) == sorted(
+        f"Row(scenario='single', split={s!r}, problem={p!r})" for s, p in (("test", "invalid official split manifest"), ("test", "duplicate task IDs"), (None, "official train/test overlap"))
+    )
+    attempts_ = spark.createDataFrame([("a", "success"), ("a", "x"), ("b", "profile_unsolved"), ("b", "profile_unsolved")], "task_id string, status string")
+    assert tuple(checks.coverage(attempts_).first()) == (4, 2, 1, 1)
+    slots = spark.createDataFrame([(0, "a", False, False), (1, "b", True, False), (2, "c", None, None), (3, "d", False, False), (4, "e", False, False)], "slot int, task_id string, fulfilled boolean, exhausted boolean")
+    states = spark.createDataFrame([(t, n) for t, n in (("a", 0), ("b", 0), ("c", 1), ("d", 2), ("e", 1))], "task_id string, first_attempts int")
+    assert [tuple(r) for r in checks.open_slots(slots, states, 2, 9, ["a"]).orderBy("slot").collect()] == [(2, "c", 2), (4, "e", 2)]
+    assert checks.open_slots(slots, states, 2, 1).count() == 1
+    acts = [("search", "x"), ("search", ""), ("click", "Red"), ("click", "search"), ("click", "blue"), ("buy", "x"), (None, None)]
+    df = spark.createDataFrame([(n, a, ["red", "search"]) for n, a in acts], "n string, a string, c array<string>")
+    assert [r[0] for r in df.select(checks.action_is_valid("n", "a", "c")).collect()] == [True, None, True, False, False, None, None]
+    ledger_ = spark.createDataFrame([(1, "p1", "success"), (2, "p2", "failed"), (3, "p3", "success")], "rowid long, artifact_path string, status string")
+    files_ = spark.createDataFrame([("t", "p1", "success"), ("t", "p2", "success"), ("t", "p3", "failure")], "task_id string, artifact_path string, profiling_status string")
+    assert [(r.task_id, r.place, r.artifact_path) for r in checks.success_records(ledger_, files_).collect()] == [("t", 1, "p1")]
+
+
+def test_bounded_map_stops_at_an_error(spark):
+    def worker(item):
+        if item["i"] == 3:
+            raise ValueError("no")
+        return str(item["i"] * 2)
+
+    out = sorted(map(tuple, checks.bounded_map(spark.range(6).withColumnRenamed("id", "i").coalesce(1).sortWithinPartitions("i"), worker, 1).collect()))
+    assert [v for _, v, e in out if e is None] == [str(i * 2) for i, _, e in out if e is None] and out[3][2] == "no"
+    assert sum(e == "cancelled" for _, _, e in out) == 5 - sum(e is None for _, _, e in out)
 
 
 def test_exploitation(spark):
@@ -434,6 +583,19 @@ def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([("a", None, 10), ("b", "short", 5), ("c", None, 9000)], "id string, reason string, tokens int")
     got = sinks.freeze(df, "reason", "tokens", str(tmp_path / "frozen"))
     assert got["reasons"] == {"kept": 2, "short": 1} and got["tokens"]["over_8192"] == 1
+    other = sinks.freeze(df.repartition(3), "reason", "tokens", f"file://{tmp_path}/frozen2", selected=("id",), facts={"scenario": "single"})
+    assert other["content_checksum"] == got["content_checksum"] and other["scenario"] == "single"
+    assert json.loads(spark.read.text(f"{tmp_path}/frozen2/manifest").first().value) == other
+    assert sorted(r.id for r in spark.read.json(f"{tmp_path}/frozen2/selection").collect()) == ["a", "c"]
+    run = tmp_path / "run_manifest.json"
+    run.write_text('{"run_id": "r", "status": "running"}')
+    assert sinks.invalidate(run, "bug", "v1", "t1")[0] == ("status", "invalidated_by_implementation_bug")
+    assert dict(sinks.invalidate(run, "other", "v2", "t2")) == {"status": "invalidated_by_implementation_bug", "invalidated_at": "t1", "invalidation_reason": "bug", "invalidation_code_version": "v1"}
+    ledger_ = spark.createDataFrame([("r", "stopped")], "run_id string, ledger_status string")
+    told = files.runs_with_status(spark, str(run), "run_id string, status string", ledger_).first()
+    assert (told.current_status, told.status) == ("stopped", "invalidated_by_implementation_bug")
+    (tmp_path / "a.log").write_text("2 run=x n=1\n1 run=x n=2\n1 run=y n=3\n")
+    assert [r.fields["n"] for r in files.log_lines(spark, str(tmp_path / "a.log"), "run=x", 5).collect()] == ["2", "1"]
     with pytest.raises(Exception, match="exist"):
         sinks.freeze(df, "reason", "tokens", str(tmp_path / "frozen"))
     with pytest.raises(Exception, match="not a number"):
