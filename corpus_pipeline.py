@@ -1,7 +1,8 @@
 """The corpus pipeline: quality rules, near duplicates, repeated passages, secrets, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last
-return the columns of ``documents``; n_chars follows the text.
+return the columns of ``documents``; n_chars follows the text. Null ids are kept, and so are further
+columns, whatever their names. An empty table gives an empty table. Texts are read whole, however long.
 """
 
 from __future__ import annotations
@@ -20,31 +21,34 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep. Null and empty texts go (no words); repeated rows stay."""
     ship(spark)
     return quality.keep(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by five-word shingles at a similarity of 0.8."""
+    """One document of each group linked by five-word shingles at a similarity of 0.8: the one with the least id,
+    nulls last. Of repeated rows one stays; rows without words all stay."""
     ship(spark)
     return ngram_join.one_of_each(docs, n=5, percent=80)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without their repeated strings of 200 bytes."""
+    """Texts without their repeated strings of 200 bytes, in every place where they are; a text that is one
+    repeat becomes empty. Null texts stay null, texts under 200 bytes stay as they are."""
     ship(spark)
     return _counted(suffix_dedup.removed(docs))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with their secrets masked."""
+    """Texts with their secrets masked; null and empty texts stay as they are, no row goes."""
     ship(spark)
     return _counted(secrets.redact(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents and their places in sequences of 2048 tokens."""
+    """The pieces of all documents and their places in sequences of 2048 tokens. A null or empty text is one piece
+    of one token; repeated rows are pieces of their own, ties in length take any places among them."""
     ship(spark)
     return packing.pack(docs, RANKS, PATTERN)
 

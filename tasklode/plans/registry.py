@@ -5,14 +5,16 @@ Spark ranks and sizes are cast to long, doubles are rounded to six places on bot
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tasklode.functions.hashing import canonical_json_hash, ordered_hash
 from tasklode.functions.similarity import sequence_ratio
-from tasklode.functions.stats import nearest_rank, ratio, total_if_complete, wilson
+from tasklode.functions.stats import ratio, total_if_complete, wilson
 from tasklode.functions.text import normalize_text, redact, trace_action
 from tasklode.operators import attempts as A
 from tasklode.operators import audit, conversations, gates, profiling, rewards, sampling
@@ -100,15 +102,18 @@ def task_schedule_hash(spark: SparkSession, sf: str) -> DataFrame:
 SELECT b.item_id FROM benchmark b WHERE EXISTS (SELECT 1 FROM documents d WHERE contains(d.text, b.text))""")
 def split_overlap(spark: SparkSession, sf: str) -> DataFrame:
     """Held-out items that some document holds. An item's inner words are whole words of such a document, so
-    documents and items join on the item's longest inner word and only these pairs are compared; items
-    without one (a fixed set of queries) are searched for directly."""
+    documents and items join on the item's longest inner word: first only the documents' ids and words, then the
+    texts of the hits, and only these pairs are compared. Items without such a word (a fixed set of queries) are
+    searched for directly."""
     words = F.split("item", "[ \n]")
     inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
     best = F.array_max(F.transform(inner, lambda w: F.struct(F.char_length(w).alias("n"), w.alias("w"))))["w"]
     items = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("item")).withColumn("word", best)
-    docs = table(spark, sf, "documents").select("text")
-    held = docs.withColumn("word", F.explode(F.array_distinct(F.split("text", "[ \n]"))))
-    hits = held.join(items.filter("word IS NOT NULL"), "word").filter(F.contains("text", "item")).select("item_id")
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    held = docs.select("doc_id", F.explode(F.array_distinct(F.split("text", "[ \n]"))).alias("word"))
+    near = held.join(items.select("word").filter("word IS NOT NULL").distinct(), "word", "left_semi")
+    able = near.join(items.filter("word IS NOT NULL"), "word").select("doc_id", "item_id", "item")
+    hits = able.join(docs, "doc_id").filter(F.contains("text", "item")).select("item_id")
     short = items.filter("word IS NULL").drop("word")
     return hits.unionByName(short.join(docs, F.contains("text", "item"), "left_semi").select("item_id")).distinct()
 
@@ -135,7 +140,7 @@ def profile_lengths_linear(spark: SparkSession, sf: str) -> DataFrame:
 SELECT event_type, list_sort(list(value))[round_even((count(value) - 1)::DOUBLE * 0.9::DOUBLE, 0)::INT + 1] AS p90, max(value) AS top
 FROM events WHERE value IS NOT NULL GROUP BY event_type""")
 def latency_nearest_rank(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").groupBy("event_type").agg(nearest_rank("value", 0.9).alias("p90"), F.max("value").alias("top"))
+    return profiling.nearest_ranks(table(spark, sf, "events"), "event_type", "value", {"p90": 0.9, "top": 1.0})
 
 
 @query("SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY l_partkey ORDER BY n DESC, l_partkey LIMIT 20")
@@ -172,8 +177,7 @@ def _attempts(spark: SparkSession, sf: str) -> DataFrame:
 
 _FIRST = """
 WITH g AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS o FROM events WHERE event_type <> 'error'),
-t AS (SELECT user_id, count(*) AS all_attempts, min(CASE WHEN event_type = 'purchase' AND value > 250 THEN o END) AS first_success FROM g GROUP BY user_id),
-o AS (SELECT user_id, coalesce(first_success, all_attempts) AS attempts, first_success FROM t)
+o AS (SELECT user_id, count(*) AS attempts, min(CASE WHEN event_type = 'purchase' AND value > 250 THEN o END) AS first_success FROM g GROUP BY user_id)
 """
 
 
@@ -268,28 +272,53 @@ def conversation_valid(spark: SparkSession, sf: str) -> DataFrame:
     return _messages(spark, sf).filter(conversations.problem_of("messages").isNull()).select("conv_id")
 
 
+def _characters(text: str) -> tuple[list[int], list[tuple[int, int]]]:
+    """A tokenizer for checks: a token a character, but for the marks of the chat template."""
+    spans = [m.span() for m in re.finditer(r"<\|im_(?:start|end)\|>|.", text, re.S)]
+    return [{conversations.HEAD: 1, conversations.TAIL: 2}.get(text[a:b], 3) for a, b in spans], spans
+
+
 @query("""
-SELECT conv_id, turn, role = 'assistant' AS labelled, sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) OVER (PARTITION BY conv_id)::BIGINT AS assistant_chars FROM conversations""")
+WITH t AS (SELECT conv_id, turn, role, length(text) AS n, max(CASE WHEN role = 'assistant' THEN turn END) OVER (PARTITION BY conv_id) AS last FROM conversations),
+s AS (SELECT conv_id, max(last) AS last, sum(CASE WHEN role = 'assistant' THEN n + 1 ELSE 0 END)::BIGINT AS labelled,
+        (sum(CASE WHEN turn <= last THEN 1 + length(role) + 1 + n + 1 + 1 ELSE 0 END) - 1)::BIGINT AS tokens FROM t GROUP BY conv_id)
+SELECT conv_id, CASE WHEN last IS NOT NULL AND tokens <= 4096 THEN tokens END AS tokens, CASE WHEN last IS NOT NULL AND tokens <= 4096 THEN labelled END AS labelled,
+       CASE WHEN last IS NULL THEN 'no assistant loss tokens' WHEN tokens > 4096 THEN 'over_context_4096' END AS problem FROM s""")
 def assistant_mask(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "conversations")
-    w = Window.partitionBy("conv_id")
-    own = F.col("role") == "assistant"
-    return rows.select("conv_id", "turn", own.alias("labelled"), F.sum(F.when(own, F.char_length("text")).otherwise(0)).over(w).cast("long").alias("assistant_chars"))
+    """Tokens of each conversation up to its last assistant's end, and how many of them are trained."""
+    out = conversations.tokenized(_messages(spark, sf), "messages", _characters, 2, 4_096)
+    labelled = F.size(F.filter("labels", lambda x: x != -100))
+    none = F.col("mask_problem").isNotNull()
+    return out.select(
+        "conv_id", *(F.when(~none, x.cast("long")).alias(n) for x, n in ((F.size("input_ids"), "tokens"), (labelled, "labelled"))), F.col("mask_problem").alias("problem")
+    )
 
 
-@query("""
-SELECT DISTINCT conv_id FROM conversations WHERE contains(lower(text), 'target_asin') OR contains(lower(text), 'instruction_options')
+_LEAKY = "CASE WHEN turn % 7 = 3 THEN concat(text, ' \"Reward_Detail\"') ELSE text END"
+
+
+@query(f"""
+WITH t AS (SELECT conv_id, {_LEAKY} AS text FROM conversations)
+SELECT DISTINCT conv_id FROM t WHERE contains(lower(text), 'target_asin') OR contains(lower(text), 'instruction_options')
   OR contains(lower(text), 'reward_detail') OR contains(lower(text), 'evaluator_only')""")
 def leak_check(spark: SparkSession, sf: str) -> DataFrame:
-    return _messages(spark, sf).filter(conversations.leaks("messages")).select("conv_id")
+    """Conversations that name something of the evaluator's; turn 3 is made to."""
+    rows = table(spark, sf, "conversations").withColumn("text", F.expr(_LEAKY))
+    return conversations.messages_of(rows, "conv_id", "turn").filter(conversations.leaks("messages")).select("conv_id")
 
 
 @query("""
-SELECT conv_id, bool_and(turn = i) AS is_prefix, count(*) AS n FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM conversations) GROUP BY conv_id""")
+WITH s AS (SELECT o_orderkey AS position, o_custkey AS task FROM orders WHERE o_orderkey < 500 OR o_orderkey % 1000 = 999),
+m AS (SELECT o_orderkey AS position, o_custkey AS task FROM orders WHERE o_orderkey < 5000)
+SELECT count(*) AS rows, bool_and(s.task IS NOT DISTINCT FROM m.task) AND max(s.position) + 1 = count(*) AS is_prefix FROM s LEFT JOIN m ON s.position = m.position
+UNION ALL
+SELECT count(*) AS rows, bool_and(s.task IS NOT DISTINCT FROM m.task) AND max(s.position) + 1 = count(*) AS is_prefix FROM (SELECT * FROM s WHERE position < 500) s LEFT JOIN m ON s.position = m.position""")
 def ordered_prefix(spark: SparkSession, sf: str) -> DataFrame:
-    """Turns are 0 .. n - 1: distinct, from 0, to n - 1."""
-    out = table(spark, sf, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"), F.count_distinct("turn").alias("d"), F.min("turn").alias("low"), F.max("turn").alias("high"))
-    return out.select("conv_id", ((F.col("d") == F.col("n")) & (F.col("low") == 0) & (F.col("high") == F.col("n") - 1)).alias("is_prefix"), "n")
+    """Saved rows against their manifest: with rows from elsewhere, and only the first."""
+    rows = table(spark, sf, "orders").select(F.col("o_orderkey").alias("position"), F.col("o_custkey").alias("task"))
+    saved, manifest = rows.filter("position < 500 OR position % 1000 = 999"), rows.filter("position < 5000")
+    checked = (rewards.ordered_prefix(s, manifest, "position", "task") for s in (saved, saved.filter("position < 500")))
+    return reduce(DataFrame.unionByName, checked)
 
 
 @query(r"""
@@ -336,6 +365,34 @@ def gate_cascade(spark: SparkSession, sf: str) -> DataFrame:
     return gates.reason_counts(rows.withColumn("reason", reason), "reason")
 
 
+@query("""
+WITH r AS (SELECT o_orderkey, o_custkey, o_totalprice AS price, o_orderstatus AS status, o_orderpriority AS priority, o_orderkey % 10 <> 0 AS known FROM orders),
+k AS (SELECT *, row_number() OVER (PARTITION BY known, o_custkey ORDER BY o_orderkey) AS place FROM r),
+f AS (SELECT CASE WHEN NOT known THEN 'duplicate_or_missing_sqlite_acceptance' WHEN place > 1 THEN 'duplicate_task_id'
+    WHEN priority = '1-URGENT' THEN 'wrong_scenario' WHEN status = 'P' THEN 'not_pass_a' WHEN price <= 60000 THEN 'non_success_record'
+    WHEN o_orderkey % 11 = 0 THEN 'invalid_terminal' WHEN o_custkey % 7 = 0 THEN 'not_train' WHEN o_orderkey % 13 = 0 THEN 'target_id_exploitation'
+    WHEN o_orderkey % 17 = 0 THEN 'expected system, user, assistant' ELSE 'kept' END AS reason FROM k)
+SELECT reason, count(*) AS n FROM f GROUP BY reason""")
+def freeze_gates(spark: SparkSession, sf: str) -> DataFrame:
+    """The freeze cascade over orders as records: an order is accepted work on its customer."""
+    rows = table(spark, sf, "orders")
+    key, task = F.col("o_orderkey"), F.col("o_custkey")
+
+    def message(role: str) -> Column:
+        return F.struct(F.lit(role).alias("role"), F.lit("text").alias("content"))
+
+    turns = [message(r) for r in ("system", "user", "assistant")]
+    records = rows.select(
+        key.alias("accepted_id"), task.alias("task_id"), key.alias("file"), F.when(F.col("o_orderpriority") == "1-URGENT", "other").otherwise("standard").alias("scenario"),
+        F.when(F.col("o_orderstatus") == "P", "B").otherwise("A").alias("pass"), F.lit(True).alias("accepted"), F.when(F.col("o_totalprice") > 60000, 1.0).otherwise(0.0).alias("r_succ"),
+        F.lit(1.0).alias("r_finish"), F.lit(True).alias("done"), F.lit("b01").alias("purchase"), F.when(key % 11 == 0, "b02").otherwise("b01").alias("target"),
+        F.when(key % 13 == 0, F.array(F.lit("Search[x b01]"))).otherwise(F.array(F.lit("search[x]"))).alias("actions"),
+        F.when(key % 17 == 0, F.array(*turns[:2])).otherwise(F.array(*turns)).alias("messages"), F.lit(None).cast("array<string>").alias("visible_responses"),
+    )
+    known, train = records.filter("accepted_id % 10 <> 0"), records.filter("task_id % 7 <> 0")
+    return gates.reason_counts(gates.freeze(records, known, train, "standard"), "reason")
+
+
 @query(rf"""
 WITH h AS (SELECT doc_id, sha256(lower(trim(regexp_replace(coalesce(text, ''), '{SPACE}', ' ', 'g'), ' '))) AS text_sha256 FROM documents)
 SELECT min(doc_id) AS doc_id, text_sha256 FROM h GROUP BY text_sha256""")
@@ -381,6 +438,54 @@ def group_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("chunk").agg(F.count("*").alias("n"), six(F.avg("o_totalprice"), "mean"), six(F.stddev_samp("o_totalprice"), "sd"))
 
 
+@query("""
+WITH e AS (SELECT (o_orderkey // 8)::BIGINT AS chunk, o_totalprice AS reward, o_orderkey % 9 AS steps, o_orderkey % 5 AS tokens,
+   CASE o_orderstatus WHEN 'P' THEN 'invalid_action' WHEN 'F' THEN 'malformed_action' ELSE 'context_limit' END AS status FROM orders),
+g AS (SELECT chunk, stddev_samp(reward) AS sd FROM e GROUP BY chunk)
+SELECT round(avg(reward), 4) AS reward_mean, round(stddev_samp(reward), 4) AS reward_std, (SELECT round(avg(sd), 4) FROM g) AS group_reward_std,
+   (SELECT round(count(*) FILTER (WHERE sd = 0)::DOUBLE / count(*), 6) FROM g) AS zero_variance, round(avg(steps), 6) AS episode_steps,
+   round(count(*) FILTER (WHERE status = 'invalid_action')::DOUBLE / count(*), 6) AS invalid_rate,
+   round(count(*) FILTER (WHERE status = 'malformed_action')::DOUBLE / count(*), 6) AS malformed_rate,
+   round(count(*) FILTER (WHERE status = 'context_limit')::DOUBLE / count(*), 6) AS context_limit_rate,
+   sum(tokens)::BIGINT AS generated_tokens, (2 * count(*))::BIGINT AS policy_tokens, round(sum(tokens)::DOUBLE / (count(*) * 0.5::DOUBLE), 6) AS tokens_per_second,
+   round(count(*)::DOUBLE / (count(*) * 2.0::DOUBLE) * 3600, 6) AS trajectories_per_hour FROM e""")
+def rollout_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    """Rollout metrics over orders as episodes, eight to a group."""
+    status = F.when(F.col("o_orderstatus") == "P", "invalid_action").when(F.col("o_orderstatus") == "F", "malformed_action").otherwise("context_limit")
+    rows = table(spark, sf, "orders").select(
+        F.floor(F.col("o_orderkey") / 8).cast("long").alias("chunk"), F.col("o_totalprice").alias("reward"), (F.col("o_orderkey") % 9).alias("steps"),
+        (F.col("o_orderkey") % 5).alias("generated_tokens"), status.alias("status"), F.array(F.lit(1), F.lit(0), F.lit(1)).alias("env_mask"),
+        F.lit(0.5).alias("generation_time_s"), F.lit(0.25).alias("environment_wait_s"), F.lit(2.0).alias("wall_time_s"),
+    )
+    out = rewards.rollout_metrics(rows, "reward").crossJoin(F.broadcast(rewards.rollout_rates(rows)))  # one row each
+    four = (F.round(c, 4).alias(c) for c in ("reward_mean", "reward_std", "group_reward_std"))
+    rates = (six(c, c) for c in ("episode_steps", "invalid_rate", "malformed_rate", "context_limit_rate", "trajectories_per_hour"))
+    return out.select(
+        *four, six("zero_variance_group_fraction", "zero_variance"), *rates, "generated_tokens", F.col("generated_policy_tokens").alias("policy_tokens"),
+        six("generated_tokens_per_second", "tokens_per_second"),
+    )
+
+
+@query("""
+WITH e AS (SELECT o_orderpriority AS scenario, o_totalprice / 500000 AS m, o_orderkey % 3 AS f, CASE WHEN o_orderkey % 4 > 0 THEN o_orderkey % 4 END AS t,
+   CASE o_orderstatus WHEN 'P' THEN 'max_steps' ELSE 'context_limit' END AS status FROM orders)
+SELECT scenario, count(*) AS episodes, round(avg(m), 6) AS mean_r_loose, count(*) FILTER (WHERE f = 1) AS finish_count, count(*) FILTER (WHERE f = 1) AS success_count,
+   count(*) FILTER (WHERE status = 'max_steps') AS max_steps_count, count(*) FILTER (WHERE status = 'context_limit') AS context_limit_count,
+   round(avg(t), 6) AS mean_generated_tokens, CASE WHEN count(t) = count(*) THEN sum(t)::BIGINT END AS total_generated_tokens, count(*) = 3000 AS complete,
+   round(count(*)::DOUBLE / (count(*) * 2.0::DOUBLE) * 3600, 6) AS trajectories_per_hour FROM e GROUP BY scenario""")
+def evaluation_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    """Evaluation summaries over orders as episodes; some have no token count, so there is no total."""
+    one = F.when(F.col("o_orderkey") % 3 == 1, 1.0).otherwise(0.0)
+    rows = table(spark, sf, "orders").select(
+        F.col("o_orderpriority").alias("scenario"), (F.col("o_totalprice") / 500000).alias("r_loose"), one.alias("r_finish"), one.alias("r_succ"),
+        *(F.lit(0.0).alias(m) for m in rewards.METRICS if m not in ("r_loose", "r_finish", "r_succ")), F.when(F.col("o_orderkey") % 4 > 0, F.col("o_orderkey") % 4).alias("generated_tokens"),
+        F.when(F.col("o_orderstatus") == "P", "max_steps").otherwise("context_limit").alias("status"), F.lit(2.0).alias("wall_time_s"), F.lit(0.5).alias("generation_time_s"),
+    )
+    out = rewards.evaluation_summary(rows, 3000, ["generated_tokens"], ["scenario"])
+    counts = ("finish_count", "success_count", "max_steps_count", "context_limit_count")
+    return out.select("scenario", "episodes", *(six(c, c) for c in ("mean_r_loose", "mean_generated_tokens", "trajectories_per_hour")), *counts, "total_generated_tokens", "complete")
+
+
 @query("""
 WITH c AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'N' THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS a, 1 - l_discount AS b,
    CASE WHEN l_quantity > 25 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS c, 1 - l_tax AS d FROM lineitem)

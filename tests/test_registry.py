@@ -57,7 +57,7 @@ def test_entry_without_the_optional_part(monkeypatch):
 
     def without(name, *a, **b):
         if name == "corpus_pipeline" or name.startswith("tasklode.llm"):
-            raise ModuleNotFoundError(name)
+            raise ModuleNotFoundError(name, name=name)
         return real(name, *a, **b)
 
     monkeypatch.setattr(builtins, "__import__", without)
