@@ -497,6 +497,29 @@ def test_audit(spark):
     assert tuple(audit.run_audit(run, "run", "id", "a", "o").first()) == ("r", 2, 1, 1, 1, 0, 1)
 
 
+def test_audit_counters(spark):
+    schema = (
+        "run_id string, status string, ledger_status string, legacy boolean, termination_reason string, invalid_action_count int, malformed_action_count int, actions array<string>, "
+        "observations array<string>, visible_responses array<string>, api_diagnostics array<struct<http_status: int, model: string, retries: int>>"
+    )
+    rows = [
+        ("r", "success", "success", False, None, 0, 0, ["search[x]", "click[Red]"], ["red", "red", "gone"], ["T\nAction: search[x]", "T\nAction: click[RED]"], [(200, "m", 0), (200, "m", 2)]),
+        ("r", "invalid_action", "unknown", True, None, 1, 0, ["click[12345678]"], ["12345678", "else"], ["T\nAction: click[blue]"], [(429, None, None)]),
+        ("r", "profile_unsolved", "lost", True, "malformed_action", None, 2, [], None, ["what"], None),
+        ("q", "unknown", None, False, None, None, None, None, None, None, None),
+    ]
+    out = {(r.run_id, r.counter, r.label): r.n for r in audit.audit_counters(spark.createDataFrame(rows, schema)).collect()}
+    r = {k[1:]: n for k, n in out.items() if k[0] == "r"}
+    assert r == {
+        ("statuses", "success"): 1, ("statuses", "invalid_action"): 1, ("statuses", "profile_unsolved"): 1, ("calls", "2"): 1, ("calls", "1"): 1, ("calls", "0"): 1, ("total_attempts", None): 3,
+        ("total_requests", None): 3, ("retry_total", None): 2, ("status_discrepancies", None): 1, ("classification", "false_invalid_diagnostic"): 1, ("classification", "genuine_malformed_action"): 1,
+        ("old_invalid_attempts", None): 1, ("invalid_calls", "1"): 1, ("invalid_steps", "1"): 1, ("final_invalid_kinds", "product ASIN/numeric click"): 1, ("malformed_visible", None): 1,
+        ("malformed_field_count", None): 2, ("click_transitions", None): 2, ("pre_true", None): 2, ("post_missing", None): 2, ("parser_checked", None): 4, ("parser_mismatches", None): 1,
+        ("action_kinds", "search"): 1, ("action_kinds", "option/other click"): 1, ("action_kinds", "product ASIN/numeric click"): 1, ("api_statuses", "200"): 2, ("api_statuses", "429"): 1, ("api_models", "m"): 2,
+    }
+    assert {k[1:]: n for k, n in out.items() if k[0] == "q"} == {("statuses", "unknown"): 1, ("calls", "0"): 1, ("total_attempts", None): 1}
+
+
 # --- scheduling ---------------------------------------------------------------------------------------------------
 
 
