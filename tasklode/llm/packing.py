@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_left, insort
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,8 +24,6 @@ from tasklode.llm.common import two, written
 #: Pieces of one length that one task ranks, about.
 RANKED_TOGETHER = 100_000
 LEAST_SALTS = 64
-#: Blocks that the ranks of a length are cut into, so that a piece meets only the runs of its block.
-RANK_BLOCKS = 1_024
 #: Rows of the plan up to which it is broadcast; beyond it is joined by a shuffle.
 BROADCAST_RUNS = 500_000
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -73,12 +72,19 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
     return runs
 
 
-def by_block(runs: list[tuple[int, int, int, int, int]], counts: dict[int, int]) -> list[tuple[int, int, int, int, int, int]]:
-    """(length, block, first rank, pieces, first sequence, offset): each run in every block of ranks that it reaches."""
+def widths(runs: list[tuple[int, int, int, int, int]], counts: dict[int, int]) -> dict[int, int]:
+    """Ranks in a block, by length: as many blocks as runs, so that a piece meets only the few runs of its block."""
+    of_length = Counter(r[0] for r in runs)
+    return {length: -(-counts[length] // n) for length, n in of_length.items()}
+
+
+def by_block(runs: list[tuple[int, int, int, int, int]], width: dict[int, int]) -> list[tuple[int, int, int, int, int, int]]:
+    """(length, block, first rank, pieces, first sequence, offset): each run in every block of ranks that it reaches;
+    at most twice as many as runs."""
     out = []
     for length, first, n, sequence, offset in runs:
-        width = -(-counts[length] // RANK_BLOCKS)
-        out += [(length, block, first, n, sequence, offset) for block in range(first // width, (first + n - 1) // width + 1)]
+        w = width[length]
+        out += [(length, block, first, n, sequence, offset) for block in range(first // w, (first + n - 1) // w + 1)]
     return out
 
 
@@ -115,7 +121,10 @@ def pack(docs: DataFrame, path: str, pattern: str, capacity: int = 2048, end_id:
     # a row's own number is in its hash, so that equal rows don't share one
     pieces = written(found.withColumn("own", F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id())), "pieces")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    runs = by_block(plan(histogram, capacity), histogram)
+    runs = plan(histogram, capacity)
+    width = widths(runs, histogram)
+    runs = by_block(runs, width)
+    wide = F.broadcast(spark.createDataFrame(list(width.items()), "w_length long, width long"))  # a row for each length
     slots = spark.createDataFrame(runs or [(0,) * 6], "run_length long, run_block long, first_rank long, run_pieces long, first_sequence long, run_offset long")
     if len(runs) <= BROADCAST_RUNS:
         slots = F.broadcast(slots)
@@ -127,7 +136,7 @@ def pack(docs: DataFrame, path: str, pattern: str, capacity: int = 2048, end_id:
         salted.groupBy("length", "salt")
         .agg(F.count("*").alias("n"))
         .withColumn("before", F.sum("n").over(of_length.orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)))
-        .withColumn("width", F.ceil(F.sum("n").over(of_length) / F.lit(RANK_BLOCKS)))
+        .join(wide, F.col("length") == F.col("w_length"))
         .select(F.col("length").alias("b_length"), F.col("salt").alias("b_salt"), F.coalesce("before", F.lit(0)).alias("before"), "width")
     )
     within = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32", "own")

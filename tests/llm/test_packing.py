@@ -51,6 +51,18 @@ def test_plan_does_not_grow_with_the_counts():
     assert len(large) < 3 * len(small) < 100_000
 
 
+def test_blocks_of_ranks():
+    counts = {n: 1 + n * 37 % 900 for n in range(1, 65)}
+    runs = packing.plan(counts, 64)
+    width = packing.widths(runs, counts)
+    placed = packing.by_block(runs, width)
+    assert len(runs) <= len(placed) <= 2 * len(runs)
+    for length, n in counts.items():
+        for rank in range(0, n, 7):
+            hits = [r for r in placed if r[0] == length and r[1] == rank // width[length] and r[2] <= rank < r[2] + r[3]]
+            assert len(hits) == 1
+
+
 def test_pieces_and_places(spark):
     rows = [*AWKWARD, *((100 + i, "same text") for i in range(300))]
     out = packing.pack(docs(spark, rows), queries.RANKS, P.PATTERN).toPandas()
@@ -85,7 +97,6 @@ def test_added_tokens_inside_texts(spark):
 
 def test_a_plan_too_long_to_ship_is_joined_by_a_shuffle(spark, monkeypatch):
     monkeypatch.setattr(packing, "BROADCAST_RUNS", 0)
-    monkeypatch.setattr(packing, "RANK_BLOCKS", 4)
     rows = [(None, "same text")] * 200 + [(i, "word " * (i % 30)) for i in range(200)]
     out = packing.pack(docs(spark, rows), queries.RANKS, P.PATTERN, capacity=64).toPandas()
     assert len(out) == 400 and out.groupby("sequence_id").length.sum().max() <= 64
