@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tasklode.llm import bpe, fingerprint, html_extract, ngram_join, packing, quality, secrets, suffix_dedup, toxicity, url_filter
+from tasklode.llm import bpe, fingerprint, html_extract, ngram_join, packing, quality, secrets, suffix_dedup, toxicity, url_filter, whitening
 from tasklode.session import table
 
 MULTI_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -82,6 +82,11 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector whitened on eight components of the covariance of all."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_packing": op2_packing,
@@ -93,6 +98,7 @@ QUERIES = {
     "op8_html": op8_html,
     "op9_toxicity": op9_toxicity,
     "op10_fingerprint": op10_fingerprint,
+    "op11_whitening": op11_whitening,
 }
 
 ORACLE_SQL = {
