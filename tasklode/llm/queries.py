@@ -6,12 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tasklode.llm import bpe, fingerprint, html_extract, ngram_join, packing, quality, secrets, suffix_dedup, toxicity, url_filter, whitening
+from tasklode.llm import bpe, fingerprint, html_extract, ngram_join, packing, pieces, quality, secrets, suffix_dedup, toxicity, url_filter, whitening
 from tasklode.session import table
 
 MULTI_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: The ids of byte_bpe_50k.json: the same vocabulary, as ranks.
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 PATTERN = public_tokenizers.PATTERN
 URL_RULES = url_filter.parse_rules(("allow org/", "block example.org/es/", "block example.org/en/1", "allow com/fr/", "block com/de/"))
 
@@ -87,6 +88,18 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
 
 
+def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded text of every text, as digests; spans_hash is of the ids' places in the text."""
+    ids = pieces.encode(table(spark, sf_dir, "documents"), PIECES)
+    return pieces.decode(ids, PIECES).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.xxhash64("begins", "ends").alias("spans_hash"),
+    )
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_packing": op2_packing,
@@ -99,6 +112,7 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_fingerprint": op10_fingerprint,
     "op11_whitening": op11_whitening,
+    "op12_pieces": op12_pieces,
 }
 
 ORACLE_SQL = {
