@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tasklode.llm import bpe, fingerprint, html_extract, ngram_join, packing, pieces, quality, secrets, suffix_dedup, toxicity, url_filter, whitening
+from tasklode.llm import bpe, fingerprint, html_extract, ngram_join, packing, pieces, prefix_trie, quality, secrets, suffix_dedup, toxicity, url_filter, whitening
 from tasklode.session import table
 
 MULTI_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -100,6 +100,11 @@ def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of all conversations, after groups of twenty took over shared heads."""
+    return prefix_trie.trie(*prefix_trie.shared_heads(*prefix_trie.ordered(table(spark, sf_dir, "conversations"))))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_packing": op2_packing,
@@ -113,6 +118,7 @@ QUERIES = {
     "op10_fingerprint": op10_fingerprint,
     "op11_whitening": op11_whitening,
     "op12_pieces": op12_pieces,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLE_SQL = {
@@ -141,4 +147,24 @@ ruled AS (
 SELECT page_id, host, path, rule,
        CASE WHEN rule IN ('example.org/en/1', 'example.org/es/', 'com/de/') THEN 'block' ELSE 'allow' END AS verdict
 FROM ruled""",
+    # CRC-32 bit by bit over the decimal id's characters
+    "op13_prefix_trie": r"""
+WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS x,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(octet_length(encode(coalesce(role, '')))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 AS pos
+           FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT c, list(struct_pack(r := r, x := x) ORDER BY pos) AS turns FROM t GROUP BY c),
+h AS (SELECT c, turns, c - c % 20 AS base,
+        xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(c::VARCHAR, ''), lambda z: ascii(z)::BIGINT)),
+              lambda s, b: list_reduce([xor(s, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: xor(v >> 1, 3988292384::BIGINT * (v & 1)))), 4294967295::BIGINT) % 4 AS h
+      FROM own),
+rebuilt AS (SELECT h.c, list_concat(coalesce(o.turns[1 : h.h], []), h.turns[h.h + 1 :]) AS turns FROM h LEFT JOIN own o ON o.c = h.base),
+p AS (SELECT c, len(turns) AS n, d, turns[1 : d] AS prefix FROM rebuilt, range(0, (SELECT max(len(turns)) + 1 FROM rebuilt)) q(d) WHERE d <= len(turns)),
+nodes AS (SELECT prefix, any_value(d) AS depth, min(c) AS conv_id, count(*) AS n_convs, max(n) = any_value(d) AS leaf,
+            (count(*) - 1) * len(regexp_extract_all(coalesce(any_value(prefix)[-1].x, ''), '[^\x20\x09-\x0D]+')) AS saved,
+            sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE n = d), '')) AS ends_sha256
+          FROM p GROUP BY prefix),
+up AS (SELECT n.prefix[1 : d] AS prefix, sum(leaf::INT) AS n_leaves, sum(saved) AS saved_tokens, count(*) FILTER (WHERE depth = d + 1) AS n_children
+       FROM nodes n, range(0, (SELECT max(depth) + 1 FROM nodes)) q(d) WHERE d <= n.depth GROUP BY 1)
+SELECT n.conv_id, n.depth::BIGINT AS depth, o.conv_id AS parent_conv_id, n.n_convs, up.n_children, up.n_leaves::BIGINT AS n_leaves, up.saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN up ON up.prefix = n.prefix LEFT JOIN nodes o ON n.depth > 0 AND o.prefix = n.prefix[1 : n.depth - 1]""",
 }
