@@ -201,27 +201,37 @@ class Encoder:
         spec.precompiled_charsmap = b""
         spec.add_dummy_prefix = spec.remove_extra_whitespaces = spec.escape_whitespaces = False
         self.own = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
-        self.known: dict[str, list[int]] = {}
+        self.spaces = np.array([p.piece.count(SPACE) for p in proto.pieces])
+        self.known: dict[str, dict[str, bytes]] = {}
 
     def stretches(self, text: str) -> list[str]:
         """Parts of a normalised text that are encoded apart: no piece has white space behind other characters."""
         return re.findall(f"{SPACE}*[^{SPACE}]+|{SPACE}+", text) if self.cuts else [text] if text else []
 
-    def ids_of(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all stretches, one after the other, and the bytes of normalised text that each id stands for."""
-        if not self.bytes:
-            pieces = [p.encode() for s in stretches for p in self.own.encode(s, return_type=str)]
-            ids = list(chain.from_iterable(map(self.own.encode, stretches)))
-            return np.array(ids, np.int32), np.array([len(p) for p in pieces], np.int64)
-        if len(self.known) > MOST_KNOWN:
-            self.known.clear()
-        new = [s for s in set(stretches) if s not in self.known]
-        self.known.update(zip(new, self.own.encode(new, num_threads=1), strict=True))
-        ids = np.fromiter(chain.from_iterable(map(self.known.__getitem__, stretches)), np.int32)
+    def ids_of(self, stretches: list[str], head: str = "") -> np.ndarray:
+        """Ids of all stretches, one after the other; each of them begins with ``head``, which isn't repeated there."""
+        known = self.known.setdefault(head, {})
+        if len(known) > MOST_KNOWN:
+            known.clear()
+        new = [s for s in set(stretches) if s not in known]
+        found = self.own.encode([head + s for s in new], num_threads=1)
+        packed = np.fromiter(chain.from_iterable(found), np.int32).tobytes()
+        ends = np.cumsum([4 * len(x) for x in found]).tolist()
+        known.update(zip(new, (packed[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
+        ids = np.frombuffer(b"".join(map(known.__getitem__, stretches)), np.int32)
         for s in new:
             if len(s) > LONGEST_KNOWN:
-                del self.known[s]
-        return ids, self.sizes[ids]
+                del known[s]
+        return ids
+
+    def ids_and_sizes(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids, and the bytes of normalised text that each stands for."""
+        if self.bytes:
+            ids = self.ids_of(stretches)
+            return ids, self.sizes[ids]
+        pieces = [p.encode() for s in stretches for p in self.own.encode(s, return_type=str)]
+        ids = list(chain.from_iterable(map(self.own.encode, stretches)))
+        return np.array(ids, np.int32), np.array([len(p) for p in pieces], np.int64)
 
     def parts(self, text: str) -> Iterator[str]:
         """``text`` in parts of about a step's size that give the ids of the whole; one part if the rules don't allow a cut."""
@@ -236,10 +246,49 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all texts with begin and end of each in its own text's bytes, and the number of ids of each text."""
+        if self.cuts and self.rules.plain and self.rules.prefix and not any(SPACE in x for x in texts):
+            return self._encode_plain(texts)
+        return self._encode_by_record(texts)
+
+    def _encode_plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Where only spaces change, each to the one mark, the record is their number: a piece's marks are a byte each in the source,
+        the first one none. What begins or ends within a character goes back to where that begins."""
+        found, stretches, size = [], [], 0
+        for text in texts:
+            for k, part in enumerate(self.parts(text)):
+                part = part[1:] if k else part
+                if "  " in part or part[:1] == " ":
+                    stretches += [x[1:] for x in self.stretches(SPACE + part.replace(" ", SPACE))]
+                elif part or k:
+                    stretches += part.split(" ")
+                size += len(part)
+                if size > STEP_BYTES:
+                    found.append(self.ids_of(stretches, SPACE))
+                    stretches, size = [], 0
+        ids = np.concatenate([*found, self.ids_of(stretches, SPACE)])
+        data = np.frombuffer("".join(texts).encode(), np.uint8)
+        upto = np.cumsum([len(x.encode()) for x in texts]) if texts else np.zeros(0, np.int64)
+        there = np.array([bool(x) for x in texts], bool)
+        # one byte more for each text so far, the mark before it
+        marked = upto + np.cumsum(there)
+        sizes = self.sizes[ids] - 2 * self.spaces[ids]
+        ends = np.cumsum(sizes)
+        counts = np.diff(np.append(0, np.searchsorted(ends, marked, "right")))
+        counts[~there] = 0
+        owner = np.repeat(np.arange(len(texts)), counts)
+        starts = np.append(0, upto[:-1]) if len(texts) else upto
+        shift = np.cumsum(there)[owner]
+        stops, begins = ends - shift, np.maximum(ends - sizes - shift, starts[owner])
+        data = np.append(data, np.uint8(0))
+        for _ in range(3):
+            stops, begins = (x - ((data[x] & 0xC0) == 0x80) for x in (stops, begins))
+        return ids, begins - starts[owner], stops - starts[owner], counts
+
+    def _encode_by_record(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         parts = [(i, k > 0, part) for i, text in enumerate(texts) for k, part in enumerate(self.parts(text))]
         made = [normalise(part, self.rules, not later) for _, later, part in parts]
         cut = [self.stretches(norm) for norm, _ in made]
-        ids, sizes = self.ids_of(list(chain.from_iterable(cut)))
+        ids, sizes = self.ids_and_sizes(list(chain.from_iterable(cut)))
         ends = np.cumsum(sizes)
         places = np.array([len(origin) - 1 for _, origin in made], np.int64)
         upto = np.searchsorted(ends, np.cumsum(places), "right")  # ids of the parts so far
@@ -280,14 +329,16 @@ def _with_end(values: np.ndarray, counts: np.ndarray, last: np.ndarray) -> np.nd
 ENCODED = "doc_id long, ids array<int>, begins array<int>, ends array<int>"
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end: bool = True) -> DataFrame:
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end: bool = True, decoded: bool = False) -> DataFrame:
     """(doc_id, ids, begins, ends): the ids of each whole text as the library gives them, with each id's bytes in the text.
 
     One row per input row; null texts are empty, null ids are kept, equal rows give equal rows and an empty table
     gives an empty one. ``end`` adds the end id, which stands for no bytes at the text's end. Of the bytes that stand
     for one character the last has its place and those before begin and end where it begins. Long texts are encoded
     in parts, if the model allows that without a change of ids (those without a map, like the given one, do).
+    ``decoded`` adds a column of that name as ``decode`` does, in the same pass.
     """
+    names = ["doc_id", "ids", "begins", "ends"]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
@@ -299,9 +350,13 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                     sizes = np.array([len(x.encode()) for x in texts], np.int64)
                     ids, begins, ends = (_with_end(v, counts, last) for v, last in ((ids, enc.model.eos_id()), (begins, sizes), (ends, sizes)))
                     counts = counts + 1
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(_ints(v, counts) for v in (ids, begins, ends))], names=["doc_id", "ids", "begins", "ends"])
+                columns = [part.column("doc_id"), *(_ints(v, counts) for v in (ids, begins, ends))]
+                if decoded:
+                    upto = np.append(0, np.cumsum(counts)).tolist()
+                    columns.append(pa.array([enc.model.decode(ids[a:b].tolist()) for a, b in zip(upto, upto[1:], strict=False)], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names=[*names, "decoded"][: len(columns)])
 
-    return two(docs, id_col, text_col).mapInArrow(rows, ENCODED)
+    return two(docs, id_col, text_col).mapInArrow(rows, ENCODED + (", decoded string" if decoded else ""))
 
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:

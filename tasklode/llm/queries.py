@@ -90,8 +90,7 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every text, as digests; spans_hash is of the ids' places in the text."""
-    ids = pieces.encode(table(spark, sf_dir, "documents"), PIECES)
-    return pieces.decode(ids, PIECES).select(
+    return pieces.encode(table(spark, sf_dir, "documents"), PIECES, decoded=True).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
