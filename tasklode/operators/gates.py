@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tasklode.functions.names import free
 from tasklode.functions.text import col
 from tasklode.operators import conversations
+from tasklode.operators.graph import components
 from tasklode.session import cut
 
 
@@ -31,31 +35,76 @@ FREEZE_REASONS = (
 )
 
 
+#: Rounds of ``first_wins`` go on while each leaves at most this share of the rows.
+SHRINKS = 0.7
+
+
+def _first_rounds(left: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """Rows (id, task, at) that pass because they are the first of all that is left for both their keys, and what is then left.
+
+    A key's other rows go with its first one, so hot keys end here. Rounds go on only while they shrink what is left
+    by a fixed share, so their number grows with the logarithm of the rows.
+    """
+    passed, n = [], left.count()
+    while n:
+        of_id, of_task = (left.groupBy(k).agg(F.min("at").alias("at"), F.min_by(other, "at").alias(other)) for k, other in (("id", "task"), ("task", "id")))
+        passed.append(cut(of_id.join(of_task.select("at"), "at").select("id", "task", "at")))
+        left = cut(left.join(passed[-1].select("id"), "id", "left_anti").join(passed[-1].select("task"), "task", "left_anti"))
+        n, before = left.count(), n
+        if n > SHRINKS * before:
+            break
+    return passed, left
+
+
+def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows that pass, of rows sorted by their group and order: a sequential pass that keeps one group's keys at a time."""
+    group, ids, tasks = None, set(), set()
+    for batch in batches:
+        keep = []
+        for g, i, t in zip(*(batch.column(c).to_pylist() for c in ("root", "id", "task")), strict=True):
+            if g != group:
+                group, ids, tasks = g, set(), set()
+            keep.append(i not in ids and t not in tasks)
+            if keep[-1]:
+                ids.add(i)
+                tasks.add(t)
+        yield batch.filter(pa.array(keep)).select(["id", "task", "at"])
+
+
+def first_through(keys: DataFrame) -> DataFrame:
+    """The rows of (id, task, at) that a sequential pass in order of ``at`` (unique) lets through: each of its keys for the first time.
+
+    First come rounds of rows that nothing before them can stop (``_first_rounds``). What they leave, chains in
+    which each row hangs on the one before, is dealt by its connected groups of ids and tasks, and each group is
+    passed once in order. So a chain of n rows takes rounds in the logarithm of n; a pass holds the keys of one group.
+    """
+    passed, left = _first_rounds(keys.select("id", "task", "at"))
+    if not left.isEmpty():
+        # nodes are hashes: two that clash would only join two groups, which changes no row's fate
+        told = left.withColumn("a", F.xxhash64(F.lit("id"), "id")).withColumn("b", F.xxhash64(F.lit("task"), "task"))
+        roots = components(told).withColumnRenamed("node", "a")
+        grouped = told.join(roots, "a").select("root", "id", "task", "at").repartition("root").sortWithinPartitions("root", "at")
+        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in left.select("id", "task", "at").schema)
+        passed.append(cut(grouped.mapInArrow(_fold, fields)))
+    return reduce(DataFrame.unionByName, passed) if passed else keys.limit(0).select("id", "task", "at")
+
+
 def first_wins(rows: DataFrame, accepted: str, task: str, order: str, known: DataFrame) -> DataFrame:
     """``rows`` with shadow_reason of the two sequential duplicate gates; ``order`` has no ties.
 
     In order, a row passes if its id is in ``known`` and neither its id nor its task has passed before;
-    only rows that pass both gates shadow later ones (a later gate may still reject them). Rows
-    that are the first of all that is left, for both their keys, pass together; what shares a key
-    with them goes, and the rest has another round. Keys are near unique, so there are few rounds.
+    only rows that pass both gates shadow later ones (a later gate may still reject them). See ``first_through``.
     Null tasks are one task, null ids are unknown.
     """
-    keys = rows.select(F.col(accepted).alias("id"), F.coalesce(F.col(task).cast("string"), F.lit("")).alias("task"), F.col(order).alias("at"))
-    left = keys.join(known.select(F.col(accepted).alias("id")).distinct(), "id", "left_semi")
-    passed = []
-    while not left.isEmpty():
-        of_id, of_task = (left.groupBy(k).agg(F.min("at").alias(f"{k}_at")) for k in ("id", "task"))
-        now = left.join(of_id, "id").join(of_task, "task").filter("at = id_at AND at = task_at").select("id", "task", "at")
-        passed.append(cut(now))
-        left = cut(left.join(passed[-1].select("id"), "id", "left_anti").join(passed[-1].select("task"), "task", "left_anti"))
-    through = reduce(DataFrame.unionByName, passed) if passed else keys.limit(0)
-    by_id = through.select(F.col("id").alias("__id"), F.col("at").alias("__id_at"))
-    by_task = through.select(F.col("task").alias("__task"), F.col("at").alias("__task_at"))
-    told = rows.join(by_id, F.col(accepted) == F.col("__id"), "left").join(by_task, F.coalesce(F.col(task).cast("string"), F.lit("")) == F.col("__task"), "left")
-    is_known = known.select(F.col(accepted).alias("__known")).distinct()
-    told = told.join(is_known, F.col(accepted) == F.col("__known"), "left")
-    reason = F.when(F.col("__known").isNull() | (F.col("__id_at") < F.col(order)), FREEZE_REASONS[0]).when(F.col("__task_at") < F.col(order), FREEZE_REASONS[1])
-    return told.withColumn("shadow_reason", reason).drop("__id", "__id_at", "__task", "__task_at", "__known")
+    text = F.coalesce(F.col(task).cast("string"), F.lit(""))
+    keys = rows.select(F.col(accepted).alias("id"), text.alias("task"), F.col(order).alias("at"))
+    through = first_through(keys.join(known.select(F.col(accepted).alias("id")).distinct(), "id", "left_semi"))
+    i, i_at, t, t_at, k = free(rows, wanted=["id", "id_at", "task", "task_at", "known"])
+    told = rows.join(through.select(F.col("id").alias(i), F.col("at").alias(i_at)), F.col(accepted) == F.col(i), "left")
+    told = told.join(through.select(F.col("task").alias(t), F.col("at").alias(t_at)), text == F.col(t), "left")
+    told = told.join(known.select(F.col(accepted).alias(k)).distinct(), F.col(accepted) == F.col(k), "left")
+    reason = F.when(F.col(k).isNull() | (F.col(i_at) < F.col(order)), FREEZE_REASONS[0]).when(F.col(t_at) < F.col(order), FREEZE_REASONS[1])
+    return told.withColumn("shadow_reason", reason).drop(i, i_at, t, t_at, k)
 
 
 def freeze(records: DataFrame, known: DataFrame, train: DataFrame, scenario: str, order: str = "file") -> DataFrame:
@@ -66,8 +115,9 @@ def freeze(records: DataFrame, known: DataFrame, train: DataFrame, scenario: str
     gates come the reasons of ``conversations.problem_of`` and the leak check.
     """
     told = first_wins(records, "accepted_id", "task_id", order, known.select("accepted_id"))
-    trained = train.select(F.col("task_id").alias("__train")).distinct()
-    told = told.join(trained, F.col("task_id") == F.col("__train"), "left")
+    in_train, policy_ = free(records, ["reason", "shadow_reason"], wanted=["train", "policy"])
+    trained = train.select(F.col("task_id").alias(in_train)).distinct()
+    told = told.join(trained, F.col("task_id") == F.col(in_train), "left")
 
     def unless(ok: Column) -> Column:
         return ~F.coalesce(ok, F.lit(False))
@@ -78,15 +128,15 @@ def freeze(records: DataFrame, known: DataFrame, train: DataFrame, scenario: str
         unless(F.col("accepted")),
         unless((F.col("r_succ") == 1) & (F.col("r_finish") == 1) & F.col("done")),
         ~F.col("purchase").eqNullSafe(F.col("target")),
-        F.col("__train").isNull(),
+        F.col(in_train).isNull(),
         exploits_target("target", "actions", "messages"),
     ]
     reason = first_failure(list(zip(FREEZE_REASONS[2:], gates, strict=True)))
     problem = conversations.problem_of("messages", F.col("visible_responses"), F.col("scenario"))
     policy = conversations.sanitized("messages", F.col("scenario"))
-    leak = F.when(conversations.leaks("__policy"), "evaluator-only field in messages")
-    told = told.withColumn("__policy", policy).withColumn("reason", F.coalesce("shadow_reason", reason, problem, leak))
-    return told.withColumn("messages", F.when(F.col("reason").isNull(), F.col("__policy"))).drop("shadow_reason", "__policy", "__train")
+    leak = F.when(conversations.leaks(policy_), "evaluator-only field in messages")
+    told = told.withColumn(policy_, policy).withColumn("reason", F.coalesce("shadow_reason", reason, problem, leak))
+    return told.withColumn("messages", F.when(F.col("reason").isNull(), F.col(policy_))).drop("shadow_reason", policy_, in_train)
 
 
 def exploits_target(target: Column | str, actions: Column | str, messages: Column | str) -> Column:
@@ -116,12 +166,13 @@ def acceptance(rows: DataFrame, history: DataFrame, task: str, key: str, attempt
             ("hygiene_reject", F.col("hygiene").isNotNull()),
         ]
     )
-    told = rows.withColumn("__gate", gates)
-    before = history.select(F.col(task), F.col(key), F.lit(True).alias("__had")).distinct()
-    place = F.row_number().over(Window.partitionBy(task, key, F.col("__gate").isNull()).orderBy(attempt))
-    told = told.join(before, [task, key], "left").withColumn("__place", place)
-    again = F.col("__gate").isNull() & (F.coalesce("__had", F.lit(False)) | (F.col("__place") > 1))
-    return told.withColumn("rejection_reason", F.coalesce("__gate", F.when(again, "exact_duplicate"))).drop("__gate", "__had", "__place")
+    gate, had, place = free(rows, history, ["rejection_reason"], wanted=["gate", "had", "place"])
+    told = rows.withColumn(gate, gates)
+    before = history.select(F.col(task), F.col(key), F.lit(True).alias(had)).distinct()
+    in_order = F.row_number().over(Window.partitionBy(task, key, F.col(gate).isNull()).orderBy(attempt))
+    told = told.join(before, [task, key], "left").withColumn(place, in_order)
+    again = F.col(gate).isNull() & (F.coalesce(had, F.lit(False)) | (F.col(place) > 1))
+    return told.withColumn("rejection_reason", F.coalesce(gate, F.when(again, "exact_duplicate"))).drop(gate, had, place)
 
 
 def selection_problems(selection: DataFrame, artifacts: DataFrame) -> DataFrame:

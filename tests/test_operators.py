@@ -9,7 +9,7 @@ import sqlite3
 import pytest
 from pyspark.sql import functions as F
 from tasklode.functions import hashing, similarity, stats, text
-from tasklode.operators import attempts, audit, catalog, checks, conversations, gates, lineage, profiling, ranking, rewards, sampling, scheduling
+from tasklode.operators import attempts, audit, catalog, checks, conversations, gates, graph, lineage, profiling, ranking, rewards, sampling, scheduling
 from tasklode.sources import files, ledger, sinks
 
 
@@ -315,6 +315,29 @@ def test_first_wins_shadows(spark):
     assert none.count() == 0
 
 
+def test_first_wins_along_a_chain(spark):
+    """Each row hangs on the one before; a hot id and a hot task, and columns named like the operator's own."""
+    rows = [(k, f"i{k // 2}", f"t{(k + 1) // 2}") for k in range(100_000)]
+    rows += [(100_000 + k, "hot", f"h{k}") for k in range(3_000)] + [(110_000 + k, f"g{k}", "warm") for k in range(3_000)]
+    df = spark.createDataFrame(rows, "file long, aid string, tid string").selectExpr("*", "1 AS __id", "2 AS __known", "3 AS __task_at")
+    rounds = []
+    real, gates.components = gates.components, lambda x: rounds.append(1) or real(x)
+    try:
+        told = gates.first_wins(df.repartition(4), "aid", "tid", "file", df.select("aid"))
+    finally:
+        gates.components = real
+    assert {r.file: r.shadow_reason for r in told.collect()} == first_through(rows, {i for _, i, _ in rows}) and len(rounds) == 1
+    assert told.columns == [*df.columns, "shadow_reason"]
+
+
+def test_components(spark):
+    links = [(k, k + 1) for k in range(500)] + [(k, 5_000) for k in range(4_000, 4_900)] + [(7, 7), (9_000, 9_000), (3, 2), (6_001, 6_000), (6_001, 6_000)]
+    out = {r.node: r.root for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    want = {k: 0 for k in range(501)} | {k: 4_000 for k in [*range(4_000, 4_900), 5_000]} | {6_000: 6_000, 6_001: 6_000}
+    assert out == want
+    assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_freeze_names_the_first_gate(spark):
     good = {
         "accepted_id": "a0", "task_id": "t0", "file": 0, "scenario": "single_persona", "pass": "A", "accepted": True, "r_succ": 1.0, "r_finish": 1.0, "done": True,
