@@ -6,6 +6,8 @@ that only a newline ends a line, ``^(?:...)\\z`` for a full match.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +18,11 @@ def col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` names it."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
 def strip(x: Column | str) -> Column:
     """Without Unicode white space at either end."""
     return F.regexp_replace(col(x), rf"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+\z", "")
@@ -28,14 +35,18 @@ def normalize_text(x: Column | str) -> Column:
 
 def normalize_action(x: Column | str) -> Column:
     """struct<kind, arg>: of the last ``action:`` line if there is one; kind is search, click or invalid."""
-    raw = F.coalesce(col(x), F.lit(""))
-    lines = F.filter(F.split(raw, r"\R|[\x0B\x0C\x1C-\x1E]"), lambda s: F.lower(strip(s)).startswith("action:"))
-    last = F.when(F.size(lines) > 0, strip(F.regexp_replace(F.element_at(lines, -1), r"(?s)^[^:]*:", ""))).otherwise(raw)
     pattern = r"(?isU)^\s*(search|click)\s*\[(.*)\]\s*\z"
-    hit = last.rlike(pattern)
-    kind = F.when(hit, F.lower(F.regexp_extract(last, pattern, 1))).otherwise("invalid")
-    arg = F.when(hit, normalize_text(F.regexp_extract(last, pattern, 2))).otherwise(normalize_text(raw))
-    return F.struct(kind.alias("kind"), arg.alias("arg"))
+
+    def last(raw: Column) -> Column:
+        lines = F.filter(F.split(raw, r"\R|[\x0B\x0C\x1C-\x1E]"), lambda s: F.lower(strip(s)).startswith("action:"))
+        of_lines = let(lines, lambda found: F.when(F.size(found) > 0, strip(F.regexp_replace(F.element_at(found, -1), r"(?s)^[^:]*:", ""))).otherwise(raw))
+        return F.when(F.contains(F.lower(raw), F.lit("action:")), of_lines).otherwise(raw)
+
+    def read(raw: Column, text: Column) -> Column:
+        kind = let(F.lower(F.regexp_extract(text, pattern, 1)), lambda k: F.when(k == "", "invalid").otherwise(k))
+        return let(kind, lambda k: F.struct(k.alias("kind"), normalize_text(F.when(k == "invalid", raw).otherwise(F.regexp_extract(text, pattern, 2))).alias("arg")))
+
+    return let(F.coalesce(col(x), F.lit("")), lambda raw: let(last(raw), lambda text: read(raw, text)))
 
 
 def looks_like_product(x: Column | str) -> Column:
@@ -123,10 +134,16 @@ def casefold(x: Column | str) -> Column:
 
 def contains_argument(argument: Column | str, observation: Column | str) -> Column:
     """Whether the observation shows the argument; null if either is missing. One character must stand alone."""
-    needle, hay = casefold(strip(argument)), casefold(observation)
-    padded = F.concat(F.lit(" "), F.regexp_replace(hay, r"(?U)(?<=\w)(?=\w)", "\u0001"), F.lit(" "))
-    lone = F.contains(F.regexp_replace(padded, r"(?U)\w(?:\u0001\w)+", " "), needle)
-    return F.when((F.coalesce(needle, F.lit("")) == "") | hay.isNull(), F.lit(None).cast("boolean")).when(F.char_length(needle) <= 1, lone).otherwise(F.contains(hay, needle))
+
+    def shown(hay: Column, needle: Column) -> Column:
+        padded = F.concat(F.lit(" "), F.regexp_replace(hay, r"(?U)(?<=\w)(?=\w)", "\u0001"), F.lit(" "))
+        lone = F.contains(F.regexp_replace(padded, r"(?U)\w(?:\u0001\w)+", " "), needle)
+        return F.when((F.coalesce(needle, F.lit("")) == "") | hay.isNull(), F.lit(None).cast("boolean")).when(F.char_length(needle) <= 1, F.contains(hay, needle) & lone).otherwise(F.contains(hay, needle))
+
+    def folded(text: Column) -> Column:
+        return F.when(text.rlike(r"[^\x00-\x7F]"), casefold(text)).otherwise(F.lower(text))
+
+    return let(folded(strip(argument)), lambda needle: let(folded(col(observation)), lambda hay: shown(hay, needle)))
 
 
 def log_value(x: Column | str) -> Column:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tasklode.functions.similarity import exact_duplicate, fingerprint, near_duplicate
+from tasklode.functions.names import free
+from tasklode.functions.similarity import fingerprint_of
 from tasklode.functions.stats import ratio, wilson
 from tasklode.functions.text import col, normalize_action
 from tasklode.operators.profiling import nearest_ranks
@@ -53,40 +54,19 @@ def success_summary(outcomes: DataFrame) -> DataFrame:
 
 
 def pairs(rows: DataFrame, task: str, order: str) -> DataFrame:
-    """(task, a, b): each two rows of a task, a the later, as structs. The join is on the task."""
+    """(task, a, b): each two rows of a task, a the later, as structs, for tasks of few rows whose pairs are wanted
+    themselves. Counts of pairs come from ``pairs.pair_statistics``, which makes none."""
     whole = F.struct(*rows.columns)
-    a, b = rows.select(F.col(task), whole.alias("a")), rows.select(F.col(task).alias("__task"), whole.alias("b"))
-    return a.join(b, (F.col(task) == F.col("__task")) & (F.col(f"a.{order}") > F.col(f"b.{order}"))).drop("__task")
-
-
-def pair_type(a: Column, b: Column) -> Column:
-    first, second = "first_success", "second_demo"
-    return (
-        F.when((a == first) & (b == first), "first_first")
-        .when((a == second) & (b == second), "second_second")
-        .when(a.isin(first, second) & b.isin(first, second), "first_second")
-        .otherwise("other")
-    )
-
-
-def pair_statistics(successes: DataFrame, task: str, order: str, phase: str, print_: str) -> DataFrame:
-    """(pair_type, pairs, exact, near, and equal counts of features) of the successes within a task."""
-    told = pairs(successes, task, order).withColumn("pair_type", pair_type(F.col(f"a.{phase}"), F.col(f"b.{phase}"))).filter("pair_type <> 'other'")
-    a, b = F.col(f"a.{print_}"), F.col(f"b.{print_}")
-    equal = ("normalized_actions", "search_queries", "clicked_products", "selected_options", "final_purchase")
-    told = told.withColumn("near", near_duplicate(a, b))
-    return told.groupBy("pair_type").agg(
-        F.count("*").alias("pairs"),
-        F.count_if(exact_duplicate(a, b)).alias("exact"),
-        F.count_if("near").alias("near"),
-        *(F.count_if(a[x].eqNullSafe(b[x])).alias(f"equal_{x}") for x in equal),
-    )
+    a, b = rows.select(F.col(task), whole.alias("a")), rows.select(F.col(task), whole.alias("b"))
+    return a.join(b, task).filter(F.col(f"a.{order}") > F.col(f"b.{order}"))
 
 
 def with_fingerprint(attempts: DataFrame, actions: str, purchase: str, stored: str | None = None) -> DataFrame:
     """``attempts`` with fingerprint: the stored one, else from the actions."""
-    made = fingerprint(actions, purchase)
-    return attempts.withColumn("fingerprint", F.coalesce(F.col(stored), made) if stored else made)
+    (done,) = free(attempts, wanted=["done"])
+    made = fingerprint_of(F.col(done), purchase)
+    told = attempts.withColumn(done, F.transform(actions, normalize_action))
+    return told.withColumn("fingerprint", F.coalesce(F.col(stored), made) if stored else made).drop(done)
 
 
 def no_progress(actions: Column | str, observations: Column | str, threshold: int = 3) -> Column:

@@ -17,7 +17,7 @@ from tasklode.functions.similarity import sequence_ratio
 from tasklode.functions.stats import ratio, total_if_complete, wilson
 from tasklode.functions.text import normalize_text, redact, trace_action
 from tasklode.operators import attempts as A
-from tasklode.operators import audit, conversations, gates, profiling, rewards, sampling
+from tasklode.operators import audit, conversations, gates, pairs, profiling, rewards, sampling
 from tasklode.operators.scheduling import Budgets, task_states
 from tasklode.session import table
 
@@ -213,16 +213,38 @@ def wilson_interval(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-WITH p AS (SELECT user_id, event_id, event_type, floor(value) AS v FROM events WHERE event_type IN ('purchase', 'search'))
-SELECT a.user_id, count(*) AS pairs, sum(CASE WHEN a.event_type = b.event_type AND a.v IS NOT DISTINCT FROM b.v THEN 1 ELSE 0 END)::BIGINT AS exact
-FROM p a JOIN p b ON a.user_id = b.user_id AND a.event_id > b.event_id GROUP BY a.user_id""")
+WITH r AS (SELECT o_custkey AS task, o_orderkey AS at, CASE WHEN o_orderkey % 3 = 0 THEN 'second' ELSE 'first' END AS phase, o_orderpriority AS bought,
+    list(n || ' ' || flags ORDER BY n) AS did
+  FROM orders JOIN (SELECT l_orderkey, l_returnflag || l_linestatus AS flags, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_returnflag, l_linestatus) AS n FROM lineitem)
+    ON l_orderkey = o_orderkey WHERE o_orderkey % 5 <> 0 GROUP BY ALL),
+p AS (SELECT CASE WHEN a.phase = b.phase THEN a.phase || '_' || b.phase ELSE 'first_second' END AS pair_type, a.did = b.did AS same, a.bought = b.bought AS same_bought,
+    a.did[1] = b.did[1] AS same_search, a.did[2:] = b.did[2:] AS same_options, len(a.did) = len(b.did) AND len(list_intersect(a.did, b.did)) >= 0.8 * len(a.did) AS near
+  FROM r a JOIN r b ON a.task = b.task AND a.at > b.at)
+SELECT pair_type, count(*) AS pairs, count_if(same AND same_bought)::BIGINT AS exact, count_if(near)::BIGINT AS near, count_if(same)::BIGINT AS equal_normalized_actions,
+  count_if(same_search)::BIGINT AS equal_search_queries, count(*) AS equal_clicked_products, count_if(same_options)::BIGINT AS equal_selected_options, count_if(same_bought)::BIGINT AS equal_final_purchase
+FROM p GROUP BY pair_type""")
 def pair_stats(spark: SparkSession, sf: str) -> DataFrame:
-    """Pairs of a task's rows: all, and those that are equal. Counted from the groups of equal rows, C(n, 2) each,
-    so no pair is made and a hot task costs no more than its rows."""
-    rows = table(spark, sf, "events").filter(F.col("event_type").isin("purchase", "search"))
-    same = rows.groupBy("user_id", "event_type", F.floor("value").alias("v")).agg(F.count("*").alias("n"))
-    out = same.groupBy("user_id").agg(F.sum("n").alias("n"), F.sum((F.col("n") * (F.col("n") - 1) / 2).cast("long")).alias("exact"))
-    return out.select("user_id", (F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("pairs"), "exact").filter("pairs > 0")
+    """Orders as successes of their customers: the first line, in order of the flags, is searched for, further ones
+    are clicked. An action names its place, so the matching blocks of two lists are their equal places, which SQL can count."""
+    flags = F.array_sort(F.collect_list(F.concat("l_returnflag", "l_linestatus")))
+    said = F.transform(flags, lambda x, i: F.concat(F.when(i == 0, "search[").otherwise("click["), (i + 1).cast("string"), F.lit(" "), x, F.lit("]")))
+    lines = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(said.alias("actions"))
+    told = table(spark, sf, "orders").filter("o_orderkey % 5 <> 0").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+    phase = F.when(F.col("o_orderkey") % 3 == 0, "second_demo").otherwise("first_success")
+    told = told.select("o_custkey", "o_orderkey", phase.alias("phase"), "o_orderpriority", "actions")
+    return pairs.pair_statistics(A.with_fingerprint(told, "actions", "o_orderpriority"), "o_custkey", "o_orderkey", "phase", "fingerprint")
+
+
+@query("""
+WITH r AS (SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS place FROM orders)
+SELECT o_orderkey, CASE WHEN place % 2 = 0 THEN 'duplicate_or_missing_sqlite_acceptance' END AS shadow_reason FROM r""")
+def shadow_chain(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders of a customer as a chain: the second repeats the first's id, the third the second's task, and so on, so
+    each row's fate hangs on that of the row before."""
+    rows = A.ordinals(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), ["o_custkey"], ["o_orderkey"])
+    key, place = F.col("o_custkey").cast("string"), F.col("ordinal") - 1
+    rows = rows.select("o_orderkey", F.concat_ws(" ", key, F.floor(place / 2)).alias("aid"), F.concat_ws(" ", key, F.floor((place + 1) / 2)).alias("tid"))
+    return gates.first_wins(rows, "aid", "tid", "o_orderkey", rows.select("aid")).select("o_orderkey", "shadow_reason")
 
 
 @query("""

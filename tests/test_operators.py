@@ -9,7 +9,7 @@ import sqlite3
 import pytest
 from pyspark.sql import functions as F
 from tasklode.functions import hashing, similarity, stats, text
-from tasklode.operators import attempts, audit, catalog, checks, conversations, gates, graph, lineage, profiling, ranking, rewards, sampling, scheduling
+from tasklode.operators import attempts, audit, catalog, checks, conversations, gates, graph, lineage, pairs, profiling, ranking, rewards, sampling, scheduling
 from tasklode.sources import files, ledger, sinks
 
 
@@ -131,11 +131,62 @@ def test_outcomes_and_burden(spark):
     assert (s.solved, s.mean_ordinal, s.burden, s.within_1, s.within_2) == (2, 1.5, 2.0, 1, 2)
 
 
+def slow_pairs(rows):
+    """All pairs of a task, later against earlier, as prints are compared one by one."""
+    from difflib import SequenceMatcher
+
+    out = {}
+    for i, (task, seq, phase, actions) in enumerate(rows):
+        for other_task, other_seq, other_phase, other in rows[:i] + rows[i + 1 :]:
+            if task != other_task or seq < other_seq or "x" in (phase, other_phase):
+                continue
+            kind = phase[0] + other_phase[0] if phase == other_phase else "fs"
+            a, b = ([tuple(x.rstrip("]").split("[")) for x in y] for y in (actions, other))
+            kinds = [x[0] for x in a] == [x[0] for x in b]
+            near = kinds and SequenceMatcher(None, a, b).ratio() >= 0.8
+            got = out.setdefault(kind, [0, 0, 0, 0])
+            for k, yes in enumerate((True, a == b, near, [x for x in a if x[0] == "search"] == [x for x in b if x[0] == "search"])):
+                got[k] += yes
+    names = {"ff": "first_first", "fs": "first_second", "ss": "second_second"}
+    return {names[k]: tuple(v) for k, v in out.items()}
+
+
+def pair_rows(spark, rows):
+    df = spark.createDataFrame(rows, "task string, seq int, phase string, actions array<string>").withColumn("p", F.lit(""))
+    return attempts.with_fingerprint(df, "actions", "p")
+
+
 def test_pair_statistics(spark):
-    rows = [("t", 1, "first_success", ["click[a]"]), ("t", 2, "second_demo", ["click[a]"]), ("t", 3, "second_demo", ["click[b]"]), ("u", 4, "first_success", ["x"]), ("u", 5, "second_demo", ["x"])]
-    df = attempts.with_fingerprint(spark.createDataFrame(rows, "task string, seq int, phase string, actions array<string>").withColumn("p", F.lit("")), "actions", "p")
-    out = {r.pair_type: (r.pairs, r.exact, r.near) for r in attempts.pair_statistics(df, "task", "seq", "phase", "fingerprint").collect()}
-    assert out == {"first_second": (3, 2, 2), "second_second": (1, 0, 0)}
+    rng, phases = random.Random(11), ["first_success", "second_demo", "x"]
+    rows = [("t", 1, "first_success", ["click[a]"]), ("t", 2, "second_demo", ["click[a]"]), ("t", 3, "second_demo", ["click[b]"]), ("e", 4, "first_success", []), ("e", 5, "second_demo", [])]
+    rows += [("u", 10 + k, rng.choice(phases), [f"{rng.choice(['search', 'click', 'click'])}[{rng.choice('abc')}]" for _ in range(rng.choice([1, 2, 5]))]) for k in range(60)]
+    rows += [("v", 100 + k, rng.choice(phases), [f"click[{rng.choice('ab')}]" for _ in range(6)]) for k in range(60)]
+    base = [f"click[{x}]" for x in "abcdefghij"]
+    rows += [("w", 200 + k, rng.choice(phases), [f"click[{k % 7}]" if j in (k % 10, (k * 3) % 10) else x for j, x in enumerate(base)]) for k in range(60)]
+    out = pairs.pair_statistics(pair_rows(spark, rows), "task", "seq", "phase", "fingerprint").collect()
+    assert {r.pair_type: (r.pairs, r.exact, r.near, r.equal_search_queries) for r in out} == slow_pairs(rows)
+    assert pairs.pair_statistics(pair_rows(spark, rows).limit(0), "task", "seq", "phase", "fingerprint").count() == 0
+
+
+def test_pairs_that_are_alike_in_one_order_only(spark):
+    from difflib import SequenceMatcher
+
+    rng, found = random.Random(1), None
+    while found is None:
+        a, b = ([f"click[{rng.choice('abc')}]" for _ in range(5)] for _ in range(2))
+        if (SequenceMatcher(None, a, b).ratio() >= 0.8) != (SequenceMatcher(None, b, a).ratio() >= 0.8):
+            found = a, b
+    rows = [("t", k, rng.choice(["first_success", "second_demo"]), found[rng.random() < 0.5]) for k in range(25)]
+    out = pairs.pair_statistics(pair_rows(spark, rows), "task", "seq", "phase", "fingerprint").collect()
+    assert {r.pair_type: (r.pairs, r.exact, r.near) for r in out} == {k: v[:3] for k, v in slow_pairs(rows).items()}
+
+
+def test_rows_with_equal_prints_are_not_paired(spark):
+    rows = [("t", k, "first_success", ["search[a]", f"click[{k % 3}]", "click[x]"]) for k in range(2_000)]
+    told = pairs.classes(pairs.told_apart(pair_rows(spark, rows), "task", "seq", "phase", "fingerprint"))
+    assert told.count() == 3 and pairs.alike_classes(told).count() == 0
+    out = pairs.pair_statistics(pair_rows(spark, rows), "task", "seq", "phase", "fingerprint").first()
+    assert (out.pairs, out.exact, out.near) == (1_999_000, 667 * 333 * 2 + 666 * 665 // 2, 667 * 333 * 2 + 666 * 665 // 2)
 
 
 def test_no_progress(spark):
