@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tasklode.functions.hashing import ordered_hash
+from tasklode.functions.names import free
 
 #: The roles of a selection that each phase takes; the third takes all.
 PHASES = {"A": ("longest",), "B": ("p50", "p90", "p99")}
@@ -29,18 +30,25 @@ def sets_equal(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 
 def unique_match(tasks: DataFrame, products: DataFrame, task: str, product: str) -> DataFrame:
     """Tasks with their one product (as struct ``match``); a task with none or several is an error where its row is read."""
-    counted = products.groupBy(F.col(product).cast("string").alias("__key")).agg(F.count("*").alias("__n"), F.any_value(F.struct(*products.columns)).alias("match"))
-    told = tasks.join(counted, F.col(task).cast("string") == F.col("__key"), "left")
+    k, n = free(tasks, ["match"], wanted=["key", "n"])
+    counted = products.groupBy(F.col(product).cast("string").alias(k)).agg(F.count("*").alias(n), F.any_value(F.struct(*products.columns)).alias("match"))
+    told = tasks.join(counted, F.col(task).cast("string") == F.col(k), "left")
     wrong = F.raise_error(F.concat(F.lit("task product not unique: "), F.coalesce(F.col(task).cast("string"), F.lit("null"))))
-    checked = F.when(F.col("__n") == 1, F.col("match")).otherwise(wrong.cast(products.schema))
-    return told.withColumn("match", checked).drop("__n", "__key")
+    checked = F.when(F.col(n) == 1, F.col("match")).otherwise(wrong.cast(products.schema))
+    return told.withColumn("match", checked).drop(n, k)
 
 
-def enriched(rows: DataFrame, meta: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """``rows`` with the fields of their task's metadata; empty text where there are none. The first of repeated keys counts."""
-    one = meta.groupBy(key).agg(*(F.min(F.col(f).cast("string")).alias(f"__{f}") for f in fields))
+def enriched(rows: DataFrame, meta: DataFrame, key: str, fields: list[str], order: list[str] | None = None) -> DataFrame:
+    """``rows`` with the fields of their task's metadata; empty text where there are none.
+
+    Of repeated keys one whole row counts, never fields of several: the first by ``order``, else by the fields
+    themselves, nulls first.
+    """
+    (found,) = free(rows, meta, wanted=["found"])
+    texts = [F.col(f).cast("string").alias(f) for f in fields]
+    one = meta.groupBy(key).agg(F.min_by(F.struct(*texts), F.struct(*(order or texts))).alias(found))
     told = rows.join(one, key, "left")
-    return told.withColumns({f: F.coalesce(f"__{f}", F.lit("")) for f in fields}).drop(*(f"__{f}" for f in fields))
+    return told.withColumns({f: F.coalesce(F.col(found)[f], F.lit("")) for f in fields}).drop(found)
 
 
 def fixed_set(tasks: DataFrame, position: str, task: str, count: int, digest: str) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import copy
 import hashlib
 import json
 import random
@@ -15,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tasklode.functions.hashing import canonical_hash
+from tasklode.functions.names import free
 from tasklode.functions.text import col
 from tasklode.operators.ranking import positions
 
@@ -31,6 +31,26 @@ def episode_seeds(manifest: DataFrame, position: str, base: int) -> DataFrame:
     return positions(manifest, [position], "__at").withColumn("episode_seed", fine).drop("__at")
 
 
+def remaining(manifest: DataFrame, position: str, task: str, completed: DataFrame, base: int) -> DataFrame:
+    """What a resumed run still does: ``manifest`` with episode_seed, without the items that are done.
+
+    ``completed`` (task, ``position``) must be the first items of the manifest in its order, each once; anything else is an
+    error where the result is read. An item that was begun and not completed has its old seed again, as a seed hangs on the
+    item's place alone.
+    """
+    names = free(manifest, completed, wanted=["n", "place", "done", "fine"])
+    n, place, done, fine = names
+    told = positions(episode_seeds(manifest, position, base), [position], place)
+    given = completed.groupBy(F.col(position).alias(position), F.col(task).alias(done)).agg(F.count("*").alias(n))
+    total = completed.agg(F.count("*").alias(n))
+    matched = told.join(given.drop(n), position).filter(F.col(task).eqNullSafe(F.col(done)))
+    prefix = matched.agg(F.count("*").alias("found"), F.coalesce(F.max(place) + 1, F.lit(0)).alias("end")).crossJoin(total)  # one row each
+    whole = (F.col("found") == F.col(n)) & (F.col("end") == F.col(n))
+    checked = prefix.select("end", F.when(whole, F.lit(True)).otherwise(F.raise_error(F.lit("completed items are not the first of the manifest")).cast("boolean")).alias(fine))
+    out = told.crossJoin(F.broadcast(checked.withColumnRenamed("end", n))).filter(F.col(fine) & (F.col(place) >= F.col(n)))  # one row
+    return out.select(*manifest.columns, "episode_seed")
+
+
 def stream_key(strategy: str, seed: int, scope: str, scenario: Column | str, task: Column | str) -> Column:
     """The digest that names a random stream: SHA-256 of the compact JSON list of its identity (ASCII only)."""
     head = json.dumps([strategy, seed, scope], separators=(",", ":"))[:-1]
@@ -81,6 +101,18 @@ def auto_resumable(kind: Column | str, retryable: Column | str, network: Column
     return F.coalesce(F.when(col(kind) == "environment", col(network)).otherwise(provider), F.lit(False))
 
 
+#: Parts of a run's inputs that may grow with it: they are compared apart from the rest.
+GROWING = {"scheduled_groups", "task_schedule_sha256", "task_schedule_prefix_sha256", "config_sha256"}
+
+
+def immutable_part(identity: Mapping[str, Any], counter: tuple[str, str]) -> dict[str, Any]:
+    """What an extension must leave as it is: the configuration without its step counter, and the inputs without ``GROWING``."""
+    section, field = counter
+    fixed = {k: v for k, v in identity["config"].items() if k != section}
+    steps = {k: v for k, v in identity["config"].get(section, {}).items() if k != field}
+    return {"config": fixed, section: steps, "inputs": {k: v for k, v in identity["inputs"].items() if k not in GROWING}}
+
+
 def may_extend(old: Mapping[str, Any], new: Mapping[str, Any], counter: tuple[str, str] = ("grpo", "max_steps")) -> bool:
     """Whether a run's identity may become another: equal, or only further along the same schedule.
 
@@ -89,18 +121,16 @@ def may_extend(old: Mapping[str, Any], new: Mapping[str, Any], counter: tuple[st
     """
     if old == new:
         return True
-    configs, inputs = [copy.deepcopy(dict(x["config"])) for x in (old, new)], [dict(x["inputs"]) for x in (old, new)]
-    steps = [int(dict(c.get(counter[0], {})).get(counter[1], 0)) for c in configs]
-    for c in configs:
-        c[counter[0]] = {k: v for k, v in c.get(counter[0], {}).items() if k != counter[1]}
-    groups = [x.pop("scheduled_groups", None) for x in inputs]
-    schedule, prefix = inputs[0].pop("task_schedule_sha256", None), inputs[1].pop("task_schedule_prefix_sha256", None)
-    inputs[1].pop("task_schedule_sha256", None)
-    inputs[0].pop("task_schedule_prefix_sha256", None)
-    for x in inputs:
-        x.pop("config_sha256", None)
-    further = steps[1] > steps[0] and isinstance(groups[0], int) and groups[0] < (groups[1] or 0)
-    return all(c.get("admission_mode") is True for c in configs) and configs[0] == configs[1] and inputs[0] == inputs[1] and schedule == prefix and further
+    section, field = counter
+
+    def reached(identity: Mapping[str, Any]) -> tuple[int, int | None]:
+        return int(identity["config"].get(section, {}).get(field, 0)), identity["inputs"].get("scheduled_groups")
+
+    (steps, groups), (more_steps, more_groups) = reached(old), reached(new)
+    admitted = all(x["config"].get("admission_mode") is True for x in (old, new))
+    longer = more_steps > steps and isinstance(groups, int) and groups < (more_groups or 0)
+    same_schedule = old["inputs"].get("task_schedule_sha256") == new["inputs"].get("task_schedule_prefix_sha256")
+    return admitted and longer and same_schedule and immutable_part(old, counter) == immutable_part(new, counter)
 
 
 def policy_problems(policy: Mapping[str, Any], expected: Mapping[str, Any], forbidden: Iterable[str] = (), self_hash: str = "policy_sha256") -> list[str]:

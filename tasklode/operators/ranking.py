@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tasklode.functions.names import free
 from tasklode.session import cut
 
 #: Bits of ``monotonically_increasing_id`` that count within a partition.
@@ -29,6 +30,7 @@ def sums_before(counts: DataFrame, part: str, n: str, base: str) -> DataFrame:
 
 def positions(rows: DataFrame, order: list[str | Column], at: str = "at") -> DataFrame:
     """``rows`` with their place in the whole order, from 0 (long). Rows equal in the order take any places among them."""
-    told = dealt(rows, [F.col(o) if isinstance(o, str) else o for o in order], "__part", "__place")
-    base = sums_before(told.groupBy("__part").agg(F.count("*").alias("__n")), "__part", "__n", "__base").select("__part", "__base")
-    return told.join(F.broadcast(base), "__part").withColumn(at, F.col("__base") + F.col("__place")).drop("__part", "__place", "__base")
+    part, place, n, base = free(rows, [at], wanted=["part", "place", "n", "base"])
+    told = dealt(rows, [F.col(o) if isinstance(o, str) else o for o in order], part, place)
+    before = sums_before(told.groupBy(part).agg(F.count("*").alias(n)), part, n, base).select(part, base)
+    return told.join(F.broadcast(before), part).withColumn(at, F.col(base) + F.col(place)).drop(part, place, base)

@@ -52,10 +52,13 @@ def unique_match(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-SELECT d.doc_id, coalesce(l.quality, '') AS quality, coalesce(l.toxic, '') AS toxic FROM documents d
-LEFT JOIN (SELECT doc_id, min(quality::VARCHAR) AS quality, min(toxic::VARCHAR) AS toxic FROM labels GROUP BY doc_id) l ON d.doc_id = l.doc_id""")
+SELECT c_custkey, coalesce(o.status, '') AS status, coalesce(o.priority, '') AS priority, coalesce(o.first_order, '') AS first_order FROM customer
+LEFT JOIN (SELECT o_custkey, first(o_orderstatus ORDER BY o_orderkey) AS status, first(o_orderpriority ORDER BY o_orderkey) AS priority, first(o_orderkey::VARCHAR ORDER BY o_orderkey) AS first_order
+  FROM orders GROUP BY o_custkey) o ON c_custkey = o_custkey""")
 def metadata_enrichment(spark: SparkSession, sf: str) -> DataFrame:
-    return checks.enriched(table(spark, sf, "documents").select("doc_id"), table(spark, sf, "labels"), "doc_id", ["quality", "toxic"])
+    """Customers with the fields of their first order: keys repeat, and all fields are of one row."""
+    meta = _orders(spark, sf).select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"), F.col("o_orderkey").alias("first_order"))
+    return checks.enriched(table(spark, sf, "customer").select("c_custkey"), meta, "c_custkey", ["status", "priority", "first_order"], ["o_orderkey"])
 
 
 @query("""
@@ -358,3 +361,12 @@ def reset_contract(spark: SparkSession, sf: str) -> DataFrame:
         F.when(key % 3 > 0, F.col("p_type")).alias("persona"), F.when(key % 2 == 1, "single_persona").otherwise("single").alias("scenario"),
     )
     return audit.reset_problems(rows).select("p_partkey", "problem")
+
+
+@query("""
+SELECT p_partkey, 1000 + row_number() OVER (ORDER BY p_partkey) - 1 AS episode_seed FROM part
+QUALIFY row_number() OVER (ORDER BY p_partkey) > (SELECT count(*) FROM part WHERE p_partkey <= 150)""")
+def remaining_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts as a manifest of which the first are done: what is left keeps the seeds of its places."""
+    parts = table(spark, sf, "part").select("p_partkey", F.col("p_partkey").alias("task_id"))
+    return lineage.remaining(parts, "p_partkey", "task_id", parts.filter("p_partkey <= 150"), 1000).select("p_partkey", "episode_seed")

@@ -7,6 +7,7 @@ import re
 import sqlite3
 
 import pytest
+from pyspark.sql import datasource
 from pyspark.sql import functions as F
 from tasklode.functions import hashing, similarity, stats, text
 from tasklode.operators import attempts, audit, catalog, checks, conversations, gates, graph, lineage, pairs, profiling, ranking, rewards, sampling, scheduling
@@ -442,6 +443,9 @@ def test_sets_matches_and_fixed_lists(spark):
     meta = spark.createDataFrame([("p1", "d", None)], "task string, domain string, category string")
     rows = spark.createDataFrame([("p1",), ("p3",)], "task string")
     assert sorted(map(tuple, checks.enriched(rows, meta, "task", ["domain", "category"]).collect())) == [("p1", "d", ""), ("p3", "", "")]
+    twice = spark.createDataFrame([("p1", "b", "x", 2), ("p1", "a", "y", 3)], "task string, domain string, category string, at int")
+    assert tuple(checks.enriched(rows.filter("task = 'p1'"), twice, "task", ["domain", "category"]).first()) == ("p1", "a", "y")
+    assert tuple(checks.enriched(rows.filter("task = 'p1'"), twice, "task", ["domain", "category"], ["at"]).first()) == ("p1", "b", "x")
     fixed = spark.createDataFrame([(1, "b"), (0, "a")], "p int, t string")
     digest = hashlib.sha256(b"a\nb").hexdigest()
     assert [checks.fixed_set(fixed, "p", "t", n, d).first().holds for n, d in ((2, digest), (3, digest), (2, "x"))] == [True, False, False]
@@ -660,14 +664,80 @@ def test_small_files():
     assert files.literal_block("bad: [\n  prompt: |\n    one\n      two\n\n    three\n  next: 1", "prompt") == "one\n  two\n\nthree"
 
 
-def test_ledger_source(spark, tmp_path):
-    path = str(tmp_path / "l.db")
+def new_ledger(path, rows):
     with sqlite3.connect(path) as db:
         db.execute("CREATE TABLE attempts (attempt_id TEXT PRIMARY KEY, task_id TEXT, scenario TEXT, status TEXT, artifact_path TEXT, started_at TEXT, finished_at TEXT, teacher_attempt INT)")
-        db.executemany("INSERT INTO attempts VALUES (?, ?, 's', 'success', 'p', 't', NULL, 1)", [(f"a{i}", f"t{i % 3}") for i in range(10)])
+        db.executemany("INSERT INTO attempts (attempt_id, task_id, scenario, status, started_at, finished_at, teacher_attempt) VALUES (?, ?, 's', ?, 't', NULL, 1)", rows)
+
+
+def test_ledger_source(spark, tmp_path):
+    path = str(tmp_path / "l.db")
+    new_ledger(path, [(f"a{i}", f"t{i % 3}", "success") for i in range(10)])
     df = ledger.read_ledger(spark, path, partitions=3)
-    assert [r.attempt_id for r in df.orderBy("rowid").collect()] == [f"a{i}" for i in range(10)]
-    assert ledger.read_ledger(spark, str(tmp_path / "none.db"), errors_as_rows=True).first().error
+    assert [r.attempt_id for r in df.orderBy("rowid").collect()] == [f"a{i}" for i in range(10)] and df.rdd.getNumPartitions() == 3
+    assert ledger.read_ledger(spark, path, rows=4).rdd.getNumPartitions() == 3 and ledger.read_ledger(spark, path).rdd.getNumPartitions() == 1
+    assert ledger.read_ledger(spark, path, rows=2).filter("rowid > 8").rdd.getNumPartitions() == 1
+    for _ in range(2):  # what one query pushes is not left for the next
+        assert df.filter("task_id = 't0'").count() == 4 and df.count() == 10 and df.filter("concat(task_id, '') = 't1'").count() == 3
+    assert df.filter("rowid > 3 AND rowid <= 5").count() == 2 and df.filter("rowid > 99").count() == 0
+    assert df.filter("task_id IN ('t0', 't2') AND NOT task_id = 't2' AND attempt_id LIKE 'a%' AND finished_at IS NULL").count() == 4
+    assert df.filter("NOT (finished_at <=> 'x')").count() == 10 and df.filter("finished_at <> 'x'").count() == 0
+    assert ledger.read_ledger(spark, str(tmp_path / "none.db"), errors_as_rows=True).filter("error IS NOT NULL").first().error
+
+
+def test_ledger_filters_reach_sqlite(spark, tmp_path):
+    """A row that SQLite can't even compute stops a scan unless the filter keeps it out of there."""
+    path = str(tmp_path / "l.db")
+    new_ledger(path, [("a1", "good", "success"), ("a2", "bad", "success")])
+    with sqlite3.connect(path) as db:
+        db.execute("ALTER TABLE attempts RENAME TO base")
+        own = "rowid AS rowid, attempt_id, task_id, scenario, status, abs(-9223372036854775807 - (task_id = 'bad')) || '' AS artifact_path, started_at, finished_at, teacher_attempt"
+        db.execute(f"CREATE VIEW attempts AS SELECT {own} FROM base")
+    df = ledger.read_ledger(spark, path)
+    assert [r.attempt_id for r in df.filter("task_id = 'good'").collect()] == ["a1"]
+    with pytest.raises(Exception, match="overflow"):
+        df.filter("concat(task_id, '') = 'good'").collect()
+    reader = ledger._Reader({"path": path}, ["rowid", "task_id"])
+    list(reader.pushFilters([datasource.EqualTo(("task_id",), "x"), datasource.StringContains(("task_id",), "y")]))
+    assert reader.statement(ledger._Rows(0, 9)) == ("SELECT rowid, task_id FROM attempts WHERE rowid > ? AND rowid <= ? AND task_id = ? ORDER BY rowid", [0, 9, "x"])
+
+
+def test_ledger_stream_goes_on_with_what_is_incomplete(spark, tmp_path):
+    path, got, fail = str(tmp_path / "l.db"), [], []
+    new_ledger(path, [(f"a{i}", f"t{i}", "in_progress" if i in (3, 5) else "success") for i in range(7)])
+    manifest = spark.createDataFrame([(f"t{i}", i) for i in range(7)], "task_id string, position int")
+
+    def take(batch, _):
+        rows = lineage.episode_seeds(manifest, "position", 40).join(batch.select("task_id", "rowid"), "task_id").collect()
+        if fail and rows:
+            raise RuntimeError(fail.pop())
+        got.append(sorted((r.task_id, r.episode_seed) for r in rows))
+
+    def run():
+        stream = ledger.stream_ledger(spark, path, rows=2)
+        q = stream.writeStream.foreachBatch(take).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        return q.awaitTermination(120)
+
+    def end(*ids):
+        with sqlite3.connect(path) as db:
+            db.executemany("UPDATE attempts SET status = 'success' WHERE attempt_id = ?", [(i,) for i in ids])
+
+    assert run() and got == [[("t0", 40), ("t1", 41), ("t2", 42)]]
+    end("a3")
+    fail.append("killed")
+    with pytest.raises(Exception, match="killed"):
+        run()
+    assert len(got) == 1
+    assert run() and got[1:] == [[("t3", 43), ("t4", 44)]]
+    end("a5")
+    assert run() and got[2:] == [[("t5", 45), ("t6", 46)]]
+    done = spark.createDataFrame([("t0", 0), ("t1", 1), ("t2", 2)], "task_id string, position int")
+    left = lineage.remaining(manifest, "position", "task_id", done, 40)
+    assert [tuple(r) for r in left.orderBy("position").collect()] == [(f"t{i}", i, 40 + i) for i in range(3, 7)]
+    assert lineage.remaining(manifest, "position", "task_id", done.limit(0), 40).count() == 7
+    for wrong in (done.filter("position <> 1"), done.unionByName(done.limit(1)), done.withColumn("task_id", F.lit("t1"))):
+        with pytest.raises(Exception, match="not the first"):
+            lineage.remaining(manifest, "position", "task_id", wrong, 40).collect()
 
 
 def test_sinks(spark, tmp_path):

@@ -25,30 +25,76 @@ def test_batch_replay(spark):
         assert state == out[task][:4]
 
 
-def test_stream_equals_replay_after_a_restart(spark, tmp_path):
+@pytest.fixture
+def stateful(spark):
     pytest.importorskip("google.protobuf")
-    folder, seen = tmp_path / "in", {}
-    folder.mkdir()
     old = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", "2")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        for i, rows in enumerate(batches()):
-            (folder / f"{i}.json").write_text("\n".join(map(json.dumps, rows)))
-            states = attempts.task_states(attempts.read_log(spark, str(folder), SCHEMA), BUDGETS)
-            q = (
-                states.writeStream.outputMode("update")
-                .foreachBatch(lambda df, _: seen.update({r.task_id: tuple(r)[1:] for r in df.collect()}))
-                .option("checkpointLocation", str(tmp_path / "state"))
-                .trigger(availableNow=True)
-                .start()
-            )
-            assert q.awaitTermination(120)
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", old)
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def drained(df, mode, checkpoint, take):
+    """Runs a stream over all there is, from where the last run ended."""
+    q = df.writeStream.outputMode(mode).foreachBatch(lambda batch, _: take(batch.collect())).option("checkpointLocation", str(checkpoint)).trigger(availableNow=True).start()
+    assert q.awaitTermination(120)
+
+
+def test_stream_equals_replay_after_a_restart(spark, tmp_path, stateful):
+    folder, seen = tmp_path / "in", {}
+    folder.mkdir()
+    for i, rows in enumerate(batches()):
+        (folder / f"{i}.json").write_text("\n".join(map(json.dumps, rows)))
+        states = attempts.task_states(attempts.read_log(spark, str(folder), SCHEMA), BUDGETS)
+        drained(states, "update", tmp_path / "state", lambda rows: seen.update({r.task_id: tuple(r)[1:6] for r in rows}))
     assert seen == {"t": (2, True, 2, 1, 2), "u": (1, True, 3, 3, 0)}
 
 
+def test_ids_leave_the_store_and_late_replays_count_once(spark, tmp_path, stateful):
+    folder, seen = tmp_path / "in", {}
+    folder.mkdir()
+
+    def run(i, *rows):
+        told = [{"attempt_id": a, "task_id": t, "seq": s, "outcome": o, "time": f"2024-01-01T{h:02}:{m:02}:00Z"} for a, t, s, o, h, m in rows]
+        (folder / f"{i}.json").write_text("\n".join(map(json.dumps, told)))
+        log = attempts.read_log(spark, str(folder), SCHEMA + ", time timestamp")
+        drained(attempts.task_states(log, BUDGETS, "time", "30 minutes"), "update", tmp_path / "state", lambda rows: seen.update({r.task_id: tuple(r)[1:] for r in rows}))
+
+    run(0, ("a1", "t", 1, "failure", 1, 0), ("b1", "u", 1, "accepted", 1, 0))
+    assert seen["t"] == (1, False, 0, 0, 3, 1)
+    run(1, ("a1", "t", 1, "failure", 1, 0), ("a2", "t", 2, "accepted", 1, 20))  # a replay within the bound
+    assert seen["t"] == (2, True, 1, 0, 3, 2)
+    run(2, ("x1", "v", 1, "failure", 3, 0))  # the watermark goes on to 2:30
+    run(3, ("a1", "t", 1, "accepted", 1, 0), ("a2", "t", 2, "accepted", 1, 20), ("a3", "t", 3, "accepted", 2, 50))  # two replays that are too late
+    assert seen["t"] == (2, True, 2, 1, 2, 1) and seen["u"][5] == 0
+
+
+def test_refills_follow_completions_and_obey_the_stop(spark, tmp_path, stateful):
+    folder, log = tmp_path / "in", []
+    folder.mkdir()
+    seq = iter(range(1000))
+
+    def run(i, *events):
+        rows = [{"run_id": "r", "seq": next(seq), "event": e, "value": v} for e, v in events]
+        (folder / f"{i}.json").write_text("\n".join(map(json.dumps, rows)))
+        stream = attempts.read_log(spark, str(folder), "run_id string, seq long, event string, value long")
+        got = []
+        drained(attempts.refills(stream, 3), "append", tmp_path / "state", lambda rows: got.extend(sorted(tuple(r)[1:] for r in rows)))
+        log.extend(got)
+        return [g[0] for g in got]
+
+    assert run(0, ("queue", 7)) == [0, 1, 2]
+    assert run(1, ("done", 1)) == [3]  # others needn't end first
+    assert run(2, ("done", 1), ("done", 0), ("done", 3)) == [4, 5]  # the first is a replay
+    assert run(3, ("done", 2), ("stop", 0), ("done", 4)) == [6]
+    assert run(4, ("done", 5)) == [None] and log[-1] == (None, 1, True)
+    assert run(5, ("queue", 9), ("done", 6)) == [None] and log[-1] == (None, 0, True)
+    assert max(n for _, n, _ in log) == 3
+    with pytest.raises(ValueError, match="workers"):
+        attempts.refills(spark.range(1), 0)
+
+
 def test_upserts_write_each_key_once(spark, tmp_path):
     folder, out = tmp_path / "in", str(tmp_path / "out")
     folder.mkdir()
