@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from tasklode.operators.scheduling import Budgets
-from tasklode.sources.sinks import accept_new
+from tasklode.sources.accepted import BUCKETS, accept, writer_of
 
 STATE = "task_id string, first_attempts int, first_success boolean, accepted int, used int, left int, ids int"
 
@@ -157,18 +157,12 @@ def refills(events: DataFrame, workers: int) -> DataFrame:
     return events.groupBy("run_id").transformWithStateInPandas(_Refill(workers), DISPATCHED, "append", "none")
 
 
-def upsert_into(path: str, checkpoint: str, key: str = "attempt_id", order: str = "accepted_at") -> Callable[[DataFrame], StreamingQuery]:
-    """A sink that appends each key once, also when a batch is replayed: what is there is left out."""
+def upsert_into(path: str, checkpoint: str, key: str = "attempt_id", order: str = "accepted_at", buckets: int = BUCKETS) -> Callable[[DataFrame], StreamingQuery]:
+    """A sink that adds each key once, also when a batch is replayed or fails half way; ``accepted.accepted`` reads what it wrote."""
+    writer = writer_of(checkpoint)
 
-    def write(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        try:
-            there = spark.read.parquet(path).select(key)
-        except Exception as e:  # nothing is written yet
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER" not in str(e):
-                raise
-            there = spark.createDataFrame([], batch.select(key).schema)
-        accept_new(batch, there, key, order).write.mode("append").parquet(path)
+    def write(batch: DataFrame, number: int) -> None:
+        accept(batch, path, key, order, writer, number, buckets)
 
     def start(stream: DataFrame) -> StreamingQuery:
         return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -2,6 +2,7 @@ import json
 
 import pytest
 from tasklode.operators import scheduling
+from tasklode.sources import accepted
 from tasklode.streaming import attempts
 
 SCHEMA = "attempt_id string, task_id string, seq int, outcome string"
@@ -102,7 +103,55 @@ def test_upserts_write_each_key_once(spark, tmp_path):
     for i, rows in enumerate(batches()):
         (folder / f"{i}.json").write_text("\n".join(map(json.dumps, rows)))
         assert start(attempts.read_log(spark, str(folder), SCHEMA)).awaitTermination(120)
-    ids = sorted(r.attempt_id for r in spark.read.parquet(out).collect())
-    assert ids == ["a1", "a2", "a3", "b1", "b2", "b3", "b4", "b5"]
-    pool = spark.read.parquet(out)
+    pool = accepted.accepted(spark, out)
+    assert sorted(r.attempt_id for r in pool.collect()) == ["a1", "a2", "a3", "b1", "b2", "b3", "b4", "b5"]
     assert [r.attempt_id for r in attempts.within_quota(pool, 3, 2, 7, ["attempt_id"]).collect()] == ["a1", "a2"]
+
+
+def rows_of(spark, *keys, order=0):
+    return spark.createDataFrame([(k, order) for k in keys], "attempt_id string, accepted_at int")
+
+
+def test_replayed_and_broken_batches_add_nothing(spark, tmp_path, monkeypatch):
+    out = str(tmp_path / "out")
+    with pytest.raises(ValueError, match="nothing is committed"):
+        accepted.accepted(spark, out)
+
+    def add(number, *keys, writer="w", order=0):
+        return accepted.accept(rows_of(spark, *keys, order=order), out, "attempt_id", "accepted_at", writer, number, 4)
+
+    def keys():
+        return sorted(r.attempt_id for r in accepted.accepted(spark, out).collect())
+
+    assert add(0, "a", "b", "b") and not add(0, "z") and keys() == ["a", "b"]
+    assert add(1, "b", "c") and keys() == ["a", "b", "c"]
+    # a batch that dies before its mark is not seen, and is written again
+    real = accepted.json.dumps
+    monkeypatch.setattr(accepted.json, "dumps", lambda *a, **b: (_ for _ in ()).throw(RuntimeError("killed")))
+    with pytest.raises(RuntimeError, match="killed"):
+        add(2, "c", "d")
+    assert keys() == ["a", "b", "c"]
+    monkeypatch.setattr(accepted.json, "dumps", real)
+    assert add(2, "c", "d") and not add(2, "c", "d") and not add(1, "y") and keys() == ["a", "b", "c", "d"]
+    # another stream, whose batches have the same numbers
+    assert add(0, "a", "e", writer="v") and keys() == ["a", "b", "c", "d", "e"]
+    with pytest.raises(Exception, match="without a key"):
+        add(9, None)
+
+
+def test_a_batch_reads_only_its_own_buckets(spark, tmp_path, monkeypatch):
+    out, read = str(tmp_path / "out"), []
+    for number in range(6):
+        accepted.accept(rows_of(spark, *(f"k{number}-{i}" for i in range(40))), out, "attempt_id", "accepted_at", "w", number, 8)
+    reader = type(spark.read)
+    real = reader.parquet
+    monkeypatch.setattr(reader, "parquet", lambda self, *paths, **b: read.extend(paths) or real(self, *paths, **b))
+    assert accepted.accept(rows_of(spark, "k3-7", "new"), out, "attempt_id", "accepted_at", "w", 6, 8)
+    assert 1 <= len(read) <= 2 and all("/keys/bucket=" in p for p in read)
+    monkeypatch.undo()
+    # one snapshot a bucket for each kept record at most, each of a file or none
+    for bucket in (tmp_path / "out" / "keys").iterdir():
+        assert len(list(bucket.iterdir())) <= accepted.KEPT + 1
+        assert all(len(list(at.glob("*.parquet"))) == 1 for at in bucket.iterdir())
+    assert len(list((tmp_path / "out" / "commits").iterdir())) == accepted.KEPT
+    assert accepted.accepted(spark, out).count() == 241 and accepted.accepted(spark, out).distinct().count() == 241
