@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tasklode.functions.text import action_kind, contains_argument, file_component, log_value, looks_like_product, normalize_action
 from tasklode.operators import attempts, audit, catalog, checks, gates, lineage, profiling, rewards, sampling, scheduling
 from tasklode.plans.registry import query, six
-from tasklode.session import table
+from tasklode.session import shared_folder, table
+from tasklode.sources import sinks
 
 
 def _events(spark: SparkSession, sf: str) -> DataFrame:
@@ -370,3 +373,20 @@ def remaining_items(spark: SparkSession, sf: str) -> DataFrame:
     """Parts as a manifest of which the first are done: what is left keeps the seeds of its places."""
     parts = table(spark, sf, "part").select("p_partkey", F.col("p_partkey").alias("task_id"))
     return lineage.remaining(parts, "p_partkey", "task_id", parts.filter("p_partkey <= 150"), 1000).select("p_partkey", "episode_seed")
+
+
+@query("""
+SELECT CASE WHEN n_chars < 200 THEN 'short' WHEN n_chars > 8192 THEN 'long' ELSE 'kept' END AS reason, count(*) AS n, max(n_chars)::BIGINT AS most,
+  0::BIGINT AS problems, true AS hashed FROM documents GROUP BY 1""")
+def freeze_outputs(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents frozen to the shared folder: the manifest's counts, and whether what lies there is what was written."""
+    docs = table(spark, sf, "documents").select("doc_id", "n_chars", F.sha2("text", 256).alias("sha256"), F.concat(F.lit("doc-"), "doc_id").alias("path"))
+    reason = F.when(F.col("n_chars") < 200, "short").when(F.col("n_chars") > 8192, "long")
+    rows = docs.withColumn("reason", reason)
+    folder = f"{shared_folder(spark).rstrip('/')}/frozen-{uuid.uuid4().hex}"
+    told = sinks.freeze(rows, "reason", "n_chars", folder, selected=("doc_id", "sha256"), sources=docs)
+    problems = sinks.frozen_problems(spark, folder).agg(F.count("*").alias("problems"))
+    counts = spark.createDataFrame(sorted(told["reasons"].items()), "reason string, n long")
+    hashed = all(p["files"] > 0 and len(p["sha256"]) == 64 for p in told["parts"].values())
+    most = rows.groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.max("n_chars").cast("long").alias("most"))
+    return counts.join(most, "reason").crossJoin(F.broadcast(problems)).withColumn("hashed", F.lit(hashed))  # one row

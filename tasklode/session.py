@@ -53,17 +53,20 @@ def session(name: str = "tasklode", cpus: int | str = "*", **conf: str) -> Spark
     return builder.getOrCreate()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` as a checkpoint in the folder that spark.checkpoint.dir names: its lineage ends there.
-
-    A temporary folder stands in only in local mode, where one machine does all.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which driver and executors share; a temporary one only in local mode, where one machine does all."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = context.getConf().get("spark.checkpoint.dir", None)
-        if not folder and not context.master.startswith("local["):
+        if not folder and not context.master.startswith("local[") and context.master != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tasklode-"))
+    return context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` as a checkpoint in the shared folder: its lineage ends there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -8,7 +8,7 @@ import tempfile
 from pathlib import Path
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tasklode.functions.hashing import canonical_hash, ordered_hash
@@ -41,9 +41,9 @@ def write_once(path: str | Path, value: Any) -> bool:
     return True
 
 
-def write_exclusive(df: DataFrame, path: str) -> None:
-    """JSON lines to a new folder; one that exists is an error."""
-    df.write.mode("errorifexists").json(path)
+def write_exclusive(df: DataFrame, path: str, rows_per_file: int = 0) -> None:
+    """JSON lines to a new folder; one that exists is an error. ``rows_per_file`` bounds a file (0: doesn't)."""
+    df.write.mode("errorifexists").option("maxRecordsPerFile", rows_per_file).json(path)
 
 
 def write_manifest(tasks: DataFrame, position: str, folder: str, metadata: dict[str, str]) -> str:
@@ -60,29 +60,73 @@ def _document(spark: SparkSession, value: Any, folder: str) -> None:
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("errorifexists").text(folder)
 
 
-def freeze(
-    rows: DataFrame, reason: str, tokens: str, folder: str, thresholds: tuple[int, ...] = (8192, 16384, 24576, 32768), selected: tuple[str, ...] = (), facts: dict[str, Any] | None = None
-) -> dict[str, Any]:
-    """Writes kept rows (train), their ``selected`` columns (selection) and a manifest; refuses an existing folder.
+def file_hashes(spark: SparkSession, folder: str) -> DataFrame:
+    """(name, bytes, sha256) of the files that a writer left in a folder, of their bytes as written."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
 
-    The manifest has the counts by reason, token statistics, an order-free checksum of what was kept, and
-    ``facts``. All of it goes where Spark writes, never to the driver's disk.
+def freeze(
+    rows: DataFrame, reason: str, tokens: str, folder: str, thresholds: tuple[int, ...] = (8192, 16384, 24576, 32768), selected: tuple[str, ...] = (), facts: dict[str, Any] | None = None,
+    sources: DataFrame | None = None, rows_per_file: int = 100_000,
+) -> dict[str, Any]:
+    """Writes kept rows (train), their ``selected`` columns (selection), the hashes of all these files and a manifest; refuses an existing folder.
+
+    The manifest has the counts by reason, token statistics, an order-free checksum of what was kept, ``facts``, and for each
+    part the number, bytes and hash of its files: the SHA-256 of their SHA-256s in order. ``sources`` (path, sha256) are the
+    artifacts that the rows came from; they are kept beside and hashed in order of their paths. The manifest is written last:
+    a folder without one is not a frozen set. Files are read back as they were written, ``rows_per_file`` rows each, so a
+    task holds one file. All of it goes where Spark writes, never to the driver's disk.
     """
+    spark = rows.sparkSession
     kept = rows.filter(F.col(reason).isNull()).drop(reason)
-    write_exclusive(kept, f"{folder}/train")
-    if selected:
-        write_exclusive(kept.select(*selected), f"{folder}/selection")
+    parts = {"train": kept} | ({"selection": kept.select(*selected)} if selected else {})
+    if sources is not None:
+        parts["sources"] = sources.select("path", "sha256").distinct()
+    told = {}
+    for name, part in parts.items():
+        write_exclusive(part, f"{folder}/{name}", rows_per_file)
+        write_exclusive(file_hashes(spark, f"{folder}/{name}"), f"{folder}/hashes/{name}")
+        told[name] = _digest_of(spark, folder, name)
+    if sources is not None:
+        told["sources"]["paths_sha256"] = parts["sources"].agg(ordered_hash("sha256", "path").alias("h")).first().h
     reasons = {r[reason] or "kept": r["count"] for r in rows.groupBy(reason).count().collect()}
     quantiles = F.percentile(tokens, F.array(*map(F.lit, (0.5, 0.75, 0.9, 0.95, 0.99)))).alias("q")
     over = (F.count_if(F.col(tokens) > t).alias(f"over_{t}") for t in thresholds)
     sums = kept.agg(F.count("*").alias("n"), F.min(tokens).alias("min"), quantiles, F.max(tokens).alias("max"), F.avg(tokens).alias("mean"), *over).first().asDict()
     text = F.to_json(F.struct(*kept.columns))
     checksum = kept.agg(F.bit_xor(F.xxhash64(text)).alias("a"), F.bit_xor(F.xxhash64(F.lit(1), text)).alias("b")).first()
-    manifest = {"reasons": reasons, "tokens": sums, "content_checksum": [checksum.a or 0, checksum.b or 0], **(facts or {})}
-    _document(rows.sparkSession, manifest, f"{folder}/manifest")
+    manifest = {"reasons": reasons, "tokens": sums, "content_checksum": [checksum.a or 0, checksum.b or 0], "parts": told, **(facts or {})}
+    _document(spark, manifest, f"{folder}/manifest")
     return manifest
 
 
+def _digest_of(spark: SparkSession, folder: str, part: str) -> dict[str, Any]:
+    """Number, bytes and hash of a part's files, by the hashes kept beside it."""
+    hashes = spark.read.schema("name string, bytes long, sha256 string").json(f"{folder}/hashes/{part}")
+    row = hashes.agg(F.count("*").alias("files"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), ordered_hash("sha256", "sha256").alias("sha256")).first()
+    return row.asDict()
+
+
+def frozen_manifest(spark: SparkSession, folder: str) -> dict[str, Any]:
+    """The manifest of a frozen set; a folder without one was never finished, which is an error."""
+    return json.loads(spark.read.text(f"{folder}/manifest").first().value)
+
+
+def frozen_problems(spark: SparkSession, folder: str) -> DataFrame:
+    """(part, name, problem): files of a frozen set that are changed, missing or more than were written; a part whose list of
+    hashes isn't the manifest's has a row without a name. Empty if all is as it was written."""
+    out = spark.createDataFrame([], "part string, name string, problem string")
+    for part, want in frozen_manifest(spark, folder)["parts"].items():
+        now, then = file_hashes(spark, f"{folder}/{part}"), spark.read.schema("name string, bytes long, sha256 string").json(f"{folder}/hashes/{part}")
+        both = now.select("name", F.col("sha256").alias("now")).join(then.select("name", F.col("sha256").alias("then")), "name", "full")
+        problem = F.when(F.col("now").isNull(), "missing").when(F.col("then").isNull(), "not in the list").when(F.col("now") != F.col("then"), "changed")
+        out = out.unionByName(both.select(F.lit(part).alias("part"), "name", problem.alias("problem")).filter("problem IS NOT NULL"))
+        if {k: v for k, v in want.items() if k != "paths_sha256"} != _digest_of(spark, folder, part):
+            out = out.unionByName(spark.createDataFrame([(part, None, "list differs from the manifest")], out.schema))
+    return out
+
+
 def invalidate(path: str | Path, reason: str, version: str, at: str, status: str = "invalidated_by_implementation_bug") -> list[tuple[str, str]]:
     """Marks a run's manifest as invalid; returns the (key, value) rows for its run state. A mark that is there keeps its time and reason."""
     path = Path(path)
@@ -114,12 +158,6 @@ def current_rows(log: DataFrame, key: str, order: list[str]) -> DataFrame:
     return log.groupBy(key).agg(F.max_by(whole, F.struct(*order)).alias("r")).select("r.*")
 
 
-def accept_new(candidates: DataFrame, accepted: DataFrame, key: str = "attempt_id", order: str = "accepted_at") -> DataFrame:
-    """The candidates not yet accepted, one for each attempt: what an idempotent append writes."""
-    first = candidates.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(order))).filter("__n = 1").drop("__n")
-    return first.join(accepted.select(key), key, "left_anti")
-
-
 def markdown(rows: DataFrame, title: str, most: int = 1000) -> str:
     """A small result as a Markdown table; more than ``most`` rows are an error."""
     def shown(x: Any) -> str:

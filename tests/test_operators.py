@@ -754,6 +754,20 @@ def test_sinks(spark, tmp_path):
     assert other["content_checksum"] == got["content_checksum"] and other["scenario"] == "single"
     assert json.loads(spark.read.text(f"{tmp_path}/frozen2/manifest").first().value) == other
     assert sorted(r.id for r in spark.read.json(f"{tmp_path}/frozen2/selection").collect()) == ["a", "c"]
+    frozen = f"file://{tmp_path}/frozen3"
+    told = sinks.freeze(df.repartition(2), "reason", "tokens", frozen, selected=("id",), sources=df.selectExpr("id AS path", "sha2(id, 256) AS sha256"), rows_per_file=1)
+    assert told["parts"]["train"]["files"] == 2 and told["parts"]["train"]["bytes"] == sum(p.stat().st_size for p in (tmp_path / "frozen3/train").glob("part-*"))
+    each = sorted(hashlib.sha256(p.read_bytes()).hexdigest() for p in (tmp_path / "frozen3/train").glob("part-*"))
+    assert told["parts"]["train"]["sha256"] == hashlib.sha256("\n".join(each).encode()).hexdigest() and sinks.frozen_manifest(spark, frozen) == told
+    assert told["parts"]["sources"]["paths_sha256"] == hashlib.sha256("\n".join(hashlib.sha256(x.encode()).hexdigest() for x in "abc").encode()).hexdigest()
+    assert sinks.frozen_problems(spark, frozen).count() == 0
+    first, *_ = (tmp_path / "frozen3/train").glob("part-*")
+    (tmp_path / "frozen3/train" / f".{first.name}.crc").unlink()
+    first.write_text("{}")
+    next((tmp_path / "frozen3/selection").glob("part-*")).unlink()
+    assert sorted((r.part, r.problem) for r in sinks.frozen_problems(spark, frozen).collect()) == [("selection", "missing"), ("train", "changed")]
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        sinks.frozen_manifest(spark, str(tmp_path / "never"))
     run = tmp_path / "run_manifest.json"
     run.write_text('{"run_id": "r", "status": "running"}')
     assert sinks.invalidate(run, "bug", "v1", "t1")[0] == ("status", "invalidated_by_implementation_bug")
