@@ -316,6 +316,19 @@ def assistant_mask(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _tokenizer():
+    return _characters
+
+
+@query("""
+WITH t AS (SELECT conv_id, role, length(text) AS n FROM conversations)
+SELECT conv_id, sum(1 + length(role) + 1 + n + 1 + 1)::BIGINT + 11 AS rendered_input_tokens,
+       sum(1 + length(role) + 1 + n + 1 + 1 - CASE WHEN role = 'assistant' THEN n + 1 ELSE 0 END)::BIGINT + 11 AS observation_header_tokens FROM t GROUP BY conv_id""")
+def prompt_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """Tokens of the next prompt of each conversation, and of those what no assistant said."""
+    return conversations.prompt_profile(_messages(spark, sf), "messages", _tokenizer).drop("messages")
+
+
 _LEAKY = "CASE WHEN turn % 7 = 3 THEN concat(text, ' \"Reward_Detail\"') ELSE text END"
 
 

@@ -315,20 +315,46 @@ def by_character(s):
     return [{"<|im_start|>": 1, "<|im_end|>": 2}.get(s[a:b], ord(s[a])) for a, b in spans], spans
 
 
-def test_masks_name_what_is_wrong():
+def test_masks_name_what_is_wrong(spark):
     class M(dict):
         pass
 
     talk = [M(role=r, content=c) for r, c in (("system", "s"), ("user", "u"), ("assistant", "ab"), ("user", "z"))]
-    text, spans = conversations.rendered(talk)
-    assert [text[a:b] for a, b in spans] == ["ab<|im_end|>"] and text.endswith("ab<|im_end|>")
-    ids, labels, problem = conversations.masked_ids(talk, by_character, 2, 100)
+    text = "".join(f"<|im_start|>{m['role']}\n{m['content']}<|im_end|>\n" for m in talk)
+    at = text.index("ab")
+    spans = [(at, at + 2 + len("<|im_end|>"))]
+    df = spark.createDataFrame([([(m["role"], m["content"]) for m in talk],), ([],), (None,)], "m array<struct<role: string, content: string>>")
+    got = df.select(conversations.rendered("m").alias("t"), conversations.trained_spans("m").alias("s"), conversations.rendered("m", prompt=True).alias("p")).collect()
+    assert got[0].t == text and [tuple(x) for x in got[0].s] == spans and got[0].p == text + "<|im_start|>assistant\n"
+    assert (got[1].t, got[1].s) == ("", []) and (got[2].t, got[2].s) == (None, None)
+    ids, labels, problem = conversations.masked_ids(text, spans, by_character, 2, 100)
     assert problem is None and [x for x in labels if x != -100] == [ord("a"), ord("b"), 2] and len(ids) == len(labels)
-    assert conversations.masked_ids(talk, by_character, 2, 5) == (None, None, "over_context_5")
-    assert conversations.masked_ids(talk[:2], by_character, 2, 100)[2] == "no assistant loss tokens"
-    assert conversations.masked_ids(talk, by_character, 9, 100)[2] == "assistant EOS mask missing"
-    pairs = lambda s: ([7] * ((len(s) + 1) // 2), [(i, min(i + 2, len(s))) for i in range(0, len(s), 2)])
-    assert conversations.masked_ids([talk[0], M(role="user", content="uu"), talk[2]], pairs, 2, 100)[2] == "token straddles assistant mask boundary"
+    assert conversations.masked_ids(text, spans, by_character, 2, 5) == (None, None, "over_context_5")
+    assert conversations.masked_ids(text, [], by_character, 2, 100)[2] == "no assistant loss tokens"
+    assert conversations.masked_ids(text, spans, by_character, 9, 100)[2] == "assistant EOS mask missing"
+    pairs_of = lambda s: ([7] * ((len(s) + 1) // 2), [(i, min(i + 2, len(s))) for i in range(0, len(s), 2)])
+    assert {conversations.masked_ids("x" * k + text, [(a + k, b + k) for a, b in spans], pairs_of, 2, 100)[2] for k in (0, 1)} >= {"token straddles assistant mask boundary"}
+    full = by_character(text)[0]
+    assert conversations.masked_ids(text, spans, by_character, 2, 100, (text, full))[2] is None
+    assert conversations.masked_ids(text, spans, by_character, 2, 100, (text + " ", full))[2] == "chat template changed visible text"
+    assert conversations.masked_ids(text, spans, by_character, 2, 100, (text, full[1:]))[2] == "chat template and tokenizer ids disagree"
+
+
+def test_prompt_profile_counts_what_no_assistant_said(spark):
+    def slow(talk):
+        text = "".join(f"<|im_start|>{r}\n{c}<|im_end|>\n" for r, c in talk) + "<|im_start|>assistant\n"
+        spans = [(m.start(1), m.end(1)) for m in re.finditer(r"<\|im_start\|>assistant\n(.*?<\|im_end\|>)", text, re.DOTALL)]
+        ids, offsets = by_character(text)
+        return len(ids), len(ids) - sum(hi > lo and any(a <= lo < hi <= b for a, b in spans) for lo, hi in offsets)
+
+    talks = [[("system", "s"), ("user", "ü\n"), ("assistant", "ab\ncd"), ("user", "z"), ("assistant", "")], [("user", "x")], [], [("assistant", "a<|im_end|>b"), ("user", "<|im_start|>assistant\nno")]]
+    df = spark.createDataFrame([(t,) for t in [*talks, None]], "m array<struct<role: string, content: string>>").selectExpr("*", "1 AS __told")
+    out = conversations.prompt_profile(df, "m", lambda: by_character).collect()
+    assert [(r.rendered_input_tokens, r.observation_header_tokens) for r in out] == [*map(slow, talks), (None, None)]
+    same = lambda talk: ("", by_character("".join(f"<|im_start|>{m['role']}\n{m['content']}<|im_end|>\n" for m in talk) + "<|im_start|>assistant\n")[0])
+    assert conversations.prompt_profile(df.limit(2), "m", lambda: by_character, same).count() == 2
+    with pytest.raises(Exception, match="disagree"):
+        conversations.prompt_profile(df.limit(2), "m", lambda: by_character, lambda _: ("", [])).collect()
 
 
 def test_personas_that_cannot_be_read_are_a_problem(spark):
