@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tasklode.functions.names import free
@@ -130,22 +130,36 @@ def cost_projection(summary: DataFrame, targets: tuple[int, ...] = (3000, 6000,
     return summary.select("tasks", "solved", *columns)
 
 
-def retry_telemetry(attempts: DataFrame, diagnostics: str) -> DataFrame:
-    """One row: calls, retries, HTTP 429 and 5xx codes, and whether every retry has its event.
-
-    Exploded once for the codes; the totals come from the arrays, so nothing is counted twice.
-    """
+def _retry_columns(diagnostics: str) -> dict[str, Column]:
+    """Each attempt's calls, retries, 429s, 5xxs and whether every retry has its event, from its arrays: nothing is exploded."""
     d = F.col(diagnostics)
     events = F.flatten(F.transform(d, lambda x: F.coalesce(x["retry_events"], F.array().cast("array<struct<status_code:int>>"))))
     codes = F.transform(events, lambda e: e["status_code"])
-    sums = attempts.select(
-        F.size(d).alias("calls"),
-        F.aggregate(d, F.lit(0).cast("long"), lambda a, x: a + F.coalesce(x["retries"], F.lit(0))).alias("retries"),
-        F.size(F.filter(codes, lambda c: c == 429)).alias("http_429"),
-        F.size(F.filter(codes, lambda c: (c >= 500) & (c <= 599))).alias("http_5xx"),
-        F.forall(d, lambda x: (F.coalesce(x["retries"], F.lit(0)) == 0) | (F.size(x["retry_events"]) > 0)).alias("complete"),
-    )
-    return sums.agg(*(F.sum(c).alias(c) for c in ("calls", "retries", "http_429", "http_5xx")), F.bool_and("complete").alias("complete"))
+    return {
+        "calls": F.size(d),
+        "retries": F.aggregate(d, F.lit(0).cast("long"), lambda a, x: a + F.coalesce(x["retries"], F.lit(0))),
+        "http_429": F.size(F.filter(codes, lambda c: c == 429)),
+        "http_5xx": F.size(F.filter(codes, lambda c: (c >= 500) & (c <= 599))),
+        "complete": F.forall(d, lambda x: (F.coalesce(x["retries"], F.lit(0)) == 0) | (F.size(x["retry_events"]) > 0)),
+    }
+
+
+def _retry_totals(columns: dict[str, Column]) -> list[Column]:
+    return [F.bool_and(c).alias(n) if n == "complete" else F.sum(c).alias(n) for n, c in columns.items()]
+
+
+def retry_telemetry(attempts: DataFrame, diagnostics: str) -> DataFrame:
+    """One row: calls, retries, HTTP 429 and 5xx codes, and whether every retry has its event."""
+    return attempts.agg(*_retry_totals(_retry_columns(diagnostics)))
+
+
+def observed_retries(attempts: DataFrame, diagnostics: str, observation: Observation | str) -> DataFrame:
+    """``attempts`` as they are; what ``retry_telemetry`` counts is told to ``observation`` while another plan reads them.
+
+    An ``Observation`` has the totals (``get``) once the first action over the result has ended, without a pass of its
+    own. A name instead of one makes them part of a stream's progress, for listeners, batch by batch.
+    """
+    return attempts.observe(observation, *_retry_totals(_retry_columns(diagnostics)))
 
 
 def group_statistics(attempts: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tasklode.functions.stats import linear, nearest_rank
 from tasklode.functions.text import col
+from tasklode.operators.ranking import dealt
 
 MISSING = "<missing>"
 
@@ -72,3 +73,27 @@ def profile(df: DataFrame, view: str, lengths: dict[str, Column], numbers: dict[
     measures = {**{k: F.char_length(v) for k, v in lengths.items()}, **numbers}
     pairs = F.array(*(F.struct(F.lit(k).alias("measure"), v.cast("double").alias("value")) for k, v in measures.items()))
     return df.select(F.col(view), F.explode(pairs).alias("m")).groupBy(view, F.col("m.measure").alias("measure")).agg(*linear_summary("m.value"))
+
+
+def ranked_summaries(rows: DataFrame, by: str, x: str, quantiles: tuple[float, ...] = (0.5, 0.9, 0.95, 0.99)) -> DataFrame:
+    """(by, count, min, p50, ..., max, mean) of the values ``x`` (double, nulls left out) of each group, with interpolated quantiles.
+
+    As ``linear_summary``, for groups of any number of distinct values: equal values are counted, the counts are dealt to
+    sampled ranges, and each quantile is read off the two places that it lies between. No task holds a group.
+    """
+    counts = rows.filter(F.col(x).isNotNull()).groupBy(F.col(by).alias("g"), F.col(x).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    told = dealt(counts, [F.col("g"), F.col("v")], "part", "place")
+    own = Window.partitionBy("g")
+    parts = told.groupBy("g", "part").agg(F.sum("n").alias("s"))
+    parts = parts.select("g", "part", F.sum("s").over(own).alias("total"), F.coalesce(F.sum("s").over(own.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    upto = F.sum("n").over(Window.partitionBy("g", "part").orderBy("place"))
+    ranked = told.withColumn("upto", upto).join(parts, ["g", "part"]).withColumn("to", F.col("base") + F.col("upto"))
+
+    def at(place: Column) -> Column:
+        return F.max(F.when((place < F.col("to")) & (place >= F.col("to") - F.col("n")), F.col("v")))
+
+    where = {q: (F.col("total") - 1).cast("double") * q for q in quantiles}
+    ends = [c for k, p in enumerate(where.values()) for c in (at(F.floor(p)).alias(f"low{k}"), at(F.ceil(p)).alias(f"high{k}"), F.max(p - F.floor(p)).alias(f"part{k}"))]
+    found = ranked.groupBy("g").agg(F.sum("n").alias("count"), F.min("v").alias("min"), F.max("v").alias("max"), (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean"), *ends)
+    between = [(F.col(f"low{k}") + (F.col(f"high{k}") - F.col(f"low{k}")) * F.col(f"part{k}")).alias(f"p{round(q * 100)}") for k, q in enumerate(quantiles)]
+    return found.select(F.col("g").alias(by), "count", "min", *between, "max", "mean")

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tasklode.functions.text import action_kind, contains_argument, file_component, log_value, looks_like_product, normalize_action
-from tasklode.operators import attempts, audit, catalog, checks, gates, lineage, profiling, rewards, sampling, scheduling
+from tasklode.operators import attempts, audit, catalog, checks, dataset, gates, lineage, profiling, rewards, sampling, scheduling
 from tasklode.plans.registry import query, six
 from tasklode.session import shared_folder, table
 from tasklode.sources import sinks
@@ -180,12 +180,28 @@ WITH d AS (SELECT o_orderkey % 3 AS retries, CASE WHEN o_orderkey % 3 > 0 AND o_
 SELECT count(*) AS calls, sum(retries)::BIGINT AS retries, count(*) FILTER (WHERE code = 429) AS http_429, count(*) FILTER (WHERE code = 503) AS http_5xx,
        bool_and(retries = 0 OR code IS NOT NULL) AS complete FROM d""")
 def retry_telemetry(spark: SparkSession, sf: str) -> DataFrame:
+    out = attempts.retry_telemetry(_with_calls(spark, sf), "d")
+    return out.select(*(F.col(c).cast("long").alias(c) for c in ("calls", "retries", "http_429", "http_5xx")), "complete")
+
+
+def _with_calls(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as attempts with one call each."""
     key = F.col("o_orderkey")
     event = F.struct(F.when(key % 2 == 0, 429).otherwise(503).alias("status_code"))
     events = F.when((key % 3 > 0) & (key % 5 > 0), F.array(event)).otherwise(F.array().cast("array<struct<status_code: int>>"))
-    calls = F.array(F.struct((key % 3).cast("int").alias("retries"), events.alias("retry_events")))
-    out = attempts.retry_telemetry(_orders(spark, sf).select(calls.alias("d")), "d")
-    return out.select(*(F.col(c).cast("long").alias(c) for c in ("calls", "retries", "http_429", "http_5xx")), "complete")
+    return _orders(spark, sf).select("o_custkey", F.array(F.struct((key % 3).cast("int").alias("retries"), events.alias("retry_events"))).alias("d"))
+
+
+@query("""
+WITH d AS (SELECT o_custkey, o_orderkey % 3 AS retries, CASE WHEN o_orderkey % 3 > 0 AND o_orderkey % 5 > 0 THEN CASE WHEN o_orderkey % 2 = 0 THEN 429 ELSE 503 END END AS code FROM orders)
+SELECT count(DISTINCT o_custkey) AS tasks, count(*) AS calls, sum(retries)::BIGINT AS retries, count(*) FILTER (WHERE code = 429) AS http_429, count(*) FILTER (WHERE code = 503) AS http_5xx,
+       bool_and(retries = 0 OR code IS NOT NULL) AS complete FROM d""")
+def observed_retries(spark: SparkSession, sf: str) -> DataFrame:
+    """Distinct tasks, counted by a plan over the attempts, and the retries that were observed while it ran."""
+    seen = Observation("retries")
+    tasks = attempts.observed_retries(_with_calls(spark, sf), "d", seen).agg(F.count_distinct("o_custkey").alias("tasks")).first().tasks
+    row = (tasks, *(seen.get[c] for c in ("calls", "retries", "http_429", "http_5xx", "complete")))
+    return spark.createDataFrame([row], "tasks long, calls long, retries long, http_429 long, http_5xx long, complete boolean")
 
 
 @query("""
@@ -390,3 +406,44 @@ def freeze_outputs(spark: SparkSession, sf: str) -> DataFrame:
     hashed = all(p["files"] > 0 and len(p["sha256"]) == 64 for p in told["parts"].values())
     most = rows.groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.max("n_chars").cast("long").alias("most"))
     return counts.join(most, "reason").crossJoin(F.broadcast(problems)).withColumn("hashed", F.lit(hashed))  # one row
+
+
+def _dataset(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as tasks and as the records that they came from, with gaps at fixed ids."""
+    docs, key = table(spark, sf, "documents"), F.col("doc_id")
+    tasks = docs.select(
+        key.alias("source_index"), F.concat(F.lit("b"), key).alias("task_id"), F.when(key % 2 == 0, "single_persona").otherwise("standard").alias("scenario"),
+        F.col("lang").alias("domain"), F.when(key % 4 > 0, F.col("source")).alias("category"),
+    )
+    first = F.struct(F.when(key % 5 > 0, F.left("text", F.lit(300))).alias("instruction"), F.sequence(F.lit(0), key % 6).alias("attributes"), F.when(key % 7 > 0, F.array(F.lit("a"))).alias("options"))
+    persona = F.when(key % 3 > 0, F.struct("lang", "source"))
+    record = F.struct(F.concat(F.when(key % 11 == 0, "x").otherwise("b"), key).alias("asin"), F.array(first).alias("instructions"), persona.alias("user_persona"))
+    # prices of two kinds, of which one is a text and doesn't count
+    prices = F.when(key % 9 > 0, F.concat(F.lit(', "pricing": ['), F.col("n_chars").cast("string"), F.lit(', "12", '), (key % 100).cast("string"), F.lit(".5]}"))).otherwise("}")
+    json = F.concat(F.regexp_replace(F.to_json(record), r"\}\z", ""), prices)
+    return dataset.measured(tasks, docs.filter(key % 13 > 0).select(key.alias("source_index"), json.alias("json")))
+
+
+_DATASET = """
+WITH d AS (SELECT *, doc_id % 13 > 0 AS there, doc_id % 2 = 0 AS own FROM documents),
+m AS (SELECT 'instruction_chars' AS measure, length(left(text, 300))::DOUBLE AS v FROM d WHERE there AND doc_id % 5 > 0 AND length(text) > 0
+  UNION ALL SELECT 'persona_chars', length('{"lang": "' || lang || '", "source": "' || source || '"}') FROM d WHERE there AND own AND doc_id % 3 > 0
+  UNION ALL SELECT 'attribute_count', doc_id % 6 + 1 FROM d WHERE there UNION ALL SELECT 'option_count', 1 FROM d WHERE there AND doc_id % 7 > 0
+  UNION ALL SELECT 'target_price_values', unnest([n_chars::DOUBLE, doc_id % 100 + 0.5]) FROM d WHERE there AND doc_id % 9 > 0)"""
+
+
+@query(_DATASET + """
+SELECT measure, count(*) AS n, round(min(v), 6) AS least, round(quantile_cont(v, 0.5), 6) AS p50, round(quantile_cont(v, 0.9), 6) AS p90, round(quantile_cont(v, 0.95), 6) AS p95,
+  round(quantile_cont(v, 0.99), 6) AS p99, round(max(v), 6) AS most, round(avg(v), 6) AS mean FROM m GROUP BY measure""")
+def dataset_profile(spark: SparkSession, sf: str) -> DataFrame:
+    out = dataset.profile(_dataset(spark, sf))
+    return out.select("measure", F.col("count").alias("n"), six("min", "least"), *(six(p, p) for p in ("p50", "p90", "p95", "p99")), six("max", "most"), six("mean", "mean"))
+
+
+@query(_DATASET + """
+SELECT count(*) AS task_count, count(DISTINCT CASE WHEN doc_id % 4 > 0 AND source <> '' THEN source ELSE '<missing>' END) AS category_count, count(DISTINCT coalesce(nullif(lang, ''), '<missing>')) AS domain_count,
+  count_if(NOT (there AND doc_id % 5 > 0 AND coalesce(length(text), 0) > 0))::BIGINT AS missing_instruction, count_if(own AND NOT (there AND doc_id % 3 > 0))::BIGINT AS missing_user_persona,
+  count_if(NOT there)::BIGINT AS missing_attributes, count_if(NOT (there AND doc_id % 7 > 0))::BIGINT AS missing_options, count_if(NOT (there AND doc_id % 9 > 0))::BIGINT AS missing_pricing,
+  count_if(NOT there OR doc_id % 11 = 0)::BIGINT AS invalid_product_references FROM d""")
+def dataset_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return dataset.counts(_dataset(spark, sf))

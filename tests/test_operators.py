@@ -7,10 +7,10 @@ import re
 import sqlite3
 
 import pytest
-from pyspark.sql import datasource
+from pyspark.sql import Observation, datasource
 from pyspark.sql import functions as F
 from tasklode.functions import hashing, similarity, stats, text
-from tasklode.operators import attempts, audit, catalog, checks, conversations, gates, graph, lineage, pairs, profiling, ranking, rewards, sampling, scheduling
+from tasklode.operators import attempts, audit, catalog, checks, conversations, dataset, gates, graph, lineage, pairs, profiling, ranking, rewards, sampling, scheduling
 from tasklode.sources import files, ledger, sinks
 
 
@@ -222,6 +222,42 @@ def test_retry_telemetry(spark):
 # --- sampling -----------------------------------------------------------------------------------------
 
 
+def test_retries_are_observed_without_a_pass_of_their_own(spark):
+    rows = [([(0, None)],), ([(2, [(429,), (503,)]), (1, [(200,)])],), ([(1, [])],), ([],)]
+    df = spark.createDataFrame(rows, "d array<struct<retries: int, retry_events: array<struct<status_code: int>>>>")
+    seen = Observation("retries")
+    assert attempts.observed_retries(df, "d", seen).filter("size(d) > 0").count() == 3  # another plan
+    assert seen.get == attempts.retry_telemetry(df, "d").first().asDict()
+
+
+def test_dataset_profile_reads_records_as_they_are(spark):
+    records = [
+        {"asin": "b0", "instructions": [{"instruction": "find ü", "attributes": ["a", "b"], "options": []}], "user_persona": {"name": "a, b: \"c\"", "n": [1, 2]}, "pricing": [1, 2.5, "3", None]},
+        {"asin": "other", "instructions": [], "user_persona": "no object", "pricing": []},
+        {"asin": 7, "instructions": [{"instruction": "", "attributes": "x", "options": ["o"]}], "pricing": [9]},
+    ]
+    rows = [(k, json.dumps(r, ensure_ascii=False)) for k, r in enumerate(records)] + [(3, "no json")]
+    tasks = [(0, "b0", "single_persona", "d", "c"), (1, "b1", "single_persona", "", None), (2, "7", "standard", "d", "c"), (3, "b3", "standard", "d", "c"), (4, "b4", "standard", None, "c")]
+    told = dataset.measured(spark.createDataFrame(tasks, "source_index int, task_id string, scenario string, domain string, category string"), spark.createDataFrame(rows, "source_index int, json string"), lambda: len)
+    assert dataset.counts(told).first().asDict() == {
+        "task_count": 5, "category_count": 2, "domain_count": 2, "missing_instruction": 4, "missing_user_persona": 1, "missing_attributes": 4, "missing_options": 3, "missing_pricing": 3,
+        "invalid_product_references": 3,
+    }
+    out = {r["measure"]: r for r in dataset.profile(told).collect()}
+    persona = len(json.dumps(records[0]["user_persona"], ensure_ascii=False))
+    assert out["persona_chars"].max == persona and out["instruction_chars"].mean == 6 and out["attribute_count"]["count"] == 1
+    assert (out["target_price_values"]["count"], out["target_price_values"].p50, out["target_price_values"].max) == (3, 2.5, 9.0)
+    assert (out["option_count"]["count"], out["option_count"].p50, out["instruction_tokens"].max, out["persona_tokens"]["count"]) == (2, 0.5, 6, 1)
+    assert {r.task_id for r in dataset.bad_references(told, spark.createDataFrame([("b0",), ("7",)], "asin string")).collect()} == {"b1", "b3", "b4"}
+
+
+def test_ranked_summaries_equal_the_interpolated_ones(spark):
+    rows = spark.range(3_000).selectExpr("id % 3 AS g", "CASE WHEN id % 50 = 7 THEN NULL ELSE pmod(hash(id), 400) / 7 END AS v").unionByName(spark.createDataFrame([(9, 1.5)], "g long, v double"))
+    got = {r.g: tuple(r)[1:] for r in profiling.ranked_summaries(rows, "g", "v").collect()}
+    want = {r.g: tuple(r)[1:] for r in rows.groupBy("g").agg(*profiling.linear_summary("v")).collect()}
+    assert got.keys() == want.keys() and all(got[g] == pytest.approx(want[g], rel=1e-12) for g in want)
+
+
 def test_largest_remainder(spark):
     df = spark.createDataFrame([("a", 5), ("b", 3), ("c", 2)], "stratum string, n long")
     assert dict(sampling.largest_remainder(df, 4).select("stratum", "quota").collect()) == {"a": 2, "b": 1, "c": 1}
