@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 #: A token: comment, declaration, raw element, tag, text or a stray bracket.
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<raw>script|style|textarea|noscript|template|iframe|svg|title|select|object|math)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style|textarea|template|iframe|svg|title|select|annotation(?:-xml)?)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<close>/?)(?P<tag>[a-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|<(?P<close2>/?)(?P<tag2>[a-z][^\s/>]*)(?P<attrs2>[^>]*)(?:>|\Z)"
     r"|(?P<text>[^<]+|<)",
@@ -40,7 +40,8 @@ _PUNCTUATION = re.compile(r"[.,;:!?。，、；：！？]")
 # Names of HTML elements, and words by which sites mark what isn't the article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img "
+    "math menclose mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split()
 )
 #: What an opening tag ends, if it is open.
 ENDS = {
@@ -76,7 +77,7 @@ MOST_LINKED = 0.5
 
 
 class _Element:
-    __slots__ = ("block", "chief", "dropped", "goes", "header", "label", "linked", "marked", "number", "parent", "partly", "score", "tag")
+    __slots__ = ("block", "chief", "dropped", "fallback", "goes", "header", "label", "linked", "marked", "number", "parent", "partly", "score", "tag")
 
     def __init__(self, tag: str, attrs: str, parent: _Element | None, number: int, labels: dict[tuple[int, str], int]) -> None:
         """``number`` counts the page's elements; ``labels`` numbers its paths of tags."""
@@ -97,6 +98,8 @@ class _Element:
         self.header = bool(parent and parent.header) or tag == "header" or (own and tag not in HEADINGS and "header" in marks)
         self.label = labels.setdefault((parent.label if parent else -1, tag), len(labels))
         self.linked = tag == "a" or bool(parent and parent.linked)
+        #: Shown only where scripts don't run: the article's there, a notice elsewhere.
+        self.fallback = tag == "noscript" or bool(parent and parent.fallback)
         #: The innermost element around or at it that makes blocks.
         self.block: _Element = parent.block if parent and tag in INLINE else self
         self.number, self.score, self.goes = number, 0.0, False
@@ -203,10 +206,9 @@ def _wholes(elements: list[_Element], top: _Element) -> list[_Element | None]:
     return out
 
 
-def link_lists(blocks: list[_Block]) -> list[bool]:
-    """Whether each block is in a list of links: its own list or table where it is in one, all blocks of its path else."""
-    groups = []
-    total: dict[object, list[int]] = {}
+def _groups(blocks: list[_Block]) -> list[object]:
+    """What each block is judged with: a list or table, as (number,), where it is in one, else its path."""
+    groups: list[object] = []
     of_row: dict[int, _Element] = {}
     for b in blocks:
         e, rows = b.element, []
@@ -218,12 +220,40 @@ def link_lists(blocks: list[_Block]) -> list[bool]:
         e = of_row.get(e.number, e)
         of_row.update(dict.fromkeys(rows, e))
         groups.append((e.number,) if e.tag in GROUPS else b.element.label)
-        sums = total.setdefault(groups[-1], [0, 0])
+    return groups
+
+
+def link_lists(blocks: list[_Block]) -> list[bool]:
+    """Whether each block is in a list of links: its own list or table where it is in one, all blocks of its path else."""
+    groups = _groups(blocks)
+    total: dict[object, list[int]] = {}
+    for b, g in zip(blocks, groups, strict=True):
+        sums = total.setdefault(g, [0, 0])
         sums[0] += b.linked
         sums[1] += len(b.text)
     return [b.element.tag not in HEADINGS and total[g][0] > MOST_LINKED * total[g][1] for b, g in zip(blocks, groups, strict=True)]
 
 
+def of_article(blocks: list[_Block], paths: dict[int, float]) -> list[_Block]:
+    """Of the blocks of an article element, all but lists of links and what is nothing but a link on a path that isn't content.
+
+    Paragraphs stay, however much of them is linked. So does a list of links right below a heading of the article's
+    parts: that is its sources.
+    """
+    groups, links = _groups(blocks), link_lists(blocks)
+    named = set()
+    for i, g in enumerate(groups):
+        if i and g != groups[i - 1] and blocks[i - 1].element.tag in HEADINGS - {"h1"}:
+            named.add(g)
+    out = []
+    for b, g, linked in zip(blocks, groups, links, strict=True):
+        listed = isinstance(g, tuple)
+        alone = b.linked >= len(b.text) and b.element.tag not in HEADINGS | {"p"} and b.element.label not in paths
+        if not (linked and g not in named if listed else alone):
+            out.append(b)
+    return out
+
+
 def between(blocks: list[_Block], paths: dict[int, float], wholes: list[_Element | None]) -> list[_Block]:
     """Of the blocks of a container: the headings, what lies between content blocks, and lists, tables and the like beside content."""
     links = link_lists(blocks)
@@ -258,13 +288,35 @@ def _scored(blocks: list[_Block], elements: list[_Element], paths: dict[int, flo
     return elements[0].score
 
 
+def _beside_articles(blocks: list[_Block], elements: list[_Element]) -> list[bool]:
+    """By number, whether an element has no unmarked article or main element in or around it, though the page has one with text."""
+    filled = [False] * len(elements)
+    for b in blocks:
+        filled[b.element.number] = True
+    for e in reversed(elements):
+        if e.parent and filled[e.number]:
+            filled[e.parent.number] = True
+    chief = [e.chief and not e.marked and not e.dropped and filled[e.number] for e in elements]
+    if not any(chief):
+        return [False] * len(elements)
+    around, holds = chief.copy(), chief.copy()
+    for e in elements:
+        around[e.number] |= bool(e.parent) and around[e.parent.number]
+    for e in reversed(elements):
+        if e.parent:
+            holds[e.parent.number] |= holds[e.number]
+    return [not a and not h for a, h in zip(around, holds, strict=True)]
+
+
 def unmarked(blocks: list[_Block], elements: list[_Element]) -> list[_Block]:
-    """The blocks less what is in elements marked by words or a role that hold little of the page's content."""
+    """The blocks less what is in elements marked by words or a role that hold little of the page's content, or that
+    lie beside an article or main element with text, whatever they hold."""
     if not any(e.marked for e in elements):
         return blocks
     whole = _scored(blocks, elements, content_paths(blocks))
+    beside = _beside_articles(blocks, elements)
     for e in elements:
-        little = not whole or e.score < e.marked * whole
+        little = not whole or e.score < e.marked * whole or beside[e.number]
         e.goes = bool(e.parent and e.parent.goes) or (e.marked > 0 and little)
     out = []
     for b in blocks:
@@ -310,11 +362,11 @@ def extract(page: str | None) -> str:
     if top is not None:
         inside = within(elements, top)
         picked = [b for b in blocks if inside[b.element.number]]
-        return " ".join(b.text for b, links in zip(picked, link_lists(picked), strict=True) if not links)
+        return " ".join(b.text for b in of_article(picked, paths))
     while here.parent and (here.label in paths or here.tag in INLINE):  # a single block isn't the container
         here = here.parent
     inside = within(elements, here)
-    return " ".join(b.text for b in between([b for b in blocks if inside[b.element.number] and not b.element.header], paths, _wholes(elements, here)))
+    return " ".join(b.text for b in between([b for b in blocks if inside[b.element.number] and not b.element.header and not b.element.fallback], paths, _wholes(elements, here)))
 
 
 def within(elements: list[_Element], top: _Element) -> list[bool]:
@@ -328,7 +380,8 @@ def within(elements: list[_Element], top: _Element) -> list[bool]:
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) of every row; a null or empty page has an empty text.
 
-    Repeated rows, null ids and null urls are kept. Empty in, empty out.
+    Repeated rows, null ids and null urls are kept. Empty in, empty out. Of nodes with equal scores the first is
+    taken. A page is one step of its task: a very long one takes memory for a multiple of its length, and time in proportion.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
 

@@ -17,8 +17,9 @@ Copies (equal sets) are one class from the start. Components grow in rounds: eve
 a block with another component is held against one class of it, the most alike of a few by the
 parities. Rounds end when they find no link, or after MOST_ROUNDS; then all classes that share a block,
 are not in one component and pass the bit sketch are held against each other. A group of near copies
-becomes one component in a few rounds and never makes all its pairs, and no link between components
-is missed.
+that link becomes one component in a few rounds and doesn't make all its pairs, and no link between
+components is missed. Near misses are the worst case: n texts that share blocks but link with none, as pages
+of one template of a likeness just below ``percent``, are held against each other, n * (n - 1) / 2 pairs.
 
 The texts are read four times (sizes and classes, counts of blocks, sketches of what is left, and in
 ``one_of_each`` the rows that stay); only texts with z + 1 common blocks leave their task.

@@ -47,9 +47,8 @@ def word_buckets(word: str) -> list[int]:
 
 
 def words_of(text: str | None) -> list[str]:
-    """The lower-case words; a word right after itself is left out."""
-    words = (text or "").lower().split()
-    return [w for w, before in zip(words, [None, *words], strict=False) if w != before]
+    """The lower-case words, all of them."""
+    return (text or "").lower().split()
 
 
 def windows_of(n_words: int) -> np.ndarray:

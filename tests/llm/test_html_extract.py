@@ -58,6 +58,35 @@ def test_lists_of_links_in_an_article(wrap):
     assert html_extract.extract(AROUND.replace("{}", page)) == plain("".join(inner))
 
 
+@pytest.mark.parametrize("wrap", ["<article>{}</article>", "<main>{}</main>"])
+@pytest.mark.parametrize(
+    "inner",
+    [
+        "<h1>Title</h1><p><a href=x>Most of this first sentence is a link</a> here.</p><p>Short tail.</p>",
+        f"<h1>Title</h1>{PARAGRAPH}<p><a href=x>A whole sentence is linked.</a></p>{PARAGRAPH}",
+        f"<h1>Title</h1>{PARAGRAPH}<h2>Sources</h2>{LINKS}",
+        f"{PARAGRAPH}<p>So <math><mi>a</mi><mo>=</mo><msup><mi>b</mi><mn>2</mn></msup><annotation>b^2</annotation></math> holds.</p>",
+        f"{PARAGRAPH}<noscript><p>A figure, as text.</p></noscript><object data=x><p>Its fallback, in words.</p></object>",
+    ],
+)
+def test_articles_keep_all_their_text(wrap, inner):
+    want = plain(re.sub(r"<annotation>.*?</annotation>", "", re.sub(r"</?(?:m[a-z]+)>", "", inner)))
+    assert html_extract.extract(AROUND.replace("{}", wrap.replace("{}", inner))) == want
+
+
+def test_ratios_judge_links_in_an_article(monkeypatch):
+    inner = f"<h1>Title</h1>{PARAGRAPH * 3}<div><a href=x>Buy it now, here</a></div>"
+    page = AROUND.replace("{}", f"<article>{inner}</article>")
+    assert html_extract.extract(page) == plain(f"<h1>Title</h1>{PARAGRAPH * 3}")
+    monkeypatch.setattr(html_extract, "content_paths", lambda blocks: dict.fromkeys((b.element.label for b in blocks), 1.0))
+    assert html_extract.extract(page) == plain(inner)
+
+
+def test_the_article_with_more_content_of_two():
+    page = f"<div><article><p>A teaser, with words.</p></article><article>{PARAGRAPH * 2}</article></div>"
+    assert html_extract.extract(AROUND.replace("{}", page)) == plain(PARAGRAPH * 2)
+
+
 @pytest.mark.parametrize("words", ["content right-sidebar", "has-comments post", "share-page widget", "site banner"])
 @pytest.mark.parametrize("wrap", ["<div class='{w}'><article>{}</article></div>", "<main><section id='{w}'>{}</section></main>", "<div class='{w}'>{}</div>"])
 def test_class_words_around_the_article(words, wrap):

@@ -33,6 +33,23 @@ def test_held_out_and_misspelt_words():
     assert accuracy(model, *corpus(300, 3, misspelt=True)) > 0.9
 
 
+def slow_score(model, text):
+    """Every window of eight words, half overlapping: the mean weight of all n-grams of all its words, the largest counts."""
+    words, best = (text or "").lower().split(), None
+    for at in range(0, max(1, len(words) - 4), 4):
+        bag = [b for w in words[at : at + 8] for b in toxicity.word_buckets(w)]
+        mean = sum(float(model.weight[b]) for b in bag) / max(len(bag), 100)
+        best = mean if best is None or mean > best else best
+    return 1 / (1 + np.exp(-((best if words else 0.0) + model.bias)))
+
+
+def test_scores_are_those_of_all_windows():
+    model = toxicity.fit(*corpus(90, 1))
+    texts = [*corpus(40, 6)[0], None, "", "word", "scumbag " * 9, "trashy trashy " + "calm " * 3_000, *(t for _, t in AWKWARD if t and len(t) < 20_000)]
+    kept = toxicity._Words(model.weight)
+    assert np.allclose([model.score(t, kept) for t in texts], [slow_score(model, t) for t in texts], atol=1e-6)
+
+
 def test_scores_do_not_depend_on_what_a_worker_has_seen(monkeypatch):
     model = toxicity.fit(*corpus(90, 1))
     texts = corpus(20, 5)[0]
