@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tasklode.functions.text import action_kind, contains_argument, file_component, log_value, looks_like_product, normalize_action
 from tasklode.operators import attempts, audit, catalog, checks, dataset, gates, lineage, profiling, rewards, sampling, scheduling
-from tasklode.plans.registry import query, six
+from tasklode.plans.registry import ORACLE_SQL, query, six
 from tasklode.session import shared_folder, table
 from tasklode.sources import sinks
 
@@ -447,3 +447,55 @@ SELECT count(*) AS task_count, count(DISTINCT CASE WHEN doc_id % 4 > 0 AND sourc
   count_if(NOT there OR doc_id % 11 = 0)::BIGINT AS invalid_product_references FROM d""")
 def dataset_counts(spark: SparkSession, sf: str) -> DataFrame:
     return dataset.counts(_dataset(spark, sf))
+
+
+# --- attempts, as whole operators -----------------------------------------------------------------
+
+
+@query("""
+WITH e AS (SELECT user_id, event_type, lag(event_type, 1) OVER w AS a, lag(event_type, 2) OVER w AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+SELECT user_id, bool_or(coalesce(event_type = a AND event_type = b, false)) AS stuck FROM e GROUP BY user_id""")
+def stuck_attempts(spark: SparkSession, sf: str) -> DataFrame:
+    """Users as attempts whose events are clicks: whether three in a row, and what was seen before them, are the same."""
+    listed = F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type")))
+    rows = _events(spark, sf).groupBy("user_id").agg(F.transform(listed, lambda x: x["event_type"]).alias("seen"))
+    clicks = F.transform("seen", lambda x: F.concat(F.lit("click["), x, F.lit("]")))
+    return rows.select("user_id", attempts.no_progress(clicks, "seen").alias("stuck"))
+
+
+@query(f"""
+WITH q AS ({ORACLE_SQL["quantile_selection"]})
+SELECT 'A' AS phase, doc_id FROM q WHERE contains(roles, 'longest') UNION ALL SELECT 'B', doc_id FROM q WHERE contains(roles, 'p50') OR contains(roles, 'p90') OR contains(roles, 'p99')
+UNION ALL SELECT 'C', doc_id FROM q""")
+def phases_of_selection(spark: SparkSession, sf: str) -> DataFrame:
+    selection = sampling.quantile_selection(table(spark, sf, "documents").select("doc_id", "n_chars"), "n_chars", "doc_id")
+    return checks.phase_plan(selection, "doc_id")
+
+
+@query("""
+SELECT o_custkey AS task_id, o_orderkey AS place, o_orderpriority AS note FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 4 > 0""")
+def success_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as a ledger and as artifacts, which disagree on some."""
+    path = F.concat(F.lit("attempts/"), "o_orderkey")
+    ledger = _orders(spark, sf).select(path.alias("artifact_path"), F.col("o_orderkey").alias("rowid"), F.when(F.col("o_orderstatus") == "F", "success").otherwise("max_steps").alias("status"))
+    said = F.when(F.col("o_orderkey") % 4 > 0, "success").otherwise("failed")
+    artifacts = _orders(spark, sf).select(path.alias("artifact_path"), F.col("o_custkey").alias("task_id"), said.alias("profiling_status"), F.col("o_orderpriority").alias("note"))
+    return checks.success_records(ledger, artifacts).select("task_id", "place", "note")
+
+
+@query("""
+WITH a AS (SELECT o_orderkey % 4 AS calls, o_orderkey % 3 AS retries, CASE o_orderkey % 5 WHEN 0 THEN 429 WHEN 1 THEN 502 END AS code, o_orderkey % 100 AS i, o_orderkey % 70 AS o FROM orders),
+c AS (SELECT count_if(c_custkey % 2 = 0 OR c_custkey % 3 = 0)::BIGINT AS slots_completed, count(*) AS slots_total, count_if(c_custkey % 2 = 0)::BIGINT AS unique_successful_tasks FROM customer)
+SELECT slots_completed, slots_total, unique_successful_tasks, sum(calls)::BIGINT AS api_calls, sum(retries)::BIGINT AS retries, count_if(code = 429)::BIGINT AS http_429, count_if(code = 502)::BIGINT AS http_5xx,
+  sum(i)::BIGINT AS input_tokens, sum(o)::BIGINT AS output_tokens FROM a, c GROUP BY 1, 2, 3""")
+def run_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as attempts, customers as slots and tasks."""
+    key, own = F.col("o_orderkey"), F.col("c_custkey")
+    code = F.when(key % 5 == 0, 429).when(key % 5 == 1, 502)
+    rows = _orders(spark, sf).select(
+        F.slice(F.array(*(F.struct(F.lit(0.1).alias("latency_s")),) * 3), 1, (key % 4).cast("int")).alias("api_diagnostics"), (key % 3).alias("infrastructure_retries"),
+        F.when(code.isNotNull(), F.array(F.struct(code.alias("status_code")))).otherwise(F.array().cast("array<struct<status_code: int>>")).alias("retry_events"),
+        (key % 100).alias("total_input_tokens"), (key % 70).alias("total_output_tokens"),
+    )
+    slots = table(spark, sf, "customer").select((own % 2 == 0).alias("fulfilled"), (own % 3 == 0).alias("exhausted"))
+    return attempts.run_summary(rows, slots, table(spark, sf, "customer").select((own % 2 == 0).alias("first_success")))
