@@ -55,9 +55,12 @@ def terminal_status(accepted: Column | str, capacity: Column | str, budgets: Bud
 def task_states(attempts: DataFrame, task: str, order: list[str], outcome: str, budgets: Budgets = Budgets()) -> DataFrame:
     """(task, first_attempts, first_success, accepted, used, left) from the whole ledger of genuine outcomes.
 
-    The replay of what a stream keeps per task: both give the same states.
+    The replay of what a stream keeps per task: both give the same states. No more than the first tries of both budgets
+    count, so only these are listed; Spark limits each task's rows by their rank before it deals them out.
     """
-    listed = attempts.groupBy(task).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(outcome).alias("__o")))).alias("__all"))
+    place = F.row_number().over(Window.partitionBy(task).orderBy(*order, outcome))
+    rows = attempts.select(F.col(task), *(F.col(o) for o in order), F.col(outcome).alias("__o"), place.alias("__place")).filter(F.col("__place") <= budgets.first + budgets.after)
+    listed = rows.groupBy(task).agg(F.array_sort(F.collect_list(F.struct("__place", "__o"))).alias("__all"))
     told = listed.withColumn("__o", F.transform("__all", lambda s: s["__o"]))
     at = F.array_position(F.slice("__o", 1, budgets.first), F.lit("accepted"))
     rest = F.when(at > 0, F.slice("__o", at.cast("int") + 1, F.greatest(F.size("__o"), F.lit(1)))).otherwise(F.array().cast("array<string>"))
