@@ -152,6 +152,23 @@ def log_value(x: Column | str) -> Column:
     return F.when(kept == "", "-").otherwise(kept)
 
 
+def displayed(x: Column | str, digits: int | None = None, unit: str = "") -> Column:
+    """A value for reports: ``N/A`` for null, a number with ``digits`` places (else as it is), then the unit. Halves, as the shortest decimal text tells them, round to even."""
+    shown = col(x).cast("string") if digits is None else F.format_string(f"%.{digits}f", F.bround(col(x).cast("double"), digits))
+    return F.when(col(x).isNull(), "N/A").otherwise(F.concat(shown, F.lit(unit)))
+
+
+def displayed_rate(estimate: Column | str, low: Column | str, high: Column | str) -> Column:
+    """``estimate [low, high]`` with three places each."""
+    return F.concat(displayed(estimate, 3), F.lit(" ["), displayed(low, 3), F.lit(", "), displayed(high, 3), F.lit("]"))
+
+
+def available_summary(clickables: Column | str, has_search_bar: Column | str) -> Column:
+    """struct<clickable_count, has_search_bar> as texts; ``N/A`` for what is missing."""
+    count = F.when(col(clickables).isNotNull(), F.size(col(clickables)))
+    return F.struct(displayed(count).alias("clickable_count"), displayed(has_search_bar).alias("has_search_bar"))
+
+
 def file_component(x: Column | str) -> Column:
     """A safe part of a file name: other characters are underscores, no dots or underscores at the ends."""
     return F.regexp_replace(F.regexp_replace(col(x), "[^A-Za-z0-9._-]+", "_"), r"^[._]+|[._]+\z", "")

@@ -227,24 +227,32 @@ def concurrency(attempts: DataFrame, start: str, end: str, wall: str, outcome: s
 
 
 def hard_tasks(attempts: DataFrame, task: str, status: str, actions: str, reward: str, order: list[str]) -> DataFrame:
-    """Tasks with an unsolved or max_steps attempt: outcomes, repeats, and the last reward."""
-    lower = F.transform(F.flatten(F.collect_list(actions)), lambda a: F.lower(a))
+    """Tasks with an unsolved or max_steps attempt: outcomes, repeats, and the last reward.
+
+    Actions (letters count in either case) are counted by (task, action) before they meet, so no row holds a task's actions;
+    a task without any has zero and false. outcomes are sorted, one an attempt.
+    """
+    said = attempts.select(F.col(task), F.explode(F.transform(actions, lambda a: F.lower(a))).alias("said"))
+    own = F.contains("said", F.lower(F.col(task).cast("string")))
+    counted = said.groupBy(task, "said").agg(F.count("*").alias("n")).groupBy(task).agg(
+        F.sum("n").alias("action_count"),
+        (F.max("n") > 1).alias("twice"),
+        *(F.coalesce(F.sum(F.when(F.startswith("said", F.lit(f"{k}[")), F.col("n"))), F.lit(0)).alias(k) for k in ("search", "click")),
+        F.coalesce(F.bool_or(own), F.lit(False)).alias("target_clicked"),
+    )
     found = attempts.groupBy(task).agg(
         F.bool_or(F.col(status).isin("profile_unsolved", "max_steps")).alias("hard"),
         F.count_if(F.col(status) == "max_steps").alias("max_steps_attempts"),
         F.collect_list(status).alias("outcomes"),
-        lower.alias("lower"),
         F.max_by(reward, F.struct(*order)).alias("last_reward"),
     )
-    twice = F.size("lower") != F.size(F.array_distinct("lower"))
 
     def many(kind: str) -> Column:
-        return twice & (F.size(F.filter("lower", lambda a: a.startswith(kind))) > 1)
+        return F.coalesce(F.col("twice") & (F.col(kind) > 1), F.lit(False)).alias(f"repeated_{kind}")
 
-    clicked = F.exists("lower", lambda a: F.contains(a, F.lower(F.col(task))))
-    return found.filter("hard").select(
-        task, F.array_sort("outcomes").alias("outcomes"), "max_steps_attempts", many("search[").alias("repeated_search"), many("click[").alias("repeated_click"),
-        F.size("lower").alias("action_count"), clicked.alias("target_clicked"), "last_reward",
+    return found.filter("hard").join(counted, task, "left").select(
+        task, F.array_sort("outcomes").alias("outcomes"), "max_steps_attempts", many("search"), many("click"),
+        F.coalesce("action_count", F.lit(0)).alias("action_count"), F.coalesce("target_clicked", F.lit(False)).alias("target_clicked"), "last_reward",
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tasklode.functions.names import free
 from tasklode.functions.text import action_kind, audit_action, casefold, col, contains_argument
 
 
@@ -13,18 +14,19 @@ def against_ledger(artifacts: DataFrame, ledger: DataFrame, key: str, status: st
 
     An attempt only in the ledger gets its columns from there (a placeholder).
     """
-    a, b = artifacts.withColumn("__a", F.lit(True)), ledger.withColumn("__b", F.lit(True))
+    here, there = free(artifacts, ledger, wanted=["here", "there"])
+    a, b = artifacts.withColumn(here, F.lit(True)), ledger.withColumn(there, F.lit(True))
     shared = [c for c in artifacts.columns if c in ledger.columns and c != key]
     for c in ledger.columns:
         if c != key:
             b = b.withColumnRenamed(c, f"ledger_{c}")
     told = a.join(b, key, "full_outer")
-    source = F.when(F.col("__a") & F.col("__b"), "both").when(F.col("__a"), "artifact_only").otherwise("ledger_only")
-    conflict = F.col("__a") & F.col("__b") & ~F.col(status).eqNullSafe(F.col(f"ledger_{status}"))
+    source = F.when(F.col(here) & F.col(there), "both").when(F.col(here), "artifact_only").otherwise("ledger_only")
+    conflict = F.col(here) & F.col(there) & ~F.col(status).eqNullSafe(F.col(f"ledger_{status}"))
     told = told.withColumn("source", source).withColumn("status_conflict", F.coalesce(conflict, F.lit(False)))
     for c in shared:
         told = told.withColumn(c, F.coalesce(c, f"ledger_{c}"))
-    return told.drop("__a", "__b")
+    return told.drop(here, there)
 
 
 def transitions(attempts: DataFrame, key: str, actions: str, observations: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tasklode.functions.names import free
 from tasklode.functions.text import col, strip
 
 
@@ -51,7 +52,8 @@ def observed_schema(records: DataFrame, text: str, position: str, all_records: b
 
 def checked_join(tasks_: DataFrame, records: DataFrame) -> DataFrame:
     """Tasks with their record by position; another id there, or no record, is an error."""
-    r = records.select(F.col("position").alias("source_index"), F.col("asin").alias("__asin"), *[c for c in records.columns if c not in ("position", "asin") and c not in tasks_.columns])
+    (own,) = free(tasks_, records, wanted=["asin"])
+    r = records.select(F.col("position").alias("source_index"), F.col("asin").alias(own), *[c for c in records.columns if c not in ("position", "asin") and c not in tasks_.columns])
     joined = tasks_.join(r, "source_index", "left")
-    same = F.when(F.col("__asin").eqNullSafe(F.col("task_id")), F.col("task_id")).otherwise(F.raise_error(F.lit("id at position differs")).cast("string"))
-    return joined.withColumn("task_id", same).drop("__asin")
+    same = F.when(F.col(own).eqNullSafe(F.col("task_id")), F.col("task_id")).otherwise(F.raise_error(F.lit("id at position differs")).cast("string"))
+    return joined.withColumn("task_id", same).drop(own)

@@ -86,9 +86,10 @@ def coverage(attempts: DataFrame, task: str = "task_id", status: str = "status")
     )
 
 
-def pool_problems(pools: DataFrame) -> DataFrame:
+def pool_problems(pools: DataFrame, expected: list[tuple[str, str]] | None = None) -> DataFrame:
     """(scenario, split, problem) of the official pools (task_id, scenario, split, want_scenario, want_split): an item in the wrong
-    pool or without an id, an id twice in a pool, or in the train and the test pool of a scenario. Empty if all is well."""
+    pool or without an id, an id twice in a pool, or in the train and the test pool of a scenario; of the
+    ``expected`` (scenario, split), a pool without items. Empty if all is well."""
     empty = F.coalesce("task_id", F.lit("")) == ""
     wrong = empty | ~F.col("scenario").eqNullSafe(F.col("want_scenario")) | ~F.col("split").eqNullSafe(F.col("want_split"))
     scenario, split = F.col("want_scenario").alias("scenario"), F.col("want_split").alias("split")
@@ -98,6 +99,10 @@ def pool_problems(pools: DataFrame) -> DataFrame:
     )
     twice = [by.filter(F.col(s) > 1).select(scenario, F.lit(s).alias("split"), F.lit("duplicate task IDs").alias("problem")) for s in ("train", "test")]
     both = by.filter("train > 0 AND test > 0").select(scenario, F.lit(None).cast("string").alias("split"), F.lit("official train/test overlap").alias("problem"))
+    if expected:
+        wanted = pools.sparkSession.createDataFrame(expected, "want_scenario string, want_split string")
+        empty_pools = wanted.join(pools.select("want_scenario", "want_split").distinct(), ["want_scenario", "want_split"], "left_anti")
+        invalid = invalid.unionByName(empty_pools.select(scenario, split, F.lit("invalid official split manifest").alias("problem")))
     return invalid.unionByName(twice[0]).unionByName(twice[1]).unionByName(both).distinct()
 
 

@@ -181,7 +181,9 @@ def selection_problems(selection: DataFrame, artifacts: DataFrame) -> DataFrame:
     selection: path, sha256, accepted_id, scenario; artifacts: path, sha256, accepted_id, scenario.
     """
     a = artifacts.select("path", *(F.col(c).alias(f"own_{c}") for c in ("sha256", "accepted_id", "scenario")))
-    told = selection.join(a, "path", "left").withColumn("__n", F.count("*").over(Window.partitionBy("accepted_id")))
+    (twice,) = free(selection, a, wanted=["twice"])
+    repeated = selection.filter("accepted_id IS NOT NULL").groupBy("accepted_id").agg((F.count("*") > 1).alias(twice)).filter(twice)
+    told = selection.join(a, "path", "left").join(repeated, "accepted_id", "left")
 
     def differs(c: str) -> Column:
         return F.col(c).isNotNull() & ~F.col(c).eqNullSafe(F.col(f"own_{c}"))
@@ -193,7 +195,7 @@ def selection_problems(selection: DataFrame, artifacts: DataFrame) -> DataFrame:
             ("hash differs", differs("sha256")),
             ("id differs", differs("accepted_id")),
             ("scenario differs", differs("scenario")),
-            ("duplicate id", F.col("accepted_id").isNotNull() & (F.col("__n") > 1)),
+            ("duplicate id", F.coalesce(F.col(twice), F.lit(False))),
         ]
     )
     return told.select("path", problem.alias("problem")).filter("problem IS NOT NULL")

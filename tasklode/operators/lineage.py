@@ -13,10 +13,11 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tasklode.functions.hashing import canonical_hash
+from tasklode.functions.hashing import canonical, canonical_hash, canonical_json_hash, ordered_hash
 from tasklode.functions.names import free
 from tasklode.functions.text import col
 from tasklode.operators.ranking import positions
+from tasklode.session import cut
 
 #: Seconds before the first, second and further retries.
 BACKOFF = (2.0, 5.0, 10.0)
@@ -77,11 +78,45 @@ def strata_offsets(strata: DataFrame, key: str) -> DataFrame:
 
 def same_on(a: DataFrame, b: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """(key, differs): runs of ``a`` whose immutable fields differ from those in ``b``, null-safe; empty if all may resume."""
-    other = b.select(key, *(F.col(f).alias(f"__{f}") for f in fields))
-    wrong = F.filter(F.array(*(F.when(~F.col(f).eqNullSafe(F.col(f"__{f}")), F.lit(f)) for f in fields)), lambda x: x.isNotNull())
+    names = dict(zip(fields, free(a, b, wanted=fields), strict=True))
+    other = b.select(key, *(F.col(f).alias(n) for f, n in names.items()))
+    wrong = F.filter(F.array(*(F.when(~F.col(f).eqNullSafe(F.col(n)), F.lit(f)) for f, n in names.items())), lambda x: x.isNotNull())
     return a.join(other, key).select(key, wrong.alias("differs")).filter(F.size("differs") > 0)
 
 
+def run_manifests(tasks: DataFrame, runs: DataFrame, run: str, position: str, task: str, purpose: str, limits: Mapping[str, int], most: int = 100_000) -> DataFrame:
+    """``runs`` (run, scenario, seed and columns of provenance) with what a run's manifest says of its tasks.
+
+    Adds purpose, profiling_limits (canonical JSON), selected_tasks, selected_task_ids in order, selected_task_list_hash, and
+    collection_config_hash: of the object {limits, purpose, scenario, seed, task_ids} alone, so provenance such as endpoints and times doesn't
+    change it. A run without tasks has an empty list. A manifest is one document: more than ``most`` tasks are an error,
+    raised from the counts, before any list is made.
+    """
+    counts = tasks.groupBy(run).agg(F.count("*").alias("selected_tasks"))
+    many = F.raise_error(F.concat(F.lit("too many tasks for a manifest: "), F.col("selected_tasks"))).cast("long")
+    checked = runs.join(counts, run, "left").withColumn("selected_tasks", F.when(F.coalesce("selected_tasks", F.lit(0)) <= most, F.coalesce("selected_tasks", F.lit(0))).otherwise(many))
+    ids = F.transform(F.array_sort(F.collect_list(F.struct(F.col(position), F.col(task).cast("string").alias("v")))), lambda s: s["v"])
+    fine = cut(checked).select(run, *(c for c in checked.columns if c != run))
+    listed = tasks.join(fine.select(run), run, "left_semi").groupBy(run).agg(ids.alias("selected_task_ids"), ordered_hash(task, position).alias("selected_task_list_hash"))
+    told = fine.join(listed, run, "left")
+    own = F.coalesce("selected_task_ids", F.array().cast("array<string>"))
+    part = F.struct(F.lit(purpose).alias("purpose"), "scenario", "seed", own.alias("task_ids"), F.struct(*(F.lit(v).alias(k) for k, v in limits.items())).alias("limits"))
+    return told.withColumns(
+        {
+            "selected_task_ids": own,
+            "selected_task_list_hash": F.coalesce("selected_task_list_hash", F.sha2(F.lit(""), 256)),
+            "purpose": F.lit(purpose),
+            "profiling_limits": F.lit(canonical(dict(limits))),
+            "collection_config_hash": canonical_json_hash(F.to_json(part, {"ignoreNullFields": "false"})),
+        }
+    )
+
+
+def resumed_manifest(new: Mapping[str, Any], old: Mapping[str, Any] | None, kept: tuple[str, ...] = ("api_style", "sanitized_request_config_hash")) -> dict[str, Any]:
+    """The manifest of a resumed run: what says how its first session asked stays as it was written then."""
+    return {**new, **{k: old[k] for k in kept if old and k in old}}
+
+
 def valid_runs(runs: DataFrame, marker: str = "invalidated") -> DataFrame:
     """Runs without a marker of invalidation or abort."""
     return runs.filter(~F.coalesce(F.col(marker), F.lit(False)))
@@ -89,10 +124,11 @@ def valid_runs(runs: DataFrame, marker: str = "invalidated") -> DataFrame:
 
 def canonical_runs(runs: DataFrame, scenario: str, created: str, run: str, base: str, repair: str) -> DataFrame:
     """``runs`` with role: per scenario the latest complete base, the latest complete repair, or excluded."""
-    told = runs.withColumn("__kind", F.when(F.col(base), "base").when(F.col(repair), "repair"))
-    place = F.row_number().over(Window.partitionBy(scenario, "__kind", "complete").orderBy(F.desc(created), F.desc(run)))
-    picked = F.col("complete") & F.col("__kind").isNotNull() & (place == 1)
-    return told.withColumn("role", F.when(picked, F.col("__kind")).otherwise("excluded")).drop("__kind")
+    (kind,) = free(runs, wanted=["kind"])
+    told = runs.withColumn(kind, F.when(F.col(base), "base").when(F.col(repair), "repair"))
+    place = F.row_number().over(Window.partitionBy(scenario, kind, "complete").orderBy(F.desc(created), F.desc(run)))
+    picked = F.col("complete") & F.col(kind).isNotNull() & (place == 1)
+    return told.withColumn("role", F.when(picked, F.col(kind)).otherwise("excluded")).drop(kind)
 
 
 def auto_resumable(kind: Column | str, retryable: Column | str, network: Column | str) -> Column:

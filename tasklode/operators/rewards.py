@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tasklode.functions.names import free
 from tasklode.functions.stats import ratio, total_if_complete
 from tasklode.functions.text import col
 
@@ -46,6 +47,15 @@ def components(detail: Column, loose: Column, finished: Column, zero_unfinished:
     }
 
 
+def score_episodes(episodes: DataFrame, detail: str, loose: str, finished: str, alpha: float = 1.0) -> DataFrame:
+    """``episodes`` with the eight metrics and r_alpha = alpha * r_strict + (1 - alpha) * r_loose.
+
+    An episode that didn't finish (or null) is zero in all. An alpha outside [0, 1] is an error.
+    """
+    told = episodes.withColumns(components(F.col(detail), F.col(loose), F.col(finished)))
+    return told.withColumn("r_alpha", combined("r_strict", "r_loose", alpha))
+
+
 def evaluation_summary(episodes: DataFrame, expected: int, diagnostics: list[str], by: list[str] | None = None) -> DataFrame:
     """Means of the metrics over all episodes; of a diagnostic, the mean over what is there and the total only if all is."""
     columns = [F.avg(m).alias(f"mean_{m}") for m in METRICS]
@@ -120,8 +130,9 @@ def advantages(rows: DataFrame, group: str, reward: str, epsilon: float = 1e-4)
 
     The group's mean and deviation are aggregated and joined back, so a hot group isn't gathered in a task.
     """
-    stats = rows.groupBy(group).agg(F.avg(reward).alias("__m"), F.stddev_samp(reward).alias("__s"))
-    return rows.join(stats, group).withColumn("advantage", (F.col(reward) - F.col("__m")) / (F.col("__s") + epsilon)).drop("__m", "__s")
+    m, s = free(rows, wanted=["m", "s"])
+    stats = rows.groupBy(group).agg(F.avg(reward).alias(m), F.stddev_samp(reward).alias(s))
+    return rows.join(stats, group).withColumn("advantage", (F.col(reward) - F.col(m)) / (F.col(s) + epsilon)).drop(m, s)
 
 
 def trace_is_valid(ids: str, logprobs: str, mask: str) -> Column:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tasklode.functions.hashing import salted
+from tasklode.functions.names import free
 from tasklode.functions.text import col
 from tasklode.operators.ranking import positions
 
@@ -53,11 +56,49 @@ def stratified_sample(df: DataFrame, target: int, id_col: str, strata: list[str]
 
 
 def reserve_queue(pool: DataFrame, primary: DataFrame, id_col: str, strata: list[str], seed: str, first_only: bool = False) -> DataFrame:
-    """(id, stratum, place): what isn't primary, by a salted hash within its stratum."""
+    """(id, stratum, place): what isn't primary, by a salted hash within its stratum.
+
+    Places come from sampled ranges of (stratum, hash, id) less the stratum's first, so no task holds a stratum. ``first_only``
+    keeps the first of each; Spark then drops the others before the shuffle.
+    """
     left = pool.join(primary.select(id_col), id_col, "left_anti").select(F.col(id_col), stratum_of(*strata).alias("stratum"))
-    place = F.row_number().over(Window.partitionBy("stratum").orderBy(salted(F.lit(seed), "stratum", id_col), id_col))
-    out = left.withColumn("place", place.cast("long"))
-    return out.filter("place <= 1") if first_only else out
+    hashed = salted(F.lit(seed), "stratum", id_col)
+    if first_only:
+        place = F.row_number().over(Window.partitionBy("stratum").orderBy(hashed, id_col))
+        return left.withColumn("place", place.cast("long")).filter("place <= 1")
+    at, first = free(left, ["place"], wanted=["at", "first"])
+    placed = positions(left, ["stratum", hashed, id_col], at)
+    starts = placed.groupBy("stratum").agg(F.min(at).alias(first))
+    return placed.join(starts, "stratum").select(id_col, "stratum", (F.col(at) - F.col(first) + 1).alias("place"))
+
+
+@dataclass(frozen=True)
+class TaskInputs:
+    """What a collection starts from: its tasks in order, the pool, and the reserves of each stratum."""
+
+    primary: DataFrame
+    train: DataFrame
+    reserve: DataFrame
+
+
+def task_inputs(train: DataFrame, primary: DataFrame, id_col: str, strata: list[str], seed: str, selected: DataFrame | None = None, order: str = "position", allow_other: bool = False) -> TaskInputs:
+    """Inputs of a collection from its two manifests and, if given, an explicit selection (id, order) in place of the primary.
+
+    A selected id twice, outside the train manifest, or (unless ``allow_other``) outside the primary one is an error;
+    an empty selection is an empty primary. The reserves are what the whole primary manifest leaves of train, also where a selection is smaller.
+    """
+    chosen = primary
+    if selected is not None:
+        many, pool, own = free(selected, train, primary, wanted=["many", "pool", "own"])
+        wanted = selected.groupBy(id_col).agg(F.count("*").alias(many))
+        marked = wanted.join(train.select(id_col).distinct().withColumn(pool, F.lit(True)), id_col, "left")
+        marked = marked.join(primary.select(id_col).distinct().withColumn(own, F.lit(True)), id_col, "left")
+        wrong = {"twice": F.col(many) > 1, "not in train": F.col(pool).isNull(), "not in primary": F.lit(not allow_other) & F.col(own).isNull()}
+        found = marked.agg(*(F.count_if(c).alias(n) for n, c in wrong.items())).first().asDict()
+        if any(found.values()):
+            raise ValueError(f"selected tasks: {', '.join(f'{n} {k}' for k, n in found.items() if n)}")
+        chosen = train.drop(order).join(selected.select(id_col, order), id_col)
+    return TaskInputs(chosen, train, reserve_queue(train, primary, id_col, strata, seed))
 
 
 def task_schedule(tasks: DataFrame, id_col: str, length: int, epochs: int, seed: str) -> DataFrame:

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tasklode.functions.names import free
 from tasklode.functions.text import col
 from tasklode.operators.ranking import positions
 from tasklode.operators.sampling import largest_remainder
@@ -75,6 +76,49 @@ def task_states(attempts: DataFrame, task: str, order: list[str], outcome: str,
     )
 
 
+@dataclass(frozen=True)
+class ProfileTries:
+    """Tries of a profile for a task's first success, and for a second demonstration after it."""
+
+    first: int = 3
+    second: int = 2
+
+
+def profile_states(attempts: DataFrame, task: str, status: str, phase: str, tries: ProfileTries = ProfileTries(), tasks: DataFrame | None = None) -> DataFrame:
+    """(task, first_attempts, second_attempts, successes, next, attempt): what a profile does next with each task.
+
+    next is first_success or second_demo (``attempt`` is its number), profile_unsolved when the first tries are used up without a
+    success, or done. Interrupted attempts count as no try; a null phase is the first. With ``tasks`` those without
+    attempts have a row too. Counts are combined before the shuffle.
+    """
+    genuine = ~F.col(status).eqNullSafe(F.lit("infrastructure_interrupted"))
+    later = F.col(phase).eqNullSafe(F.lit("second_demo"))
+    counts = {"first_attempts": genuine & ~later, "second_attempts": genuine & later, "successes": F.col(status) == "success"}
+    told = attempts.groupBy(task).agg(*(F.count_if(c).alias(n) for n, c in counts.items()))
+    if tasks is not None:
+        told = tasks.select(task).distinct().join(told, task, "left").select(task, *(F.coalesce(n, F.lit(0)).alias(n) for n in counts))
+    first = F.when(F.col("first_attempts") < tries.first, "first_success").otherwise("profile_unsolved")
+    second = F.when(F.col("second_attempts") < tries.second, "second_demo").otherwise("done")
+    then = F.when(F.col("successes") == 0, first).otherwise(second)
+    number = F.when(then == "first_success", F.col("first_attempts") + 1).when(then == "second_demo", F.col("second_attempts") + 1)
+    return told.select(task, *counts, then.alias("next"), number.alias("attempt"))
+
+
+def mark_unsolved(attempts: DataFrame, states: DataFrame, task: str, key: str, order: list[str], status: str = "status", success: str = "success", reason: str = "termination_reason") -> DataFrame:
+    """``attempts`` in which the last genuine attempt of each unsolved task of ``states`` has status and reason
+    profile_unsolved, and no success. ``key`` is unique; marking twice changes nothing.
+
+    One key a task is found by partial maxima and joined on the key, so a task with many attempts isn't gathered.
+    """
+    (last,) = free(attempts, wanted=["last"])
+    unsolved = states.filter(F.col("next") == "profile_unsolved").select(task)
+    genuine = attempts.filter(~F.col(status).eqNullSafe(F.lit("infrastructure_interrupted")))
+    keys = genuine.groupBy(task).agg(F.max_by(key, F.struct(*order)).alias(key)).join(unsolved, task, "left_semi").select(key, F.lit(True).alias(last))
+    told = attempts.join(keys, key, "left")
+    values = {status: F.lit("profile_unsolved"), success: F.lit(False), reason: F.lit("profile_unsolved")}
+    return told.withColumns({c: F.when(F.col(last), v).otherwise(F.col(c)) for c, v in values.items()}).drop(last).select(*attempts.columns)
+
+
 def initial_slots(primary: DataFrame, position: str, task: str) -> DataFrame:
     """(slot, task): the primary tasks in their order, from 0."""
     return positions(primary.select(position, task), [position], "slot").select("slot", task)
@@ -114,9 +158,10 @@ def segments(attempts: DataFrame, runs: DataFrame) -> DataFrame:
 
     Boundaries are few (one per restart) and fold into one array, so the join has no key and one row.
     """
-    bounds = runs.groupBy().agg(F.array_sort(F.collect_list(F.struct("boundary", "segment"))).alias("__b"))
-    mine = F.element_at(F.filter("__b", lambda b: b["boundary"] < F.col("rowid")), -1)["segment"]
-    return attempts.crossJoin(F.broadcast(bounds)).withColumn("segment", F.when(F.size(F.filter("__b", lambda b: b["boundary"] < F.col("rowid"))) > 0, mine)).drop("__b")
+    (all_,) = free(attempts, wanted=["bounds"])
+    bounds = runs.groupBy().agg(F.array_sort(F.collect_list(F.struct("boundary", "segment"))).alias(all_))
+    before = F.filter(all_, lambda b: b["boundary"] < F.col("rowid"))
+    return attempts.crossJoin(F.broadcast(bounds)).withColumn("segment", F.when(F.size(before) > 0, F.element_at(before, -1)["segment"])).drop(all_)
 
 
 def recoverable(failures: DataFrame) -> DataFrame:

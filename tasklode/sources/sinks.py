@@ -10,8 +10,10 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tasklode.functions.hashing import canonical_hash, ordered_hash
+from tasklode.functions.names import free
 from tasklode.functions.text import log_value
 
 
@@ -46,6 +48,50 @@ def write_exclusive(df: DataFrame, path: str, rows_per_file: int = 0) -> None:
     df.write.mode("errorifexists").option("maxRecordsPerFile", rows_per_file).json(path)
 
 
+def artifacts(spark: SparkSession, folder: str, schema: str, key: str) -> DataFrame:
+    """The current row of each key that ``save_artifacts`` left in a folder; none if there is no folder yet.
+
+    The versions are JSON lines in folders ``version=N``, one a save; of a key the greatest finished version counts, by partial maxima.
+    """
+    (version,) = free([f.name for f in StructType.fromDDL(schema)], wanted=["version"])
+    done = [f"{folder}/version={n}" for n, finished in _versions(spark, folder).items() if finished]
+    if not done:
+        return spark.createDataFrame([], schema)
+    files = spark.read.schema(schema).json(done)
+    rows = files.withColumn(version, F.regexp_extract(F.col("_metadata.file_path"), r"/version=([0-9]+)/", 1).cast("long"))
+    return rows.groupBy(key).agg(F.max_by(F.struct(*files.columns), version).alias("r")).select("r.*")
+
+
+def _versions(spark: SparkSession, folder: str) -> dict[int, bool]:
+    """The versions in a folder of artifacts, and whether each is finished (its job left ``_SUCCESS``)."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    there = path(folder)
+    system = there.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in system.listStatus(there)] if system.exists(there) else []
+    return {int(n.removeprefix("version=")): system.exists(path(f"{folder}/{n}/_SUCCESS")) for n in names if n.startswith("version=")}
+
+
+def save_artifacts(rows: DataFrame, folder: str, key: str, update: bool = False) -> int:
+    """Saves artifacts under their keys as the next version; returns it. One writer at a time.
+
+    A null key, a key twice in ``rows``, or (without ``update``) one that is there already is an error, and nothing is written; with ``update`` a new
+    version replaces those that are there. What marks a version as finished is written last, so a version counts whole or not at all.
+    """
+    spark = rows.sparkSession
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    held = artifacts(spark, folder, schema, key).select(key)
+    counts = rows.groupBy(key).agg(F.count("*").alias("n"))
+    bad = counts.filter((F.col("n") > 1) | F.col(key).isNull()).select(key)
+    if not update:
+        bad = bad.unionByName(counts.join(held, key, "left_semi").select(key))
+    found = bad.limit(1).collect()
+    if found:
+        raise FileExistsError(f"{key} {found[0][0]!r} is null, repeated, or there already")
+    version = 1 + max(_versions(spark, folder), default=0)
+    rows.write.mode("errorifexists").json(f"{folder}/version={version}")
+    return version
+
+
 def write_manifest(tasks: DataFrame, position: str, folder: str, metadata: dict[str, str]) -> str:
     """Tasks in order as JSON lines with their ordered-id hash beside; returns the hash."""
     digest = tasks.agg(ordered_hash("task_id", position).alias("h")).first().h

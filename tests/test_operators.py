@@ -962,3 +962,118 @@ def test_rollout_rates(spark):
     rows = [("success", 4, [1, 0, 1], 20, 2.0, 0.5, 3.0, 1.0), ("invalid_action", 2, [1], None, 3.0, 0.5, 3.0, 0.0)]
     r = rewards.rollout_rates(spark.createDataFrame(rows, kind), ("m",)).first()
     assert tuple(r) == (0.5, 3.0, 0.5, 0.0, 0.0, 3, 20, 5.0, 1.0, 4.0, 1200.0, 6.0)
+
+
+# --- collections ------------------------------------------------------------------------------------------------
+
+
+def test_task_inputs(spark):
+    train = spark.createDataFrame([("a", "x", 0), ("b", "x", 1), ("c", None, 2), ("d", "x", 3)], "id string, k string, position long")
+    primary = train.filter("id IN ('a', 'b')")
+    told = sampling.task_inputs(train, primary, "id", ["k"], "1")
+    assert sorted(r.id for r in told.primary.collect()) == ["a", "b"]
+    assert sorted((r.stratum, r.place, r.id) for r in told.reserve.collect()) == [("<missing>", 1, "c"), ("x", 1, "d")]
+
+    def picked(*ids, **more):
+        rows = spark.createDataFrame([(x, i) for i, x in enumerate(ids)], "id string, position long")
+        return [(r.id, r.k, r.position) for r in sampling.task_inputs(train, primary, "id", ["k"], "1", rows, **more).primary.orderBy("position").collect()]
+
+    assert picked("b", "a") == [("b", "x", 0), ("a", "x", 1)] and picked() == [] and picked("d", allow_other=True) == [("d", "x", 0)]
+    for ids, told in (("aa", "1 twice"), ("z", "1 not in train"), ("d", "1 not in primary")):
+        with pytest.raises(ValueError, match=told):
+            picked(*ids)
+
+
+def test_reserve_places_equal_a_window(spark):
+    pool = spark.range(500).select(F.col("id"), F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 7).cast("string")).alias("k"), F.lit("user's").alias("__at"), F.lit(1).alias("place"))
+    got = {r.id: (r.stratum, r.place) for r in sampling.reserve_queue(pool, pool.limit(0), "id", ["k"], "s").collect()}
+    want, seen = {}, {}
+    for r in sorted(pool.collect(), key=lambda r: (r.k, hashlib.sha256(f"s\0{r.k}\0{r.id}".encode()).hexdigest())):
+        seen[r.k] = seen.get(r.k, 0) + 1
+        want[r.id] = (r.k, seen[r.k])
+    assert got == want
+
+
+def test_profile_states_and_marks(spark):
+    rows = [
+        ("a", 1, "max_steps", None), ("a", 2, "infrastructure_interrupted", "first_success"), ("a", 3, "max_steps", "first_success"), ("a", 4, "x", "first_success"), ("a", 5, "infrastructure_interrupted", None),
+        ("b", 1, "success", "first_success"), ("b", 2, "max_steps", "second_demo"), ("c", 1, None, None), ("d", 1, "success", None), ("d", 2, "success", "second_demo"), ("d", 3, "failed", "second_demo"),
+        (None, 1, "max_steps", None),
+    ]
+    df = spark.createDataFrame([(*r, r[2] == "success", "why", f"{r[0]}{r[1]}", "mine") for r in rows], "task string, o int, status string, phase string, success boolean, termination_reason string, id string, __last string")
+    tasks = spark.createDataFrame([(t,) for t in "abcde"], "task string")
+    states = scheduling.profile_states(df, "task", "status", "phase", tasks=tasks)
+    assert {tuple(r) for r in states.collect()} == {
+        ("a", 3, 0, 0, "profile_unsolved", None), ("b", 1, 1, 1, "second_demo", 2), ("c", 1, 0, 0, "first_success", 2), ("d", 1, 2, 2, "done", None), ("e", 0, 0, 0, "first_success", 1),
+    }
+    once = scheduling.mark_unsolved(df, states, "task", "id", ["o"])
+    again = scheduling.mark_unsolved(once, scheduling.profile_states(once, "task", "status", "phase", tasks=tasks), "task", "id", ["o"])
+    assert once.columns == df.columns and sorted(map(str, once.collect())) == sorted(map(str, again.collect()))
+    changed = {r.id: (r.status, r.success, r.termination_reason) for r in once.exceptAll(df).collect()}
+    assert changed == {"a4": ("profile_unsolved", False, "profile_unsolved")}
+    assert scheduling.profile_states(df.limit(0), "task", "status", "phase").count() == 0
+
+
+def test_run_manifests(spark):
+    runs = spark.createDataFrame([("r1", "single", 7, "http://a"), ("r2", 'q"\n', None, None)], "run string, scenario string, seed long, endpoint string")
+    tasks = spark.createDataFrame([("r1", 2, "t2"), ("r1", 1, "t1"), ("other", 1, "t9")], "run string, position int, task string")
+    got = {r.run: r for r in lineage.run_manifests(tasks, runs, "run", "position", "task", "profile", {"z": 1, "a": 2}).collect()}
+    want = hashing.canonical_hash({"purpose": "profile", "scenario": "single", "seed": 7, "task_ids": ["t1", "t2"], "limits": {"a": 2, "z": 1}})
+    assert got["r1"].collection_config_hash == want and got["r1"].selected_task_ids == ["t1", "t2"] and got["r1"].selected_task_list_hash == hashlib.sha256(b"t1\nt2").hexdigest()
+    assert got["r1"].profiling_limits == '{"a":2,"z":1}' and got["r1"].endpoint == "http://a" and got["r1"].selected_tasks == 2
+    assert got["r2"].collection_config_hash == hashing.canonical_hash({"purpose": "profile", "scenario": 'q"\n', "seed": None, "task_ids": [], "limits": {"a": 2, "z": 1}}) and got["r2"].selected_task_ids == []
+    moved = lineage.run_manifests(tasks, runs.withColumn("endpoint", F.lit("http://b")), "run", "position", "task", "profile", {"z": 1, "a": 2}).filter("run = 'r1'").first()
+    assert moved.collection_config_hash == want
+    with pytest.raises(Exception, match="too many tasks for a manifest: 2"):
+        lineage.run_manifests(tasks, runs, "run", "position", "task", "profile", {}, most=1).collect()
+    assert lineage.resumed_manifest({"a": 1, "api_style": "new"}, {"api_style": "old", "b": 2}) == {"a": 1, "api_style": "old"} and lineage.resumed_manifest({"a": 1}, None) == {"a": 1}
+
+
+def test_artifacts_are_saved_once_and_updated(spark, tmp_path):
+    folder, kind = str(tmp_path / "a"), "id string, v int"
+
+    def rows(*r):
+        return spark.createDataFrame(list(r), kind)
+
+    def now():
+        return sorted(map(tuple, sinks.artifacts(spark, folder, kind, "id").collect()))
+
+    assert now() == []
+    assert sinks.save_artifacts(rows(("a", 1), ("b", None)), folder, "id") == 1
+    for bad in (rows(("b", 2), ("c", 1)), rows(("c", 1), ("c", 1)), rows((None, 1))):
+        with pytest.raises(FileExistsError):
+            sinks.save_artifacts(bad, folder, "id")
+    assert now() == [("a", 1), ("b", None)]
+    assert sinks.save_artifacts(rows(("b", 5), ("c", 6)), folder, "id", update=True) == 2 and now() == [("a", 1), ("b", 5), ("c", 6)]
+    # a version whose job was killed: files, but not the mark that is written last
+    rows(("a", 9)).write.json(f"{folder}/version=3")
+    (tmp_path / "a" / "version=3" / "_SUCCESS").unlink()
+    assert now() == [("a", 1), ("b", 5), ("c", 6)]
+    assert sinks.save_artifacts(rows(("a", 7)), folder, "id", update=True) == 4 and now() == [("a", 7), ("b", 5), ("c", 6)]
+
+
+def test_scores_summaries_and_displayed_values(spark):
+    detail = "struct<r_type: double, r_category: double, r_att: double, r_attribute: double, r_option: double, r_price: double>"
+    rows = [((1.0, None, 1.0, None, 1.0, 1.0), 0.5, True), ((1.0, None, 0.5, None, 1.0, None), 0.5, True), ((1.0, None, 1.0, None, 1.0, 1.0), 1.0, False), (None, None, None)]
+    got = rewards.score_episodes(spark.createDataFrame(rows, f"d {detail}, l double, f boolean"), "d", "l", "f", 0.8).collect()
+    assert [(r.r_strict, r.r_succ, r.r_finish) for r in got] == [(1, 1, 1), (0, 0, 1), (0, 0, 0), (0, 0, 0)] and [round(r.r_alpha, 6) for r in got] == [0.9, 0.1, 0, 0]
+    with pytest.raises(ValueError, match="alpha"):
+        rewards.score_episodes(spark.createDataFrame(rows, f"d {detail}, l double, f boolean"), "d", "l", "f", 1.5)
+    episodes = spark.createDataFrame([(1, ["ab", None, "cé"], "m"), (2, None, "m"), (3, [], None)], "id int, visible_responses array<string>, messages string")
+    out = conversations.episode_summaries(episodes)
+    assert out.columns == ["id", "response_characters"] and sorted(map(tuple, out.collect())) == [(1, 4), (2, 0), (3, 0)]
+    assert many(spark, lambda v: text.displayed(v, 3), [None, 1.0, 0.0625, 2 / 3], "double") == ["N/A", "1.000", "0.062", "0.667"]
+    assert many(spark, lambda v: text.displayed(v, unit="s"), [None, 7], "int") == ["N/A", "7s"]
+    assert one(spark, text.displayed_rate(F.lit(0.5), F.lit(0.25), F.lit(None))) == "0.500 [0.250, N/A]"
+    assert tuple(one(spark, text.available_summary(F.array(F.lit("a")), F.lit(True)))) == ("1", "true") and tuple(one(spark, text.available_summary(F.lit(None).cast("array<string>"), F.lit(None)))) == ("N/A", "N/A")
+
+
+def test_own_column_names_are_kept(spark):
+    a = spark.createDataFrame([("k", "s", 1)], "id string, status string, __here int")
+    b = spark.createDataFrame([("k", "t", 2)], "id string, status string, __there int")
+    r = audit.against_ledger(a, b, "id").first()
+    assert (r.source, r.status_conflict, r["__here"]) == ("both", True, 1)
+    r = rewards.advantages(spark.createDataFrame([("g", 1.0, 5), ("g", 3.0, 6)], "g string, r double, __m int"), "g", "r").orderBy("r").collect()
+    assert [x["__m"] for x in r] == [5, 6] and round(r[0].advantage, 3) == -0.707
+    r = lineage.same_on(spark.createDataFrame([("a", 1, 2)], "run string, f int, __f int"), spark.createDataFrame([("a", 2, 2)], "run string, f int, __f int"), "run", ["f", "__f"]).first()
+    assert r.differs == ["f"]

@@ -4,7 +4,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
-from tasklode.plans import contracts  # noqa: F401  registers its queries
+from tasklode.plans import collection, contracts  # noqa: F401  register their queries
 from tasklode.plans.registry import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
