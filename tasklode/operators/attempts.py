@@ -32,10 +32,14 @@ def ordinals(attempts: DataFrame, by: list[str], order: list) -> DataFrame:
 def first_success(genuine: DataFrame, task: str, success: str, order: list, tasks: DataFrame | None = None) -> DataFrame:
     """(task, attempts, first_success): per task, all its attempts, and the ordinal of the first success.
 
-    With ``tasks`` every task has a row; one without attempts has 0.
+    With ``tasks`` every task has a row; one without attempts has 0. The first success in order is a partial minimum, and the
+    attempts before it are counted, so a task with many attempts isn't gathered. Attempts equal in ``order`` are one place.
     """
-    told = ordinals(genuine, [task], order)
-    out = told.groupBy(task).agg(F.count("*").alias("attempts"), F.min(F.when(F.col(success), F.col("ordinal"))).alias("first_success"))
+    at, first, key = free(genuine, wanted=["at", "first", "key"])
+    rows = genuine.withColumn(at, F.struct(*order))
+    won = rows.filter(success).groupBy(F.col(task).alias(key)).agg(F.min(at).alias(first))
+    before = rows.join(won, F.col(task).eqNullSafe(F.col(key)), "left").groupBy(task).agg(F.count("*").alias("attempts"), F.count_if(F.col(first).isNotNull() & (F.col(at) < F.col(first))).alias(first), F.count(key).alias(key))
+    out = before.select(task, "attempts", F.when(F.col(key) > 0, F.col(first) + 1).alias("first_success"))
     if tasks is not None:
         out = tasks.select(task).distinct().join(out, task, "left").withColumn("attempts", F.coalesce("attempts", F.lit(0)))
     return out

@@ -34,18 +34,28 @@ def nearest_summary(x: Column | str) -> list[Column]:
 def nearest_ranks(df: DataFrame, by: str | list[str], x: str, quantiles: dict[str, float]) -> DataFrame:
     """(by, names of ``quantiles``): sorted values at index round-half-even((n - 1) q), nulls left out.
 
-    Equal values are counted before the shuffle; a running sum over a group's distinct values finds the places.
+    Equal values are counted before the shuffle and dealt to sampled ranges, so no task holds a group.
     """
     by = [by] if isinstance(by, str) else by
-    counts = df.filter(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count("*").alias("__c"))
-    own = Window.partitionBy(*by)
-    told = counts.withColumn("__n", F.sum("__c").over(own)).withColumn("__to", F.sum("__c").over(own.orderBy(x)))
+    counts = df.filter(F.col(x).isNotNull()).groupBy(F.struct(*by).alias("g"), F.col(x).alias("v")).agg(F.count("*").alias("n"))
 
     def at(q: float) -> Column:
-        place = F.bround((F.col("__n") - 1).cast("double") * q, 0).cast("long")
-        return F.max(F.when((place < F.col("__to")) & (place >= F.col("__to") - F.col("__c")), F.col(x)))
+        place = F.bround((F.col("total") - 1).cast("double") * q, 0).cast("long")
+        return F.max(F.when((place < F.col("to")) & (place >= F.col("to") - F.col("n")), F.col("v")))
+
+    return _ranked(counts).groupBy("g").agg(*(at(q).alias(name) for name, q in quantiles.items())).select("g.*", *quantiles)
 
-    return told.groupBy(*by).agg(*(at(q).alias(name) for name, q in quantiles.items()))
+
+def _ranked(counts: DataFrame) -> DataFrame:
+    """``counts`` (g, v, n: counted values of groups) with total, the group's sum of n, and ``to``, its sum up to the value."""
+    told = dealt(counts, [F.col("g"), F.col("v")], "part", "place")
+    own = Window.partitionBy("g")
+    parts = told.groupBy("g", "part").agg(F.sum("n").alias("s"))
+    parts = parts.select("g", "part", F.sum("s").over(own).alias("total"), F.coalesce(F.sum("s").over(own.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    upto = F.sum("n").over(Window.partitionBy("part", "g").orderBy("place"))
+    placed, of = told.withColumn("upto", upto).alias("a"), parts.withColumnRenamed("g", "own").alias("b")
+    same = (F.col("a.part") == F.col("b.part")) & F.col("a.g").eqNullSafe(F.col("b.own"))
+    return placed.join(of, same).select("g", "v", "n", "total", (F.col("base") + F.col("upto")).alias("to"))
 
 
 def threshold_counts(x: Column | str, thresholds: list[int]) -> list[Column]:
@@ -82,12 +92,7 @@ def ranked_summaries(rows: DataFrame, by: str, x: str, quantiles: tuple[float, .
     sampled ranges, and each quantile is read off the two places that it lies between. No task holds a group.
     """
     counts = rows.filter(F.col(x).isNotNull()).groupBy(F.col(by).alias("g"), F.col(x).cast("double").alias("v")).agg(F.count("*").alias("n"))
-    told = dealt(counts, [F.col("g"), F.col("v")], "part", "place")
-    own = Window.partitionBy("g")
-    parts = told.groupBy("g", "part").agg(F.sum("n").alias("s"))
-    parts = parts.select("g", "part", F.sum("s").over(own).alias("total"), F.coalesce(F.sum("s").over(own.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    upto = F.sum("n").over(Window.partitionBy("g", "part").orderBy("place"))
-    ranked = told.withColumn("upto", upto).join(parts, ["g", "part"]).withColumn("to", F.col("base") + F.col("upto"))
+    ranked = _ranked(counts)
 
     def at(place: Column) -> Column:
         return F.max(F.when((place < F.col("to")) & (place >= F.col("to") - F.col("n")), F.col("v")))

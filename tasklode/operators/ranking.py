@@ -28,6 +28,17 @@ def sums_before(counts: DataFrame, part: str, n: str, base: str) -> DataFrame:
     return counts.withColumn(base, F.coalesce(before, F.lit(0)))
 
 
+def places_within(rows: DataFrame, by: str, order: list[str | Column], at: str = "at") -> DataFrame:
+    """``rows`` with their place in the order of their group, from 0 (long): places in the order of (group, order) less the group's first.
+
+    No task holds a group. Groups meet their rows again in a join that adaptive execution can split. A null group is a group.
+    """
+    whole, first, key = free(rows, [at], wanted=["whole", "first", "key"])
+    placed = positions(rows, [by, *order], whole)
+    starts = placed.groupBy(F.col(by).alias(key)).agg(F.min(whole).alias(first))
+    return placed.join(starts, F.col(by).eqNullSafe(F.col(key))).withColumn(at, F.col(whole) - F.col(first)).drop(whole, first, key)
+
+
 def positions(rows: DataFrame, order: list[str | Column], at: str = "at") -> DataFrame:
     """``rows`` with their place in the whole order, from 0 (long). Rows equal in the order take any places among them."""
     part, place, n, base = free(rows, [at], wanted=["part", "place", "n", "base"])

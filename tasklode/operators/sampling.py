@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tasklode.functions.hashing import salted
 from tasklode.functions.names import free
 from tasklode.functions.text import col
-from tasklode.operators.ranking import positions
+from tasklode.operators.ranking import places_within, positions
 
 MISSING = "<missing>"
 
@@ -66,10 +66,7 @@ def reserve_queue(pool: DataFrame, primary: DataFrame, id_col: str, strata: list
     if first_only:
         place = F.row_number().over(Window.partitionBy("stratum").orderBy(hashed, id_col))
         return left.withColumn("place", place.cast("long")).filter("place <= 1")
-    at, first = free(left, ["place"], wanted=["at", "first"])
-    placed = positions(left, ["stratum", hashed, id_col], at)
-    starts = placed.groupBy("stratum").agg(F.min(at).alias(first))
-    return placed.join(starts, "stratum").select(id_col, "stratum", (F.col(at) - F.col(first) + 1).alias("place"))
+    return places_within(left, "stratum", [hashed, id_col], "place").select(id_col, "stratum", (F.col("place") + 1).alias("place"))
 
 
 @dataclass(frozen=True)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tasklode.functions.names import free
 from tasklode.functions.text import col
-from tasklode.operators.ranking import positions
+from tasklode.operators.ranking import places_within, positions
 from tasklode.operators.sampling import largest_remainder
 
 OUTCOMES = ("accepted", "failure", "exact_duplicate", "hygiene_reject")
@@ -127,11 +127,12 @@ def initial_slots(primary: DataFrame, position: str, task: str) -> DataFrame:
 def replacements(failed: DataFrame, queue: DataFrame, stratum: str = "stratum", slot: str = "slot") -> DataFrame:
     """(slot, stratum, reserve): exhausted slots take the next unused reserve of their stratum, in order of the slots.
 
-    Both sides rank within the stratum and join on the rank; a slot without a reserve has null.
+    Both sides rank within the stratum, in sampled ranges, and join on the rank; a slot without a reserve has null, as has one without a stratum.
     """
-    need = failed.select(slot, stratum, F.row_number().over(Window.partitionBy(stratum).orderBy(slot)).alias("__r"))
-    have = queue.select(F.col("task_id").alias("reserve"), F.col("stratum").alias(stratum), F.row_number().over(Window.partitionBy("stratum").orderBy("place")).alias("__r"))
-    return need.join(have, [stratum, "__r"], "left").drop("__r")
+    (rank,) = free(failed, ["reserve"], wanted=["rank"])
+    need = places_within(failed.select(slot, stratum), stratum, [slot], rank)
+    have = places_within(queue.select(F.col("task_id").alias("reserve"), F.col("stratum").alias(stratum), "place"), stratum, ["place"], rank)
+    return need.join(have.drop("place"), [stratum, rank], "left").drop(rank)
 
 
 def deficits(accepted: DataFrame, population: DataFrame, target: int, stratum: str = "stratum") -> DataFrame:
