@@ -9,7 +9,7 @@ from tasklode.functions.names import free
 from tasklode.functions.similarity import fingerprint_of
 from tasklode.functions.stats import ratio, wilson
 from tasklode.functions.text import col, normalize_action
-from tasklode.operators.profiling import nearest_ranks
+from tasklode.operators.profiling import nearest_summaries
 from tasklode.operators.ranking import dealt, positions, sums_before
 
 # Statuses that say something about the infrastructure, and those of genuine failures.
@@ -190,9 +190,8 @@ def group_statistics(attempts: DataFrame) -> DataFrame:
     steps = {"api_call": "api_diagnostics", "environment_step": "environment_diagnostics"}
     values = F.concat(F.array(*(one(k, x) for k, x in rows.items())), *(each(k, c) for k, c in steps.items()))
     told = attempts.select(group.alias("group"), F.explode(values).alias("v")).select("group", "v.*").filter("x IS NOT NULL")
-    ranks = nearest_ranks(told, ["group", "measure"], "x", {"p50": 0.5, "p90": 0.9, "p95": 0.95})
-    sums = told.groupBy("group", "measure").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.max("x").alias("max"), F.sum("x").alias("s"))
-    told = sums.join(ranks, ["group", "measure"]).select("group", "measure", "n", "mean", "p50", "p90", "p95", "max", "s")
+    quantiles = {"p50": 0.5, "p90": 0.9, "p95": 0.95}
+    told = nearest_summaries(told, ["group", "measure"], "x", quantiles).select("group", "measure", "n", "mean", *quantiles, "max", F.col("sum").alias("s"))
     share = told.groupBy("group").agg(ratio(F.max(F.when(F.col("measure") == "api_total", F.col("s"))), F.max(F.when(F.col("measure") == "wall", F.col("s")))).alias("api_share"))
     names = [(g, m) for g in ("successful", "genuine_failed", "infra") for m in (*rows, *steps)]
     every = attempts.sparkSession.createDataFrame(names, "group string, measure string")
