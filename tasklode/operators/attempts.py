@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from tasklode.functions.similarity import fingerprint_of
 from tasklode.functions.stats import ratio, wilson
 from tasklode.functions.text import col, normalize_action
 from tasklode.operators.profiling import nearest_summaries
-from tasklode.operators.ranking import dealt, positions, sums_before
+from tasklode.operators.ranking import dealt, places_within, positions, sums_before
 
 # Statuses that say something about the infrastructure, and those of genuine failures.
 INFRA = ("infrastructure_interrupted", "provider_config_error", "provider_model_mismatch", "environment_fatal_error", "cancelled")
@@ -19,6 +21,9 @@ GENUINE_FAILURES = (
     "rejected_exact_duplicate", "rejected_acceptance_integrity",
 )
 
+#: Rows of a group that one window looks at.
+STRETCH = 1 << 16
+
 
 def is_genuine(status: Column | str, infra: tuple[str, ...] = INFRA) -> Column:
     return ~F.coalesce(col(status), F.lit("")).isin(*infra)
@@ -76,8 +81,10 @@ def with_fingerprint(attempts: DataFrame, actions: str, purchase: str, stored: s
 def no_progress(actions: Column | str, observations: Column | str, threshold: int = 3) -> Column:
     """Whether ``threshold`` consecutive actions and the observations before them are the same.
 
-    Observations are one for each action, or one more (the last is after the last action); else it is an error.
+    Observations are one for each action, or one more (the last is after the last action); else it is an error, as is a threshold under 2.
     """
+    if threshold < 2:
+        raise ValueError("threshold must be at least 2")
     act, obs = F.transform(col(actions), normalize_action), col(observations)
     n = F.size(act)
     aligned = (F.size(obs) == n) | (F.size(obs) == n + 1)
@@ -89,12 +96,18 @@ def no_progress(actions: Column | str, observations: Column | str, threshold: in
 
 
 def repeats_in_rows(rows: DataFrame, by: str, order: list, value: str, threshold: int = 3) -> DataFrame:
-    """(by): groups in which ``threshold`` consecutive rows have an equal value."""
-    w = Window.partitionBy(by).orderBy(*order)
-    same = F.lit(True)
-    for k in range(1, threshold):
-        same = same & (F.lag(value, k).over(w) == F.col(value))
-    return rows.withColumn("__same", same).filter("__same").select(by).distinct()
+    """(by): groups in which ``threshold`` consecutive rows have an equal value; a null value equals none.
+
+    Rows are looked at in stretches of a group, which overlap by what a repeat needs, so no task sorts a whole group.
+    """
+    if threshold < 2:
+        raise ValueError("threshold must be at least 2")
+    at, stretch, same = free(rows, wanted=["at", "stretch", "same"])
+    placed = places_within(rows, by, order, at)
+    stretches = F.array_distinct(F.array(*(F.floor((F.col(at) - back) / STRETCH).cast("long") for back in (0, threshold - 1))))
+    w = Window.partitionBy(by, stretch).orderBy(at)
+    equal = reduce(lambda a, b: a & b, (F.coalesce(F.lag(value, k).over(w) == F.col(value), F.lit(False)) for k in range(1, threshold)))
+    return placed.withColumn(stretch, F.explode(stretches)).withColumn(same, equal).filter(F.col(same)).select(by).distinct()
 
 
 def latest(rows: DataFrame, by: str, order: list[str]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import random
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from datetime import datetime, timezone
 from email.utils import parsedate_to_datetime
 from typing import Any
@@ -194,8 +194,12 @@ def policy_problems(policy: Mapping[str, Any], expected: Mapping[str, Any], forb
     return out
 
 
-def retry_delay(attempt: int, retry_after: str | None, now: datetime | None = None) -> float:
-    """Seconds to wait: what the service asks for (seconds or a date), else the schedule."""
+def retry_delay(attempt: int, retry_after: str | None, now: datetime | None = None, jitter: Callable[[], float] = float) -> float:
+    """Seconds to wait: what the service asks for (seconds or a date), else the schedule; and what ``jitter`` adds, by default nothing."""
+    return _asked_delay(attempt, retry_after, now) + jitter()
+
+
+def _asked_delay(attempt: int, retry_after: str | None, now: datetime | None) -> float:
     default = BACKOFF[min(attempt, len(BACKOFF) - 1)]
     if not retry_after:
         return default

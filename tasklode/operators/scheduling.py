@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tasklode.functions.names import free
-from tasklode.functions.text import col
+from tasklode.functions.stats import ratio
+from tasklode.functions.text import col, displayed
 from tasklode.operators.ranking import places_within, positions
 from tasklode.operators.sampling import largest_remainder
 
@@ -142,6 +143,22 @@ def deficits(accepted: DataFrame, population: DataFrame, target: int, stratum: s
     return share.join(have, stratum, "left").select(stratum, F.col("quota").alias("target"), F.coalesce("accepted", F.lit(0)).alias("accepted"), (F.col("quota") - F.coalesce("accepted", F.lit(0))).alias("deficit"))
 
 
+def progress(slots: DataFrame, genuine: DataFrame, accepted: DataFrame, target: int) -> DataFrame:
+    """One row: tasks and accepted trajectories by number and in percent (0 where there is nothing to divide by), and ``line``, which says so.
+
+    ``slots`` has fulfilled and exhausted (null: neither); ``genuine`` and ``accepted`` are counted.
+    """
+    done = F.coalesce("fulfilled", F.lit(False)) | F.coalesce("exhausted", F.lit(False))
+    one = slots.agg(F.count_if(done).alias("completed"), F.count("*").alias("tasks"))
+    for name, rows in (("trajectories", genuine), ("accepted", accepted)):
+        one = one.crossJoin(F.broadcast(rows.agg(F.count("*").alias(name))))  # one row each
+    parts = {"task_pct": ("completed", F.col("tasks")), "success_rate": ("accepted", F.col("trajectories")), "target_pct": ("accepted", F.lit(target))}
+    told = one.withColumn("target", F.lit(target).cast("long")).withColumns({k: F.coalesce(ratio(F.col(a) * 100, b), F.lit(0.0)) for k, (a, b) in parts.items()})
+    task, rate, goal = (displayed(k, 2, "%") for k in parts)
+    line = F.format_string("tasks=%s/%s (%s) | accepted=%s | trajectories=%s | success_rate=%s | target=%s/%s (%s)", "completed", "tasks", task, "accepted", "trajectories", rate, "accepted", "target", goal)
+    return told.withColumn("line", line)
+
+
 def third_pass(states: DataFrame, shortfall: DataFrame, quota_left: int, budgets: Budgets = Budgets()) -> DataFrame:
     """Tasks for the third pass: fewest accepted, then largest deficit, then slot, at most ``quota_left``."""
     able = states.filter(F.col("first_success") & (F.col("accepted") < budgets.accepted) & (F.col("left") > 0))

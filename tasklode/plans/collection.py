@@ -85,6 +85,21 @@ def profile_loop(spark: SparkSession, sf: str) -> DataFrame:
     return scheduling.profile_states(_profiled(spark, sf), "task_id", "status", "phase", tasks=tasks)
 
 
+@query("""
+WITH c AS (SELECT count_if(c_custkey % 2 = 0 OR c_custkey % 3 = 0) AS completed, count(*) AS tasks FROM customer),
+o AS (SELECT count_if(o_orderkey % 7 > 0) AS trajectories, count_if(o_orderkey % 7 > 0 AND o_orderstatus = 'F') AS accepted FROM orders),
+p AS (SELECT completed::BIGINT AS completed, tasks, trajectories::BIGINT AS trajectories, accepted::BIGINT AS accepted, 6000::BIGINT AS target, round(100.0::DOUBLE * completed / tasks, 6) AS task_pct,
+  round(100.0::DOUBLE * accepted / trajectories, 6) AS success_rate, round(100.0::DOUBLE * accepted / 6000, 6) AS target_pct FROM c, o)
+SELECT *, 'tasks=' || completed || '/' || tasks || ' (' || printf('%.2f', task_pct) || '%) | accepted=' || accepted || ' | trajectories=' || trajectories || ' | success_rate=' || printf('%.2f', success_rate)
+  || '% | target=' || accepted || '/6000 (' || printf('%.2f', target_pct) || '%)' AS line FROM p""")
+def collection_progress(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers as slots, orders as attempts."""
+    own, rows = F.col("c_custkey"), _orders(spark, sf).filter("o_orderkey % 7 > 0")
+    slots = table(spark, sf, "customer").select((own % 2 == 0).alias("fulfilled"), (own % 3 == 0).alias("exhausted"))
+    out = scheduling.progress(slots, rows, rows.filter("o_orderstatus = 'F'"), 6000)
+    return out.withColumns({c: F.round(c, 6) for c in ("task_pct", "success_rate", "target_pct")})
+
+
 @query(_PROFILE + """, l AS (SELECT max(k) AS k FROM a JOIN s USING (task_id) WHERE next = 'profile_unsolved' AND status <> 'infrastructure_interrupted' GROUP BY task_id)
 SELECT a.k, a.task_id, CASE WHEN l.k IS NULL THEN status ELSE 'profile_unsolved' END AS status, l.k IS NULL AND a.k % 9 = 0 AS success, CASE WHEN l.k IS NULL THEN o_orderpriority ELSE 'profile_unsolved' END AS termination_reason
 FROM a JOIN orders ON a.k = o_orderkey LEFT JOIN l ON a.k = l.k""")

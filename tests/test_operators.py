@@ -1077,3 +1077,31 @@ def test_own_column_names_are_kept(spark):
     assert [x["__m"] for x in r] == [5, 6] and round(r[0].advantage, 3) == -0.707
     r = lineage.same_on(spark.createDataFrame([("a", 1, 2)], "run string, f int, __f int"), spark.createDataFrame([("a", 2, 2)], "run string, f int, __f int"), "run", ["f", "__f"]).first()
     assert r.differs == ["f"]
+
+
+def test_progress_guards_and_jitter(spark):
+    none = spark.range(0)
+    slots = spark.createDataFrame([(True, None), (None, None), (False, True)], "fulfilled boolean, exhausted boolean")
+    r = scheduling.progress(slots.limit(0), none, none, 0).first()
+    assert (r.task_pct, r.success_rate, r.target_pct) == (0.0, 0.0, 0.0) and r.line.startswith("tasks=0/0 (0.00%)")
+    r = scheduling.progress(slots, spark.range(8), spark.range(1), 3).first()
+    assert (r.completed, r.tasks, r.success_rate) == (2, 3, 12.5) and r.line == "tasks=2/3 (66.67%) | accepted=1 | trajectories=8 | success_rate=12.50% | target=1/3 (33.33%)"
+    assert lineage.retry_delay(1, None, jitter=lambda: 0.25) == 5.25 and lineage.retry_delay(0, "7", jitter=lambda: 0.125) == 7.125
+    for call in (lambda: attempts.no_progress("a", "o", 1), lambda: attempts.repeats_in_rows(none, "id", ["id"], "id", 1)):
+        with pytest.raises(ValueError, match="at least 2"):
+            call()
+
+
+def test_repeats_across_stretches(spark, monkeypatch):
+    monkeypatch.setattr(attempts, "STRETCH", 4)
+    rng = random.Random(5)
+    rows = [(g, i, rng.choice(["x", "y", None])) for g in [*range(30), None] for i in range(rng.randint(0, 14))]
+    rows += [("mid", i, "same" if 2 <= i <= 4 else str(i)) for i in range(9)]
+    rows = [(None if g is None else str(g), i, v) for g, i, v in rows]
+    df = spark.createDataFrame(rows, "g string, i int, v string").withColumn("__at", F.lit("user's"))
+    for t in (2, 3, 5):
+        want = set()
+        for g in {r[0] for r in rows}:
+            own = [v for x, _, v in rows if x == g]
+            want |= {g} if any(None not in own[k : k + t] and len(set(own[k : k + t])) == 1 for k in range(len(own) - t + 1)) else set()
+        assert {r.g for r in attempts.repeats_in_rows(df, "g", ["i"], "v", t).collect()} == want
