@@ -15,11 +15,17 @@ intersected.
 
 Copies (equal sets) are one class from the start. Components grow in rounds: every class that shares
 a block with another component is held against one class of it, the most alike of a few by the
-parities. Rounds end when they find no link, or after MOST_ROUNDS; then all classes that share a block,
-are not in one component and pass the bit sketch are held against each other. A group of near copies
-that link becomes one component in a few rounds and doesn't make all its pairs, and no link between
-components is missed. Near misses are the worst case: n texts that share blocks but link with none, as pages
-of one template of a likeness just below ``percent``, are held against each other, n * (n - 1) / 2 pairs.
+parities. Rounds end when they find no link, or after MOST_ROUNDS. A group of near copies that link
+becomes one component in a few rounds and doesn't make all its pairs.
+
+What links are left between components is found by the n-grams of the classes that still share a block
+with another component, in one order for all: first those that one component alone has, then those that
+few have. A set of which k n-grams come from a place on shares at most k with a set whose first common
+n-gram is there, so two that link have a common n-gram early enough in both, and only such pairs are held
+against each other. Pages of one template that link with none make no pairs if each has its own n-grams
+besides the template's: those fill the early places. Near misses that each lack other parts of what
+they share are the worst case: n texts with edits of their own at random places, of a likeness just below
+``percent``, make up to n * (n - 1) / 2 pairs.
 
 The texts are read four times (sizes and classes, counts of blocks, sketches of what is left, and in
 ``one_of_each`` the rows that stay); only texts with z + 1 common blocks leave their task.
@@ -342,6 +348,58 @@ def _proposed(open_: DataFrame, sketches: DataFrame, percent: int, number: int)
     return able.groupBy("a").agg(F.min_by("b", _differ() / (F.col("n_a") + F.col("n_b"))).alias("b"))
 
 
+def _grams(sets: DataFrame) -> DataFrame:
+    """(gram, cls, root, n): a row for each n-gram of a set (cls, root, n, codes)."""
+
+    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for step in text_steps(batch, "codes"):
+                codes, n = as_bytes(step.column("codes")), step.column("n").to_numpy(zero_copy_only=False)
+                rest = (pa.array(np.repeat(step.column(c).to_numpy(zero_copy_only=False), n)) for c in ("cls", "root", "n"))
+                yield pa.RecordBatch.from_arrays([as_long(np.frombuffer(b"".join(codes), np.uint64)), *rest], names=["gram", "cls", "root", "n"])
+
+    return sets.select("cls", "root", "n", "codes").mapInArrow(expand, "gram long, cls long, root long, n long")
+
+
+def _early(open_: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """(gram, cls, root, n, rest, main) of the n-grams early enough in their set to be the first that it shares
+    with one that it links with; a written table.
+
+    N-grams of one component come first and are left out, then those of few components. ``rest`` counts a set's
+    n-grams from this one on; ``main`` says whether its component is the one with most of the classes that have the n-gram.
+    """
+    grams = _grams(sketches.join(open_.select("cls", "root").distinct(), "cls"))
+    of_root = grams.groupBy("gram", "root").agg(F.count("*").alias("classes"))
+    spread = of_root.groupBy("gram").agg(F.count("*").alias("roots"), F.max_by("root", "classes").alias("most")).filter("roots > 1")
+    spread = written(spread, "spread")
+    own = Window.partitionBy("cls")
+    placed = grams.join(spread, "gram").withColumn("rest", F.count("*").over(own) - F.row_number().over(own.orderBy("roots", "gram")) + 1)
+    # of a set that it links with, any shares percent of its own size at least
+    early = placed.filter(F.col("rest") * 100 >= F.col("n") * percent)
+    out = written(early.select("gram", "cls", "root", "n", "rest", (F.col("root") == F.col("most")).alias("main")), "early")
+    dropped(spread)
+    return out
+
+
+def _sharing(early: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of two components, a no larger than b, for each early n-gram after which enough are left in both to
+    link; a pair may repeat.
+
+    Rows meet by n-gram, step of b's size, and component: those of an n-gram's main one only others, so
+    that a large component doesn't meet itself.
+    """
+    step = lambda n: F.floor(F.log2(n) * 6)
+    largest = F.expr(f"rest * {100 + percent} DIV {percent} - n")
+    side = lambda df, x: df.select("gram", "step", "main", F.col("cls").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("root", "n", "rest")))
+    others = F.when(F.col("main"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))
+    small = early.filter(F.col("rest") * (100 + percent) >= F.col("n") * 2 * percent)
+    a = side(small.withColumn("step", F.explode(F.sequence(step("n"), step(largest)))).withColumn("main", F.explode(others)), "a")
+    b = side(early.withColumn("step", step("n")), "b")
+    enough = F.least("rest_a", "rest_b") * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
+    once = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))
+    return a.join(b, ["gram", "step", "main"]).filter(once & enough & (F.col("root_a") != F.col("root_b"))).select("a", "b")
+
+
 def _components(docs: DataFrame, rows: DataFrame, first: DataFrame, clashing: list[int], n: int, percent: int) -> DataFrame:
     """(node, root) of the classes that links reach; a written table."""
     spark: SparkSession = docs.sparkSession
@@ -352,11 +410,10 @@ def _components(docs: DataFrame, rows: DataFrame, first: DataFrame, clashing: li
     dropped(common)
     blocks = _kept_blocks(sketches)
 
-    def all_pairs(rows: DataFrame) -> DataFrame:
-        """All pairs (a, b) that share a block, can link and are of two components."""
-        told = rows.join(sketches.select("cls", *_INFO), "cls")
-        left, right = (_side(told, x, "key", F.col("root").alias(f"root_{x}")) for x in "ab")
-        return left.join(right, (left["key"] == right["key"]) & (F.col("root_a") < F.col("root_b")) & _possible(percent)).select("a", "b").distinct()
+    def able(pairs: DataFrame) -> DataFrame:
+        """The pairs that the bit sketch allows, once each."""
+        told = pairs.distinct().join(_side(sketches, "a"), "a").join(_side(sketches, "b"), "b")
+        return told.filter(_possible(percent)).select("a", "b")
 
     def joined(pairs: DataFrame, groups: DataFrame | None) -> DataFrame | None:
         """The groups with the links among ``pairs``; None if there is none."""
@@ -380,8 +437,9 @@ def _components(docs: DataFrame, rows: DataFrame, first: DataFrame, clashing: li
         groups, last = more, open_
         open_ = written(_still_open(last, groups), "open")
         dropped(last)
-    groups = joined(all_pairs(open_), groups) or groups
-    dropped(open_, sketches)
+    early = _early(open_, sketches, percent)
+    groups = joined(able(_sharing(early, percent)), groups) or groups
+    dropped(open_, sketches, early)
     return groups
 
 

@@ -79,6 +79,46 @@ def test_near_copies_just_above_and_below_the_threshold(spark, monkeypatch):
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in out) == brute(rows, 4, 85)
 
 
+@pytest.mark.parametrize(("seed", "n", "percent"), [(4, 4, 85), (5, 5, 80), (6, 3, 60)])
+def test_the_last_join_alone_finds_all_links(spark, monkeypatch, seed, n, percent):
+    monkeypatch.setattr(ngram_join, "MOST_ROUNDS", 0)
+    rnd = random.Random(seed)
+    rows = list(enumerate(near_copies(rnd, 500, [f"p{i}" for i in range(50)])))
+    out = ngram_join.link_groups(docs(spark, rows), n, percent).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in out) == brute(rows, n, percent)
+
+
+@pytest.fixture
+def held(monkeypatch):
+    """How many pairs each step holds against each other."""
+    counts, linked = [], ngram_join._linked
+    monkeypatch.setattr(ngram_join, "_linked", lambda pairs, *more: (counts.append(pairs.count()), linked(pairs, *more))[1])
+    return counts
+
+
+def of_template(count, own, at="x"):
+    """Texts of 1,200 words, with words of their own at the same places."""
+    return [" ".join(f"{at}{own}_{i}_{k}" if k % 48 == 7 and k // 48 < own else f"t{k}" for k in range(1200)) for i in range(count)]
+
+
+def test_near_misses_of_a_template_make_no_pairs(spark, held):
+    rows = list(enumerate(of_template(120, 25)))
+    out = ngram_join.link_groups(docs(spark, rows), 4, 85).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in out) == brute(rows, 4, 85)
+    assert len({r.component_id for r in out}) == 120
+    assert held[-1] == 0 and sum(held) <= 120
+
+
+def test_near_misses_beside_a_group_that_links(spark, monkeypatch):
+    rows = list(enumerate(of_template(40, 24) + of_template(40, 25) + of_template(30, 8, "y")))
+    rounds = []
+    sharing = ngram_join._sharing
+    monkeypatch.setattr(ngram_join, "_sharing", lambda early, percent: (rounds.append(sharing(early, percent).count()), sharing(early, percent))[1])
+    out = ngram_join.link_groups(docs(spark, rows), 4, 85).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in out) == brute(rows, 4, 85)
+    assert rounds == [0]
+
+
 def test_one_of_each_with_clashing_columns_ties_and_nulls(spark):
     text = " ".join(f"w{i}" for i in range(40))
     rows = [(3, text, 1, "a"), (1, text, 2, "b"), (1, text, 3, "c"), (None, text, 4, "d"), (None, None, 5, "e"), (7, "", 6, "f"), (None, "alone here", 7, "g"), (9, text.upper(), 8, "h")]
