@@ -1,7 +1,7 @@
 """Connected components of links, by alternating large and small stars.
 
-Every round is written to the shared folder, which cuts the lineage; nothing but a count and a
-checksum of the edges reaches the driver. The rounds grow with the logarithm of the longest chain.
+Every round is written to the shared folder, which cuts the lineage; the driver only learns whether
+a node with two roots is left. The rounds grow with the logarithm of the longest chain.
 """
 
 from __future__ import annotations
@@ -14,9 +14,27 @@ from tasklode.llm.common import dropped, written
 MOST_ROUNDS = 60
 
 
-def _state(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first()
-    return tuple(row)
+def _pairs(first: tuple[str, str], second: tuple[str, str], names: tuple[str, str]):
+    """Two rows of two columns, for each row."""
+    return F.inline(F.array(*(F.struct(*(F.col(c).alias(n) for c, n in zip(x, names, strict=True))) for x in (first, second))))
+
+
+def _least(edges: DataFrame) -> DataFrame:
+    """(node, root, top): the least and the greatest of the lesser neighbours of each node; its own number, of one
+    with greater ones, counts too. They differ unless all edges lead to nodes that have no lesser neighbour, one from each."""
+    ends = edges.select(_pairs(("a", "b"), ("b", "b"), ("node", "root")))
+    return written(ends.groupBy("node").agg(F.min("root").alias("root"), F.max("root").alias("top")), "roots")
+
+
+def _stars(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """The edges (a, b), a >= b, after a large and a small star; they become no more, and may repeat."""
+    # large star: greater neighbours move to the least neighbour
+    moved = edges.join(least.select(F.col("node").alias("b"), "root"), "b").select("a", F.col("root").alias("b"))
+    large = moved.repartition("a").distinct()
+    # small star: lesser neighbours, and the node (in place of the least one), move to the least of them
+    down = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
+    small = large.join(down, F.col("a") == F.col("u"))
+    return written(small.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")), "stars")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -24,30 +42,17 @@ def components(links: DataFrame) -> DataFrame:
 
     The result is a written table. Links may repeat, be given in either direction or from a node to itself. No links, no rows.
     """
-    given = written(links.select("a", "b").filter("a IS NOT NULL AND b IS NOT NULL"), "edges")
-    loops, edges, last = given.filter("a = b").select("a", "b").distinct(), given, None
-    edges = edges.filter("a <> b").select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).select("a", "b").distinct()
-    before = None
+    given = links.filter("a IS NOT NULL AND b IS NOT NULL")
+    edges = written(given.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "edges")
     for _ in range(MOST_ROUNDS):
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-        # large star: greater neighbours move to the least neighbour
-        large = both.join(least, F.col("a") == F.col("u")).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        # small star: lesser neighbours, and the node, move to the least of them
-        down = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
-        moved = large.join(down, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
-        edges = written(moved.unionByName(down.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct(), "stars")
-        if last is not None:
-            dropped(last)
-        last, now = edges, _state(edges)
-        if now == before:
+        least = _least(edges)
+        if least.filter("root <> top").isEmpty():
             break
-        before = now
+        last, edges = edges, _stars(edges, least)
+        dropped(last, least)
     else:
         raise RuntimeError(f"components didn't settle in {MOST_ROUNDS} rounds")
-    roots = edges.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("root"))
-    linked = edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
-    alone = loops.select(F.col("a").alias("node"), F.col("b").alias("root")).join(linked, "node", "left_anti")
-    out = written(linked.unionByName(alone), "groups")
-    dropped(given, last)
+    dropped(edges)
+    out = least.select("node", "root")
+    out.written_to = least.written_to
     return out

@@ -287,7 +287,7 @@ def _kept_blocks(sketches: DataFrame) -> DataFrame:
 
 
 def _linked(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets link. Only sets that the pairs name are dealt out."""
+    """(root_a, root_b) of the pairs (a, b, root_a, root_b) whose sets link. Only sets that the pairs name are dealt out."""
     named = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
     sets = sketches.select("cls", "codes").join(named, "cls", "left_semi")
     a, b = (sets.select(F.col("cls").alias(x), F.col("codes").alias(f"codes_{x}")) for x in "ab")
@@ -300,9 +300,9 @@ def _linked(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
                 both = np.sort(np.concatenate((x, y)))
                 shared = int((both[1:] == both[:-1]).sum())
                 keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([batch.column("root_a"), batch.column("root_b")], names=["root_a", "root_b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "codes_a", "codes_b").mapInArrow(rows, "a long, b long")
+    return pairs.join(a, "a").join(b, "b").select("root_a", "root_b", "codes_a", "codes_b").mapInArrow(rows, "root_a long, root_b long")
 
 
 def _differ():
@@ -320,32 +320,39 @@ def _side(df: DataFrame, x: str, *more) -> DataFrame:
     return df.select(*more, F.col("cls").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in _INFO))
 
 
-def _still_open(blocks: DataFrame, groups: DataFrame | None) -> DataFrame:
-    """(key, cls, root) of the blocks that have several components."""
-    if groups is None:
-        member = blocks.select("key", "cls", F.col("cls").alias("root"))
-    else:
-        member = blocks.select("key", "cls").join(groups.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    spread = member.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
-    return member.join(spread.select("key"), "key")
-
-
-def _proposed(open_: DataFrame, sketches: DataFrame, percent: int, number: int) -> DataFrame:
-    """One pair (a, b) at most for each class a: b is of another component and shares blocks with a.
+def _met(member: DataFrame, number: int) -> DataFrame:
+    """(key, cls, root, b, root_b) of the blocks (key, cls, root) that have several components: b is a class of
+    another component in the block, or null; a written table.
 
     In each block, the classes meet its least class by a hash, and those of that one's component the
     greatest. In the first round the hash is of the class alone, so a group of near copies meets few; then
-    of the block too, so a class meets another in each block. Of those it takes the one most alike by
-    the parities.
+    of the block too, so a class meets another in each block.
     """
-    member = open_.withColumn("h", F.xxhash64(F.lit(number), "key", "cls") if number else F.xxhash64("cls"))
+    member = member.repartition("key").withColumn("h", F.xxhash64(F.lit(number), "key", "cls") if number else F.xxhash64("cls"))
     ends = member.groupBy("key").agg(
-        F.min_by("cls", "h").alias("low"), F.min_by("root", "h").alias("low_root"), F.max_by("cls", "h").alias("high"), F.max_by("root", "h").alias("high_root")
-    )
-    other = F.when(F.col("root") != F.col("low_root"), F.col("low")).when(F.col("root") != F.col("high_root"), F.col("high"))
-    near = member.join(ends, "key").select(F.col("cls").alias("a"), other.alias("b")).filter("b IS NOT NULL").distinct()
-    able = near.join(_side(sketches, "a"), "a").join(_side(sketches, "b"), "b").filter(_possible(percent))
-    return able.groupBy("a").agg(F.min_by("b", _differ() / (F.col("n_a") + F.col("n_b"))).alias("b"))
+        F.min_by("cls", "h").alias("low"), F.min_by("root", "h").alias("low_root"), F.max_by("cls", "h").alias("high"), F.max_by("root", "h").alias("high_root"),
+        F.min("root").alias("least"), F.max("root").alias("most"),
+    )
+    met = member.join(ends.filter("least <> most").drop("least", "most"), "key")
+
+    def other(what: str):
+        return F.when(F.col("root") != F.col("low_root"), F.col("low" + what)).when(F.col("root") != F.col("high_root"), F.col("high" + what))
+
+    return written(met.select("key", "cls", "root", other("").alias("b"), other("_root").alias("root_b")), "met")
+
+
+def _proposed(met: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """One pair (a, b) at most for each class a, with their components: of the classes that it meets, the one most alike by the parities."""
+    near = met.filter("b IS NOT NULL").select(F.col("cls").alias("a"), F.col("root").alias("root_a"), "b", "root_b").distinct()
+    able = near.join(_side(sketches, "b"), "b").join(_side(sketches, "a"), "a").filter(_possible(percent))
+    best = F.min(F.struct((_differ() / (F.col("n_a") + F.col("n_b"))).alias("d"), "b", "root_a", "root_b"))
+    return able.groupBy("a").agg(best.alias("best")).select("a", "best.b", "best.root_a", "best.root_b")
+
+
+def _renamed(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """``rows`` with the component ``root`` that ``roots`` (node, root) puts in its place."""
+    new = roots.filter("node <> root").select(F.col("node").alias("root"), F.col("root").alias("new_root"))
+    return rows.join(new, "root", "left").withColumn("root", F.coalesce("new_root", "root")).drop("new_root")
 
 
 def _grams(sets: DataFrame) -> DataFrame:
@@ -382,7 +389,7 @@ def _early(open_: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
 
 
 def _sharing(early: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of two components, a no larger than b, for each early n-gram after which enough are left in both to
+    """(a, b, root_a, root_b) of two components, a no larger than b, for each early n-gram after which enough are left in both to
     link; a pair may repeat.
 
     Rows meet by n-gram, step of b's size, and component: those of an n-gram's main one only others, so
@@ -397,11 +404,11 @@ def _sharing(early: DataFrame, percent: int) -> DataFrame:
     b = side(early.withColumn("step", step("n")), "b")
     enough = F.least("rest_a", "rest_b") * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
     once = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))
-    return a.join(b, ["gram", "step", "main"]).filter(once & enough & (F.col("root_a") != F.col("root_b"))).select("a", "b")
+    return a.join(b, ["gram", "step", "main"]).filter(once & enough & (F.col("root_a") != F.col("root_b"))).select("a", "b", "root_a", "root_b")
 
 
-def _components(docs: DataFrame, rows: DataFrame, first: DataFrame, clashing: list[int], n: int, percent: int) -> DataFrame:
-    """(node, root) of the classes that links reach; a written table."""
+def _components(docs: DataFrame, rows: DataFrame, first: DataFrame, clashing: list[int], n: int, percent: int) -> DataFrame | None:
+    """(node, root) of the classes that links put in another's component; a written table, or None if there is none."""
     spark: SparkSession = docs.sparkSession
     info = first.withColumn("cls", identity("one", "other", clashing))
     firsts = KeyFilter(info.select(F.col("cls").bitwiseXOR(_id()).alias("place")), "place")
@@ -412,34 +419,40 @@ def _components(docs: DataFrame, rows: DataFrame, first: DataFrame, clashing: li
 
     def able(pairs: DataFrame) -> DataFrame:
         """The pairs that the bit sketch allows, once each."""
-        told = pairs.distinct().join(_side(sketches, "a"), "a").join(_side(sketches, "b"), "b")
-        return told.filter(_possible(percent)).select("a", "b")
+        told = pairs.distinct().join(_side(sketches, "b"), "b").join(_side(sketches, "a"), "a")
+        return told.filter(_possible(percent)).select("a", "b", "root_a", "root_b")
 
-    def joined(pairs: DataFrame, groups: DataFrame | None) -> DataFrame | None:
-        """The groups with the links among ``pairs``; None if there is none."""
+    def joined(pairs: DataFrame) -> DataFrame | None:
+        """(node, root) of the components that links among ``pairs`` join; None if there is none."""
         pairs = written(pairs, "pairs")
         links = written(_linked(pairs, sketches, percent), "links")
-        out = None
-        if not links.isEmpty():
-            edges = links if groups is None else links.unionByName(groups.select(F.col("node").alias("a"), F.col("root").alias("b")))
-            out = components(edges)
-            if groups is not None:
-                dropped(groups)
+        roots = None if links.isEmpty() else components(links.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
         dropped(pairs, links)
+        return roots
+
+    def with_roots(groups: DataFrame | None, roots: DataFrame) -> DataFrame:
+        # what is joined were roots till now, so no node of ``groups`` is among them
+        new = roots.filter("node <> root")
+        out = written(new if groups is None else _renamed(groups, roots).select("node", "root").unionByName(new), "groups")
+        if groups is not None:
+            dropped(groups)
         return out
 
-    groups, open_ = None, written(_still_open(blocks, None), "open")
+    groups, met = None, _met(blocks.withColumn("root", F.col("cls")), 0)
     dropped(blocks)
     for number in range(MOST_ROUNDS):
-        more = joined(_proposed(open_, sketches, percent, number), groups)
-        if more is None:
+        roots = joined(_proposed(met, sketches, percent))
+        if roots is None:
             break
-        groups, last = more, open_
-        open_ = written(_still_open(last, groups), "open")
-        dropped(last)
-    early = _early(open_, sketches, percent)
-    groups = joined(able(_sharing(early, percent)), groups) or groups
-    dropped(open_, sketches, early)
+        groups, last = with_roots(groups, roots), met
+        met = _met(_renamed(last.select("key", "cls", "root"), roots), number + 1)
+        dropped(last, roots)
+    early = _early(met, sketches, percent)
+    roots = joined(able(_sharing(early, percent)))
+    if roots is not None:
+        groups = with_roots(groups, roots)
+        dropped(roots)
+    dropped(met, sketches, early)
     return groups
 
 

@@ -176,5 +176,30 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize(("links", "tables"), [([(i, 0) for i in range(1, 40)], 2), ([(i, 50) for i in range(40)], 4)])
+def test_settled_components_take_no_further_round(spark, monkeypatch, links, tables):
+    names, written = [], components.__globals__["written"]
+    monkeypatch.setitem(components.__globals__, "written", lambda df, name: (names.append(name), written(df, name))[1])
+    out = components(spark.createDataFrame(links, "a long, b long")).collect()
+    assert len(out) == len({x for e in links for x in e}) and {r.root for r in out} == {0}
+    assert len(names) == tables
+
+
+def test_rounds_join_components_not_their_classes(spark, monkeypatch):
+    given = []
+    monkeypatch.setattr(ngram_join, "components", lambda links: (given.append({x for r in links.collect() for x in r}), components(links))[1])
+    rnd = random.Random(5)
+    rows = []
+    for i in range(150):
+        own = [f"w{k}" for k in range(150)]
+        for _ in range(1 + i % 4):
+            own[rnd.randrange(150)] = f"x{rnd.randrange(10_000)}"
+        rows.append((i, " ".join(own)))
+    out = ngram_join.link_groups(docs(spark, rows), 4, 85).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in out) == brute(rows, 4, 85)
+    # a component that was joined to another doesn't come again
+    assert len(given) > 1 and sum(len(x) for x in given[1:]) < len(given[0])
+
+
 def test_empty(spark):
     assert ngram_join.link_groups(spark.createDataFrame([], DOCS)).count() == 0
